@@ -127,8 +127,9 @@ def nest(
     order_by: str | None = None,
     max_items: int = MAX_ITEMS,
     part_column: str | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """One nested record per non-null key.
+    """One nested record per non-null key; with `within`, per key and value of those (non-null) columns.
 
     `order_by` names a column, unique per row, that says which row comes first; without it the order in which the
     rows are read counts. Columns the table lacks are left out of the record; a missing key is an error.
@@ -139,11 +140,14 @@ def nest(
         raise RuleError([(0, spec.key, "the key column does not exist")])
     spec = _narrow(spec, set(df.columns))
     position = column(order_by) if order_by else F.monotonically_increasing_id()
-    used = list(dict.fromkeys([spec.key, *_node_columns(spec)]))
-    rows = df.select(*[column(c) for c in used], position.alias("_pos")).where(column(spec.key).isNotNull())
-    nested = _nest_rows(rows, [spec.key], spec, max_items)
+    keys = [*within, spec.key]
+    used = list(dict.fromkeys([*keys, *_node_columns(spec)]))
+    rows = df.select(*[column(c) for c in used], position.alias("_pos"))
+    rows = rows.where(all_of(column(k).isNotNull() for k in keys))
+    nested = _nest_rows(rows, keys, spec, max_items)
     part = [column("_part").alias(part_column)] if part_column else []
-    return nested.select(column("_key0").alias(spec.key), *part, *[column(n) for n in _outputs(spec)])
+    named = [column(f"_key{i}").alias(k) for i, k in enumerate(keys)]
+    return nested.select(*named, *part, *[column(n) for n in _outputs(spec)])
 
 
 def _outputs(node) -> list[str]:

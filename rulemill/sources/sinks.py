@@ -96,17 +96,9 @@ def with_rules(metadata: DataFrame, quality_rules: Sequence[str]) -> DataFrame:
 def write_quality_sets(
     df: DataFrame, rule_sets: Mapping[str, Rules], spec: NestingSpec, path: str, order_by: str | None = None
 ) -> None:
-    """Flag `df` with every rule set, nest each copy and write it under ruleset=<name>.
-
-    The copies are told apart by a composed key, so all sets are flagged and nested in one plan.
-    """
-    flagged = apply_quality_sets(df, rule_sets)
-    by_set = [nest(flagged.where(F.col("ruleset") == n).drop("ruleset"), spec, order_by).withColumn("ruleset", F.lit(n))
-              for n in rule_sets]
-    united = by_set[0]
-    for frame in by_set[1:]:
-        united = united.unionByName(frame)
-    write_json(united, path, partition_by=["ruleset"])
+    """Flag `df` with every rule set, nest each flagged copy and write it under ruleset=<name>, in one plan."""
+    nested = nest(apply_quality_sets(df, rule_sets), spec, order_by, within=["ruleset"])
+    write_json(nested, path, partition_by=["ruleset"])
 
 
 def export_result(

@@ -17,39 +17,34 @@ ATTRIBUTE_PREFIX, TEXT_FIELD = "_", "_VALUE"
 _OPTIONS = {"attributePrefix": ATTRIBUTE_PREFIX, "valueTag": TEXT_FIELD}
 
 
-def _element_pattern(tag: str) -> str:
-    attributes = r"""(?:\s[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)?"""
-    name = re.escape(tag)
-    # A self-closing element, or an open one up to where the closing tag was cut off.
-    closed = rf"""<{name}(?:\s(?:[^>"'/]|/(?!>)|"[^"]*+"|'[^']*+')*+)?/>"""
-    return rf"(?s){closed}|<{name}{attributes}>.*"
+def _closed_pattern(tag: str) -> str:
+    return rf"""<{re.escape(tag)}(?:\s[^>"'/]*+(?:(?:"[^"]*+"|'[^']*+'|/(?!>))[^>"'/]*+)*+)?/>"""
+
+
+def _open_pattern(tag: str) -> str:
+    return rf"""<{re.escape(tag)}(?:\s[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)?>"""
 
 
 def read_elements(
     spark: SparkSession, paths: str | Sequence[str], row_tag: str, encoding: str = "UTF-8"
 ) -> DataFrame:
-    """(xml, path): the source text of every `row_tag` element. Encodings other than UTF-8 go through `encoding`."""
+    """(xml, path): the source text of every `row_tag` element.
+
+    `encoding` may be any one in which tags are written in plain ASCII bytes, such as ISO-8859-1.
+    """
     closing = f"</{row_tag}>"
     reader = spark.read.option("lineSep", closing)
     chunks = reader.text(list(paths) if not isinstance(paths, str) else paths)
     text = F.col("value")
     if encoding.upper() not in ("UTF-8", "UTF8"):
-        # A chunk read as text has lost other encodings' bytes; read the bytes of whole files instead.
-        files = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
-        parts = F.split(F.decode(F.col("content"), encoding), re.escape(closing))
-        chunks = files.select(F.explode(parts).alias("value"), F.col("path"))
-        path = F.col("path")
-    else:
-        path = F.col("_metadata.file_path")
-    found = F.regexp_extract_all(text, F.lit(_element_pattern(row_tag)), F.lit(0))
-    cut = F.transform(found, lambda x: F.when(x.endswith("/>") & ~x.contains("</") & _self_closed(x, row_tag), x)
-                      .otherwise(F.concat(x, F.lit(closing))))
-    return chunks.select(F.explode(cut).alias("xml"), path.alias("path"))
-
-
-def _self_closed(x: Column, tag: str) -> Column:
-    name = re.escape(tag)
-    return x.rlike(rf"""(?s)\A<{name}(?:\s(?:[^>"'/]|/(?!>)|"[^"]*+"|'[^']*+')*+)?/>\z""")
+        text = F.decode(text.cast("binary"), encoding)
+    # A chunk is what lies between two closing tags: any self-closing elements, then one without its closing tag.
+    found = F.regexp_extract_all(text, F.lit(rf"(?s){_closed_pattern(row_tag)}|{_open_pattern(row_tag)}.*"), F.lit(0))
+    whole = F.transform(
+        found,
+        lambda x: F.when(x.rlike(rf"(?s)\A{_closed_pattern(row_tag)}\z"), x).otherwise(F.concat(x, F.lit(closing))),
+    )
+    return chunks.select(F.explode(whole).alias("xml"), F.col("_metadata.file_path").alias("path"))
 
 
 def parse_elements(elements: DataFrame, schema: T.StructType | str, name: str = "element") -> DataFrame:
