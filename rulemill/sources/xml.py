@@ -48,8 +48,11 @@ def read_elements(
 
 
 def parse_elements(elements: DataFrame, schema: T.StructType | str, name: str = "element") -> DataFrame:
-    """Add the element parsed into a declared struct. Declare repeatable children as arrays."""
-    return elements.withColumn(name, F.from_xml(F.col("xml"), schema, _OPTIONS))
+    """Add the element parsed into a declared struct. Declare repeatable children as arrays.
+
+    The struct comes out of a one-element explode: filters on it are not pushed below, where each would parse again.
+    """
+    return elements.select("*", F.explode(F.array(F.from_xml(F.col("xml"), schema, _OPTIONS))).alias(name))
 
 
 def read_xml(spark: SparkSession, paths: str | Sequence[str], row_tag: str, schema: T.StructType | str) -> DataFrame:

@@ -326,7 +326,9 @@ def _extract_with_paths(
     def as_json(xml: pd.Series) -> pd.Series:
         return xml.map(lambda text: json.dumps(evaluate(ElementTree.fromstring(text))))
 
-    return elements.select(F.from_json(as_json("xml"), record_type(spec)).alias("record")).select("record.*")
+    record = F.from_json(as_json("xml"), record_type(spec))
+    # A generator for the reason given in parse_elements.
+    return elements.select(F.explode(F.array(record)).alias("record")).select("record.*")
 
 
 def _outline(branch, classes: dict[str, str]) -> dict:

@@ -1,0 +1,118 @@
+import pytest
+
+from rulemill import RuleError, apply_transforms, conform, found_nothing, map_columns, search, unite
+from rulemill.operators.mapping import create_attribute, expand_struct, missing_columns, rename_all, trim_all
+from rulemill.operators.transform import transform_problems
+from tests.conftest import values
+
+
+def one(df):
+    return tuple(df.first())
+
+
+def test_mapping_renames_reorders_and_fills(text_frame):
+    raw = text_frame(["Gene symbol", "Pos.1", "unused"], [("BRCA1", "5", "x")])
+    mapped = map_columns(raw, [("start", "Pos.1"), ("gene", "Gene symbol"), ("hgvs", "Not there")], constants={"source": "s"})
+    assert mapped.columns == ["start", "gene", "hgvs", "source"] and one(mapped) == ("5", "BRCA1", None, "s")
+
+
+def test_mapping_twice_to_one_target_is_an_error(text_frame):
+    with pytest.raises(RuleError):
+        map_columns(text_frame(["a"], [("1",)]), [("x", "a"), ("x", "b")])
+
+
+def test_one_source_can_fill_two_targets(text_frame):
+    assert one(map_columns(text_frame(["a"], [("1",)]), [("x", "a"), ("y", "a")])) == ("1", "1")
+
+
+def test_small_projections(spark, text_frame):
+    df = text_frame(["a", "b"], [(" x ", None)])
+    assert one(trim_all(df)) == ("x", None)
+    assert rename_all(df, ["c", "d"]).columns == ["c", "d"]
+    with pytest.raises(ValueError):
+        rename_all(df, ["c"])
+    with pytest.raises(RuleError):
+        create_attribute(df, "a")
+    assert create_attribute(df, "c").schema["c"].dataType.simpleString() == "string"
+    packed = spark.sql("select 1 a, named_struct('b', 2, 'c', 3) s")
+    assert expand_struct(packed, "s").columns == ["a", "b", "c"]
+
+
+def test_conform_and_union_by_name(text_frame):
+    a, b = text_frame(["x", "y"], [("1", "2")]), text_frame(["z", "y"], [("3", "4")])
+    assert missing_columns(a, ["y", "z"]) == ["z"]
+    assert conform(b, ["x", "y"]).columns == ["x", "y", "z"]
+    united = unite([a, b, a], ["x", "y"])
+    assert united.columns == ["x", "y", "z"]
+    assert values(united) == [(None, "4", "3"), ("1", "2", None), ("1", "2", None)]
+
+
+def test_conformed_columns_can_be_written(text_frame, tmp_path):
+    conform(text_frame(["x"], [("1",)]), ["x", "empty"]).write.csv(str(tmp_path / "out"))
+
+
+def test_search(spark, text_frame):
+    df = text_frame(["gene", "start"], [("A", "1"), ("B", "2"), (None, "3")])
+    assert values(search(df, "GENE", "A")) == [("A", "1")]
+    assert found_nothing(search(df, "gene", "C")) and not found_nothing(df)
+    with pytest.raises(RuleError):
+        search(df, "nothing", "A")
+    numbers = spark.range(5)
+    assert [r.id for r in search(numbers, "ID", "3").collect()] == [3] and search(numbers, "id", "x").count() == 0
+
+
+REGEX_CASES = [
+    ("start", r"g\.([0-9]+)", "NC_000001.10:g.11076931C>T", "11076931"),
+    ("ref", ":([a-zA-Z]):", "NC_000019.10:15192004:A:G", "A"),
+    ("alt", "([a-zA-Z])$", "NC_000019.10:15192004:A:G", "G"),
+    ("chromosome", "(^[^pq]*)", "19p13.12", "19"),
+    ("chromosome", "NC_0+([0-9]+).", "NC_000023.10:g.32407761G>A", "23"),
+    ("chromosome", "NC_0+([0-9]+).", "NC_000019.10:g.1041829A>T", "19"),
+    ("start", r"g\.([0-9]+)", "NC_000001.10:G.11076931C>T", "NC_000001.10:G.11076931C>T"),
+]
+
+
+@pytest.mark.parametrize("column, pattern, cell, expected", REGEX_CASES)
+def test_extract(text_frame, column, pattern, cell, expected):
+    assert one(apply_transforms(text_frame([column], [(cell,)]), [(column, "extract", pattern, None)])) == (expected,)
+
+
+def test_replace_with_blank_removes(text_frame):
+    df = text_frame(["c"], [("chr1",), ("2",), (None,)])
+    assert values(apply_transforms(df, [("c", "replace", "^chr", None)])) == [(None,), ("1",), ("2",)]
+
+
+def test_rules_apply_in_order_across_columns(text_frame):
+    df = text_frame(["a", "b"], [(None, "b-12"), ("a1", None)])
+    rules = [
+        ("b", "replace", "-", "_"),
+        ("a", "use values from another attribute", None, "b"),
+        ("a", "extract", "_([0-9])", None),
+        ("a", "replace", "1", "one"),
+        ("b", "fill na", None, "none"),
+        ("c", "create empty attribute", None, None),
+        ("c", "use values from another attribute", None, "a"),
+    ]
+    assert values(apply_transforms(df, rules)) == [("aone", "none", "aone"), ("one", "b_12", "one")]
+
+
+def test_rules_that_do_not_fit_are_reported_and_skipped(text_frame):
+    df = text_frame(["a"], [("x",)])
+    rules = [("z", "replace", "a", "b"), ("a", "create empty attribute", None, None), ("a", "unknown", None, None)]
+    assert one(apply_transforms(df, rules)) == ("x",)
+    assert [n for n, _, _ in transform_problems(df, rules)] == [1, 2]
+    with pytest.raises(RuleError):
+        apply_transforms(df, rules, strict=True)
+
+
+def test_fills_keep_the_column_type(spark):
+    df = spark.sql("select cast(null as int) n, 'x' s")
+    rules = [("n", "fill na", None, "4"), ("n", "use values from another attribute", None, "s")]
+    assert tuple(apply_transforms(df, rules).first()) == (4, "x")
+
+
+def test_long_chains_stay_one_stage_without_growth(text_frame):
+    rules = [("a", "extract", "([a-z]+)", None), ("a", "replace", "x", "y")] * 20
+    plan = apply_transforms(text_frame(["a"], [("x1",)]), rules)
+    assert one(plan) == ("y",)
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 40_000
