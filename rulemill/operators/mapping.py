@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from rulemill.functions.columns import column, null_string
+from rulemill.functions.columns import blank_to_null, column, null_string
 from rulemill.plans.rules import RuleError, Rules, as_rules
 
 
@@ -50,6 +50,16 @@ def trim_all(df: DataFrame) -> DataFrame:
     return df.select(*[F.trim(column(c)).alias(c) for c in df.columns])
 
 
+# What counts as white space around a cell.
+BLANKS = " \t\r\n\f\x0b"
+
+
+def clean_cells(df: DataFrame) -> DataFrame:
+    """Text cells without surrounding white space, and NULL where nothing is left."""
+    text = [f.name for f in df.schema if f.dataType == T.StringType()]
+    return df.withColumns({c: blank_to_null(F.btrim(column(c), F.lit(BLANKS))) for c in text}) if text else df
+
+
 def expand_struct(df: DataFrame, name: str) -> DataFrame:
     """Replace a struct column by its fields, at the end."""
     rest = [column(c) for c in df.columns if c != name]

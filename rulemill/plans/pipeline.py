@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from rulemill.operators.explore import drop_all_null
 from rulemill.operators.integrate import found_nothing, search, unite
-from rulemill.operators.mapping import map_columns
+from rulemill.operators.mapping import clean_cells, map_columns
 from rulemill.operators.nesting import NestingSpec, flatten, nest
 from rulemill.operators.transform import apply_transforms, transform_problems
 from rulemill.plans.predicates import query
@@ -27,17 +27,24 @@ from rulemill.variants.schema import VARIANT_COLUMNS, VARIANT_SPEC
 
 @dataclass(frozen=True)
 class Source:
-    """A flat table with the rules that bring it to the target schema. `mapping` is None for mapped tables."""
+    """A flat table with the rules that bring it to the target schema. `mapping` is None for mapped tables.
+
+    Text cells are trimmed and blank ones are NULL after mapping and again after the transformations, as between files.
+    Turn `clean` off for columnar sources whose cells are clean: predicates on untransformed columns then reach the scan.
+    """
 
     frame: DataFrame
     mapping: Rules | None = None
     transforms: Rules = field(default_factory=list)
     name: str = ""
+    clean: bool = True
 
 
 def prepare(source: Source) -> DataFrame:
     mapped = source.frame if source.mapping is None else map_columns(source.frame, source.mapping)
-    return apply_transforms(mapped, source.transforms)
+    if not source.clean:
+        return apply_transforms(mapped, source.transforms)
+    return clean_cells(apply_transforms(clean_cells(mapped), source.transforms))
 
 
 def source_problems(sources: Sequence[Source]) -> list[tuple[str, int, str, str]]:

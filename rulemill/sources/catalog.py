@@ -52,7 +52,9 @@ def job_catalog(spark: SparkSession, base: str) -> DataFrame:
     Reads <base>/<job>/result/<stamp>/search_info.csv files in one scan.
     """
     runs = read_run_metadata(spark, f"{base.rstrip('/')}/*/result/*/search_info.csv")
-    return describe_runs(runs.withColumn("path", F.url_decode(F.col("path"))))
+    # File paths come percent-encoded, and a written CSV is a folder of part files.
+    decoded = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    return describe_runs(runs.withColumn("path", F.regexp_replace(decoded, r"(search_info\.csv)/[^/]+$", "$1")))
 
 
 def describe_runs(runs: DataFrame) -> DataFrame:

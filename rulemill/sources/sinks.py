@@ -17,9 +17,10 @@ JOB, RESULT = "job", "query_result"
 
 
 def write_csv(df: DataFrame, path: str, sep: str = DATA_SEP, files: int | None = None, mode: str = "overwrite") -> None:
-    """Flat CSV with a header, UTF-8. `files` limits the number of part files without a shuffle."""
+    """Flat CSV with a header, UTF-8, cells as they are. `files` limits the number of part files without a shuffle."""
     out = df.coalesce(files) if files else df
-    out.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    writer = out.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(

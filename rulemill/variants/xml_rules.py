@@ -56,7 +56,7 @@ class Step:
     tests: tuple[Test, ...] = ()
 
 
-_STEP = re.compile(r"([\w.\-]+)((?:\[[^\]]*\])*)$")
+_STEP = re.compile(r"([^\W\d][\w.\-]*)((?:\[[^\]]*\])*)$")
 _TEST = re.compile(r"\[\s*(?:(\d+)|(@?)([\w.\-]+)\s*(?:=\s*(?:'([^']*)'|\"([^\"]*)\"))?)\s*\]")
 
 
@@ -75,6 +75,8 @@ def steps_of(path: str) -> tuple[Step, ...]:
             equals = t[4] if t[4] is not None else t[5]
             tests.append(Test(ordinal=int(t[1])) if t[1] else Test(t[3], t[2] == "@", equals))
             rest = rest[t.end():]
+        if sum(1 for t in tests if t.ordinal) > 1:
+            raise UnsupportedPath(path)
         steps.append(Step(found[1], tuple(tests)))
     return tuple(steps)
 
@@ -181,11 +183,11 @@ def _passing(test: Test, value: Column | None):
 
 
 def _below(step: Step, value: Column | None):
-    """The matching children of one parent. A position counts what the tests before it left."""
+    """The matching children of one parent. A position counts all children of that name, whatever other tests say."""
 
     def matching(parent: Column) -> Column:
         found = parent.getField(step.tag)
-        for test in step.tests:
+        for test in sorted(step.tests, key=lambda t: not t.ordinal):
             found = F.slice(found, test.ordinal, 1) if test.ordinal else F.filter(found, _passing(test, value))
         return found
 
