@@ -46,6 +46,11 @@ class Structs:
     def columns(self) -> tuple[str, ...]:
         return tuple(c for _, c in self.fields)
 
+    @property
+    def lead_field(self) -> str:
+        """Output name of the lead column."""
+        return next(n for n, c in self.fields if c == self.lead)
+
 
 @dataclass(frozen=True)
 class Group:
@@ -156,63 +161,53 @@ def _outputs(node) -> list[str]:
 
 
 def _nest_rows(rows: DataFrame, keys: list[str], node, max_items: int) -> DataFrame:
-    """(_key0.., _part, outputs of the node): one row per key combination, more for an oversize one."""
+    """(_key0.., _part, outputs of the node): one row per key combination, more for an oversize one.
+
+    Every row is copied once per branch. A copy carries its branch number and the value of that branch only: in a cell
+    shared by all single-column branches of one type, or in a struct of its own.
+    """
     key_names = [f"_key{i}" for i in range(len(keys))]
-    own = [*[c for _, c in node.scalars], *[v.column for v in node.values], *[c for s in node.structs for c in s.columns]]
-    value_names = {c: f"_v{i}" for i, c in enumerate(dict.fromkeys(own))}
-    renamed = rows.select(
-        *[column(c).alias(n) for c, n in zip(keys, key_names)],
-        *[column(c).alias(n) for c, n in value_names.items()],
-        "_pos",
-    )
-    branches = [{value_names[c]} for _, c in node.scalars] + [{value_names[v.column]} for v in node.values]
-    branches += [{value_names[c] for c in s.columns} for s in node.structs]
-    # Every key must survive, so there is always a branch whose rows are never filtered out.
-    sets = list(dict.fromkeys(frozenset(b) for b in branches)) if node.scalars else [frozenset()]
-    sets += [s for s in dict.fromkeys(frozenset(b) for b in branches) if s not in sets]
-    ids = {s: i for i, s in enumerate(sets)}
-
-    # One copy of a row per branch, holding only the columns of that branch.
-    copies = renamed.withColumn("_set", F.explode(F.array(*[F.lit(i) for i in ids.values()])))
+    single = [c for _, c in node.scalars] + [v.column for v in node.values]
+    kinds = [rows.schema[c].dataType for c in single]
+    cells = {kind: f"_cell{i}" for i, kind in enumerate(dict.fromkeys(kinds))}
+    cell_of = [cells[kind] for kind in kinds]
+    first_struct = len(single)
+    # A node without scalars gets a branch without a value, so that every key survives.
+    numbers = list(range(first_struct + len(node.structs))) + ([] if node.scalars else [-1])
+
     masked = [
-        F.when(F.col("_set").isin(*[i for s, i in ids.items() if v in s]), F.col(v)).alias(v)
-        for v in value_names.values()
+        _case([(i, column(c)) for i, c in enumerate(single) if cell_of[i] == cell]).alias(cell) for cell in cells.values()
     ]
+    for i, s in enumerate(node.structs):
+        fields = F.struct(*[column(c).alias(n) for n, c in s.fields])
+        masked.append(_case([(first_struct + i, fields)]).alias(f"_struct{i}"))
+    value_names = [*cells.values(), *[f"_struct{i}" for i in range(len(node.structs))]]
     items = (
-        copies.select(*key_names, "_set", *masked, "_pos")
-        .groupBy(*key_names, "_set", *value_names.values())
+        rows.withColumn("_branch", F.explode(F.array(*[F.lit(n) for n in numbers])))
+        .select(*[column(c).alias(n) for c, n in zip(keys, key_names)], "_branch", *masked, "_pos")
+        .groupBy(*key_names, "_branch", *value_names)
         .agg(F.min("_pos").alias("_pos"))
     )
+    branch, n_scalars = F.col("_branch"), len(node.scalars)
+    always = (branch < n_scalars) if node.scalars else (branch == -1)
+    filled = [F.col(c).isNotNull() for c in cells.values()] + [_filled(s, i) for i, s in enumerate(node.structs)]
+    items = items.where(any_of([always, *filled]))
 
-    def in_set(names: Sequence[str]) -> Column:
-        return F.col("_set") == ids[frozenset(value_names[c] for c in names)]
-
-    def listed(s: Structs) -> Column:
-        if s.lead is not None:
-            return in_set(s.columns) & F.col(value_names[s.lead]).isNotNull()
-        return in_set(s.columns) & any_of(F.col(value_names[c]).isNotNull() for c in s.columns)
-
-    always = [in_set([c]) for _, c in node.scalars] or [F.col("_set") == ids[frozenset()]]
-    wanted = [in_set([v.column]) & F.col(value_names[v.column]).isNotNull() for v in node.values]
-    items = items.where(any_of([*always, *wanted, *[listed(s) for s in node.structs]]))
-
-    spread = F.when(any_of(always), 0).otherwise(F.xxhash64(*[F.col(c) for c in value_names.values()])) if own else F.lit(0)
+    spread = F.when(always, 0).otherwise(F.xxhash64("_branch", *value_names)) if value_names else F.lit(0)
     placed = _with_part(items, key_names, spread, max_items)
-    # A scalar column can be a list as well: its values then also belong to part 0.
     collected = []
-    for name, c in node.scalars:
-        v, mine = F.col(value_names[c]), in_set([c])
-        collected.append(F.max_by(F.when(mine, v), F.when(mine, F.col("_pos"))).alias(name))
-    for b in node.values:
-        v = F.col(value_names[b.column])
-        collected.append(F.array_sort(F.collect_list(F.when(in_set([b.column]), v))).alias(b.name))
-    for s in node.structs:
-        lead = [F.col(value_names[s.lead]).alias("_lead")] if s.lead else []
-        fields = F.struct(*[F.col(value_names[c]).alias(n) for n, c in s.fields])
+    for i, (name, _) in enumerate(node.scalars):
+        mine = branch == i
+        collected.append(F.max_by(F.when(mine, F.col(cell_of[i])), F.when(mine, F.col("_pos"))).alias(name))
+    for i, b in enumerate(node.values, n_scalars):
+        collected.append(F.array_sort(F.collect_list(F.when(branch == i, F.col(cell_of[i])))).alias(b.name))
+    for i, s in enumerate(node.structs):
+        fields = F.col(f"_struct{i}")
+        lead = [fields.getField(s.lead_field).alias("_lead")] if s.lead else []
         entry = F.struct(*lead, F.col("_pos").alias("_pos"), fields.alias("_fields"))
-        collected.append(F.array_sort(F.collect_list(F.when(listed(s), entry))).alias(s.name))
-    grouped_rows = placed.groupBy(*key_names, "_part")
-    nested = grouped_rows.agg(*collected) if collected else grouped_rows.count().drop("count")
+        collected.append(F.array_sort(F.collect_list(F.when(branch == first_struct + i, entry))).alias(s.name))
+    grouped = placed.groupBy(*key_names, "_part")
+    nested = grouped.agg(*collected) if collected else grouped.count().drop("count")
 
     lists = {b.name: null_if_empty(column(b.name)) for b in node.values}
     lists |= {s.name: null_if_empty(F.transform(column(s.name), lambda x: x["_fields"])) for s in node.structs}
@@ -223,6 +218,19 @@ def _nest_rows(rows: DataFrame, keys: list[str], node, max_items: int) -> DataFr
     return nested
 
 
+def _case(choices: list[tuple[int, Column]]) -> Column:
+    chosen = F.when(F.col("_branch") == choices[0][0], choices[0][1])
+    for number, value in choices[1:]:
+        chosen = chosen.when(F.col("_branch") == number, value)
+    return chosen
+
+
+def _filled(s: Structs, i: int) -> Column:
+    """The struct counts: its lead is there, or anything in it if it has none."""
+    fields = [s.lead_field] if s.lead else [n for n, _ in s.fields]
+    return any_of(F.col(f"_struct{i}").getField(n).isNotNull() for n in fields)
+
+
 def _nest_group(rows: DataFrame, keys: list[str], key_names: list[str], g: Group, max_items: int) -> DataFrame:
     """(_key0.., _part, array of one struct per lead value)."""
     lead_name = f"_key{len(keys)}"

@@ -61,7 +61,9 @@ def release_elements(spark, sf):
         F.lit("</ClinicalAssertionList><TraitMappingList>"), mapped,
         F.lit("</TraitMappingList></InterpretedRecord></Variation>"),
     )
-    return table(spark, sf, "orders").select(xml.alias("xml"))
+    # Parsing costs far more than moving the keys, so all cores get some of it however the table is laid out.
+    keys = table(spark, sf, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)
+    return keys.select(xml.alias("xml"))
 
 
 RELEASE_SQL = """
