@@ -10,8 +10,10 @@ from rulemill.functions.columns import column
 from rulemill.functions.stamps import (
     base_name, folder, parse_stamp, result_name, stamp_date, stamp_time, trailing_number,
 )
+from rulemill.operators.integrate import unite
 from rulemill.operators.merging import join_on_folder
 from rulemill.sources.csv import read_csv, read_run_metadata
+from rulemill.sources.storage import listed_names
 
 # Files of a data-set folder that are not data.
 RULE_FILES = ("mapping_rules.csv", "transformation_rules.csv", "databaseName.csv")
@@ -24,6 +26,14 @@ def list_files(spark: SparkSession, base: str) -> DataFrame:
     return listed.select("path", base_name(F.col("path")).alias("name"), folder(F.col("path")).alias("folder"))
 
 
+def read_folder(spark: SparkSession, base: str, schema: Sequence[str]) -> DataFrame:
+    """Every CSV source directly below a folder, each read by its own header, united on the schema."""
+    names = sorted(n for n in listed_names(spark, base) if not n.startswith(("_", ".")))
+    if not names:
+        raise FileNotFoundError(f"no sources below {base}")
+    return unite([read_csv(spark, f"{base.rstrip('/')}/{n}") for n in names], schema)
+
+
 def data_files(files: DataFrame) -> DataFrame:
     """The listed files that hold data: no rule files, nothing from the quality-rule folder."""
     in_rules = base_name(F.col("folder")) == "quality_rules"

@@ -11,6 +11,7 @@ from rulemill.operators.nesting import NestingSpec, key_order, nest
 from rulemill.operators.quality import apply_quality_sets
 from rulemill.plans.rules import Rules
 from rulemill.sources.csv import DATA_SEP, RUN_COLUMNS, text_schema
+from rulemill.sources.storage import listed_names
 
 # Prefixes of numbered outputs.
 JOB, RESULT = "job", "query_result"
@@ -31,17 +32,9 @@ def write_json(
     out.write.mode(mode).option("ignoreNullFields", False).partitionBy(*partition_by).json(path)
 
 
-def _listed_names(spark: SparkSession, base: str) -> list[str]:
-    """Names directly below a folder. The driver sees names only; one entry per stored run."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-
 def latest_run(spark: SparkSession, base: str, prefix: str) -> int:
     """The highest number among `<prefix>_<n>` entries below `base`; 0 if there is none."""
-    stems = [n.split(".")[0] for n in _listed_names(spark, base) if n.startswith(prefix + "_")]
+    stems = [n.split(".")[0] for n in listed_names(spark, base) if n.startswith(prefix + "_")]
     numbers = [int(s[len(prefix) + 1:]) for s in stems if s[len(prefix) + 1:].isdigit()]
     return max(numbers, default=0)
 

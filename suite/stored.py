@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulemill import flatten, nest
+from rulemill import NestingSpec, Values, flatten, map_columns, nest, search
 from rulemill.operators.transform import apply_transforms
-from rulemill.plans.pipeline import run_query
+from rulemill.plans.pipeline import run_query, store_run
 from rulemill.sources import sinks
+from rulemill.sources.catalog import read_folder
 from rulemill.sources.csv import all_text, read_csv
 from rulemill.sources.storage import scratch_path
 from rulemill.sources.xml import read_elements, read_xml
 from rulemill.streaming.files import process_available, stream_parquet
 from rulemill.variants.xml_rules import extract_entities
+from suite.integration import CUSTOMER_PARTY, PARTY_SCHEMA, SUPPLIER_PARTY
 from suite.nested import BY_CUSTOMER, HISTORY
 from suite.quality import RULE_SETS
 from suite.registry import register, table
-from suite.variants import ORDER_RULES, order_elements
+from suite.variants import ORDER_RULES, order_elements, variant_rows
 
 
 @register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents WHERE lang <> 'en'")
@@ -100,8 +102,6 @@ SELECT 'names', p_type, CASE WHEN p_size < 5 THEN 'TINY' ELSE CAST(p_size AS VAR
   (SELECT DISTINCT p_type, CASE WHEN p_size < 5 THEN 4 ELSE p_size END AS p_size FROM part)""")
 def quality_sets_stored(spark, sf):
     """Every rule set nested and written under its name."""
-    from rulemill import NestingSpec, Values
-
     path = scratch_path(spark, "quality")
     spec = NestingSpec("p_type", values=(Values("sizes", "p_size"),))
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
@@ -110,14 +110,46 @@ def quality_sets_stored(spark, sf):
     return stored.select("ruleset", "p_type", F.explode("sizes").alias("p_size"))
 
 
+@register("""
+SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment FROM customer
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR), NULL FROM supplier""")
+def folder_of_sources(spark, sf):
+    """Two mapped sources with different headers in one folder."""
+    base = scratch_path(spark, "mapped")
+    sinks.write_csv(map_columns(table(spark, sf, "customer"), CUSTOMER_PARTY), f"{base}/customers")
+    sinks.write_csv(map_columns(table(spark, sf, "supplier"), SUPPLIER_PARTY), f"{base}/suppliers")
+    return read_folder(spark, base, PARTY_SCHEMA).drop("acctbal")
+
+
+@register("""
+SELECT ruleset, variant_id, genes FROM (
+  SELECT 'genes' AS ruleset, 'v' || o_custkey AS variant_id,
+         string_agg(DISTINCT CASE WHEN l_linenumber = 3 THEN 'THIRD' ELSE 'G' || l_linenumber END, ','
+                    ORDER BY CASE WHEN l_linenumber = 3 THEN 'THIRD' ELSE 'G' || l_linenumber END) AS genes
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_custkey
+  UNION ALL
+  SELECT 'starts', 'v' || o_custkey, string_agg(DISTINCT 'G' || l_linenumber, ',' ORDER BY 'G' || l_linenumber)
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_custkey)""")
+def run_stored(spark, sf):
+    """Search a variant table, store it as a job with two rule sets, read the flagged records back."""
+    base = scratch_path(spark, "jobs")
+    treated = search(variant_rows(spark, sf).drop("o_orderkey"), "ASSEMBLY", "GRChF")
+    info = sinks.run_metadata(spark, ["orders"], "local", ["orders.parquet"], "assembly", "GRChF")
+    rule_sets = {
+        "genes": [("gene", "string", "no", "equals", "G3", "THIRD")],
+        "starts": [("start", "integer", "no", "empty", None, "NO START")],
+    }
+    result = store_run(treated, base, "01_02_2023 10_11_12", info, rule_sets)
+    flagged = spark.read.schema("variant_id string, genes array<string>, ruleset string").json(f"{result}/quality.json")
+    return flagged.select("ruleset", "variant_id", F.array_join("genes", ",").alias("genes"))
+
+
 STREAM_RULES = [("p_name", "replace", "red", "RED"), ("p_brand", "extract", "#([0-9]+)", None)]
 
 
 @register("SELECT p_partkey, replace(p_name, 'red', 'RED') AS p_name, regexp_extract(p_brand, '#([0-9]+)', 1) AS p_brand FROM part WHERE p_type = 'LARGE'")
 def stream_equals_batch(spark, sf):
     """The same transformation and search plan on a file stream."""
-    from rulemill import search
-
     out, checkpoint, source = scratch_path(spark, "stream"), scratch_path(spark, "stream-state"), scratch_path(spark, "parts")
     table(spark, sf, "part").write.parquet(source)
     plan = lambda df: search(apply_transforms(df, STREAM_RULES), "P_TYPE", "LARGE").select("p_partkey", "p_name", "p_brand")
