@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -105,25 +106,26 @@ def _narrow(node, present: set[str]):
     )
 
 
-def split_keys(items: DataFrame, keys: Sequence[str], max_items: int) -> DataFrame:
-    """Keys with more than `max_items` rows and the number of parts to cut them in; at most MAX_SPLIT_KEYS rows.
+def split_keys(sized: Sequence[DataFrame], keys: Sequence[str], max_items: int) -> DataFrame:
+    """Keys with more than `max_items` rows in all frames together, and the number of parts to cut them in.
 
-    Counting a column the caller aggregates anyway lets Spark reuse the caller's shuffle.
+    At most MAX_SPLIT_KEYS rows, so that the result can be broadcast. `_pos` is counted, a column the callers aggregate
+    anyway: Spark then reuses their shuffle.
     """
-    return (
-        items.groupBy(*[column(k) for k in keys])
-        .agg(F.count("_pos").alias("_n"))
-        .where(F.col("_n") > max_items)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_SPLIT_KEYS)
-        .select(*[column(k) for k in keys], F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_parts"))
-    )
+    counts = [f.groupBy(*keys).agg(F.count("_pos").alias("_n")) for f in sized]
+    total = counts[0]
+    if len(counts) > 1:
+        total = reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    big = total.where(F.col("_n") > max_items).orderBy(F.desc("_n")).limit(MAX_SPLIT_KEYS)
+    return big.select(*keys, F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_parts"))
 
 
-def _with_part(items: DataFrame, keys: Sequence[str], spread: Column, max_items: int) -> DataFrame:
-    big = split_keys(items, keys, max_items)
+def _with_part(
+    rows: DataFrame, sized: Sequence[DataFrame], keys: Sequence[str], spread: Column, max_items: int
+) -> DataFrame:
+    big = split_keys(sized, keys, max_items)
     part = F.coalesce(F.pmod(spread, F.col("_parts")), F.lit(0)).cast("int")
-    return items.join(F.broadcast(big), list(keys), "left").withColumn("_part", part).drop("_parts")
+    return rows.join(F.broadcast(big), list(keys), "left").withColumn("_part", part).drop("_parts")
 
 
 def nest(
@@ -149,7 +151,7 @@ def nest(
     used = list(dict.fromkeys([*keys, *_node_columns(spec)]))
     rows = df.select(*[column(c) for c in used], position.alias("_pos"))
     rows = rows.where(all_of(column(k).isNotNull() for k in keys))
-    nested = _nest_rows(rows, keys, spec, max_items)
+    nested, _ = _nest_rows(rows, keys, spec, max_items)
     part = [column("_part").alias(part_column)] if part_column else []
     named = [column(f"_key{i}").alias(k) for i, k in enumerate(keys)]
     return nested.select(*named, *part, *[column(n) for n in _outputs(spec)])
@@ -160,20 +162,30 @@ def _outputs(node) -> list[str]:
     return scalars + [b.name for b in (*node.values, *node.structs, *node.groups)]
 
 
-def _nest_rows(rows: DataFrame, keys: list[str], node, max_items: int) -> DataFrame:
+def _nest_rows(
+    rows: DataFrame, keys: list[str], node, max_items: int, skip: Column | None = None
+) -> tuple[DataFrame, list[DataFrame]]:
     """(_key0.., _part, outputs of the node): one row per key combination, more for an oversize one.
 
-    Every row is copied once per branch. A copy carries its branch number and the value of that branch only: in a cell
+    Also returns the frames of distinct children it was collected from. Of rows where `skip` holds, only the keys are
+    kept. Every row is copied once per branch. A copy carries its branch number and the value of that branch only: in a cell
     shared by all single-column branches of one type, or in a struct of its own.
     """
     key_names = [f"_key{i}" for i in range(len(keys))]
+    if not (node.scalars or node.values or node.structs):
+        if node.groups:
+            return _nest_groups_only(rows, keys, key_names, node, max_items)
+        bare = rows.select(*[column(c).alias(n) for c, n in zip(keys, key_names)]).distinct()
+        return bare.withColumn("_part", F.lit(0)), [bare.withColumn("_pos", F.lit(0))]
     single = [c for _, c in node.scalars] + [v.column for v in node.values]
     kinds = [rows.schema[c].dataType for c in single]
     cells = {kind: f"_cell{i}" for i, kind in enumerate(dict.fromkeys(kinds))}
     cell_of = [cells[kind] for kind in kinds]
     first_struct = len(single)
     # A node without scalars gets a branch without a value, so that every key survives.
-    numbers = list(range(first_struct + len(node.structs))) + ([] if node.scalars else [-1])
+    numbers = F.array(*[F.lit(n) for n in range(first_struct + len(node.structs))], *([] if node.scalars else [F.lit(-1)]))
+    if skip is not None:
+        numbers = F.when(skip, F.array(F.lit(-1))).otherwise(numbers)
 
     masked = [
         _case([(i, column(c)) for i, c in enumerate(single) if cell_of[i] == cell]).alias(cell) for cell in cells.values()
@@ -183,18 +195,18 @@ def _nest_rows(rows: DataFrame, keys: list[str], node, max_items: int) -> DataFr
         masked.append(_case([(first_struct + i, fields)]).alias(f"_struct{i}"))
     value_names = [*cells.values(), *[f"_struct{i}" for i in range(len(node.structs))]]
     items = (
-        rows.withColumn("_branch", F.explode(F.array(*[F.lit(n) for n in numbers])))
+        rows.withColumn("_branch", F.explode(numbers))
         .select(*[column(c).alias(n) for c, n in zip(keys, key_names)], "_branch", *masked, "_pos")
         .groupBy(*key_names, "_branch", *value_names)
         .agg(F.min("_pos").alias("_pos"))
     )
     branch, n_scalars = F.col("_branch"), len(node.scalars)
-    always = (branch < n_scalars) if node.scalars else (branch == -1)
+    always = branch < n_scalars
     filled = [F.col(c).isNotNull() for c in cells.values()] + [_filled(s, i) for i, s in enumerate(node.structs)]
     items = items.where(any_of([always, *filled]))
 
-    spread = F.when(always, 0).otherwise(F.xxhash64("_branch", *value_names)) if value_names else F.lit(0)
-    placed = _with_part(items, key_names, spread, max_items)
+    spread = F.when(always, 0).otherwise(F.xxhash64("_branch", *value_names))
+    placed = _with_part(items, [items], key_names, spread, max_items)
     collected = []
     for i, (name, _) in enumerate(node.scalars):
         mine = branch == i
@@ -206,16 +218,33 @@ def _nest_rows(rows: DataFrame, keys: list[str], node, max_items: int) -> DataFr
         lead = [fields.getField(s.lead_field).alias("_lead")] if s.lead else []
         entry = F.struct(*lead, F.col("_pos").alias("_pos"), fields.alias("_fields"))
         collected.append(F.array_sort(F.collect_list(F.when(branch == first_struct + i, entry))).alias(s.name))
-    grouped = placed.groupBy(*key_names, "_part")
-    nested = grouped.agg(*collected) if collected else grouped.count().drop("count")
-
+    nested = placed.groupBy(*key_names, "_part").agg(*collected)
     lists = {b.name: null_if_empty(column(b.name)) for b in node.values}
     lists |= {s.name: null_if_empty(F.transform(column(s.name), lambda x: x["_fields"])) for s in node.structs}
     if lists:
         nested = nested.withColumns(lists)
+    children = [items]
     for g in node.groups:
-        nested = nested.join(_nest_group(rows, keys, key_names, g, max_items), [*key_names, "_part"], "full_outer")
-    return nested
+        grouped, below = _nest_group(rows.where(column(g.lead[1]).isNotNull()), keys, key_names, g, max_items)
+        nested = nested.join(grouped, [*key_names, "_part"], "full_outer")
+        children += below
+    return nested, children
+
+
+def _nest_groups_only(
+    rows: DataFrame, keys: list[str], key_names: list[str], node, max_items: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """A node that holds nothing but groups: the first group also carries the keys that have no child in it."""
+    nested, children = None, []
+    for g in node.groups:
+        absent = column(g.lead[1]).isNull()
+        first = nested is None
+        grouped, below = _nest_group(
+            rows if first else rows.where(~absent), keys, key_names, g, max_items, absent if first else None
+        )
+        nested = grouped if first else nested.join(grouped, [*key_names, "_part"], "full_outer")
+        children += below
+    return nested, children
 
 
 def _case(choices: list[tuple[int, Column]]) -> Column:
@@ -231,19 +260,21 @@ def _filled(s: Structs, i: int) -> Column:
     return any_of(F.col(f"_struct{i}").getField(n).isNotNull() for n in fields)
 
 
-def _nest_group(rows: DataFrame, keys: list[str], key_names: list[str], g: Group, max_items: int) -> DataFrame:
-    """(_key0.., _part, array of one struct per lead value)."""
-    lead_name = f"_key{len(keys)}"
-    children = rows.where(column(g.lead[1]).isNotNull())
-    inner = _nest_rows(children, [*keys, g.lead[1]], g, max_items).withColumnRenamed("_part", "_pos")
-    placed = _with_part(inner, key_names, F.xxhash64(lead_name, "_pos"), max_items)
-    fields = F.struct(column(lead_name).alias(g.lead[0]), *[column(n) for n in _outputs(g)])
-    entry = F.struct(column(lead_name).alias("_lead"), F.col("_pos").alias("_pos"), fields.alias("_fields"))
-    return (
-        placed.groupBy(*key_names, "_part")
-        .agg(F.array_sort(F.collect_list(entry)).alias(g.name))
-        .withColumn(g.name, F.transform(column(g.name), lambda x: x["_fields"]))
-    )
+def _nest_group(
+    rows: DataFrame, keys: list[str], key_names: list[str], g: Group, max_items: int, skip: Column | None = None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(_key0.., _part, array of one struct per lead value), and the distinct children below."""
+    lead = f"_key{len(keys)}"
+    inner, children = _nest_rows(rows, [*keys, g.lead[1]], g, max_items, skip)
+    inner = inner.withColumnRenamed("_part", "_pos")
+    # A record is sized by all that its groups hold, not by the number of groups.
+    spread = F.when(F.col(lead).isNull(), 0).otherwise(F.xxhash64(lead, "_pos"))
+    placed = _with_part(inner, children, key_names, spread, max_items)
+    fields = F.struct(column(lead).alias(g.lead[0]), *[column(n) for n in _outputs(g)])
+    entry = F.struct(column(lead).alias("_lead"), F.col("_pos").alias("_pos"), fields.alias("_fields"))
+    collected = F.array_sort(F.collect_list(F.when(F.col(lead).isNotNull(), entry)))
+    nested = placed.groupBy(*key_names, "_part").agg(collected.alias(g.name))
+    return nested.withColumn(g.name, null_if_empty(F.transform(column(g.name), lambda x: x["_fields"]))), children
 
 
 def flatten(df: DataFrame, spec: NestingSpec) -> DataFrame:

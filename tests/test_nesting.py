@@ -139,6 +139,37 @@ def test_the_distinct_shuffle_is_reused_for_sizing(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
 
 
+def test_specs_without_own_lists(spark, tmp_path):
+    df = spark.createDataFrame([("k", "g", 1), ("k", "h", 2), ("l", None, 3), (None, "g", 4)], "k string, g string, v int")
+    assert values(nest(df, NestingSpec("k"))) == [("k",), ("l",)]
+    bare = nest(df, NestingSpec("k", groups=(Group("gs", ("g", "g")),)))
+    assert {r.k: [g.g for g in r.gs or []] for r in bare.collect()} == {"k": ["g", "h"], "l": []}
+    two = NestingSpec("k", groups=(Group("gs", ("g", "g"), values=(Values("vs", "v"),)), Group("ws", ("w", "v"))))
+    found = {r.k: ([(g.g, g.vs) for g in r.gs or []], [w.w for w in r.ws]) for r in nest(df, two).collect()}
+    assert found == {"k": ([("g", [1]), ("h", [2])], [1, 2]), "l": ([], [3])}
+
+
+@pytest.mark.parametrize("limit, scans", [(100_000, 1), (3, 1)])
+def test_groups_need_one_scan(spark, tmp_path, limit, scans):
+    path = str(tmp_path / "t")
+    deep_rows(spark).write.parquet(path)
+    only = NestingSpec("k", groups=DEEP.groups)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = nest(spark.read.parquet(path), only, order_by="id", max_items=limit)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == scans
+
+
+def test_three_levels(spark):
+    deep = Group("as", ("a", "a"), values=(Values("bs", "b"),))
+    spec = NestingSpec("k", groups=(Group("gs", ("g", "g"), groups=(deep,)),))
+    nested = nest(deep_rows(spark), spec, order_by="id", max_items=20)
+    flat = nested.select("k", F.inline("gs")).select("k", "g", F.inline("as")).select("k", "g", "a", F.explode("bs").alias("b"))
+    assert values(flat) == values(deep_rows(spark).select("k", "g", "a", "b").distinct())
+
+
 def test_at_most_a_fixed_number_of_keys_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(nesting, "MAX_SPLIT_KEYS", 1)
     nested = nest(deep_rows(spark), NestingSpec("k", values=(Values("vs", "v"),)), order_by="id", max_items=10)
