@@ -25,16 +25,21 @@ def first_spellings(df: DataFrame, keys: Sequence[str], name: str, order_by: str
     )
 
 
-def merge_ci(df: DataFrame, keys: Sequence[str], name: str, order_by: str) -> DataFrame:
+def merge_ci(df: DataFrame, keys: Sequence[str], name: str, order_by: str, salts: int = 1) -> DataFrame:
     """Give every row the first spelling of its name within its key; names differ in case only.
 
     The rows stay rows, so a name that most of them carry is never gathered in one place; `nest` builds the
     lists afterwards. The lookup side has one row per key and name; AQE broadcasts it when its measured size
-    allows and splits hot names otherwise.
+    allows and splits hot names otherwise. `salts` splits every name into that many join keys where AQE is off.
     """
     spellings = first_spellings(df, keys, name, order_by).drop("_rows")
     on = [*keys, "_folded"]
-    merged = df.withColumn("_folded", F.lower(column(name))).join(spellings, on, "left")
+    left = df.withColumn("_folded", F.lower(column(name)))
+    if salts > 1:
+        on.append("_salt")
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(column(order_by)), F.lit(salts)).cast("int"))
+        spellings = spellings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    merged = left.join(spellings, on, "left")
     return merged.select(*[column("_first").alias(c) if c == name else column(c) for c in df.columns])
 
 

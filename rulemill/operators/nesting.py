@@ -7,6 +7,7 @@ holds an unbounded group.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -194,12 +195,14 @@ def _nest_rows(
         fields = F.struct(*[column(c).alias(n) for n, c in s.fields])
         masked.append(_case([(first_struct + i, fields)]).alias(f"_struct{i}"))
     value_names = [*cells.values(), *[f"_struct{i}" for i in range(len(node.structs))]]
-    items = (
-        rows.withColumn("_branch", F.explode(numbers))
-        .select(*[column(c).alias(n) for c, n in zip(keys, key_names)], "_branch", *masked, "_pos")
-        .groupBy(*key_names, "_branch", *value_names)
-        .agg(F.min("_pos").alias("_pos"))
+    copies = rows.withColumn("_branch", F.explode(numbers)).select(
+        *[column(c).alias(n) for c, n in zip(keys, key_names)], "_branch", *masked, "_pos"
     )
+    if node.scalars or node.structs:
+        items = copies.groupBy(*key_names, "_branch", *value_names).agg(F.min("_pos").alias("_pos"))
+    else:
+        # Sorted values need no position. Without one, sizing and collecting still ask for the same shuffle.
+        items = copies.drop("_pos").distinct().withColumn("_pos", F.lit(0))
     branch, n_scalars = F.col("_branch"), len(node.scalars)
     always = branch < n_scalars
     filled = [F.col(c).isNotNull() for c in cells.values()] + [_filled(s, i) for i, s in enumerate(node.structs)]
@@ -277,16 +280,56 @@ def _nest_group(
     return nested.withColumn(g.name, null_if_empty(F.transform(column(g.name), lambda x: x["_fields"]))), children
 
 
-def flatten(df: DataFrame, spec: NestingSpec) -> DataFrame:
+def flatten(df: DataFrame, spec: NestingSpec, split_over: int | None = None) -> DataFrame:
     """Nested records to wide rows: one row per combination of the children of a record.
 
     A record without children in a branch keeps one row with NULLs there. The number of rows per record is the
-    product of its branch sizes; use `flatten_branch` for the sum instead.
+    product of its branch sizes; use `flatten_branch` for the sum instead. With `split_over`, records that yield more
+    rows than that are worked on by several tasks, at the price of a shuffle of the nested records.
     """
-    flat = _flatten_node(_hidden(df, spec), spec, [spec.key])
+    repeated = [c for c, n in Counter([spec.key, *_node_columns(spec)]).items() if n > 1]
+    if repeated:
+        raise RuleError([(0, c, "a flat column can come from one branch only") for c in repeated])
+    hidden = _hidden(df, spec)
+    if split_over is not None:
+        hidden = _spread(hidden, spec, split_over)
+    flat = _flatten_node(hidden, spec, [spec.key])
     return flat.select(*[column(c) for c in spec.flat_columns()])
 
 
+def _spread(hidden: DataFrame, spec: NestingSpec, split_over: int) -> DataFrame:
+    """Copies of large records, each with a slice of their longest list; every combination is in one copy."""
+    lists = [f"_list_{b.name}" for b in _branches(spec)]
+    sizes = [F.greatest(F.coalesce(F.size(column(c)), F.lit(0)), F.lit(1)) for c in lists]
+    yielded = reduce(lambda x, y: x * y, [_yield(column(c), b) for c, b in zip(lists, _branches(spec))])
+    longest = F.array_max(F.array(*sizes))
+    # No more slices than the longest list has elements, so that none is empty.
+    slices = F.greatest(F.least(F.ceil(yielded / F.lit(float(split_over))), longest.cast("bigint")), F.lit(1)).cast("int")
+    sliced = hidden.withColumns({"_slices": slices, "_longest": F.array_position(F.array(*sizes), longest) - 1})
+    sliced = sliced.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+
+    def part_of(c: str, i: int) -> Column:
+        own = F.filter(column(c), lambda _, n: n % F.col("_slices") == F.col("_slice"))
+        return F.when((F.col("_slices") > 1) & (F.col("_longest") == i), own).otherwise(column(c))
+
+    spread = sliced.withColumns({c: part_of(c, i) for i, c in enumerate(lists)})
+    return spread.repartition(column(spec.key), F.col("_slice")).drop("_slices", "_longest", "_slice")
+
+
+def _yield(items: Column, branch) -> Column:
+    """How many rows a list expands to, as a double."""
+    own = F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(1)).cast("double")
+    inner = _branches(branch) if isinstance(branch, Group) else []
+    if not inner:
+        return own
+    below = F.aggregate(
+        items,
+        F.lit(0.0),
+        lambda total, x: total + reduce(lambda a, b: a * b, [_yield(x.getField(b.name), b) for b in inner]),
+    )
+    return F.greatest(F.coalesce(below, F.lit(1.0)), F.lit(1.0))
+
+
 def flatten_branch(df: DataFrame, spec: NestingSpec, name: str) -> DataFrame:
     """Key and the rows of one branch only, empty lists giving one row of NULLs."""
     kept = [tuple(b for b in branch if b.name == name) for branch in (spec.values, spec.structs, spec.groups)]

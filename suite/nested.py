@@ -124,6 +124,15 @@ def flatten_product(spark, sf):
     return flatten(nest(table(spark, sf, "orders"), BY_CUSTOMER, order_by="o_orderkey"), BY_CUSTOMER)
 
 
+@register("""
+SELECT s.o_custkey, s.o_orderstatus, p.o_orderkey
+FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) s JOIN orders p ON s.o_custkey = p.o_custkey""")
+def flatten_split(spark, sf):
+    """Records of more than ten combinations are shared by several tasks."""
+    spec = NestingSpec("o_custkey", values=(Values("statuses", "o_orderstatus"), Values("keys", "o_orderkey")))
+    return flatten(nest(table(spark, sf, "orders"), spec, order_by="o_orderkey"), spec, split_over=10)
+
+
 @register("""
 SELECT c_custkey AS o_custkey, o_orderstatus, o_orderpriority
 FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT') o

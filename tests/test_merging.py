@@ -14,6 +14,7 @@ def test_first_spelling_is_kept_per_key(spark):
     df = spark.createDataFrame([(1, "k", "Flu"), (2, "k", "FLU"), (3, "k", "cold"), (4, "j", "FLU"), (5, "j", None)], "pos int, k string, name string")
     merged = merge_ci(df, ["k"], "name", "pos")
     assert merged.columns == df.columns
+    assert values(merge_ci(df, ["k"], "name", "pos", salts=4)) == values(merged)
     assert values(merged, "pos", "name") == [(1, "Flu"), (2, "Flu"), (3, "cold"), (4, "FLU"), (5, None)]
 
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -127,12 +129,22 @@ def test_parts_stay_small_for_a_hot_key(spark):
     assert sizes[0] < 1400 and sizes[1] == 10_000
 
 
-def test_the_distinct_shuffle_is_reused_for_sizing(spark, tmp_path):
+@pytest.mark.parametrize(
+    "spec",
+    [
+        NestingSpec("k", values=(Values("vs", "v"),)),
+        NestingSpec("k", structs=(Structs("ts", (("a", "a"), ("b", "b")), lead="a"),)),
+        NestingSpec("k", scalars=(("s", "s"),), values=(Values("vs", "v"),), structs=(Structs("ts", (("a", "a"), ("b", "b"))),)),
+        NestingSpec("k", groups=(Group("gs", ("g", "g"), values=(Values("hs", "h"),)),)),
+        NestingSpec("k", groups=(Group("gs", ("g", "g")),)),
+    ],
+    ids=["values", "structs", "all", "group", "bare group"],
+)
+def test_the_distinct_shuffle_is_reused_for_sizing(spark, tmp_path, spec):
     path = str(tmp_path / "t")
     deep_rows(spark).write.parquet(path)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        spec = NestingSpec("k", values=(Values("vs", "v"),), structs=(Structs("ts", (("a", "a"), ("b", "b"))),))
         plan = nest(spark.read.parquet(path), spec, order_by="id")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -186,6 +198,32 @@ def test_flatten_multiplies_branches_and_keeps_empty_ones(spark):
     assert values(flat.where("variant_id = 'l'")) == [("l", None, None)]
 
 
+@pytest.mark.parametrize("limit", [1, 4, 1000])
+def test_large_records_are_flattened_by_several_tasks(spark, limit):
+    with pytest.raises(RuleError):
+        flatten(nest(deep_rows(spark), DEEP, order_by="id"), DEEP)
+    spec = NestingSpec("k", DEEP.scalars, DEEP.values, groups=(replace(DEEP.groups[0], scalars=()),))
+    nested = nest(deep_rows(spark, n=120, keys=2), spec, order_by="id")
+    more = spark.sql("select 'e' k, 's' s, cast(null as array<string>) vs").unionByName(nested.limit(0), allowMissingColumns=True)
+    united = more.select(*nested.columns).unionByName(nested)
+    flat = flatten(united, spec)
+    assert flat.where("k = 'e'").count() == 1
+    assert flat.exceptAll(flatten(united, spec, split_over=limit)).count() == 0
+    assert flatten(united, spec, split_over=limit).count() == flat.count()
+
+
+def test_slices_of_one_record_reach_several_tasks(spark):
+    spec = NestingSpec("k", values=(Values("vs", "v"), Values("ws", "w")))
+    one = spark.range(1).selectExpr("'k' as k", "sequence(1, 100) as vs", "sequence(1, 1000) as ws")
+    flat = flatten(one, spec, split_over=1000).withColumn("task", F.spark_partition_id())
+    assert flat.count() == 100_000 and flat.select("k", "v", "w").distinct().count() == 100_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert flat.select("task").distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_flat_tables_have_the_fixed_columns(spark):
     rows = [variant(variant_id="v", variant_name="n", gene="g", hgvs="h", assembly="a", assembly_date="d", start="1", phenotype="p",
                     classification="c", method="m", date="2020", title="t", name="bank", databanks_variant_id="7")]
