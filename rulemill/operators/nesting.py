@@ -330,6 +330,35 @@ def _yield(items: Column, branch) -> Column:
     return F.greatest(F.coalesce(below, F.lit(1.0)), F.lit(1.0))
 
 
+def flatten_cut(df: DataFrame, spec: NestingSpec) -> DataFrame:
+    """`flatten` for records that `nest` cut into parts: records of one key belong together.
+
+    The branches of a key are joined across its parts, so every combination is there, whichever parts hold its
+    children. Costs one join per branch; AQE splits hot keys.
+    """
+    flat = _join_parts(_hidden(df, spec), [spec.key], spec)
+    return flat.select(*[column(c) for c in spec.flat_columns()])
+
+
+def _join_parts(df: DataFrame, keys: list[str], node) -> DataFrame:
+    names = [column(k) for k in keys]
+    scalars = [c for _, c in node.scalars if c not in keys]
+    # Only the first part has the scalars, so the highest value is the value.
+    flat = df.groupBy(*names).agg(*[F.max(column(c)).alias(c) for c in scalars]) if scalars else df.select(*names).distinct()
+    for b in _branches(node):
+        source = column(f"_list_{b.name}")
+        if isinstance(b, Values):
+            rows = df.select(*names, F.explode(source).alias(b.column))
+        else:
+            element = df.schema[f"_list_{b.name}"].dataType.elementType.names
+            flat_name = dict(b.fields) if isinstance(b, Structs) else _inner_names(b)
+            rows = df.select(*names, F.inline(source).alias(*[flat_name[n] for n in element]))
+        if isinstance(b, Group):
+            rows = _join_parts(rows, [*keys, b.lead[1]], b)
+        flat = flat.join(rows, keys, "left")
+    return flat
+
+
 def flatten_branch(df: DataFrame, spec: NestingSpec, name: str) -> DataFrame:
     """Key and the rows of one branch only, empty lists giving one row of NULLs."""
     kept = [tuple(b for b in branch if b.name == name) for branch in (spec.values, spec.structs, spec.groups)]
@@ -343,6 +372,11 @@ def _branches(node):
     return [*node.values, *node.structs, *node.groups]
 
 
+def _inner_names(g: Group) -> dict[str, str]:
+    """Field of a group's struct -> the column it becomes."""
+    return {g.lead[0]: g.lead[1], **dict(g.scalars), **{b.name: f"_list_{b.name}" for b in _branches(g)}}
+
+
 def _hidden(df: DataFrame, spec: NestingSpec) -> DataFrame:
     """Lists under private names, because a list and a flat column may share one."""
     return df.select(
@@ -371,7 +405,7 @@ def _flatten_node(df: DataFrame, node, done: list[str]) -> DataFrame:
             df = df.select(*kept, F.inline_outer(source).alias(*[names[n] for n in element]))
             done = done + [names[n] for n in element]
             continue
-        inner = {**{b.lead[0]: b.lead[1]}, **dict(b.scalars), **{x.name: f"_list_{x.name}" for x in _branches(b)}}
+        inner = _inner_names(b)
         df = df.select(*kept, F.inline_outer(source).alias(*[inner[n] for n in element]))
         df = _flatten_node(df, b, [*done, b.lead[1]])
         done = [c for c in df.columns if c not in outer and c not in waiting]

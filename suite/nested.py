@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulemill import Group, NestingSpec, Structs, Values, flatten, flatten_branch, merge_ci, merge_items_ci, nest
+from rulemill import Group, NestingSpec, Structs, Values, flatten, flatten_branch, flatten_cut, merge_ci, merge_items_ci, nest
 from rulemill.operators.merging import correlated_children, distinct_on
 from rulemill.operators.nesting import valid_tuples
 from suite.registry import LABELLED, labelled_documents, register, table
@@ -133,6 +133,16 @@ def flatten_split(spark, sf):
     return flatten(nest(table(spark, sf, "orders"), spec, order_by="o_orderkey"), spec, split_over=10)
 
 
+@register("""
+SELECT s.o_custkey, s.o_orderstatus, p.o_orderpriority
+FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) s JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) p
+  ON s.o_custkey = p.o_custkey""")
+def flatten_cut_records(spark, sf):
+    """Records cut into parts of two children still give every combination."""
+    nested = nest(table(spark, sf, "orders"), BY_CUSTOMER, order_by="o_orderkey", max_items=2)
+    return flatten_cut(nested, BY_CUSTOMER)
+
+
 @register("""
 SELECT c_custkey AS o_custkey, o_orderstatus, o_orderpriority
 FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT') o

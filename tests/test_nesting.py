@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from rulemill import Group, NestingSpec, RuleError, Structs, Values, flatten, flatten_branch, nest
+from rulemill import Group, NestingSpec, RuleError, Structs, Values, flatten, flatten_branch, flatten_cut, nest
 from rulemill.operators import nesting
 from rulemill.variants.schema import VARIANT_COLUMNS, VARIANT_SPEC
 from tests.conftest import values
@@ -212,6 +212,18 @@ def test_large_records_are_flattened_by_several_tasks(spark, limit):
     assert flatten(united, spec, split_over=limit).count() == flat.count()
 
 
+@pytest.mark.parametrize("limit", [1, 6, 100_000])
+def test_cut_records_flatten_to_every_combination(spark, limit):
+    group = replace(DEEP.groups[0], scalars=(("flag", "flag"),), structs=(Structs("ts", (("a", "a"),)),))
+    spec = NestingSpec("k", DEEP.scalars, DEEP.values, groups=(group,))
+    rows = deep_rows(spark, n=60, keys=2).withColumn("flag", F.concat("k", "g"))
+    bare = rows.limit(1).withColumns({"k": F.lit("bare"), "g": F.lit(None).cast("string"), "v": F.lit(None).cast("string")})
+    rows = rows.unionByName(bare)
+    whole = flatten(nest(rows, spec, order_by="id"), spec)
+    cut = flatten_cut(nest(rows, spec, order_by="id", max_items=limit), spec)
+    assert cut.columns == whole.columns and values(cut) == values(whole)
+
+
 def test_slices_of_one_record_reach_several_tasks(spark):
     spec = NestingSpec("k", values=(Values("vs", "v"), Values("ws", "w")))
     one = spark.range(1).selectExpr("'k' as k", "sequence(1, 100) as vs", "sequence(1, 1000) as ws")
