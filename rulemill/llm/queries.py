@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulemill.llm import quality_rules, sharding
+from rulemill.llm import grammar, packing, quality_rules, sharding
 from rulemill.llm.common import table
+from rulemill.llm.tokens import tokenizer_path
+from rulemill.sources.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,3 +64,17 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.with_verdict(quality_rules.ledger(table(spark, sf_dir, "documents")), "2")
     base = quality_rules.with_verdict(rows, "base", "base_kept")
     return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failures", (~F.col("base_kept")).alias("base_failed"), "kept")
+
+
+@register()
+def op9_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    grammar.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    docs = grammar.read_documents(spark.read.schema(grammar.SHARDS).parquet(path))
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register()
+def op10_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packing.pack(parts, capacity=2048, seed=10)
