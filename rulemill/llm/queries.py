@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulemill.llm import grammar, packing, quality_rules, sharding
+from rulemill.llm import grammar, language, packing, quality_model, quality_rules, sharding
 from rulemill.llm.common import table
 from rulemill.llm.tokens import tokenizer_path
 from rulemill.sources.storage import scratch_path
@@ -78,3 +78,22 @@ def op9_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
     return packing.pack(parts, capacity=2048, seed=10)
+
+
+def fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@register()
+def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter((fold(4) != 2) & F.col("lang").isNotNull()))
+    return language.identify(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register()
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network = quality_model.train(docs, labels.filter(fold(5) != 0).select("doc_id", F.col("quality").alias("label")))
+    scored = quality_model.score(docs, network)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
