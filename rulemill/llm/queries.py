@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulemill.llm import grammar, language, packing, quality_model, quality_rules, sharding
+from rulemill.llm import grammar, language, packing, quality_model, quality_rules, sharding, simhash
 from rulemill.llm.common import table
 from rulemill.llm.tokens import tokenizer_path
 from rulemill.sources.storage import scratch_path
@@ -97,3 +97,10 @@ def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = quality_model.train(docs, labels.filter(fold(5) != 0).select("doc_id", F.col("quality").alias("label")))
     scored = quality_model.score(docs, network)
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register()
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=4)
+    out = simhash.group(prints, lanes=1, radius=4, keys=simhash.pigeonhole(4))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
