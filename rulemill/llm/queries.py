@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulemill.llm import grammar, language, packing, quality_model, quality_rules, sharding, simhash
+from rulemill.llm import decontamination, grammar, language, packing, quality_model, quality_rules, sharding, simhash
 from rulemill.llm.common import table
 from rulemill.llm.tokens import tokenizer_path
 from rulemill.sources.storage import scratch_path
@@ -104,3 +104,9 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=4)
     out = simhash.group(prints, lanes=1, radius=4, keys=simhash.pigeonhole(4))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register()
+def op3_string_tiling_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item_id").cast("long").alias("item_id"), "coverage", F.size("tiles").alias("n_tiles"))
