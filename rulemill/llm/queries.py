@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulemill.llm import decontamination, grammar, language, packing, quality_model, quality_rules, sharding, simhash
+from rulemill.llm import decontamination, grammar, language, packing, pii, quality_model, quality_rules, sharding, simhash
 from rulemill.llm.common import table
 from rulemill.llm.tokens import tokenizer_path
 from rulemill.sources.storage import scratch_path
@@ -110,3 +110,8 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_string_tiling_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("item_id").cast("long").alias("item_id"), "coverage", F.size("tiles").alias("n_tiles"))
+
+
+@register()
+def op4_surrogate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of the corpus")
