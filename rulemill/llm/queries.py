@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulemill.llm import decontamination, grammar, language, packing, pii, quality_model, quality_rules, sharding, simhash
+from rulemill.llm import decontamination, grammar, language, packing, pii, quality_model, quality_rules, sharding, simhash, substring_dedup
 from rulemill.llm.common import table
 from rulemill.llm.tokens import tokenizer_path
 from rulemill.sources.storage import scratch_path
@@ -115,3 +115,9 @@ def op3_string_tiling_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op4_surrogate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of the corpus")
+
+
+@register()
+def op7_debruijn_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
