@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulemill.functions.columns import column
@@ -146,3 +147,29 @@ def identify(
     kept = docs.select(_text(text_column), column(id_column).alias("doc_id"), *map(column, keep))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     return map_rows(kept, rows, f"{types}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: dict[str, np.ndarray], accepted: tuple[str, ...] | None = None, least: float = 0.0, text_column: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """The rows, with all their columns, whose text is found to be in an accepted language (all learned ones by default).
+
+    Rejected are texts that are NULL or have no letter, other languages, and cosines below `least`. One narrow pass.
+    """
+    names = sorted(model)
+    wanted = [accepted is None or n in accepted for n in names]
+    prototypes = np.stack([model[n] for n in names]) if names else np.zeros((0, dimensions), np.float32)
+    place = docs.columns.index(text_column)
+
+    def fits(profiles: Profiler, text: str | None) -> bool:
+        vector = profiles.profile(text or "") if names else None
+        if vector is None:
+            return False
+        cosines = prototypes @ _unit(vector)
+        best = int(np.argmax(cosines))
+        return wanted[best] and max(0.0, float(cosines[best])) >= least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = profiler(dimensions, seed)
+        for batch in batches:
+            yield batch.filter(pa.array([fits(profiles, t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

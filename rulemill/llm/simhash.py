@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from rulemill.functions.columns import column
 from rulemill.llm.common import as_batch, id_and_text, map_rows, schema_of, written
 from rulemill.llm.components import connected_components
 
@@ -53,14 +54,19 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, ...) for every row: signed 64-bit lanes over the shingles of the text's words, A-Z in lower case. NULL text: no words."""
+    """(doc_id, version, n_shingles, f0, f1, ...) for every row: signed 64-bit lanes over the shingles of the text's words, A-Z in lower case.
+
+    A NULL text has no words and no shingle. `version` is a hash of the text, which tells rows with the same id apart.
+    """
 
     def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in texts:
-            lanes_of = fingerprint((text or b"").lower().split(), shingle, lanes)
-            yield (doc_id, *(x - (1 << 64) if x >> 63 else x for x in lanes_of))
+        for doc_id, text, version in texts:
+            words = (text or b"").lower().split()
+            count = max(1, len(words) - shingle + 1) if words else 0
+            yield (doc_id, version, count, *(x - (1 << 64) if x >> 63 else x for x in fingerprint(words, shingle, lanes)))
 
-    return map_rows(id_and_text(docs, id_column, text_column), rows, ", ".join(["doc_id long", *(f"f{i} long" for i in range(lanes))]))
+    source = id_and_text(docs, id_column, text_column).withColumn("version", F.xxhash64("text"))
+    return map_rows(source, rows, ", ".join(["doc_id long", "version long", "n_shingles int", *(f"f{i} long" for i in range(lanes))]))
 
 
 def pigeonhole(radius: int, spare: int = 1) -> list[list[int]]:
@@ -223,18 +229,42 @@ def links(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[in
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def group(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[int]]) -> DataFrame:
-    """(doc_id, f0, ...) -> the same rows with `component_id`, the smallest doc_id that is reachable over links within the radius.
+def group(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[int]], least_shingles: int = 0) -> DataFrame:
+    """Fingerprint rows -> the same rows with `root`, which names their component, and `component_id`, the smallest doc_id in it.
 
-    Rows with equal fingerprints are one node, whose id is that of its lowest row; NULL ids never name a component unless it has
-    no other. Repeated rows are one node too. With an empty table nothing is linked.
+    Rows with equal fingerprints are one node; nodes within the radius are linked, if they have `least_shingles`. NULL ids never
+    name a component unless it has no other. Repeated rows are in one node too. With an empty table nothing is linked.
     """
     names = [f"f{i}" for i in range(lanes)]
     prints = written(prints, "simhash-prints")
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node), "simhash-nodes")
-    roots = connected_components(links(nodes.select("node", *names), lanes, radius, keys))
+    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles")).withColumn("node", node)
+    nodes = written(nodes, "simhash-nodes")
+    roots = connected_components(links(nodes.filter(F.col("n_shingles") >= least_shingles).select("node", *names), lanes, radius, keys))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(nodes.join(smallest, "root").select(*names, "component_id"), "simhash-named")
+    named = written(nodes.join(smallest, "root").select(*names, "root", "component_id"), "simhash-named")
     return prints.join(named, names)
+
+
+def near_duplicate_keys(similarity: float, lanes: int) -> tuple[int, list[list[int]]]:
+    """The radius for a share of equal bits, and keys for it: a pair whose bits differ with probability 0.15 (word shingles that
+    are 0.8 similar) agrees on one of them with probability 0.987."""
+    return int((1 - similarity) * 64 * lanes), random_keys(lanes, 14, 40)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which one in each group of near duplicates is left: the one with the smallest id.
+
+    Similar are fingerprints of `shingle`-word shingles that agree in `similarity` of their bits. Texts with fewer shingles than
+    a share of that kind can tell apart, 1 / (1 - similarity), are copies only if their fingerprints are equal. Of rows that share
+    id and text one is left; rows without words are one group; a NULL id counts as larger than all others.
+    """
+    radius, keys = near_duplicate_keys(similarity, lanes)
+    grouped = group(fingerprints(docs, shingle, lanes, id_column, text_column), lanes, radius, keys, round(1 / (1 - similarity)))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("first"))
+    null_id = F.lit(-(1 << 63)).cast("long")
+    kept = written(first.select(F.coalesce("first.doc_id", null_id).alias("__id"), F.col("first.version").alias("__version")), "simhash-kept")
+    rows = docs.select("*", F.coalesce(column(id_column).cast("long"), null_id).alias("__id"), F.xxhash64(column(text_column).cast("string").cast("binary")).alias("__version"))
+    # copies of one row are combined before they are shuffled; the join then uses the same partitions
+    return rows.dropDuplicates(["__id", "__version"]).join(kept, ["__id", "__version"], "left_semi").select(*map(column, docs.columns))
