@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in each of the two generations of a worker's cache.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Bytes of text that are encoded at once, unless one text is longer.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: White space other than blanks and line feeds, and the mark used for cutting.
 _ODD_SPACE = "[\x00\x01\t\r\x0b\x0c\x1c-\x1f\u0085   -     　]"
