@@ -13,7 +13,15 @@ from rulemill.sources.storage import scratch_path
 #: A word is a run of characters other than ASCII white space; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-ID_TEXT = "doc_id long, text binary"
+#: Bytes of an Arrow batch on its way to Python, where the session names none: rows may be long.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of a partition by bytes, not by Spark's default of 10,000 rows, unless the session says how."""
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +37,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def id_and_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only what text operators read: the id as a long and the text as UTF-8 bytes. Other columns stay behind, whatever their names."""
+    bounded_batches(df.sparkSession)
     return df.select(column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").cast("binary").alias("text"))
 
 
@@ -37,6 +46,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
 
     One generator lives as long as its partition, so it may keep state from row to row.
     """
+    bounded_batches(df.sparkSession)
     types = schema_of(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

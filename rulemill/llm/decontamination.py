@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rulemill.functions.columns import column
-from rulemill.llm.common import id_and_text, map_rows
+from rulemill.llm.common import bounded_batches, id_and_text, map_rows
 
 #: Shortest tile in tokens, and the least covered share of an item.
 LEAST, THRESHOLD = 5, 0.8
@@ -198,6 +198,7 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows whose text holds no leaked item, with all their columns. One narrow pass for each block of the benchmark."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_column)
     for block in _blocks(benchmark, "item_id", "text", block_bytes):
         index = Index(block, least)

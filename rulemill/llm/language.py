@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulemill.functions.columns import column
-from rulemill.llm.common import map_rows
+from rulemill.llm.common import bounded_batches, map_rows
 
 DIMENSIONS = 1024
 SEED = 5
@@ -66,7 +66,7 @@ class Profiler:
         for at in range(0, len(text), SEGMENT):
             points = np.frombuffer(text[at : at + SEGMENT].lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
             points[~self.is_letter[points]] = _BLANK
-            points = np.concatenate((tail, points, [_BLANK] if at + SEGMENT >= len(text) else []))
+            points = np.concatenate((tail, points, np.full(int(at + SEGMENT >= len(text)), _BLANK)))
             blank = points == _BLANK
             found = found or not blank.all()
             points = np.delete(points, np.flatnonzero(blank[1:] & blank[:-1]) + 1)
@@ -157,6 +157,7 @@ def recognised(docs: DataFrame, model: dict[str, np.ndarray], accepted: tuple[st
     names = sorted(model)
     wanted = [accepted is None or n in accepted for n in names]
     prototypes = np.stack([model[n] for n in names]) if names else np.zeros((0, dimensions), np.float32)
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_column)
 
     def fits(profiles: Profiler, text: str | None) -> bool:
