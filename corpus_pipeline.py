@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints of five-word shingles agree in 0.8 of their bits."""
+    """One document of each group whose five-word shingles are similar by 0.8 or more, by their SimHash bits."""
     return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 

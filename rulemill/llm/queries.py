@@ -102,7 +102,7 @@ def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=4)
-    out = simhash.group(prints, lanes=1, radius=4, keys=simhash.pigeonhole(4))
+    out = simhash.group(prints, lanes=1, link=simhash.within_radius(4))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

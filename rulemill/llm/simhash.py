@@ -7,7 +7,8 @@ adders, and a word is abandoned once all its distances exceed the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,8 @@ from rulemill.llm.common import as_batch, id_and_text, map_rows, schema_of, writ
 from rulemill.llm.components import connected_components
 
 HASH_SEED = 42
+_LANES = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
 #: Rows of one block that are compared in one task; a larger block is cut into chunks, and every two chunks meet.
 CHUNK = 8192
 #: Rows of whole blocks that are packed into planes at once.
@@ -29,7 +32,7 @@ PACK = 1 << 17
 def fingerprint(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
     """`lanes` words of 64 bits; a bit is set if it is set in over half of the shingle hashes. Without words all bits are zero.
 
-    Lane 0 uses XXH64 with seed 42, further lanes the following seeds.
+    The hash of lane 0 is XXH64 with seed 42; those of further lanes are mixed from it.
     """
     if not words:
         return [0] * lanes
@@ -38,19 +41,21 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     n = max(1, len(words) - shingle + 1)
-    spans = list(zip(starts[:n].tolist(), ends[len(words) - n :].tolist()))
-    out = []
-    for lane in range(lanes):
-        one = xxhash.xxh64_intdigest
-        hashes = np.array([one(joined[a:b], HASH_SEED + lane) for a, b in spans], np.uint64)
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, 255):  # a byte holds 255 counts
-            part = hashes[at : at + 255]
-            for bit in range(8):
-                sums = ((part >> np.uint64(bit)) & np.uint64(0x0101010101010101)).sum(dtype=np.uint64)
-                counts[bit::8] += np.frombuffer(sums.tobytes(), np.uint8)
-        out.append(int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))))
-    return out
+    spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist())
+    digest = xxhash.xxh64_intdigest
+    first = np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], np.uint64)
+    counts = np.zeros((lanes, 64), np.int64)
+    for at in range(0, n, 255):  # a byte holds 255 counts
+        part = np.broadcast_to(first[at : at + 255], (lanes, len(first[at : at + 255]))).copy()
+        if lanes > 1:
+            other = part[1:] + _LANES[1:lanes, None]
+            other = (other ^ (other >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            part[1:] = other ^ (other >> np.uint64(31))
+        for bit in range(8):
+            sums = ((part >> np.uint64(bit)) & np.uint64(0x0101010101010101)).sum(1, dtype=np.uint64)
+            counts[:, bit::8] += sums.view(np.uint8).reshape(lanes, 8)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -152,6 +157,11 @@ def _count(planes, values, row, word, over, radius):
     yield row[which], word[which] * 64 + lane
 
 
+def within_radius(radius: int) -> Callable[[DataFrame], DataFrame]:
+    """Links of 64-bit fingerprints that differ in at most `radius` bits; none is missed."""
+    return lambda nodes: links(nodes, 1, radius, pigeonhole(radius))
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row that each row is linked to, over any number of links."""
     root = np.arange(n)
@@ -229,10 +239,10 @@ def links(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[in
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def group(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[int]], least_shingles: int = 0) -> DataFrame:
+def group(prints: DataFrame, lanes: int, link: Callable[[DataFrame], DataFrame], least_shingles: int = 0) -> DataFrame:
     """Fingerprint rows -> the same rows with `root`, which names their component, and `component_id`, the smallest doc_id in it.
 
-    Rows with equal fingerprints are one node; nodes within the radius are linked, if they have `least_shingles`. NULL ids never
+    Rows with equal fingerprints are one node; `link` gives the edges between nodes that have `least_shingles`. NULL ids never
     name a component unless it has no other. Repeated rows are in one node too. With an empty table nothing is linked.
     """
     names = [f"f{i}" for i in range(lanes)]
@@ -240,28 +250,57 @@ def group(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[in
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles")).withColumn("node", node)
     nodes = written(nodes, "simhash-nodes")
-    roots = connected_components(links(nodes.filter(F.col("n_shingles") >= least_shingles).select("node", *names), lanes, radius, keys))
+    roots = connected_components(link(nodes.filter(F.col("n_shingles") >= least_shingles).select("node", *names)))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(nodes.join(smallest, "root").select(*names, "root", "component_id"), "simhash-named")
     return prints.join(named, names)
 
 
-def near_duplicate_keys(similarity: float, lanes: int) -> tuple[int, list[list[int]]]:
-    """The radius for a share of equal bits, and keys for it: a pair whose bits differ with probability 0.15 (word shingles that
-    are 0.8 similar) agrees on one of them with probability 0.987."""
-    return int((1 - similarity) * 64 * lanes), random_keys(lanes, 14, 40)
+#: Lanes of the coarse and of the full fingerprint of near duplicates.
+COARSE, FULL = 2, 16
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits that differ, on average, for two sets of shingles of equal size with a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_for(similarity: float, lanes: int, deviations: float) -> int:
+    """The mean number of differing bits at this similarity and some standard deviations more."""
+    share, bits = differing_share(similarity), 64 * lanes
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicate_keys(bits: int = 13, count: int = 48) -> list[list[int]]:
+    """Keys of the coarse bits: a pair whose bits differ with probability 0.15 (a similarity of 0.8) agrees on one of them with
+    probability 0.98. A corpus of very many texts wants more bits, for smaller blocks, and more keys."""
+    return random_keys(COARSE, bits, count)
+
+
+def near_duplicate_links(nodes: DataFrame, similarity: float, keys: Sequence[Sequence[int]] | None = None) -> DataFrame:
+    """Edges between nodes (node, f0, ..., f15) whose shingles are similar.
+
+    128 bits tell which nodes have any partner, with a wide margin; only those are compared in all 1,024 bits, whose distance
+    gives the similarity to about 0.03.
+    """
+    coarse = [f"f{i}" for i in range(COARSE)]
+    keys = near_duplicate_keys() if keys is None else keys
+    pairs = written(links(nodes.select("node", *coarse), COARSE, radius_for(similarity, COARSE, 2), keys), "simhash-coarse")
+    partners = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return links(written(nodes.join(partners, "node", "left_semi"), "simhash-partners"), FULL, radius_for(similarity, FULL, 1), keys)
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, of which one in each group of near duplicates is left: the one with the smallest id.
 
-    Similar are fingerprints of `shingle`-word shingles that agree in `similarity` of their bits. Texts with fewer shingles than
-    a share of that kind can tell apart, 1 / (1 - similarity), are copies only if their fingerprints are equal. Of rows that share
-    id and text one is left; rows without words are one group; a NULL id counts as larger than all others.
+    Similar are texts whose `shingle`-word shingles have a Jaccard similarity of `similarity` or more, as far as 1,024 bits tell.
+    Texts with fewer than 1 / (1 - similarity) shingles, which cannot be so similar without being equal, are copies only if
+    their fingerprints are equal. Of rows that share id and text one is left; rows without words are one group; a NULL id
+    counts as larger than all others.
     """
-    radius, keys = near_duplicate_keys(similarity, lanes)
-    grouped = group(fingerprints(docs, shingle, lanes, id_column, text_column), lanes, radius, keys, round(1 / (1 - similarity)))
+    prints = fingerprints(docs, shingle, FULL, id_column, text_column)
+    grouped = group(prints, FULL, lambda nodes: near_duplicate_links(nodes, similarity), round(1 / (1 - similarity)))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("first"))
     null_id = F.lit(-(1 << 63)).cast("long")
     kept = written(first.select(F.coalesce("first.doc_id", null_id).alias("__id"), F.col("first.version").alias("__version")), "simhash-kept")
