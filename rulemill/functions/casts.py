@@ -88,6 +88,8 @@ def parse_number(text) -> Decimal | None:
 
 def number_literal(value: Decimal, source: T.DataType | None = None) -> Column:
     """A literal in the type that compares with `source` without casting the column."""
+    if isinstance(source, T.FloatType):
+        return F.lit(float(value)).cast("float")
     if is_fractional(source):
         return F.lit(float(value))
     if value == value.to_integral_value() and abs(value) < 2**63:

@@ -33,6 +33,12 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def plain_path(path: Column, encoded: bool = False) -> Column:
+    """A file path without the scheme of local files. Scans give paths percent-encoded, listings as they are."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.regexp_replace(decoded, "^file:/+", "/")
+
+
 def folder(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
@@ -44,7 +50,7 @@ def stem(path: Column) -> Column:
 
 def trailing_number(name: Column) -> Column:
     """`query_result_10.csv` -> 10; NULL for a name without a number."""
-    return F.regexp_extract(name, r"_([0-9]+)(?:\.[A-Za-z]+)?$", 1).try_cast("int")
+    return F.regexp_extract(name, r"_([0-9]+)(?:\.[A-Za-z]+)?$", 1).try_cast("bigint")
 
 
 def result_name(rule_name: Column) -> Column:

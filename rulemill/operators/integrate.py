@@ -5,19 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rulemill.functions.casts import as_text
 from rulemill.functions.columns import column
-from rulemill.operators.mapping import conform
 from rulemill.plans.rules import RuleError
 
 
 def unite(frames: Sequence[DataFrame], schema: Sequence[str] | None = None) -> DataFrame:
-    """Union by name (duplicates kept), missing columns NULL; conformed to `schema` first if one is given."""
-    if schema is not None:
-        frames = [conform(f, schema) for f in frames]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Union by name (duplicates kept), missing columns NULL; in the order of `schema` if one is given.
+
+    A column keeps its type if all frames that have it agree; otherwise it is text, so that no cell is lost or refused.
+    """
+    found: dict[str, set] = {}
+    for f in frames:
+        for field in f.schema:
+            found.setdefault(field.name, set()).add(field.dataType)
+    names = list(dict.fromkeys([*(schema or ()), *found]))
+    types = {n: found[n].pop() if len(found.get(n, ())) == 1 else T.StringType() for n in names}
+
+    def aligned(f: DataFrame) -> DataFrame:
+        have = set(f.columns)
+        return f.select(*[(column(n) if n in have else F.lit(None)).cast(types[n]).alias(n) for n in names])
+
+    return reduce(DataFrame.unionByName, map(aligned, frames))
 
 
 def search(df: DataFrame, parameter: str, value: str) -> DataFrame:
@@ -27,7 +38,7 @@ def search(df: DataFrame, parameter: str, value: str) -> DataFrame:
     """
     name = parameter.lower()
     if name not in df.columns:
-        raise RuleError([(0, name, f"The parameter {name} does not exist")])
+        raise RuleError([(0, name, f"no column {name}")])
     source = df.schema[name].dataType
     typed = F.lit(value).try_cast(source)
     c = column(name)

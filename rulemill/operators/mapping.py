@@ -70,5 +70,5 @@ def expand_struct(df: DataFrame, name: str) -> DataFrame:
 def create_attribute(df: DataFrame, name: str) -> DataFrame:
     """Add an all-NULL text column; it is an error if the column exists."""
     if name in df.columns:
-        raise RuleError([(0, name, f"The attribute {name} already exists")])
+        raise RuleError([(0, name, f"column {name} is there already")])
     return df.withColumn(name, null_string())

@@ -52,8 +52,17 @@ def merge_items_ci(arr: Column, name: str) -> Column:
 
 
 def lookup(df: DataFrame, dimension: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Left outer lookup. Spark broadcasts the dimension if its size allows and shuffles otherwise."""
-    return df.join(dimension, on, "left")
+    """Left outer lookup. Spark broadcasts the dimension if its size allows and shuffles otherwise.
+
+    A key that the dimension has twice would multiply rows; it is an error at run time.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    values = [c for c in dimension.columns if c not in keys]
+    once = dimension.groupBy(*[column(k) for k in keys]).agg(F.count("*").alias("_rows"), F.any_value(F.struct(*[column(c) for c in values])).alias("_row"))
+    shown = F.to_json(F.struct(*[column(k) for k in keys]))
+    row = F.when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit("repeated lookup key "), shown))).otherwise(F.col("_row"))
+    checked = once.select(*[column(k) for k in keys], row.alias("_row")).select(*[column(k) for k in keys], "_row.*")
+    return df.join(checked, keys, "left")
 
 
 def with_constant_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

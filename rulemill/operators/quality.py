@@ -25,7 +25,7 @@ from rulemill.plans.rules import (
 def quality_condition(rule: Rule, c: Column, source: T.DataType | None) -> Column:
     """Where one rule flags `c`. A comparison with NULL flags nothing."""
     value = tolerant_cast(c, rule["type"], source)
-    compared = T.DoubleType() if rule["type"] in ("float", "double") else T.LongType()
+    compared = {"float": T.FloatType(), "double": T.DoubleType()}.get(rule["type"], T.LongType())
     match rule["condition"]:
         case "empty":
             holds = value.isNull()

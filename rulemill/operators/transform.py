@@ -26,13 +26,14 @@ def extract_group(c: Column, pattern: str) -> Column:
 def apply_transforms(df: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
     """Apply the rules that can be applied.
 
-    A rule naming an absent attribute is skipped, unless `strict`, and `transform_problems` lists it; unknown
+    A rule that cannot be applied (an absent column, a pattern that is blank, not valid or without a group to extract, a
+    fill value that is not of the column's type) is skipped, unless `strict`, and `transform_problems` lists it; unknown
     functions are skipped. Rules are folded per column into as few projections as possible: a new projection
     starts only where an `extract` follows another rule on its column, because `extract` refers to its input
     three times.
     """
     listed = as_rules(rules, "transformation")
-    problems = check_transformations(listed, df.columns)
+    problems = check_transformations(listed, df.schema)
     if strict and problems:
         raise RuleError(problems)
     skipped = {number for number, _, _ in problems}
@@ -48,7 +49,7 @@ def apply_transforms(df: DataFrame, rules: Rules, strict: bool = False) -> DataF
             df, pending = df.withColumns(pending), {}
         current = pending.get(name, column(name))
         if function == REPLACE:
-            pending[name] = F.regexp_replace(current.cast("string"), pattern or "", replacement or "")
+            pending[name] = F.regexp_replace(current.cast("string"), pattern, replacement or "")
         elif function == EXTRACT:
             pending[name] = extract_group(current.cast("string"), pattern)
         elif function == CREATE:
@@ -57,7 +58,7 @@ def apply_transforms(df: DataFrame, rules: Rules, strict: bool = False) -> DataF
             other = pending.get(replacement, column(replacement))
             same = types[replacement] == types[name]
             pending[name] = F.coalesce(current, other if same else other.try_cast(types[name]))
-        elif function == FILL and replacement is not None:
+        elif function == FILL:
             pending[name] = F.coalesce(current, F.lit(replacement).try_cast(types[name]))
         if function in (REPLACE, EXTRACT, CREATE):
             types[name] = T.StringType()
@@ -66,4 +67,4 @@ def apply_transforms(df: DataFrame, rules: Rules, strict: bool = False) -> DataF
 
 def transform_problems(df: DataFrame, rules: Rules) -> list[tuple[int, str, str]]:
     """(rule_no, attribute, message) for every rule that does not fit the columns of `df`."""
-    return check_transformations(as_rules(rules, "transformation"), df.columns)
+    return check_transformations(as_rules(rules, "transformation"), df.schema)

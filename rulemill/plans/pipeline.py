@@ -19,6 +19,7 @@ from rulemill.plans.predicates import query
 from rulemill.plans.rules import RuleError, Rules
 from rulemill.sources import sinks
 from rulemill.sources.csv import read_csv
+from rulemill.sources.storage import delete_folder
 from rulemill.sources.xml import read_elements
 from rulemill.variants.clinvar import extract_variants, of_phenotype
 from rulemill.variants.derive import derive_attributes, with_assembly_dates
@@ -95,17 +96,17 @@ def store_run(
     spec: NestingSpec = VARIANT_SPEC,
     order_by: str | None = None,
 ) -> str:
-    """Write a run as the next job: flat CSV, nested JSON, one nested JSON per rule set, and its metadata.
+    """Write a run as the next job: the flat table as Parquet and CSV, nested JSON, one nested JSON per rule set, and its metadata.
 
     An empty result stores nothing and is an error. Every output is computed from the stored flat table, so the
     sources are read once.
     """
     spark = treated.sparkSession
-    if found_nothing(treated):
-        raise RuleError([(0, None, "No results to show")])
     job = sinks.next_run_path(spark, base, sinks.JOB)
-    sinks.write_csv(treated, f"{job}/treated_file.csv", mode="errorifexists")
-    stored = read_csv(spark, f"{job}/treated_file.csv", columns=treated.columns)
+    stored = sinks.write_stored(treated, f"{job}/treated_file.csv")
+    if found_nothing(stored):
+        delete_folder(spark, job)
+        raise RuleError([(0, None, "nothing matches")])
     sinks.write_json(nest(stored, spec, order_by), f"{job}/treated_file.json")
     return store_quality(stored, job, stamp, metadata, rule_sets or {}, spec, order_by)
 
@@ -132,7 +133,7 @@ def recheck_run(
     spec: NestingSpec = VARIANT_SPEC,
 ) -> str:
     """Re-apply quality rules to a stored run; its metadata is carried over."""
-    stored = read_csv(spark, f"{job}/treated_file.csv")
+    stored = sinks.read_stored(spark, f"{job}/treated_file.csv")
     metadata = read_csv(spark, f"{job}/result/{from_stamp}/search_info.csv", sep=",")
     return store_quality(stored, job, stamp, metadata, rule_sets, spec)
 
@@ -142,5 +143,4 @@ def run_query(
 ) -> tuple[str, DataFrame]:
     """Query a table, store the result under the next number, and return it read back without empty columns."""
     path = sinks.write_numbered_csv(query(df, rules, columns), base)
-    stored = read_csv(df.sparkSession, path)
-    return path, drop_all_null(stored)
+    return path, drop_all_null(sinks.read_stored(df.sparkSession, path))

@@ -97,11 +97,11 @@ def compile_rules(rules: Rules, schema: T.StructType) -> Column:
     does the end. A run of yes rows therefore nests to the right, and each run is one operand of the outer
     AND/OR list, where AND binds tighter than OR.
     """
+    types = {f.name: f.dataType for f in schema}
     listed = [r for r in map(trimmed, as_rules(rules, "query")) if not is_blank_query(r)]
-    problems = check_queries(listed, schema.names) if listed else [(0, None, "no query rules")]
+    problems = check_queries(listed, types) if listed else [(0, None, "no query rules")]
     if problems:
         raise RuleError(problems)
-    types = {f.name: f.dataType for f in schema}
 
     alternatives: list[list[Column]] = [[]]
     run: list[Rule] = []
@@ -152,7 +152,7 @@ def _leaf(leaf: Mapping, types: Mapping[str, T.DataType]) -> Column:
     name = leaf.get("field") or leaf.get("id")
     rule_type, operator, value = leaf.get("type", "string"), leaf["operator"], leaf.get("value")
     if name not in types:
-        raise RuleError([(0, name, f"The parameter {name} does not exist")])
+        raise RuleError([(0, name, f"no column {name}")])
     text = comparable(column(name), "string", types[name])
     match operator:
         case "contains":
@@ -180,7 +180,7 @@ def _leaf(leaf: Mapping, types: Mapping[str, T.DataType]) -> Column:
         "rule_no": 0, "grouping": "no", "operator": "and", "parameter": name, "parameter_type": rule_type,
         "condition": condition, "value": value,
     }
-    problems = check_queries([rule], list(types))
+    problems = check_queries([rule], types)
     if problems:
         raise RuleError(problems)
     return compile_condition(name, rule_type, condition, value, types[name])
@@ -192,7 +192,7 @@ def project(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
         return df
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise RuleError([(0, c, f"The parameter {c} does not exist") for c in missing])
+        raise RuleError([(0, c, f"no column {c}") for c in missing])
     return df.select(*[column(c) for c in columns])
 
 

@@ -1,20 +1,18 @@
 """Rule tables: their columns, how they are read, and what is wrong with them.
 
-Rules are small tables written by people. They are the only thing collected to the driver, and the
-size is checked when that happens.
+Rules are small tables written by people, one compiled expression per row. They are the only thing collected to the driver.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rulemill.functions.casts import SQL_TYPES, parse_boolean, parse_number
 from rulemill.functions.columns import column
 
-MAX_RULES = 10_000
-
 # The columns of each kind of rule table.
 RULE_COLUMNS = {
     "mapping": ("attribute", "name of column"),
@@ -46,8 +44,11 @@ QUERY_BOOLEAN_CONDITIONS = ("==", "=")
 
 RIGHT, WRONG = "Right", "Wrong Condition"
 
+_NOT_NUMBERS = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType)
+
 Rule = dict
 Rules = DataFrame | Iterable[Mapping | Sequence]
+Columns = T.StructType | Mapping[str, T.DataType] | Sequence[str]
 
 
 class RuleError(ValueError):
@@ -75,14 +76,12 @@ def as_rules(rules: Rules, kind: str) -> list[Rule]:
         missing = [n for n in names if n not in rules.columns]
         if missing:
             raise RuleError([(0, n, "the rule table lacks this column") for n in missing])
-        rows = rules.select(*[column(n).cast("string") for n in names]).limit(MAX_RULES + 1).collect()
+        rows = rules.select(*[column(n).cast("string") for n in names]).collect()
     else:
         rows = [tuple(r.get(n) for n in names) if isinstance(r, Mapping) else tuple(r) for r in rules]
         short = [(i, None, f"expected {len(names)} values") for i, r in enumerate(rows, 1) if len(r) != len(names)]
         if short:
             raise RuleError(short)
-    if len(rows) > MAX_RULES:
-        raise RuleError([(0, None, f"more than {MAX_RULES} rules")])
     return [{"rule_no": i, **dict(zip(names, r))} for i, r in enumerate(rows, 1)]
 
 
@@ -94,37 +93,76 @@ def problems_frame(spark: SparkSession, problems: Iterable[tuple[int, str | None
 # --- checks -----------------------------------------------------------------------------------
 
 
-def check_transformations(rules: list[Rule], columns: Sequence[str]) -> list[tuple[int, str, str]]:
-    """Problems of transformation rules, following the columns earlier rules create."""
-    known, problems = set(columns), []
+def _types(columns: Columns) -> dict[str, T.DataType | None]:
+    """Column types by name; bare names have no known type, those of a schema do."""
+    if isinstance(columns, T.StructType):
+        return {f.name: f.dataType for f in columns}
+    return dict(columns) if isinstance(columns, Mapping) else dict.fromkeys(columns)
+
+
+def check_transformations(rules: list[Rule], columns: Columns) -> list[tuple[int, str, str]]:
+    """Problems of transformation rules, following the columns earlier rules create and the types they leave."""
+    types, problems = _types(columns), []
     for rule in rules:
         number, attribute, function = rule["rule_no"], rule["attribute"], rule["function"]
+        report = lambda message, n=number, a=attribute: problems.append((n, a, message))
         if function == CREATE:
-            if attribute in known:
-                problems.append((number, attribute, f"The attribute {attribute} already exists"))
-            known.add(attribute)
-        elif function in (REPLACE, EXTRACT, BORROW, FILL):
-            if attribute not in known:
-                problems.append((number, attribute, f"The attribute {attribute} does not exist"))
-            elif function == BORROW and rule["replacement"] not in known:
-                problems.append((number, attribute, f"The attribute {rule['replacement']} does not exist"))
+            if attribute in types:
+                report(f"column {attribute} is there already")
+            types[attribute] = T.StringType()
+            continue
+        if function not in (REPLACE, EXTRACT, BORROW, FILL):
+            continue
+        if attribute not in types:
+            report(f"no column {attribute}")
+        elif function in (REPLACE, EXTRACT):
+            wrong = pattern_problem(rule["regular expression"], groups=1 if function == EXTRACT else 0)
+            if wrong:
+                report(wrong)
+            else:
+                types[attribute] = T.StringType()
+        elif function == BORROW and rule["replacement"] not in types:
+            report(f"no column {rule['replacement']}")
+        elif function == FILL and not fill_fits(rule["replacement"], types[attribute]):
+            report(f"cannot fill {types[attribute].simpleString()} with {rule['replacement']}")
     return problems
 
 
+def pattern_problem(pattern: str | None, groups: int) -> str | None:
+    """What is wrong with a regular expression, as the engine that will run it sees it."""
+    if not pattern:
+        return "the regular expression is blank"
+    java = SparkSession.active()._jvm.java.util.regex
+    try:
+        found = java.Pattern.compile(pattern).matcher("").groupCount()
+    except Exception as refused:  # the JVM's PatternSyntaxException, through the gateway
+        reason = getattr(getattr(refused, "java_exception", None), "getDescription", lambda: "")()
+        return f"the regular expression {pattern} is not valid: {reason}"
+    return f"the regular expression {pattern} has no group" if found < groups else None
+
+
+def fill_fits(text: str | None, target: T.DataType | None) -> bool:
+    """Whether a fill value can be read as the type of its column."""
+    if text is None or target is None or isinstance(target, T.StringType):
+        return text is not None
+    session = SparkSession.active()
+    return session.range(1).select(F.lit(text).try_cast(target).isNotNull()).first()[0]
+
+
 def check_quality(rules: list[Rule], columns: Sequence[str]) -> list[tuple[int, str, str]]:
     problems = []
     for rule in rules:
         number, attribute, rule_type = rule["rule_no"], rule["attribute"], rule["type"]
         if attribute not in columns:
-            problems.append((number, attribute, f"The attribute {attribute} does not exist"))
+            problems.append((number, attribute, f"no column {attribute}"))
         if rule_type not in QUALITY_NUMERIC_TYPES and rule_type != "string":
-            problems.append((number, attribute, f"The type {rule_type} does not exist"))
+            problems.append((number, attribute, f"unknown type {rule_type}"))
         elif not quality_rule_applies(rule):
-            problems.append((number, attribute, f"The condition {rule['condition']} does not exist for {rule_type}"))
+            problems.append((number, attribute, f"condition {rule['condition']} is not for {rule_type}"))
         elif rule["condition"] == "range" and quality_range(rule["value"]) is None:
-            problems.append((number, attribute, f"The range {rule['value']} is not (lower, upper)"))
+            problems.append((number, attribute, f"range {rule['value']} is not (lower, upper)"))
         elif rule["condition"] in (">=", "<=", "<", ">", "=") and parse_number(rule["value"]) is None:
-            problems.append((number, attribute, f"The value {rule['value']} is not a number"))
+            problems.append((number, attribute, f"{rule['value']} is not a number"))
     return problems
 
 
@@ -140,13 +178,15 @@ def quality_range(text: str | None) -> tuple | None:
     return tuple(bounds) if len(bounds) == 2 and None not in bounds else None
 
 
-def check_queries(rules: list[Rule], columns: Sequence[str]) -> list[tuple[int, str, str]]:
-    problems = []
+def check_queries(rules: list[Rule], columns: Columns) -> list[tuple[int, str, str]]:
+    types, problems = _types(columns), []
     for rule in rules:
         number, parameter, rule_type = rule["rule_no"], rule["parameter"], rule["parameter_type"]
         condition, last = rule["condition"], rule is rules[-1]
-        if parameter not in columns:
-            problems.append((number, parameter, f"The parameter {parameter} does not exist"))
+        if parameter not in types:
+            problems.append((number, parameter, f"no column {parameter}"))
+        elif rule_type in QUERY_NUMERIC_TYPES and isinstance(types[parameter], _NOT_NUMBERS) and condition not in ("is null", "is not null"):
+            problems.append((number, parameter, f"{types[parameter].simpleString()} column {parameter} does not compare as {rule_type}"))
         if not query_condition_fits(rule_type, condition):
             problems.append((number, parameter, WRONG))
             continue
@@ -156,7 +196,7 @@ def check_queries(rules: list[Rule], columns: Sequence[str]) -> list[tuple[int,
             if (rule["operator"] or "").lower() not in ("and", "or"):
                 problems.append((number, parameter, f"operator must be and or or, not {rule['operator']}"))
         if not _query_value_fits(rule_type, condition, rule["value"]):
-            problems.append((number, parameter, f"The value {rule['value']} does not fit {rule_type} {condition}"))
+            problems.append((number, parameter, f"{rule['value']} does not fit {rule_type} {condition}"))
     return problems
 
 
@@ -174,16 +214,20 @@ def query_values(condition: str, value) -> list[str]:
         return [str(v) for v in value]
     text = "" if value is None else str(value)
     if condition in ("between", "not between"):
-        low, _, high = text.partition(" and ") if " and " in text else text.partition(" AND ")
+        low, high, *_ = [*re.split(r"\s+and\s+", text, maxsplit=1, flags=re.IGNORECASE), ""]
         return [low.strip(), high.strip()]
     if condition in ("in", "not in"):
         listed = text.strip()
         if listed.startswith("(") and listed.endswith(")"):
             listed = listed[1:-1]
-        return [_unquote(v.strip()) for v in listed.split(",")]
+        return [_unquote(v.strip()) for v in _LISTED.findall(listed)] if listed else [""]
     return [text]
 
 
+#: One value of a list: commas within quotes belong to it. A quote that opens no quoted value is an ordinary character.
+_LISTED = re.compile(r"""(?:^|(?<=,))(\s*'[^']*'\s*(?=,|$)|\s*"[^"]*"\s*(?=,|$)|[^,]*)(?:,|$)""")
+
+
 def _unquote(text: str) -> str:
     return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
 
@@ -200,8 +244,8 @@ def _query_value_fits(rule_type: str, condition: str, value) -> bool:
 
 
 def is_blank_query(rule: Rule) -> bool:
-    """A row without parameter or condition, such as a trailing empty line."""
-    return not (rule["parameter"] or "").strip() or not (rule["condition"] or "").strip()
+    """A row of blank cells, such as a trailing empty line. A rule that is filled in half is a problem, not a blank."""
+    return all(not str(rule[c] or "").strip() for c in RULE_COLUMNS["query"])
 
 
 def trimmed(rule: Rule) -> Rule:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulemill.functions.columns import column
 from rulemill.functions.stamps import (
-    base_name, folder, parse_stamp, result_name, stamp_date, stamp_time, trailing_number,
+    base_name, folder, parse_stamp, plain_path, result_name, stamp_date, stamp_time, trailing_number,
 )
 from rulemill.operators.integrate import unite
 from rulemill.operators.merging import join_on_folder
@@ -23,6 +23,7 @@ NAME_FILE = "databaseName.csv"
 def list_files(spark: SparkSession, base: str) -> DataFrame:
     """path, name and folder of every file below `base`. File contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path")
+    listed = listed.select(plain_path(F.col("path")).alias("path"))
     return listed.select("path", base_name(F.col("path")).alias("name"), folder(F.col("path")).alias("folder"))
 
 
@@ -31,7 +32,17 @@ def read_folder(spark: SparkSession, base: str, schema: Sequence[str]) -> DataFr
     names = sorted(n for n in listed_names(spark, base) if not n.startswith(("_", ".")))
     if not names:
         raise FileNotFoundError(f"no sources below {base}")
-    return unite([read_csv(spark, f"{base.rstrip('/')}/{n}") for n in names], schema)
+    root = base.rstrip("/")
+    # one pass finds every header; sources with the same header are one scan
+    lines = spark.read.text([f"{root}/{n}" for n in names]).select("value", plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    heads = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
+    inside = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    top = F.when(inside.isin(names), inside).otherwise(F.regexp_extract("path", "([^/]+)$", 1))
+    found = heads.select(top.alias("name"), "header").distinct().collect()
+    by_header: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda r: r["name"]):
+        by_header.setdefault(row["header"], []).append(f"{root}/{row['name']}")
+    return unite([read_csv(spark, paths) for paths in by_header.values()], schema)
 
 
 def data_files(files: DataFrame) -> DataFrame:
@@ -44,10 +55,8 @@ def dataset_catalog(spark: SparkSession, base: str) -> DataFrame:
     """dataset name and data path, joined on the folder both files lie in."""
     names = read_csv(spark, f"{base.rstrip('/')}/*/{NAME_FILE}", sep=",", columns=["databaseName"])
     named = names.select(F.col("databaseName").alias("dataset"), F.col("_metadata.file_path").alias("path"))
-    # Listing and scan may write the scheme differently (file:/ and file:///).
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    data = data_files(list_files(spark, base)).select(plain(F.col("path")).alias("path"))
-    joined = join_on_folder(named.withColumn("path", plain(F.col("path"))), data)
+    data = data_files(list_files(spark, base)).select("path")
+    joined = join_on_folder(named.withColumn("path", plain_path(F.col("path"), encoded=True)), data)
     return joined.select("dataset", "path")
 
 
@@ -62,9 +71,8 @@ def job_catalog(spark: SparkSession, base: str) -> DataFrame:
     Reads <base>/<job>/result/<stamp>/search_info.csv files in one scan.
     """
     runs = read_run_metadata(spark, f"{base.rstrip('/')}/*/result/*/search_info.csv")
-    # File paths come percent-encoded, and a written CSV is a folder of part files.
-    decoded = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    return describe_runs(runs.withColumn("path", F.regexp_replace(decoded, r"(search_info\.csv)/[^/]+$", "$1")))
+    # A written CSV is a folder of part files.
+    return describe_runs(runs.withColumn("path", F.regexp_replace(plain_path(F.col("path"), encoded=True), r"(search_info\.csv)/[^/]+$", "$1")))
 
 
 def describe_runs(runs: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rulemill.functions.columns import column
+from rulemill.functions.columns import blank_to_null, column
 from rulemill.operators.nesting import NestingSpec, key_order, nest
 from rulemill.operators.quality import apply_quality_sets
 from rulemill.plans.rules import Rules
-from rulemill.sources.csv import DATA_SEP, RUN_COLUMNS, text_schema
+from rulemill.sources.csv import DATA_SEP, RUN_COLUMNS, all_text, text_schema
 from rulemill.sources.storage import listed_names
 
 # Prefixes of numbered outputs.
@@ -50,18 +50,35 @@ def latest_run_path(spark: SparkSession, base: str, prefix: str) -> str:
     return f"{base.rstrip('/')}/{prefix}_{number}"
 
 
+def write_stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table once as Parquet, `<path>.parquet`, and from that as the CSV `path`; returns the stored table.
+
+    Every column is text and blank cells are NULL, as in a CSV source, but a cell may hold anything, line breaks included:
+    the Parquet copy is what later steps read. Another writer taking the path first is an error, not an overwrite.
+    """
+    text = all_text(df)
+    text.select(*[blank_to_null(column(c)).alias(c) for c in text.columns]).write.mode("errorifexists").parquet(f"{path}.parquet")
+    stored = read_stored(df.sparkSession, path)
+    write_csv(stored, path, mode="errorifexists")
+    return stored
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """A table that `write_stored` wrote."""
+    return spark.read.parquet(f"{path}.parquet")
+
+
 def write_numbered_csv(df: DataFrame, base: str, prefix: str = RESULT) -> str:
-    """Write as the next number; another writer taking the number first is an error, not an overwrite."""
+    """Store as the next number; the path of the CSV."""
     path = next_run_path(df.sparkSession, base, prefix)
-    write_csv(df, path, mode="errorifexists")
+    write_stored(df, path)
     return path
 
 
 def read_result(spark: SparkSession, base: str, number: int | None = None, prefix: str = RESULT) -> DataFrame:
-    """A stored result by number, or the latest. All text, like every CSV source."""
+    """A stored result by number, or the latest. All text, cells as they were stored."""
     path = latest_run_path(spark, base, prefix) if number is None else f"{base.rstrip('/')}/{prefix}_{number}"
-    reader = spark.read.option("header", True).option("sep", DATA_SEP).option("escape", '"')
-    return reader.csv(path)
+    return read_stored(spark, path)
 
 
 def run_metadata(
@@ -115,7 +132,3 @@ def json_reader_schema(df: DataFrame) -> T.StructType:
     """The schema to read `write_json` output of `df` back with, without inference."""
     return df.schema
 
-
-def single_row(df: DataFrame, name: str):
-    """One cell of a one-row table, such as run metadata."""
-    return df.select(column(name)).first()[0]

@@ -96,3 +96,17 @@ def test_golden_rule_files(spark, tmp_path):
     rules = [tuple(r.values())[1:] for r in rules]
     df = spark.createDataFrame(CELLS, "id string, n string, s string")
     assert column_of(apply_quality(df, rules), "n") == ["5", "START MISSING", "1", "START MISSING", "OUT"]
+
+
+def test_float_thresholds_compare_as_floats(spark):
+    from rulemill import query, violations
+
+    rows = spark.createDataFrame([(i, t, float(t)) for i, t in enumerate(["0.1", "0.15", "0.2", "0.25"])], "id int, t string, d double")
+    rows = rows.withColumn("f", rows["t"].cast("float"))
+    for column in ("t", "f", "d"):
+        rules = [(column, "float", "no", "=", "0.1", "eq"), (column, "float", "no", "range", "(0.1, 0.2)", "in"), (column, "float", "no", ">=", "0.2", "ge")]
+        found = {}
+        for r in violations(rows, rules, ["id"]).collect():
+            found.setdefault(r["message"], set()).add(r["id"])
+        assert found == {"eq": {0}, "in": {0, 1, 2}, "ge": {2, 3}}
+    assert [r["id"] for r in query(rows, [("no", None, "f", "float", "=", "0.2")]).collect()] == [2]

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from suite import QUERIES
 from tools.check_oracles import rows_of
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -22,7 +23,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sql, name):
     df = entry.queries()[name](spark, SF)
     got = rows_of(df.columns, df.collect())

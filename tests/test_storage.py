@@ -114,7 +114,7 @@ def test_integration_is_one_lazy_plan(sources):
     assert values(united, "gene", "start") == [("ABC", None), ("BRCA1", None), ("BRCA1", None), ("BRCA1", "11076931"), ("TP53", "x"), ("unknown", "5")]
     found = integrate(sources, parameter="GENE", value="BRCA1")
     assert values(found, "chromosome") == [("1",), ("1",), ("1",)]
-    assert source_problems(sources) == [("genes", 4, "none", "The attribute none does not exist")]
+    assert source_problems(sources) == [("genes", 4, "none", "no column none")]
 
 
 def test_cells_are_cleaned_unless_told_otherwise(spark, text_frame):
@@ -145,7 +145,7 @@ def test_a_stored_run_and_its_recheck(spark, sources, tmp_path):
     assert first.endswith("job_1/result/01_02_2023 10_11_12")
     second = store_run(integrate(sources, parameter="gene", value="ABC"), base, "02_02_2023 10_11_12", info)
     assert "/job_2/" in second
-    with pytest.raises(RuleError, match="No results"):
+    with pytest.raises(RuleError, match="nothing matches"):
         store_run(integrate(sources, parameter="gene", value="none"), base, "03_02_2023 10_11_12", info)
     assert read_csv(spark, f"{base}/job_1/treated_file.csv").count() == 3
     record = spark.read.json(f"{base}/job_1/treated_file.json").first()
@@ -199,3 +199,54 @@ def test_streams_give_what_batches_give(spark, text_frame, tmp_path):
     (tmp_path / "in" / "2.csv").write_text("Gene;Position;Kind\nNEW;1;2\n")
     process_available(stream_csv(spark, str(tmp_path / "in"), columns), plan, out, state)
     assert spark.read.parquet(out).count() == 6
+
+
+def test_stored_results_keep_any_cell(spark, tmp_path):
+    from rulemill.plans.pipeline import run_query
+
+    cells = ["line one\nline two", 'a;b "c"', "x\r\ny", "'", "\\", "tail\n"]
+    frame = spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)], "id string, cell string")
+    _, found = run_query(frame, [("no", None, "id", "string", "is not null", None)], str(tmp_path / "r"))
+    assert sorted(r["cell"] for r in found.collect()) == sorted(cells)
+    assert sorted(r["cell"] for r in sinks.read_result(spark, str(tmp_path / "r")).collect()) == sorted(cells)
+
+
+def test_an_empty_run_leaves_no_job(spark, tmp_path):
+    empty = spark.createDataFrame([], "variant_id string")
+    info = sinks.run_metadata(spark, ["One"], "local", ["x"], "gene", "Z")
+    with pytest.raises(RuleError):
+        store_run(empty, str(tmp_path / "jobs"), "01_02_2023 10_11_12", info)
+    assert sinks.latest_run(spark, str(tmp_path / "jobs"), sinks.JOB) == 0
+
+
+def test_union_of_other_types_and_folders_with_blanks(spark, tmp_path):
+    from rulemill.operators.integrate import unite
+    from rulemill.sources.catalog import dataset_catalog, latest_number, read_folder
+
+    one, two = spark.createDataFrame([(1, 2)], "k int, n int"), spark.createDataFrame([("x1",)], "k string")
+    united = unite([one, two], ["k", "n", "m"])
+    assert sorted(map(tuple, united.collect()), key=str) == [("1", 2, None), ("x1", None, None)] and dict(united.dtypes)["n"] == "int"
+    for name in ("my data", "a+b%20c"):
+        folder = tmp_path / "sets" / name
+        folder.mkdir(parents=True)
+        (folder / "databaseName.csv").write_text(f"databaseName\n{name}\n")
+        (folder / "rows.csv").write_text("a;b\n1;2\n")
+    got = dataset_catalog(spark, str(tmp_path / "sets")).collect()
+    assert sorted(r["dataset"] for r in got) == ["a+b%20c", "my data"] and all(r["path"].endswith("/rows.csv") for r in got)
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(9):
+        (many / f"s{i}.csv").write_text(f"k;v\n{i};x\n" if i % 2 else f"v;k\nx;{i}\n")
+    sources = read_folder(spark, str(many), ["k", "v"])
+    assert sorted(r["k"] for r in sources.collect()) == [str(i) for i in range(9)] and {r["v"] for r in sources.collect()} == {"x"}
+    names = spark.createDataFrame([("job_20260101123000",), ("job_7",)], "name string")
+    assert latest_number(names).first()[0] == 20260101123000
+
+
+def test_a_repeated_lookup_key_is_an_error(spark):
+    from rulemill.operators.merging import lookup
+
+    facts, names = spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "a"), (2, None)], "k int, name string")
+    assert sorted(map(tuple, lookup(facts, names, "k").collect())) == [(1, "a"), (2, None), (3, None)]
+    with pytest.raises(Exception, match="repeated lookup key"):
+        lookup(facts, names.union(names), "k").collect()
