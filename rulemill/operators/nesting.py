@@ -1,8 +1,8 @@
 """Flat rows to nested records and back, driven by a NestingSpec.
 
-`nest` finds the distinct values of every branch in one aggregate (one scan, combined before the shuffle) and collects them per key in a second one. What is collected is already distinct, and a key with more
-distinct children than `max_items` is written as several records that share the key, so no task and no row ever
-holds an unbounded group.
+`nest` finds the distinct values of every branch in one aggregate, combined before the shuffle, and collects them per key in
+a second one. What is collected is already distinct. One record is one row; where keys have more distinct children than a row
+should hold, `parts` deals the children of every key out to that many records.
 """
 
 from __future__ import annotations
@@ -17,11 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulemill.functions.columns import all_of, any_of, column, null_if_empty
 from rulemill.plans.rules import RuleError
 
-# Records with more children than this are split into several.
-MAX_ITEMS = 100_000
-# At most this many keys are looked up (and broadcast) as split keys, largest first. A key beyond them has at most
-# rows / MAX_SPLIT_KEYS children.
-MAX_SPLIT_KEYS = 1_000_000
+#: The column that numbers the parts of a record, where `nest` makes parts. `flatten` knows parts by it.
+PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -107,43 +104,24 @@ def _narrow(node, present: set[str]):
     )
 
 
-def split_keys(sized: Sequence[DataFrame], keys: Sequence[str], max_items: int) -> DataFrame:
-    """Keys with more than `max_items` rows in all frames together, and the number of parts to cut them in.
-
-    At most MAX_SPLIT_KEYS rows, so that the result can be broadcast. `_pos` is counted, a column the callers aggregate
-    anyway: Spark then reuses their shuffle.
-    """
-    counts = [f.groupBy(*keys).agg(F.count("_pos").alias("_n")) for f in sized]
-    total = counts[0]
-    if len(counts) > 1:
-        total = reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.sum("_n").alias("_n"))
-    big = total.where(F.col("_n") > max_items).orderBy(F.desc("_n")).limit(MAX_SPLIT_KEYS)
-    return big.select(*keys, F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_parts"))
-
-
-def _with_part(
-    rows: DataFrame, sized: Sequence[DataFrame], keys: Sequence[str], spread: Column, max_items: int
-) -> DataFrame:
-    big = split_keys(sized, keys, max_items)
-    part = F.coalesce(F.pmod(spread, F.col("_parts")), F.lit(0)).cast("int")
-    return rows.join(F.broadcast(big), list(keys), "left").withColumn("_part", part).drop("_parts")
-
-
 def nest(
     df: DataFrame,
     spec: NestingSpec,
     order_by: str | None = None,
-    max_items: int = MAX_ITEMS,
-    part_column: str | None = None,
+    parts: int = 1,
     within: Sequence[str] = (),
 ) -> DataFrame:
     """One nested record per non-null key; with `within`, per key and value of those (non-null) columns.
 
     `order_by` names a column, unique per row, that says which row comes first; without it the order in which the
     rows are read counts. Columns the table lacks are left out of the record; a missing key is an error.
-    A key with more than `max_items` distinct children gives several records with the same key, its scalars in the
-    first; `part_column` numbers them from 0.
+
+    A record is one row, so all distinct children of a key must fit in one. With `parts` above 1 the children of every key are
+    dealt by a hash to up to that many records, numbered in a column `_part` that is then always there; the scalars stand in
+    part 0, which every key has. The number of parts depends on nothing but the parameter, and `flatten` puts parts together.
     """
+    if parts < 1:
+        raise ValueError("a record has at least one part")
     if spec.key not in df.columns:
         raise RuleError([(0, spec.key, "the key column does not exist")])
     spec = _narrow(spec, set(df.columns))
@@ -152,8 +130,8 @@ def nest(
     used = list(dict.fromkeys([*keys, *_node_columns(spec)]))
     rows = df.select(*[column(c) for c in used], position.alias("_pos"))
     rows = rows.where(all_of(column(k).isNotNull() for k in keys))
-    nested, _ = _nest_rows(rows, keys, spec, max_items)
-    part = [column("_part").alias(part_column)] if part_column else []
+    nested = _nest_rows(rows, keys, spec, parts)
+    part = [column(PART)] if parts > 1 else []
     named = [column(f"_key{i}").alias(k) for i, k in enumerate(keys)]
     return nested.select(*named, *part, *[column(n) for n in _outputs(spec)])
 
@@ -163,21 +141,18 @@ def _outputs(node) -> list[str]:
     return scalars + [b.name for b in (*node.values, *node.structs, *node.groups)]
 
 
-def _nest_rows(
-    rows: DataFrame, keys: list[str], node, max_items: int, skip: Column | None = None
-) -> tuple[DataFrame, list[DataFrame]]:
-    """(_key0.., _part, outputs of the node): one row per key combination, more for an oversize one.
+def _nest_rows(rows: DataFrame, keys: list[str], node, parts: int, skip: Column | None = None) -> DataFrame:
+    """(_key0.., _part, outputs of the node): up to `parts` rows per key combination.
 
-    Also returns the frames of distinct children it was collected from. Of rows where `skip` holds, only the keys are
-    kept. Every row is copied once per branch. A copy carries its branch number and the value of that branch only: in a cell
+    Of rows where `skip` holds, only the keys are kept. Every row is copied once per branch. A copy carries its branch number and the value of that branch only: in a cell
     shared by all single-column branches of one type, or in a struct of its own.
     """
     key_names = [f"_key{i}" for i in range(len(keys))]
     if not (node.scalars or node.values or node.structs):
         if node.groups:
-            return _nest_groups_only(rows, keys, key_names, node, max_items)
+            return _nest_groups_only(rows, keys, key_names, node, parts)
         bare = rows.select(*[column(c).alias(n) for c, n in zip(keys, key_names)]).distinct()
-        return bare.withColumn("_part", F.lit(0)), [bare.withColumn("_pos", F.lit(0))]
+        return bare.withColumn(PART, F.lit(0))
     single = [c for _, c in node.scalars] + [v.column for v in node.values]
     kinds = [rows.schema[c].dataType for c in single]
     cells = {kind: f"_cell{i}" for i, kind in enumerate(dict.fromkeys(kinds))}
@@ -201,7 +176,7 @@ def _nest_rows(
     if node.scalars or node.structs:
         items = copies.groupBy(*key_names, "_branch", *value_names).agg(F.min("_pos").alias("_pos"))
     else:
-        # Sorted values need no position. Without one, sizing and collecting still ask for the same shuffle.
+        # Sorted values need no position.
         items = copies.drop("_pos").distinct().withColumn("_pos", F.lit(0))
     branch, n_scalars = F.col("_branch"), len(node.scalars)
     always = branch < n_scalars
@@ -209,7 +184,7 @@ def _nest_rows(
     items = items.where(any_of([always, *filled]))
 
     spread = F.when(always, 0).otherwise(F.xxhash64("_branch", *value_names))
-    placed = _with_part(items, [items], key_names, spread, max_items)
+    placed = items.withColumn(PART, _part_of(spread, parts))
     collected = []
     for i, (name, _) in enumerate(node.scalars):
         mine = branch == i
@@ -221,33 +196,30 @@ def _nest_rows(
         lead = [fields.getField(s.lead_field).alias("_lead")] if s.lead else []
         entry = F.struct(*lead, F.col("_pos").alias("_pos"), fields.alias("_fields"))
         collected.append(F.array_sort(F.collect_list(F.when(branch == first_struct + i, entry))).alias(s.name))
-    nested = placed.groupBy(*key_names, "_part").agg(*collected)
+    nested = placed.groupBy(*key_names, PART).agg(*collected)
     lists = {b.name: null_if_empty(column(b.name)) for b in node.values}
     lists |= {s.name: null_if_empty(F.transform(column(s.name), lambda x: x["_fields"])) for s in node.structs}
     if lists:
         nested = nested.withColumns(lists)
-    children = [items]
     for g in node.groups:
-        grouped, below = _nest_group(rows.where(column(g.lead[1]).isNotNull()), keys, key_names, g, max_items)
-        nested = nested.join(grouped, [*key_names, "_part"], "full_outer")
-        children += below
-    return nested, children
+        grouped = _nest_group(rows.where(column(g.lead[1]).isNotNull()), keys, key_names, g, parts)
+        nested = nested.join(grouped, [*key_names, PART], "full_outer")
+    return nested
+
 
+def _part_of(spread: Column, parts: int) -> Column:
+    return F.pmod(spread, F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
 
-def _nest_groups_only(
-    rows: DataFrame, keys: list[str], key_names: list[str], node, max_items: int
-) -> tuple[DataFrame, list[DataFrame]]:
+
+def _nest_groups_only(rows: DataFrame, keys: list[str], key_names: list[str], node, parts: int) -> DataFrame:
     """A node that holds nothing but groups: the first group also carries the keys that have no child in it."""
-    nested, children = None, []
+    nested = None
     for g in node.groups:
         absent = column(g.lead[1]).isNull()
         first = nested is None
-        grouped, below = _nest_group(
-            rows if first else rows.where(~absent), keys, key_names, g, max_items, absent if first else None
-        )
-        nested = grouped if first else nested.join(grouped, [*key_names, "_part"], "full_outer")
-        children += below
-    return nested, children
+        grouped = _nest_group(rows if first else rows.where(~absent), keys, key_names, g, parts, absent if first else None)
+        nested = grouped if first else nested.join(grouped, [*key_names, PART], "full_outer")
+    return nested
 
 
 def _case(choices: list[tuple[int, Column]]) -> Column:
@@ -264,20 +236,18 @@ def _filled(s: Structs, i: int) -> Column:
 
 
 def _nest_group(
-    rows: DataFrame, keys: list[str], key_names: list[str], g: Group, max_items: int, skip: Column | None = None
-) -> tuple[DataFrame, list[DataFrame]]:
-    """(_key0.., _part, array of one struct per lead value), and the distinct children below."""
+    rows: DataFrame, keys: list[str], key_names: list[str], g: Group, parts: int, skip: Column | None = None
+) -> DataFrame:
+    """(_key0.., _part, array of one struct per lead value)."""
     lead = f"_key{len(keys)}"
-    inner, children = _nest_rows(rows, [*keys, g.lead[1]], g, max_items, skip)
-    inner = inner.withColumnRenamed("_part", "_pos")
-    # A record is sized by all that its groups hold, not by the number of groups.
+    inner = _nest_rows(rows, [*keys, g.lead[1]], g, parts, skip).withColumnRenamed(PART, "_pos")
     spread = F.when(F.col(lead).isNull(), 0).otherwise(F.xxhash64(lead, "_pos"))
-    placed = _with_part(inner, children, key_names, spread, max_items)
+    placed = inner.withColumn(PART, _part_of(spread, parts))
     fields = F.struct(column(lead).alias(g.lead[0]), *[column(n) for n in _outputs(g)])
     entry = F.struct(column(lead).alias("_lead"), F.col("_pos").alias("_pos"), fields.alias("_fields"))
     collected = F.array_sort(F.collect_list(F.when(F.col(lead).isNotNull(), entry)))
-    nested = placed.groupBy(*key_names, "_part").agg(collected.alias(g.name))
-    return nested.withColumn(g.name, null_if_empty(F.transform(column(g.name), lambda x: x["_fields"]))), children
+    nested = placed.groupBy(*key_names, PART).agg(collected.alias(g.name))
+    return nested.withColumn(g.name, null_if_empty(F.transform(column(g.name), lambda x: x["_fields"])))
 
 
 def flatten(df: DataFrame, spec: NestingSpec, split_over: int | None = None) -> DataFrame:
@@ -285,11 +255,14 @@ def flatten(df: DataFrame, spec: NestingSpec, split_over: int | None = None) ->
 
     A record without children in a branch keeps one row with NULLs there. The number of rows per record is the
     product of its branch sizes; use `flatten_branch` for the sum instead. With `split_over`, records that yield more
-    rows than that are worked on by several tasks, at the price of a shuffle of the nested records.
+    rows than that are worked on by several tasks, at the price of a shuffle of the nested records. Records that `nest` dealt
+    into parts, which a column `_part` tells, are put together first: the rows are those of undivided records.
     """
     repeated = [c for c, n in Counter([spec.key, *_node_columns(spec)]).items() if n > 1]
     if repeated:
         raise RuleError([(0, c, "a flat column can come from one branch only") for c in repeated])
+    if PART in df.columns:
+        return flatten_cut(df, spec)
     hidden = _hidden(df, spec)
     if split_over is not None:
         hidden = _spread(hidden, spec, split_over)
@@ -331,7 +304,7 @@ def _yield(items: Column, branch) -> Column:
 
 
 def flatten_cut(df: DataFrame, spec: NestingSpec) -> DataFrame:
-    """`flatten` for records that `nest` cut into parts: records of one key belong together.
+    """`flatten` for records in parts, whatever their columns say: records of one key belong together.
 
     The branches of a key are joined across its parts, so every combination is there, whichever parts hold its
     children. Costs one join per branch; AQE splits hot keys.
@@ -365,7 +338,8 @@ def flatten_branch(df: DataFrame, spec: NestingSpec, name: str) -> DataFrame:
     narrowed = NestingSpec(spec.key, (), *kept)
     if not any(kept):
         raise ValueError(f"no branch {name}")
-    return flatten(df.select(column(spec.key), column(name)), narrowed)
+    part = [column(PART)] if PART in df.columns else []
+    return flatten(df.select(column(spec.key), *part, column(name)), narrowed)
 
 
 def _branches(node):

@@ -93,17 +93,17 @@ def nest_two_level(spark, sf):
 
 @register("SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders")
 def nest_split_keys(spark, sf):
-    """A low limit, so that most customers are split into several records; together they hold every child once."""
-    nested = nest(table(spark, sf, "orders"), HISTORY, order_by="o_orderkey", max_items=3)
+    """Customers in three records each; together they hold every child once."""
+    nested = nest(table(spark, sf, "orders"), HISTORY, order_by="o_orderkey", parts=3)
     spec = NestingSpec("o_custkey", structs=HISTORY.structs)
     return flatten_branch(nested, spec, "kinds").where(F.col("o_orderstatus").isNotNull())
 
 
 @register("SELECT DISTINCT event_type, user_id FROM events")
 def nest_hot_keys(spark, sf):
-    """Five keys share the whole table; every one is written in parts of about 200 children."""
+    """Five keys share the whole table; every one is written in eight parts."""
     spec = NestingSpec("event_type", structs=(Structs("users", (("user_id", "user_id"),)),))
-    nested = nest(table(spark, sf, "events"), spec, order_by="event_id", max_items=200)
+    nested = nest(table(spark, sf, "events"), spec, order_by="event_id", parts=8)
     return flatten_branch(nested, spec, "users").where(F.col("user_id").isNotNull())
 
 
@@ -112,7 +112,7 @@ SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_t
 def nest_hot_key_sizes(spark, sf):
     """Parts of one key are disjoint, so their sizes add up."""
     spec = NestingSpec("event_type", values=(Values("users", "user_id"),))
-    nested = nest(table(spark, sf, "events"), spec, order_by="event_id", max_items=200)
+    nested = nest(table(spark, sf, "events"), spec, order_by="event_id", parts=8)
     return nested.groupBy("event_type").agg(F.sum(F.coalesce(F.size("users"), F.lit(0))).cast("bigint").alias("users"))
 
 
@@ -138,9 +138,18 @@ SELECT s.o_custkey, s.o_orderstatus, p.o_orderpriority
 FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) s JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) p
   ON s.o_custkey = p.o_custkey""")
 def flatten_cut_records(spark, sf):
-    """Records cut into parts of two children still give every combination."""
-    nested = nest(table(spark, sf, "orders"), BY_CUSTOMER, order_by="o_orderkey", max_items=2)
-    return flatten_cut(nested, BY_CUSTOMER)
+    """Records in parts still give every combination, here without the column that numbers the parts."""
+    nested = nest(table(spark, sf, "orders"), BY_CUSTOMER, order_by="o_orderkey", parts=2)
+    return flatten_cut(nested.drop("_part"), BY_CUSTOMER)
+
+
+@register("""
+SELECT s.o_custkey, s.o_orderstatus, p.o_orderpriority
+FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) s JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) p
+  ON s.o_custkey = p.o_custkey""")
+def flatten_parts_default(spark, sf):
+    """Plain `flatten` knows parts."""
+    return flatten(nest(table(spark, sf, "orders"), BY_CUSTOMER, order_by="o_orderkey", parts=4), BY_CUSTOMER)
 
 
 @register("""

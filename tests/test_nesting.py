@@ -5,7 +5,6 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from rulemill import Group, NestingSpec, RuleError, Structs, Values, flatten, flatten_branch, flatten_cut, nest
-from rulemill.operators import nesting
 from rulemill.variants.schema import VARIANT_COLUMNS, VARIANT_SPEC
 from tests.conftest import values
 
@@ -103,9 +102,11 @@ def deep_rows(spark, n=400, keys=3):
     )
 
 
-@pytest.mark.parametrize("limit", [1, 5, 40, 100_000])
-def test_split_records_hold_every_child_once(spark, limit):
-    nested = nest(deep_rows(spark), DEEP, order_by="id", max_items=limit, part_column="part").cache()
+@pytest.mark.parametrize("parts", [1, 2, 40])
+def test_records_in_parts_hold_every_child_once(spark, parts):
+    nested = nest(deep_rows(spark), DEEP, order_by="id", parts=parts)
+    assert ("_part" in nested.columns) == (parts > 1)
+    nested = (nested if parts > 1 else nested.withColumn("_part", F.lit(0))).withColumnRenamed("_part", "part").cache()
     rows = deep_rows(spark)
     assert values(nested.select("k", F.explode("vs").alias("v"))) == values(rows.select("k", "v").distinct())
     groups = nested.select("k", "part", F.inline("gs"))
@@ -113,8 +114,7 @@ def test_split_records_hold_every_child_once(spark, limit):
     assert values(groups.select("k", "g", F.explode("hs").alias("h"))) == values(rows.select("k", "g", "h").distinct())
     assert values(nested.where("part = 0").select("k", "s")) == [("0", "s"), ("1", "s"), ("2", "s")]
     assert nested.groupBy("k", "part").count().where("count > 1").count() == 0
-    if limit == 100_000:
-        assert nested.count() == 3
+    assert 3 <= nested.count() <= 3 * parts
     nested.unpersist()
 
 
@@ -124,7 +124,7 @@ def test_parts_stay_small_for_a_hot_key(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("k"), F.col("id").alias("v")
     )
     spec = NestingSpec("k", structs=(Structs("items", (("v", "v"),)),))
-    nested = nest(rows, spec, order_by="v", max_items=1000)
+    nested = nest(rows, spec, order_by="v", parts=10)
     sizes = nested.where("k = 'hot'").select(F.size("items").alias("n")).where("n > 0").agg(F.max("n"), F.sum("n")).first()
     assert sizes[0] < 1400 and sizes[1] == 10_000
 
@@ -140,7 +140,7 @@ def test_parts_stay_small_for_a_hot_key(spark):
     ],
     ids=["values", "structs", "all", "group", "bare group"],
 )
-def test_the_distinct_shuffle_is_reused_for_sizing(spark, tmp_path, spec):
+def test_one_scan_and_no_broadcast(spark, tmp_path, spec):
     path = str(tmp_path / "t")
     deep_rows(spark).write.parquet(path)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -148,7 +148,7 @@ def test_the_distinct_shuffle_is_reused_for_sizing(spark, tmp_path, spec):
         plan = nest(spark.read.parquet(path), spec, order_by="id")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert plan.count("FileScan") == 1 and "Broadcast" not in plan
 
 
 def test_specs_without_own_lists(spark, tmp_path):
@@ -161,14 +161,14 @@ def test_specs_without_own_lists(spark, tmp_path):
     assert found == {"k": ([("g", [1]), ("h", [2])], [1, 2]), "l": ([], [3])}
 
 
-@pytest.mark.parametrize("limit, scans", [(100_000, 1), (3, 1)])
-def test_groups_need_one_scan(spark, tmp_path, limit, scans):
+@pytest.mark.parametrize("parts, scans", [(1, 1), (3, 1)])
+def test_groups_need_one_scan(spark, tmp_path, parts, scans):
     path = str(tmp_path / "t")
     deep_rows(spark).write.parquet(path)
     only = NestingSpec("k", groups=DEEP.groups)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = nest(spark.read.parquet(path), only, order_by="id", max_items=limit)._jdf.queryExecution().executedPlan().toString()
+        plan = nest(spark.read.parquet(path), only, order_by="id", parts=parts)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("FileScan") == scans
@@ -177,14 +177,19 @@ def test_groups_need_one_scan(spark, tmp_path, limit, scans):
 def test_three_levels(spark):
     deep = Group("as", ("a", "a"), values=(Values("bs", "b"),))
     spec = NestingSpec("k", groups=(Group("gs", ("g", "g"), groups=(deep,)),))
-    nested = nest(deep_rows(spark), spec, order_by="id", max_items=20)
+    nested = nest(deep_rows(spark), spec, order_by="id", parts=20)
     flat = nested.select("k", F.inline("gs")).select("k", "g", F.inline("as")).select("k", "g", "a", F.explode("bs").alias("b"))
     assert values(flat) == values(deep_rows(spark).select("k", "g", "a", "b").distinct())
 
 
-def test_at_most_a_fixed_number_of_keys_is_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(nesting, "MAX_SPLIT_KEYS", 1)
-    nested = nest(deep_rows(spark), NestingSpec("k", values=(Values("vs", "v"),)), order_by="id", max_items=10)
+def test_the_number_of_parts_does_not_depend_on_the_data(spark):
+    spec = NestingSpec("k", values=(Values("vs", "v"),))
+    few = nest(deep_rows(spark, n=6), spec, order_by="id", parts=5)
+    assert few.columns == nest(deep_rows(spark), spec, order_by="id", parts=5).columns == ["k", "_part", "vs"]
+    nested = nest(deep_rows(spark), spec, order_by="id", parts=5)
+    assert {r[0] for r in nested.select("_part").collect()} == set(range(5))
+    with pytest.raises(ValueError):
+        nest(deep_rows(spark), spec, parts=0)
     assert values(nested.select("k", F.explode("vs").alias("v"))) == values(deep_rows(spark).select("k", "v").distinct())
 
 
@@ -212,16 +217,19 @@ def test_large_records_are_flattened_by_several_tasks(spark, limit):
     assert flatten(united, spec, split_over=limit).count() == flat.count()
 
 
-@pytest.mark.parametrize("limit", [1, 6, 100_000])
-def test_cut_records_flatten_to_every_combination(spark, limit):
+@pytest.mark.parametrize("parts", [1, 2, 6])
+def test_records_in_parts_flatten_to_every_combination(spark, parts):
     group = replace(DEEP.groups[0], scalars=(("flag", "flag"),), structs=(Structs("ts", (("a", "a"),)),))
     spec = NestingSpec("k", DEEP.scalars, DEEP.values, groups=(group,))
     rows = deep_rows(spark, n=60, keys=2).withColumn("flag", F.concat("k", "g"))
     bare = rows.limit(1).withColumns({"k": F.lit("bare"), "g": F.lit(None).cast("string"), "v": F.lit(None).cast("string")})
     rows = rows.unionByName(bare)
     whole = flatten(nest(rows, spec, order_by="id"), spec)
-    cut = flatten_cut(nest(rows, spec, order_by="id", max_items=limit), spec)
-    assert cut.columns == whole.columns and values(cut) == values(whole)
+    nested = nest(rows, spec, order_by="id", parts=parts)
+    for cut in (flatten(nested, spec), flatten_cut(nested, spec)):
+        assert cut.columns == whole.columns and values(cut) == values(whole)
+    one = flatten_branch(nested, spec, "vs").where("v is not null")
+    assert values(one) == values(whole.select("k", "v").where("v is not null").distinct())
 
 
 def test_slices_of_one_record_reach_several_tasks(spark):
