@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -135,8 +136,8 @@ def pattern_problem(pattern: str | None, groups: int) -> str | None:
     java = SparkSession.active()._jvm.java.util.regex
     try:
         found = java.Pattern.compile(pattern).matcher("").groupCount()
-    except Exception as refused:  # the JVM's PatternSyntaxException, through the gateway
-        reason = getattr(getattr(refused, "java_exception", None), "getDescription", lambda: "")()
+    except Exception as refused:  # the JVM's PatternSyntaxException, in the form the gateway gives it
+        reason = re.split(r" near index|\n", str(refused).removeprefix("java.util.regex.PatternSyntaxException: "))[0]
         return f"the regular expression {pattern} is not valid: {reason}"
     return f"the regular expression {pattern} has no group" if found < groups else None
 
@@ -145,8 +146,12 @@ def fill_fits(text: str | None, target: T.DataType | None) -> bool:
     """Whether a fill value can be read as the type of its column."""
     if text is None or target is None or isinstance(target, T.StringType):
         return text is not None
-    session = SparkSession.active()
-    return session.range(1).select(F.lit(text).try_cast(target).isNotNull()).first()[0]
+    return _reads_as(text, target.simpleString())
+
+
+@lru_cache(maxsize=1024)
+def _reads_as(text: str, sql_type: str) -> bool:
+    return SparkSession.active().range(1).select(F.lit(text).try_cast(sql_type).isNotNull()).first()[0]
 
 
 def check_quality(rules: list[Rule], columns: Sequence[str]) -> list[tuple[int, str, str]]:

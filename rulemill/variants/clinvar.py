@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rulemill.functions.columns import blank_to_null, null_if_empty, null_string
+from rulemill.functions.arrays import group_items
+from rulemill.functions.columns import blank_to_null, let, null_if_empty, null_string
 from rulemill.operators.merging import merge_items_ci
 from rulemill.sources.xml import children, parse_elements, read_elements
 
@@ -176,16 +177,37 @@ def interpretation(assertion: Column) -> Column:
     )
 
 
-def phenotype_names(element: Column, assertion: Column) -> Column:
-    """Names mapped to the assertion; the names it states itself if none is mapped."""
-    mapped = F.filter(
-        path(element["InterpretedRecord"]["TraitMappingList"], "TraitMapping"),
-        lambda m: m["_ClinicalAssertionID"] == assertion["_ID"],
-    )
-    stated = F.transform(
-        assertion["TraitSet"], lambda t: first_text(t["Trait"], "Name", "ElementValue")
+def named_assertions(element: Column) -> Column:
+    """array<struct<pos, item, names>>: every assertion in its order, with the names mapped to it or else those it states itself.
+
+    Mappings and assertions are put in one list that is grouped by assertion id, so that no assertion looks through all mappings.
+    """
+    assertions = path(element["InterpretedRecord"]["ClinicalAssertionList"], "ClinicalAssertion")
+    mappings = path(element["InterpretedRecord"]["TraitMappingList"], "TraitMapping")
+    none = F.get(assertions, F.lit(-1))  # a NULL of the assertions' type
+    tagged = F.concat(
+        F.coalesce(
+            F.transform(mappings, lambda m: F.struct(m["_ClinicalAssertionID"].alias("id"), F.lit(-1).alias("pos"), none.alias("item"), first(m["MedGen"])["_Name"].alias("name"))),
+            F.array(),
+        ),
+        F.transform(
+            assertions,
+            # an assertion without an id is a group of its own
+            lambda a, i: F.struct(F.coalesce(a["_ID"], F.concat(F.lit("\x00"), i.cast("string"))).alias("id"), i.alias("pos"), a.alias("item"), null_string().alias("name")),
+        ),
     )
-    return F.coalesce(null_if_empty(F.transform(mapped, lambda m: first(m["MedGen"])["_Name"])), stated)
+
+    def members(group: Column) -> Column:
+        mapped = F.transform(F.filter(group["items"], lambda t: t["pos"] < 0), lambda t: t["name"])
+
+        def with_names(t: Column) -> Column:
+            stated = F.transform(t["item"]["TraitSet"], lambda s: first_text(s["Trait"], "Name", "ElementValue"))
+            return F.struct(t["pos"].alias("pos"), t["item"].alias("item"), F.coalesce(null_if_empty(mapped), stated).alias("names"))
+
+        return F.transform(F.filter(group["items"], lambda t: t["pos"] >= 0), with_names)
+
+    grouped = group_items(tagged, lambda t: t["id"])
+    return F.array_sort(F.flatten(F.transform(grouped, members)), lambda x, y: x["pos"] - y["pos"])
 
 
 def phenotypes(element: Column) -> Column:
@@ -195,12 +217,9 @@ def phenotypes(element: Column) -> Column:
                            "author:string,origin:string>>>")
     found = F.flatten(
         F.transform(
-            path(element["InterpretedRecord"]["ClinicalAssertionList"], "ClinicalAssertion"),
+            named_assertions(element),
             lambda a: F.coalesce(
-                F.transform(
-                    phenotype_names(element, a),
-                    lambda n: F.struct(n.alias("phenotype"), interpretation(a).alias("interpretation")),
-                ),
+                let(interpretation(a["item"]), lambda i: F.transform(a["names"], lambda n: F.struct(n.alias("phenotype"), i.alias("interpretation")))),
                 none,
             ),
         )

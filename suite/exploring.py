@@ -50,8 +50,8 @@ def unique_row_ids(spark, sf):
     )
 
 
-@register("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)")
+@register("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def drop_then_keep(spark, sf):
-    """Only rows with a label are left, so no column of the labels is empty."""
-    labelled = labelled_documents(spark, sf).where("quality IS NOT NULL").select("doc_id", "quality")
+    """Some rows have a label, so only the column without any value goes."""
+    labelled = labelled_documents(spark, sf).select("doc_id", "quality")
     return drop_all_null(labelled.withColumn("note", F.lit(None).cast("string")))

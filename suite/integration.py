@@ -156,3 +156,13 @@ def integrate_sources(spark, sf):
         name="part",
     )
     return integrate([customers, parts], ["party", "kind", "origin", "code"], "KIND", "building")
+
+
+@register("""
+SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS kind, o_totalprice AS price, CAST(NULL AS INT) AS size FROM orders
+UNION ALL SELECT p_name, p_type, p_retailprice, p_size FROM part""")
+def union_mixed_types(spark, sf):
+    """A number key and a text key become text; columns that one source lacks keep the type of the other."""
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey AS key", "o_orderstatus AS kind", "o_totalprice AS price")
+    parts = table(spark, sf, "part").selectExpr("p_name AS key", "p_type AS kind", "p_retailprice AS price", "p_size AS size")
+    return unite([orders, parts])

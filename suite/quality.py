@@ -174,3 +174,17 @@ def g_violations(spark, sf):
     for n, a, m, w in LINE_CASES))
 def g_summary(spark, sf):
     return quality_summary(table(spark, sf, "lineitem"), LINE_RULES)
+
+
+BOUNDS = [("l_discount", "=", "0.05"), ("l_discount", ">=", "0.07"), ("l_tax", "<=", "0.02"), ("l_tax", "range", "(0.03, 0.05)")]
+
+
+@register(" UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, {n} AS rule_no, CAST({c} AS VARCHAR) AS value FROM lineitem WHERE "
+    + (f"CAST({c} AS FLOAT) BETWEEN CAST(0.03 AS FLOAT) AND CAST(0.05 AS FLOAT)" if o == "range" else f"CAST({c} AS FLOAT) {o} CAST({v} AS FLOAT)")
+    for n, (c, o, v) in enumerate(BOUNDS, 1)))
+def g_float_bounds(spark, sf):
+    """Text compared with float thresholds, bounds included."""
+    keyed = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(c).cast("string").alias(c) for c in ("l_discount", "l_tax")])
+    rules = [(c, "float", "no", o, v, "m") for c, o, v in BOUNDS]
+    return violations(keyed, rules, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "rule_no", "value")

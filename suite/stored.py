@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulemill import NestingSpec, Values, flatten, map_columns, nest, search
-from rulemill.operators.transform import apply_transforms
+from rulemill.operators.transform import apply_transforms, transform_problems
 from rulemill.plans.pipeline import run_query, store_run
+from rulemill.plans.rules import problems_frame, read_rules
 from rulemill.sources import sinks
-from rulemill.sources.catalog import read_folder
+from rulemill.sources.catalog import job_catalog, read_folder
 from rulemill.sources.csv import all_text, read_csv
 from rulemill.sources.storage import scratch_path
 from rulemill.sources.xml import read_elements, read_xml
@@ -21,12 +22,12 @@ from suite.registry import register, table
 from suite.variants import ORDER_RULES, order_elements, variant_rows
 
 
-@register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents WHERE lang <> 'en'")
+@register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
 def csv_roundtrip(spark, sf):
+    """Cells without line breaks, read in splits; `csv_multi_line` has the texts."""
     path = scratch_path(spark, "csv")
-    kept = table(spark, sf, "documents").where("lang <> 'en'").select("doc_id", "lang", "source")
-    sinks.write_csv(kept, path)
-    return read_csv(spark, path, columns=["doc_id", "lang", "source"])
+    sinks.write_csv(table(spark, sf, "documents").drop("text"), path)
+    return read_csv(spark, path, columns=["doc_id", "lang", "source", "n_chars"])
 
 
 @register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
@@ -57,15 +58,93 @@ def xml_file_scan(spark, sf):
     return extract_entities(read_elements(spark, path, "Order"), ORDER_RULES).select("variant_id", "variant_name")
 
 
-@register("SELECT CAST(o_orderkey AS VARCHAR) AS _key, max(o_orderstatus) AS status, CAST(count(DISTINCT l_linenumber * 100 + ascii(l_returnflag) + ascii(l_linestatus) * 100000) AS INT) AS n_lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY o_orderkey")
+@register("SELECT CAST(o_orderkey AS VARCHAR) AS _key, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) AS status, CAST(count(DISTINCT l_linenumber * 100 + ascii(l_returnflag) + ascii(l_linestatus) * 100000) AS INT) AS n_lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def xml_declared_schema(spark, sf):
     path = scratch_path(spark, "xml")
     order_elements(spark, sf).write.text(path)
     schema = "_key string, Status string, Lines struct<Line: array<struct<_number: string, _flag: string, _VALUE: string>>>"
-    orders = read_xml(spark, path, "Order", schema).where("Status IS NOT NULL")
+    orders = read_xml(spark, path, "Order", schema)
     return orders.select("_key", F.col("Status").alias("status"), F.size("Lines.Line").alias("n_lines"))
 
 
+TEXTS = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text FROM documents"
+
+
+@register(TEXTS)
+def query_result_text(spark, sf):
+    """Whole texts, with their line breaks, through a stored query result."""
+    base = scratch_path(spark, "results")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    run_query(docs, [("no", None, "doc_id", "integer", "is not null", None)], base)
+    return sinks.read_result(spark, base)
+
+
+@register(TEXTS)
+def run_stored_text(spark, sf):
+    """Whole texts through a stored run: flat table, then nested JSON."""
+    base = scratch_path(spark, "jobs")
+    info = sinks.run_metadata(spark, ["documents"], "local", ["documents.parquet"], "doc_id", "all")
+    spec = NestingSpec("doc_id", scalars=(("text", "text"),))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    result = store_run(docs, base, "01_02_2023 10_11_12", info, spec=spec, order_by="doc_id")
+    job = result.rsplit("/result/", 1)[0]
+    return spark.read.schema("doc_id string, text string").json(f"{job}/treated_file.json")
+
+
+@register("""
+WITH runs AS (SELECT n_nationkey, n_name FROM nation)
+SELECT 'job_1' AS job, '01_02_2023 10_11_12' AS stamp, '01/02/2023' AS date, '10:11:12' AS time, string_agg(n_name, ', ' ORDER BY n_name) AS sources,
+       'local' AS type, 'x.csv' AS "filenames/phenotype", 'nation' AS parameter, CAST(count(*) AS VARCHAR) AS value, 'sizes, names' AS quality_rules FROM runs""")
+def run_metadata_stored(spark, sf):
+    """The metadata of a stored run, found by the catalog of jobs."""
+    base = scratch_path(spark, "jobs")
+    names = sorted(r["n_name"] for r in table(spark, sf, "nation").select("n_name").collect())
+    info = sinks.run_metadata(spark, names, "local", ["x.csv"], "nation", str(len(names)), ["sizes", "names"])
+    sinks.write_run_metadata(info, f"{base}/job_1/result/01_02_2023 10_11_12")
+    return job_catalog(spark, base).drop("finished_at", "path")
+
+
+@register("""
+SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer""")
+def folder_many_sources(spark, sf):
+    """Twelve sources with three headers in one folder."""
+    base = scratch_path(spark, "many")
+    orders = (["key", "name", "nation"], ["nation", "key", "name"], ["name", "nation", "key"])
+    rows = table(spark, sf, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_nationkey AS nation")
+    for i in range(12):
+        sinks.write_csv(rows.where(F.pmod("key", F.lit(12)) == i).select(*orders[i % 3]), f"{base}/source {i}")
+    return read_folder(spark, base, orders[0])
+
+
+@register("""
+WITH rules AS (
+  SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_partkey % 4 AS f, p_size % 4 AS s, p_size % 3 AS r, p_size % 2 AS v, p_type, p_size FROM part
+), named AS (
+  SELECT *, CASE WHEN s = 2 THEN 'gone' WHEN f = 2 AND s = 1 THEN 'size' ELSE 'name' END AS attribute FROM rules
+)
+SELECT CAST(n AS INT) AS rule_no, attribute, message FROM (
+  SELECT n, attribute, CASE
+    WHEN attribute = 'gone' THEN 'no column gone'
+    WHEN f < 2 AND r = 1 THEN 'the regular expression (' || p_type || ' is not valid: Unclosed group'
+    WHEN f = 0 AND r = 0 THEN 'the regular expression is blank'
+    WHEN f = 1 AND r = 0 THEN 'the regular expression ' || p_type || ' has no group'
+    WHEN f = 2 AND attribute = 'size' THEN 'cannot fill int with x' || v
+    WHEN f = 3 THEN 'no column c' || p_size
+  END AS message FROM named) WHERE message IS NOT NULL""")
+def rule_problems(spark, sf):
+    """A transformation-rule table written as CSV, read back and checked, one rule per part."""
+    path = scratch_path(spark, "rules")
+    rules = table(spark, sf, "part").orderBy("p_partkey").selectExpr(
+        "CASE WHEN p_size % 4 = 2 THEN 'gone' WHEN p_partkey % 4 = 2 AND p_size % 4 = 1 THEN 'size' ELSE 'name' END AS attribute",
+        "element_at(array('replace', 'extract', 'fill na', 'use values from another attribute'), cast(p_partkey % 4 + 1 as int)) AS function",
+        "CASE WHEN p_size % 3 = 1 THEN '(' || p_type WHEN p_size % 3 = 2 THEN '(' || p_type || ')' WHEN p_partkey % 4 = 1 THEN p_type END AS `regular expression`",
+        "CASE p_partkey % 4 WHEN 2 THEN 'x' || p_size % 2 WHEN 3 THEN 'c' || p_size END AS replacement",
+    )
+    sinks.write_csv(rules, path, files=1)
+    parts = table(spark, sf, "part").selectExpr("p_name AS name", "p_size AS size")
+    return problems_frame(spark, transform_problems(parts, read_rules(spark, path, "transformation")))
+
+
 @register("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part WHERE p_size > 25 AND p_type = 'PROMO'")
 def query_result_stored(spark, sf):
     """Run a rule query, store it under the next number, read the latest back without empty columns."""
@@ -78,12 +157,12 @@ def query_result_stored(spark, sf):
 
 
 @register("""
-WITH firsts AS (SELECT o_custkey, o_orderstatus AS s, o_orderpriority AS p, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)
+WITH firsts AS (SELECT o_custkey, o_orderstatus AS s, o_orderpriority AS p, min(o_orderkey) AS pos FROM orders GROUP BY ALL)
 SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, string_agg(s || ':' || p, ',' ORDER BY s, pos) AS kinds FROM firsts GROUP BY o_custkey""")
 def result_export(spark, sf):
     """Export the latest stored result as nested JSON."""
     base, out = scratch_path(spark, "results"), scratch_path(spark, "export")
-    orders = table(spark, sf, "orders").where("o_orderstatus <> 'P'")
+    orders = table(spark, sf, "orders")
     # Fixed width, so that the order of the text is the order of the keys.
     keyed = orders.withColumn("position", F.format_string("%020d", "o_orderkey"))
     sinks.write_numbered_csv(keyed.select("o_custkey", "o_orderstatus", "o_orderpriority", "position"), base)

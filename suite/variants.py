@@ -103,24 +103,24 @@ def release_variants(spark, sf):
     return derive_attributes(flatten(records, VARIANT_SPEC)).select(*[F.col(f"`{c}`") for c in SHOWN])
 
 
-@register(f"SELECT variant_id, phenotype, level_certainty FROM ({RELEASE_SQL}) WHERE phenotype = 'Trait 3' AND hgvs IS NULL AND (assembly IS NULL OR assembly = 'GRCh38')")
+@register(f"SELECT variant_id, phenotype, level_certainty FROM ({RELEASE_SQL}) WHERE phenotype = 'Trait 3'")
 def release_of_phenotype(spark, sf):
     records = of_phenotype(extract_variants(release_elements(spark, sf)), "trait, 3")
     flat = derive_attributes(flatten(records, VARIANT_SPEC))
-    return flat.where("hgvs IS NULL AND (assembly IS NULL OR assembly = 'GRCh38')").select("variant_id", "phenotype", "level_certainty")
+    return flat.select("variant_id", "phenotype", "level_certainty")
 
 
 @register("""
 SELECT 'v' || l_orderkey AS variant_id, 'GRCh' || (35 + l_linenumber) AS assembly,
-       CASE WHEN l_linenumber < 5 THEN r_name END AS assembly_date
-FROM lineitem LEFT JOIN region ON l_linenumber - 1 = r_regionkey AND l_linenumber < 5""")
+       r_name AS assembly_date
+FROM lineitem LEFT JOIN region ON l_linenumber - 1 = r_regionkey""")
 def assembly_dates(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.concat(F.lit("v"), "l_orderkey").alias("variant_id"),
         F.concat(F.lit("GRCh"), (F.col("l_linenumber") + 35).cast("string")).alias("assembly"),
         F.lit(None).cast("string").alias("assembly_date"),
     )
-    dates = table(spark, sf, "region").where("r_regionkey < 4").select(
+    dates = table(spark, sf, "region").select(
         F.concat(F.lit("GRCh"), (F.col("r_regionkey") + 36).cast("string")).alias("assembly"), F.col("r_name").alias("assembly_date")
     )
     return with_assembly_dates(lines, dates)

@@ -125,3 +125,21 @@ def test_assembly_dates(spark, text_frame):
     dated = with_assembly_dates(flat, text_frame(["assembly", "assembly_date"], [("GRCh38", "2013/12/17")]))
     assert dated.columns == flat.columns
     assert values(dated, "variant_id", "assembly_date") == [("u", None), ("v", "2013/12/17"), ("w", None)]
+
+
+def test_many_assertions_are_read_in_linear_time(spark, tmp_path):
+    import time
+
+    def seconds(n):
+        given = "".join(f'<ClinicalAssertion ID="{i}"><ReviewStatus>r{i}</ReviewStatus></ClinicalAssertion>' for i in range(n))
+        mapped = "".join(f'<TraitMapping ClinicalAssertionID="{n - 1 - i}"><MedGen Name="t{i}"/></TraitMapping>' for i in range(n))
+        record = f'<VariationArchive VariationID="1"><InterpretedRecord><SimpleAllele/><ClinicalAssertionList>{given}</ClinicalAssertionList><TraitMappingList>{mapped}</TraitMappingList></InterpretedRecord></VariationArchive>'
+        (tmp_path / f"r{n}").write_text(record.replace("><", "> <"))
+        started = time.perf_counter()
+        rows = extract_variants(read_elements(spark, str(tmp_path / f"r{n}"), "VariationArchive")).select(F.inline("phenotypes")).collect()
+        assert [r["phenotype"] for r in rows] == [f"t{n - 1 - i}" for i in range(n)]
+        assert [r["interpretation"][0]["level_certainty"] for r in rows] == [f"r{i}" for i in range(n)]
+        return time.perf_counter() - started
+
+    seconds(500)
+    assert seconds(5000) < 60
