@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 # Attribute fields carry this prefix in a parsed element, and element text this name.
 ATTRIBUTE_PREFIX, TEXT_FIELD = "_", "_VALUE"
 
+_CORRUPT = "_corrupt_record"
 _OPTIONS = {"attributePrefix": ATTRIBUTE_PREFIX, "valueTag": TEXT_FIELD}
 
 
@@ -47,18 +48,33 @@ def read_elements(
     return chunks.select(F.explode(whole).alias("xml"), F.col("_metadata.file_path").alias("path"))
 
 
+def _parsed(xml: Column, schema: T.StructType) -> Column:
+    """The element as a struct with the field `_corrupt_record`, filled where it is malformed. Comments are no text."""
+    plain = F.when(xml.contains("<!--"), F.regexp_replace(xml, r"(?s)<!--.*?-->", "")).otherwise(xml)
+    return F.from_xml(plain, T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]), _OPTIONS)
+
+
 def parse_elements(elements: DataFrame, schema: T.StructType | str, name: str = "element") -> DataFrame:
     """Add the element parsed into a declared struct. Declare repeatable children as arrays.
 
+    Malformed elements are left out; `malformed_elements` lists them. White space around a text is not part of it.
     The struct comes out of a one-element explode: filters on it are not pushed below, where each would parse again.
     """
-    return elements.select("*", F.explode(F.array(F.from_xml(F.col("xml"), schema, _OPTIONS))).alias(name))
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = elements.select("*", F.explode(F.array(_parsed(F.col("xml"), declared))).alias(name))
+    return parsed.where(F.col(name).getField(_CORRUPT).isNull())
+
+
+def malformed_elements(elements: DataFrame) -> DataFrame:
+    """The (xml, path) rows that are not well-formed XML."""
+    parsed = elements.select("*", F.explode(F.array(_parsed(F.col("xml"), T.StructType()))).alias("_element"))
+    return parsed.where(F.col("_element").getField(_CORRUPT).isNotNull()).drop("_element")
 
 
 def read_xml(spark: SparkSession, paths: str | Sequence[str], row_tag: str, schema: T.StructType | str) -> DataFrame:
     """One row per element, its declared fields as columns. No schema inference."""
     parsed = parse_elements(read_elements(spark, paths, row_tag), schema)
-    return parsed.select("element.*")
+    return parsed.select("element.*").drop(_CORRUPT)
 
 
 def field(parent: Column, name: str) -> Column:

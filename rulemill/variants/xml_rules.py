@@ -1,19 +1,16 @@
 """Nested records out of any XML, driven by mapping rules.
 
 The paths of the rules say which elements and attributes are needed. They become a declared `from_xml` schema, and
-the rules become expressions on the parsed struct. Paths that a declared schema cannot follow (descendants,
-wildcards, parents) are evaluated by a Pandas UDF instead, one element at a time.
+the rules become expressions on the parsed struct. A path that begins with a descendant step, `.//Tag`, is resolved against the
+paths by which other rules reach such a tag; paths that need more than that are rule errors.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rulemill.functions.columns import blank_to_null, null_if_empty, null_string
@@ -34,6 +31,7 @@ VARIANT_CLASSES = {
 }
 ENTITY_CLASS = "variation"
 VALUE_MARK = "<value>"
+DESCENDANT = ".//"
 
 
 class UnsupportedPath(ValueError):
@@ -81,6 +79,13 @@ def steps_of(path: str) -> tuple[Step, ...]:
     return tuple(steps)
 
 
+def _steps_of_rule(rule: Rule, path: str) -> tuple[Step, ...]:
+    try:
+        return steps_of(path)
+    except UnsupportedPath:
+        raise RuleError([(rule["rule_no"], rule["elementName"], f"the path {rule['XPath']} needs more than child steps")]) from None
+
+
 # --- declared schema --------------------------------------------------------------------------
 
 
@@ -116,7 +121,27 @@ class RuleSet:
 
     def __init__(self, rules: Rules, correlated: Sequence[str] = ()):
         self.correlated = set(correlated)
-        self.rules = [{k: ("" if v is None else v) for k, v in r.items()} for r in as_rules(rules, "xml_mapping")]
+        listed = [{k: ("" if v is None else v) for k, v in r.items()} for r in as_rules(rules, "xml_mapping")]
+        places: dict[str, set[tuple[str, ...]]] = {}
+        for rule in listed:
+            if rule["XPath"] and not rule["XPath"].startswith(DESCENDANT):
+                tags = tuple(s.tag for s in _steps_of_rule(rule, rule["XPath"]))
+                for n in range(1, len(tags) + 1):
+                    places.setdefault(f"{rule['rootName']}/{tags[n - 1]}", set()).add(tags[:n])
+        self.rules = [resolved for rule in listed for resolved in self._resolved(rule, places)]
+
+    def _resolved(self, rule: Rule, places: dict[str, set[tuple[str, ...]]]) -> list[Rule]:
+        """The rule with child steps only: one rule for every place where its descendant is known to stand."""
+        if not rule["XPath"].startswith(DESCENDANT):
+            return [rule]
+        rest = rule["XPath"][len(DESCENDANT):]
+        tag = _steps_of_rule(rule, "./" + rest)[0].tag
+        found = sorted(places.get(f"{rule['rootName']}/{tag}", ()))
+        if not found:
+            raise RuleError([(rule["rule_no"], rule["elementName"], f"no other rule says where {tag} stands in {rule['rootName']}")])
+        if len(found) > 1 and rule["elementName"] not in self.correlated:
+            raise RuleError([(rule["rule_no"], rule["elementName"], f"{tag} stands in several places of {rule['rootName']}")])
+        return [rule | {"XPath": "/".join([".", *tags[:-1], rest])} for tags in found]
 
     def nodes(self, class_name: str) -> list[Rule]:
         return [r for r in self.rules if r["elementName"] == class_name and r["attrName"] == "" and r["XPath"]]
@@ -288,10 +313,7 @@ def extract_entities(
     """Nested records from (xml, ...) rows by mapping rules; a list without nodes is NULL."""
     classes = classes or VARIANT_CLASSES
     rule_set = RuleSet(rules, [classes[b.name] for g in spec.groups for b in (*g.values, *g.structs, *g.groups)])
-    try:
-        shape = rule_set.shape()
-    except UnsupportedPath:
-        return _extract_with_paths(elements, rule_set, spec, classes)
+    shape = rule_set.shape()
     compiler = _Compiler(rule_set, classes)
     element, tag = F.col("element"), compiler.row_tag
     parsed = parse_elements(elements, shape.struct())
@@ -314,93 +336,3 @@ def read_by_rules(
     tag = row_tag or RuleSet([tuple(r.values())[1:] for r in listed]).row_tag()
     elements = read_elements(spark, paths, tag, encoding)
     return extract_entities(elements, [tuple(r.values())[1:] for r in listed], spec)
-
-
-# --- paths beyond a declared schema -----------------------------------------------------------
-
-
-def _extract_with_paths(
-    elements: DataFrame, rule_set: RuleSet, spec: NestingSpec, classes: dict[str, str]
-) -> DataFrame:
-    evaluate = _element_evaluator(rule_set, spec, classes)
-
-    @F.pandas_udf("string")
-    def as_json(xml: pd.Series) -> pd.Series:
-        return xml.map(lambda text: json.dumps(evaluate(ElementTree.fromstring(text))))
-
-    record = F.from_json(as_json("xml"), record_type(spec))
-    # A generator for the reason given in parse_elements.
-    return elements.select(F.explode(F.array(record)).alias("record")).select("record.*")
-
-
-def _outline(branch, classes: dict[str, str]) -> dict:
-    """A branch as plain data: executors need not have this package installed."""
-    outline = {"name": branch.name, "class": classes[branch.name], "single": isinstance(branch, Values)}
-    outline["fields"] = [f.name for f in _field_types(branch)]
-    outline["inner"] = (
-        [_outline(b, classes) for b in (*branch.values, *branch.structs, *branch.groups)]
-        if isinstance(branch, Group) else []
-    )
-    return outline
-
-
-def _field_types(branch) -> list[T.StructField]:
-    kind = _branch_type(branch).elementType
-    return [f for f in kind if f.dataType == T.StringType()] if isinstance(kind, T.StructType) else []
-
-
-def _element_evaluator(rule_set: RuleSet, spec: NestingSpec, classes: dict[str, str]):
-    """The same rules as a function of one ElementTree element."""
-    by_class: dict[str, list[Rule]] = {}
-    for rule in rule_set.rules:
-        by_class.setdefault(rule["elementName"], []).append(rule)
-    scalars = [spec.key, *[n for n, _ in spec.scalars]]
-    branches = [_outline(b, classes) for b in (*spec.values, *spec.structs, *spec.groups)]
-    entity, mark, correlated = ENTITY_CLASS, VALUE_MARK, rule_set.correlated
-
-    def value_of(class_name: str, attr: str, node) -> str | None:
-        for rule in by_class.get(class_name, []):
-            if rule["attrName"] != attr:
-                continue
-            if rule["FixedValue"]:
-                return rule["FixedValue"]
-            target = node if node.tag == rule["rootName"] else None
-            if target is not None and rule["XPath"]:
-                target = target.find(rule["XPath"])
-            found = None
-            if target is not None:
-                found = target.get(rule["rootAttr"]) if rule["rootAttr"] else target.text
-            if found:
-                return found
-        return None
-
-    def node_lists(class_name: str, root, holder) -> list[list]:
-        lists = []
-        for rule in by_class.get(class_name, []):
-            if rule["attrName"] or not rule["XPath"]:
-                continue
-            path = rule["XPath"]
-            if rule["ConditionValue"]:
-                value = value_of(rule["ConditionValue"], "", holder)
-                path = path.replace(mark, value) if value is not None else None
-            if path and (rule["rootName"] == root.tag or class_name in correlated):
-                lists.append(root.findall(path))
-        return lists
-
-    def entry(branch: dict, node, root):
-        if branch["single"]:
-            return value_of(branch["class"], branch["class"], node)
-        built = {n: value_of(branch["class"], n, node) for n in branch["fields"]}
-        for inner in branch["inner"]:
-            lists = node_lists(inner["class"], root, node)
-            built[inner["name"]] = [entry(inner, n, root) for nodes in lists for n in nodes] or None
-        return built
-
-    def record(root) -> dict:
-        built = {n: value_of(entity, n, root) for n in scalars}
-        for branch in branches:
-            nodes = next((found for found in node_lists(branch["class"], root, root) if found), [])
-            built[branch["name"]] = [entry(branch, n, root) for n in nodes] or None
-        return built
-
-    return record

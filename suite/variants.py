@@ -296,7 +296,7 @@ def xml_correlated(spark, sf):
 
 @register(CORRELATED)
 def xml_descendant_paths(spark, sf):
-    """The same with a descendant path, which needs the element-wise evaluation."""
+    """The same with a descendant path, resolved by the path of another rule."""
     deep = [tuple(".//Line[@flag='<value>']" if v == "./Lines/Line[@flag='<value>']" else v for v in r) for r in ORDER_RULES]
     records = extract_entities(order_elements(spark, sf), deep)
     kinds = records.select("variant_id", F.inline("phenotypes")).select("variant_id", "phenotype", F.inline("interpretation"))

@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill import flatten
-from rulemill.sources.xml import read_elements, read_xml
+from rulemill.sources.xml import malformed_elements, read_elements, read_xml
 from rulemill.variants.schema import VARIANT_SPEC
+from rulemill.plans.rules import RuleError
 from rulemill.variants.xml_rules import RuleSet, UnsupportedPath, read_by_rules, steps_of
 from tests.conftest import values
 
@@ -29,8 +30,8 @@ RULES = [
     ("hgvs", "", "./Deep/H", "Variant", "", "", ""), ("hgvs", "hgvs", "", "H", "", "", ""),
     ("databank", "", "./Name", "Variant", "", "", ""), ("databank", "name", "", "Name", "", "", "MyBank"),
 ]
-# The same with a path that a declared schema cannot follow.
-DEEP_RULES = [tuple(".//H" if v == "./Deep/H" else v for v in r) for r in RULES]
+# The same with a descendant path; another rule says where the tag stands.
+DEEP_RULES = [tuple(".//H" if v == "./Deep/H" else v for v in r) for r in RULES] + [("hgvs", "", "./Deep/H", "Variant", "", "", "")]
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +123,30 @@ def test_path_tests_agree_with_element_tree(spark, tmp_path, path, expected):
     (tmp_path / "x.xml").write_text(text)
     rules = [("variation", "", "./V", "R", "", "", ""), ("gene", "", path, "V", "", "", ""), ("gene", "gene", "", "L", "", "", "")]
     assert read_by_rules(spark, str(tmp_path / "x.xml"), rules).first().genes == (expected or None)
+
+
+def test_paths_that_cannot_be_followed_name_their_rule(spark, document):
+    for path, message in ((".//H", "no other rule"), ("./A/..", "child steps"), (".//*", "child steps")):
+        rules = [tuple(path if v == "./Deep/H" else v for v in r) for r in RULES]
+        with pytest.raises(RuleError, match=message) as error:
+            read_by_rules(spark, document, rules)
+        assert error.value.problems[0][0] == 1 + RULES.index(("hgvs", "", "./Deep/H", "Variant", "", "", ""))
+    several = [*DEEP_RULES, ("hgvs", "", "./Other/H", "Variant", "", "", "")]
+    with pytest.raises(RuleError, match="several places"):
+        RuleSet(several)
+
+
+def test_no_python_in_the_plan(spark, document):
+    plan = read_by_rules(spark, document, DEEP_RULES)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_comments_and_malformed_elements(spark, tmp_path):
+    (tmp_path / "x.xml").write_text('<R><V id="1"><T>t<!-- c -->u</T></V><V id="2"><T>x</V><V id="3"><T> y </T><!-- <T>no</T> --></V></R>')
+    elements = read_elements(spark, str(tmp_path / "x.xml"), "V")
+    found = read_xml(spark, str(tmp_path / "x.xml"), "V", "_id string, T string")
+    assert sorted(map(tuple, found.collect())) == [("1", "tu"), ("3", "y")]
+    assert [r["xml"] for r in malformed_elements(elements).collect()] == ['<V id="2"><T>x</V>']
+    rules = [("variation", "", "./V", "R", "", "", ""), ("variation", "variant_id", "", "V", "id", "", ""), ("gene", "", "./T", "V", "", "", ""), ("gene", "gene", "", "T", "", "", "")]
+    records = read_by_rules(spark, str(tmp_path / "x.xml"), rules)
+    assert sorted((r["variant_id"], r["genes"]) for r in records.collect()) == [("1", ["tu"]), ("3", ["y"])]
