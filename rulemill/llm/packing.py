@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rulemill.functions.columns import column
 from rulemill.llm.common import id_and_text, map_rows, written
 from rulemill.llm.tokens import encoded
 
@@ -182,13 +183,13 @@ def _packed(items: DataFrame, capacity: int, seed: int, blocks: int) -> DataFram
 
 
 def _placed(packed: DataFrame, level: int) -> DataFrame:
-    """One row per piece: its row, its sequence, its offset there, and how full the sequence is."""
+    """One row per piece: its row, its sequence, its offset there, and how full the sequence is, `__filled`."""
     bins = packed.select("block", "items", F.posexplode("groups").alias("bin", "members"))
     rows = bins.select("block", "bin", F.transform("members", lambda m: F.get("items", m)).alias("rows"))
     ends = F.transform("rows", lambda r, i: F.aggregate(F.slice("rows", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["length"]))
     rows = rows.withColumn("at", ends).withColumn("filled", F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
     sequence = (F.lit(level).cast("long") * F.lit(1 << 61)).bitwiseOR(F.shiftleft(F.col("block"), 24)).bitwiseOR(F.col("bin").cast("long"))
-    return rows.select(sequence.alias("sequence_id"), "filled", F.explode(F.arrays_zip("rows", "at")).alias("p")).select("p.rows.*", "sequence_id", F.col("p.at").alias("offset"), "filled")
+    return rows.select(sequence.alias("sequence_id"), "filled", F.explode(F.arrays_zip("rows", "at")).alias("p")).select("p.rows.*", "sequence_id", F.col("p.at").alias("offset"), F.col("filled").alias("__filled"))
 
 
 def pack(items: DataFrame, capacity: int, seed: int = 0, block_pieces: int = BLOCK_PIECES) -> DataFrame:
@@ -201,7 +202,7 @@ def pack(items: DataFrame, capacity: int, seed: int = 0, block_pieces: int = BLO
     """
     kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
     bad = F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity)
-    rows = items.select(F.struct(*kept, F.monotonically_increasing_id().alias("__place")).alias("row"), F.when(bad, F.raise_error(F.lit("a length does not fit a sequence"))).otherwise(F.col("length")).alias("length"))
+    rows = items.select(F.struct(*map(column, kept), F.monotonically_increasing_id().alias("__place")).alias("row"), F.when(bad, F.raise_error(F.lit("a length does not fit a sequence"))).otherwise(F.col("length")).alias("length"))
     rows = written(rows, "packing-rows")
     whole = rows.filter(F.col("length") == capacity).select("row.*", (F.lit(1 << 62).cast("long") + F.col("row.__place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     parts = rows.filter(F.col("length") < capacity).select("row")
@@ -209,13 +210,13 @@ def pack(items: DataFrame, capacity: int, seed: int = 0, block_pieces: int = BLO
     for level in range(2):
         n = parts.count()
         placed = written(_placed(_packed(parts, capacity, seed + level, -(-n // block_pieces) or 1), level), "packing-placed")
-        again = F.col("filled") < LEAST_FILL * capacity if level == 0 else F.lit(False)
-        out.append(placed.filter(~again).drop("filled"))
-        parts = placed.filter(again).select(F.struct(*kept, "__place").alias("row"))
+        again = F.col("__filled") < LEAST_FILL * capacity if level == 0 else F.lit(False)
+        out.append(placed.filter(~again).drop("__filled"))
+        parts = placed.filter(again).select(F.struct(*map(column, kept), "__place").alias("row"))
     united = out[0]
     for more in out[1:]:
         united = united.unionByName(more)
-    return united.select(*kept, "sequence_id", "offset")
+    return united.select(*map(column, kept), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

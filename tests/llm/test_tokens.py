@@ -86,6 +86,14 @@ def test_a_length_that_fits_nowhere_is_an_error(spark):
         packing.pack(spark.createDataFrame([(1, 300)], "doc_id long, length long"), 256)
 
 
+def test_columns_of_the_input_keep_their_names(spark):
+    names = ["doc_id", "length", "filled", "at", "block", "bin", "items", "row", "rows", "offset", "sequence_id", "a b", "groups"]
+    rows = spark.createDataFrame([(i % 5, 40 + i, *range(11)) for i in range(30)], ", ".join(f"`{n}` long" for n in names))
+    out = packing.pack(rows, 256, block_pieces=7)
+    assert out.columns == [n for n in names if n not in ("offset", "sequence_id")] + ["sequence_id", "offset"]
+    assert sorted(r["length"] for r in out.collect()) == list(range(40, 70)) and {r["filled"] for r in out.collect()} == {0}
+
+
 def test_search_beats_or_equals_best_fit():
     rng = np.random.default_rng(3)
     for _ in range(5):
