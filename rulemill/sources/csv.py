@@ -44,6 +44,15 @@ def with_source_path(df: DataFrame, name: str = "path") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_path"))
 
 
+def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Where every row of a file scan stands: path, offset of its split, and place in it. Unique per row, in the order of the files' names.
+
+    Spark packs files by size, so the order in which rows are read says nothing across files; this does. Pass it as `order_by`.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, place)
+
+
 def read_run_metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All run-metadata files in one read, with the path each row came from."""
     return with_source_path(read_csv(spark, paths, sep=METADATA_SEP, columns=RUN_COLUMNS))
@@ -70,5 +79,5 @@ def all_text(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "DATA_SEP", "METADATA_SEP", "RUN_COLUMNS", "all_text", "read_csv", "read_rules", "read_run_metadata",
-    "rule_column", "text_schema", "with_source_path",
+    "rule_column", "text_schema", "with_file_position", "with_source_path",
 ]

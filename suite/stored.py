@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulemill import NestingSpec, Values, flatten, map_columns, nest, search
+from rulemill import NestingSpec, Structs, Values, flatten, map_columns, nest, search
 from rulemill.operators.transform import apply_transforms, transform_problems
 from rulemill.plans.pipeline import run_query, store_run
 from rulemill.plans.rules import problems_frame, read_rules
 from rulemill.sources import sinks
 from rulemill.sources.catalog import job_catalog, read_folder
-from rulemill.sources.csv import all_text, read_csv
+from rulemill.sources.csv import all_text, read_csv, with_file_position
 from rulemill.sources.storage import scratch_path
 from rulemill.sources.xml import read_elements, read_xml
 from rulemill.streaming.files import process_available, stream_parquet
@@ -116,6 +116,23 @@ def folder_many_sources(spark, sf):
     return read_folder(spark, base, orders[0])
 
 
+@register("""
+WITH placed AS (
+  SELECT o_custkey, o_orderpriority AS p, CASE WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 10 < 4 THEN 1 ELSE 2 END * 1000000000000 + o_orderkey AS pos FROM orders
+), firsts AS (SELECT o_custkey, p, min(pos) AS pos FROM placed GROUP BY ALL)
+SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, arg_max(p, pos) AS last_priority, string_agg(p, ',' ORDER BY pos) AS priorities FROM firsts GROUP BY o_custkey""")
+def nest_files_order(spark, sf):
+    """Three CSV sources, each larger than the one before; their names say which comes first."""
+    base = scratch_path(spark, "ordered")
+    orders = table(spark, sf, "orders")
+    for i, mine in enumerate(("o_orderkey % 10 = 0", "o_orderkey % 10 BETWEEN 1 AND 3", "o_orderkey % 10 > 3")):
+        sinks.write_csv(orders.where(mine).orderBy("o_orderkey").select("o_orderkey", "o_custkey", "o_orderpriority"), f"{base}/source-{i}", files=1)
+    rows = with_file_position(read_csv(spark, [f"{base}/source-{i}" for i in range(3)], columns=["o_orderkey", "o_custkey", "o_orderpriority"]))
+    spec = NestingSpec("o_custkey", scalars=(("last_priority", "o_orderpriority"),), structs=(Structs("kinds", (("p", "o_orderpriority"),)),))
+    nested = nest(rows, spec, order_by="position")
+    return nested.select("o_custkey", "last_priority", F.array_join(F.transform("kinds", lambda k: k["p"]), ",").alias("priorities"))
+
+
 @register("""
 WITH rules AS (
   SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_partkey % 4 AS f, p_size % 4 AS s, p_size % 3 AS r, p_size % 2 AS v, p_type, p_size FROM part
