@@ -119,8 +119,8 @@ class Shape:
 class RuleSet:
     """XML mapping rules, by class. Nodes of a `correlated` class are always found from the entity element."""
 
-    def __init__(self, rules: Rules, correlated: Sequence[str] = ()):
-        self.correlated = set(correlated)
+    def __init__(self, rules: Rules, correlated: Sequence[str] = (), row: int = 0):
+        self.correlated, self.row = set(correlated), row
         listed = [{k: ("" if v is None else v) for k, v in r.items()} for r in as_rules(rules, "xml_mapping")]
         places: dict[str, set[tuple[str, ...]]] = {}
         for rule in listed:
@@ -153,7 +153,10 @@ class RuleSet:
         found = self.nodes(ENTITY_CLASS)
         if not found:
             raise RuleError([(0, ENTITY_CLASS, "no rule says which element holds an entity")])
-        return found[0]
+        return found[self.row]
+
+    def row_alternatives(self) -> int:
+        return len(self.nodes(ENTITY_CLASS))
 
     def row_tag(self) -> str:
         return steps_of(self.row_rule()["XPath"])[-1].tag
@@ -308,11 +311,11 @@ def record_type(spec: NestingSpec) -> T.StructType:
 
 
 def extract_entities(
-    elements: DataFrame, rules: Rules, spec: NestingSpec = VARIANT_SPEC, classes: dict[str, str] | None = None
+    elements: DataFrame, rules: Rules, spec: NestingSpec = VARIANT_SPEC, classes: dict[str, str] | None = None, row: int = 0
 ) -> DataFrame:
-    """Nested records from (xml, ...) rows by mapping rules; a list without nodes is NULL."""
+    """Nested records from (xml, ...) rows by mapping rules; a list without nodes is NULL. `row` says which rule for entities counts."""
     classes = classes or VARIANT_CLASSES
-    rule_set = RuleSet(rules, [classes[b.name] for g in spec.groups for b in (*g.values, *g.structs, *g.groups)])
+    rule_set = RuleSet(rules, [classes[b.name] for g in spec.groups for b in (*g.values, *g.structs, *g.groups)], row)
     shape = rule_set.shape()
     compiler = _Compiler(rule_set, classes)
     element, tag = F.col("element"), compiler.row_tag
@@ -331,8 +334,12 @@ def read_by_rules(
     spark: SparkSession, paths: str | Sequence[str], rules: Rules, row_tag: str | None = None,
     spec: NestingSpec = VARIANT_SPEC, encoding: str = "UTF-8",
 ) -> DataFrame:
-    """Nested records of XML files by mapping rules."""
-    listed = as_rules(rules, "xml_mapping")
-    tag = row_tag or RuleSet([tuple(r.values())[1:] for r in listed]).row_tag()
-    elements = read_elements(spark, paths, tag, encoding)
-    return extract_entities(elements, [tuple(r.values())[1:] for r in listed], spec)
+    """Nested records of XML files by mapping rules. Of several rules for entities, the first that finds any counts."""
+    listed = [tuple(r.values())[1:] for r in as_rules(rules, "xml_mapping")]
+    last = max(0, RuleSet(listed).row_alternatives() - 1)
+    for row in range(last + 1):
+        tag = row_tag or RuleSet(listed, row=row).row_tag()
+        records = extract_entities(read_elements(spark, paths, tag, encoding), listed, spec, row=row)
+        # stops at the first record
+        if row == last or not records.isEmpty():
+            return records

@@ -12,9 +12,9 @@ from rulemill.sources import sinks
 from rulemill.sources.catalog import job_catalog, read_folder
 from rulemill.sources.csv import all_text, read_csv, with_file_position
 from rulemill.sources.storage import scratch_path
-from rulemill.sources.xml import read_elements, read_xml
+from rulemill.sources.xml import malformed_elements, read_elements, read_xml
 from rulemill.streaming.files import process_available, stream_parquet
-from rulemill.variants.xml_rules import extract_entities
+from rulemill.variants.xml_rules import extract_entities, read_by_rules
 from suite.integration import CUSTOMER_PARTY, PARTY_SCHEMA, SUPPLIER_PARTY
 from suite.nested import BY_CUSTOMER, HISTORY
 from suite.quality import RULE_SETS
@@ -67,6 +67,28 @@ def xml_declared_schema(spark, sf):
     return orders.select("_key", F.col("Status").alias("status"), F.size("Lines.Line").alias("n_lines"))
 
 
+@register("SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS variant_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 0 THEN 'N' || o_orderkey END AS variant_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def xml_row_alternatives(spark, sf):
+    """Two rules say what an entity is; only the second one finds any."""
+    path = scratch_path(spark, "xml")
+    order_elements(spark, sf).write.text(path)
+    return read_by_rules(spark, path, [("variation", "", "./Case", "Orders", "", "", ""), *ORDER_RULES]).select("variant_id", "variant_name")
+
+
+@register("""
+SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, o_orderkey % 5 = 0 AS malformed
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def xml_malformed(spark, sf):
+    """Every fifth order lacks a closing tag: it is left out of the records, and listed."""
+    path = scratch_path(spark, "xml")
+    cut = F.regexp_extract("xml", 'key="([0-9]+)"', 1)
+    broken = F.when(cut.cast("long") % 5 == 0, F.replace("xml", F.lit("</Lines>"))).otherwise(F.col("xml"))
+    order_elements(spark, sf).select(broken.alias("xml")).write.text(path)
+    read = read_xml(spark, path, "Order", "_key string, Status string").select(F.col("_key").alias("key"), F.col("Status").alias("status"), F.lit(False).alias("malformed"))
+    listed = malformed_elements(read_elements(spark, path, "Order"))
+    return read.unionByName(listed.select(cut.alias("key"), F.lit(None).cast("string").alias("status"), F.lit(True).alias("malformed")))
+
+
 TEXTS = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text FROM documents"
 
 
