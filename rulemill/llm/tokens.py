@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in each of the two generations of a worker's cache.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Bytes of text that are encoded at once, unless one text is longer.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: White space other than blanks and line feeds, and the mark used for cutting.
 _ODD_SPACE = "[\x00\x01\t\r\x0b\x0c\x1c-\x1f\u0085   -     　]"
@@ -146,3 +146,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         for a, b in zip(edges, edges[1:]):
             if a < b:
                 yield (batch.column(0).slice(a, b - a).to_pylist(), *codec.encode(batch.column(1).slice(a, b - a), end_id))
+    pa.default_memory_pool().release_unused()  # the worker lives on beside later tasks
