@@ -126,22 +126,24 @@ def _little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder for a worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, cache_pieces) not in _ENCODERS:
+        _ENCODERS[path, cache_pieces] = Encoder(path, cache_pieces)
+    return _ENCODERS[path, cache_pieces]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def encoded(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, cache_pieces: int = CACHE_PIECES, batch_bytes: int = BATCH_BYTES
+) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Batches of (id, text) -> (ids of documents, token ids, where each document ends), a bounded amount of text at a time."""
-    codec = encoder(path)
+    codec = encoder(path, cache_pieces)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+        group = np.cumsum(sizes, dtype=np.int64) // batch_bytes
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             if a < b:
