@@ -136,12 +136,25 @@ def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     return _ENCODERS[path, cache_pieces]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they hold `batch_bytes`."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= batch_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(
     batches: Iterator[pa.RecordBatch], path: str, end_id: int, cache_pieces: int = CACHE_PIECES, batch_bytes: int = BATCH_BYTES
 ) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Batches of (id, text) -> (ids of documents, token ids, where each document ends), a bounded amount of text at a time."""
     codec = encoder(path, cache_pieces)
-    for batch in batches:
+    for batch in _gathered(batches, batch_bytes):
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes, dtype=np.int64) // batch_bytes
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
