@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash fingerprints that are compared in bit planes.
+"""Near duplicates by SimHash fingerprints that are compared in bit planes, and by shingle sets that such bits propose.
 
 Fingerprints that differ in few bits agree on some block of bits. Rows that agree on a block meet in one group; there bit j
 of 64 fingerprints stands in one word, so one operation works on 64 distances. Distances are counted by carry-save
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from rulemill.functions.columns import column
-from rulemill.llm.common import as_batch, id_and_text, map_rows, schema_of, written
+from rulemill.llm.common import as_batch, bounded_batches, id_and_text, map_rows, schema_of, written
 from rulemill.llm.components import connected_components
 
 HASH_SEED = 42
@@ -34,8 +34,10 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
 
     The hash of lane 0 is XXH64 with seed 42; those of further lanes are mixed from it.
     """
-    if not words:
-        return [0] * lanes
+    return majority(_hashes(words, shingle), lanes) if words else [0] * lanes
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -43,7 +45,12 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist())
     digest = xxhash.xxh64_intdigest
-    first = np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], np.uint64)
+
+
+def majority(first: np.ndarray, lanes: int) -> list[int]:
+    """`lanes` words of the bits that are set in over half of the hashes, which are those of lane 0."""
+    n = len(first)
     counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, n, 255):  # a byte holds 255 counts
         part = np.broadcast_to(first[at : at + 255], (lanes, len(first[at : at + 255]))).copy()
@@ -192,6 +199,19 @@ def links(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[in
         return F.xxhash64(F.lit(number), *parts)
 
     keyed = prints.select("node", *names, F.explode(F.array(*[key_of(k, i) for i, k in enumerate(keys)])).alias("key"))
+    return _compared(keyed, lanes, radius, chunk, _forest)
+
+
+def _forest(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The links of a spanning forest of the pairs."""
+    root = _roots(len(table), i, j)
+    tied = np.flatnonzero(root != np.arange(len(table)))
+    return np.stack([table[root[tied], 0], table[tied, 0]], 1)
+
+
+def _compared(keyed: DataFrame, lanes: int, radius: int, chunk: int, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], pack: int = PACK) -> DataFrame:
+    """Rows (node, f0, ..., more longs, key) -> what `pick` makes of the pairs (i, j) of rows with equal keys and within the radius."""
+    names = keyed.columns[:-1]
     large = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > chunk)
     large = written(large.select("key", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "simhash-large")
     own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("chunks")).cast("int")
@@ -199,9 +219,9 @@ def links(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[in
     if large.isEmpty():
         dealt = keyed.withColumns({"low": F.lit(0), "high": F.lit(0)})
     else:
-        dealt = keyed.join(large, "key", "left").withColumn("meet", other).select("node", *names, "key", "meet.low", "meet.high")
+        dealt = keyed.join(large, "key", "left").withColumn("meet", other).select(*names, "key", "meet.low", "meet.high")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    types = schema_of(prints.sparkSession, "a long, b long")
+    types = schema_of(keyed.sparkSession, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -216,17 +236,16 @@ def links(prints: DataFrame, lanes: int, radius: int, keys: Sequence[Sequence[in
                 return
             i, j = within(np.ascontiguousarray(table[:, 1 : 1 + lanes]).view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius)
             if len(i):
-                root = _roots(len(table), i, j)
-                tied = np.flatnonzero(root != np.arange(len(table)))
-                pairs = np.unique(np.stack([table[root[tied], 0], table[tied, 0]], 1), axis=0)
-                yield as_batch(list(map(tuple, pairs.tolist())), types)
+                pairs = np.unique(pick(table, i, j), axis=0)
+                for at in range(0, len(pairs), 1 << 16):
+                    yield as_batch(list(map(tuple, pairs[at : at + (1 << 16)].tolist())), types)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
             rows += batch.num_rows
-            if rows > PACK:
+            if rows > pack:
                 table = np.concatenate(held)
                 # the last block may go on in the next batch
                 last = np.flatnonzero((table[:, -3:] != table[-1, -3:]).any(1))
@@ -278,29 +297,139 @@ def near_duplicate_keys(bits: int = 13, count: int = 48) -> list[list[int]]:
     return random_keys(COARSE, bits, count)
 
 
-def near_duplicate_links(nodes: DataFrame, similarity: float, keys: Sequence[Sequence[int]] | None = None) -> DataFrame:
-    """Edges between nodes (node, f0, ..., f15) whose shingles are similar.
+#: MinHash keys of large sets: two sets with a similarity of 0.8 share none of the 24 with probability 0.59 ** 24, below 1e-5.
+BANDS, PER_BAND = 24, 4
+#: Distinct shingles from which a set is large; a small one has exact keys.
+LARGE = 80
+#: Differing bits beyond which small sets, whose bits vary more, are not compared: 0.2 of 1,024 and seven standard deviations.
+SMALL_RADIUS = 300
+_MINIMA = np.random.default_rng(11).integers(0, 1 << 63, BANDS * PER_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles of the words, A-Z in lower case, in their order as numbers."""
+    words = (text or b"").lower().split()
+    return np.unique(_hashes(words, shingle)) if words else np.zeros(0, np.uint64)
+
+
+def set_keys(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Keys, of which similar sets share one: the smallest hashes of a small set, of which sets that overlap enough share one for
+    certain, and MinHash bands of a large one. Sizes between the two have both."""
+    n, keys = len(hashes), []
+    if n < LARGE / similarity:
+        keys += hashes[: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
+    if n >= LARGE:
+        least = np.full(len(_MINIMA), ~np.uint64(0))
+        for at in range(0, n, 4096):
+            np.minimum(least, (hashes[at : at + 4096] * _MINIMA[:, None]).min(1), out=least)
+        keys += [xxhash.xxh64_intdigest(band.tobytes(), number) for number, band in enumerate(least.reshape(BANDS, PER_BAND))]
+    return keys
 
-    128 bits tell which nodes have any partner, with a wide margin; only those are compared in all 1,024 bits, whose distance
-    gives the similarity to about 0.03.
+
+def set_prints(docs: DataFrame, shingle: int, similarity: float, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, version, node, n_shingles, f0, ..., f15, keys) for every row, all over its distinct shingles; `node` names the set."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text, version in texts:
+            hashes = shingle_set(text, shingle)
+            bits = majority(hashes, FULL) if len(hashes) else [0] * FULL
+            node = xxhash.xxh64_intdigest(hashes.tobytes(), HASH_SEED)
+            yield (doc_id, version, signed(node), len(hashes), *map(signed, bits), [signed(k) for k in set_keys(hashes, similarity)])
+
+    source = id_and_text(docs, id_column, text_column).withColumn("version", F.xxhash64("text"))
+    lanes = (f"f{i} long" for i in range(FULL))
+    return map_rows(source, rows, ", ".join(["doc_id long", "version long", "node long", "n_shingles long", *lanes, "keys array<long>"]), 1024)
+
+
+def _proposed(similarity: float, turn: int | None) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Pairs of rows (node, f0, ..., f15, n_shingles, component, ...) in different components that may be similar: all, or in a turn one with a smaller and one with a larger node for each."""
+    radius = radius_for(similarity, FULL, 6)
+
+    def pick(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        size, component = table[:, 1 + FULL], table[:, 2 + FULL]
+        apart = component[i] != component[j]
+        apart &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+        i, j = i[apart], j[apart]
+        bits = np.ascontiguousarray(table[:, 1 : 1 + FULL]).view(np.uint64)
+        distance = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int64) for k in range(FULL))
+        near = (distance <= radius) | (np.minimum(size[i], size[j]) < LARGE)
+        i, j = i[near], j[near]
+        node = table[:, 0]
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        if turn is not None and len(i):
+            # any choice will do; a hash of the pair is the same under all keys and makes no node the partner of all
+            mixed = (node[i].view(np.uint64) ^ node[j].view(np.uint64) >> np.uint64(1)) * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * turn))
+            chosen = []
+            for end in (i, j):
+                order = np.lexsort((mixed, end))
+                chosen.append(order[np.concatenate(([True], end[order][1:] != end[order][:-1]))])
+            chosen = np.unique(np.concatenate(chosen))
+            i, j = i[chosen], j[chosen]
+        return np.stack([node[i], node[j]], 1)
+
+    return pick
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) have the Jaccard similarity or more."""
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_hashes"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("a_hashes", "b_hashes")))
+    return both.filter(F.col("common") / (F.size("a_hashes") + F.size("b_hashes") - F.col("common")) >= similarity).select("a", "b")
+
+
+def similar_roots(prints: DataFrame, docs: DataFrame, shingle: int, similarity: float, text_column: str = "text") -> DataFrame | None:
+    """Rows of `set_prints` -> (node, root) of the nodes that are tied by pairs of the similarity or more; None if there are none.
+
+    Bits and keys only propose pairs; distinct shingles decide. Two rounds propose few pairs for each node, so that groups of
+    near copies become components with about as many pairs as nodes; the last one all pairs that are still apart.
     """
-    coarse = [f"f{i}" for i in range(COARSE)]
-    keys = near_duplicate_keys() if keys is None else keys
-    pairs = written(links(nodes.select("node", *coarse), COARSE, radius_for(similarity, COARSE, 2), keys), "simhash-coarse")
-    partners = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return links(written(nodes.join(partners, "node", "left_semi"), "simhash-partners"), FULL, radius_for(similarity, FULL, 1), keys)
+    lanes = [f"f{i}" for i in range(FULL)]
+    nodes = written(prints.filter("n_shingles > 0").dropDuplicates(["node"]), "simhash-nodes")
+    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
+    keyed = written(keyed.join(shared, "key", "left_semi"), "simhash-keys")
+    nodes, sets, edges = nodes.select("node", *lanes, "n_shingles", F.col("node").alias("component"), "version"), None, None
+    for turn in (0, 1, None):
+        rows = keyed.join(nodes.drop("version"), "node").select("node", *lanes, "n_shingles", "component", "key")
+        pairs = written(_compared(rows, FULL, SMALL_RADIUS, 1024, _proposed(similarity, turn), 1 << 14).distinct(), "simhash-pairs")
+        if pairs.isEmpty():
+            break
+        partners = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = written(nodes.join(partners, "node", "left_semi"), "simhash-partners") if sets is None else nodes
+        sets = written(_sets(docs, nodes, shingle, text_column), "simhash-sets") if sets is None else sets
+        found = similar(pairs, sets, similarity)
+        edges = written(found if edges is None else found.unionByName(edges), "simhash-edges")
+        if turn is not None:
+            roots = connected_components(edges)
+            known = nodes.drop("component").join(roots, "node", "left")
+            nodes = written(known.select("node", *lanes, "n_shingles", F.coalesce("root", "node").alias("component"), "version"), "simhash-partners")
+    return None if edges is None else connected_components(edges)
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text_column: str) -> DataFrame:
+    """(node, hashes) of the nodes, from one text of each."""
+
+    def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
+        for node, text in texts:
+            yield node, shingle_set(text, shingle).view(np.int64).tolist()
+
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(column(text_column).cast("string").cast("binary").alias("text")).withColumn("version", F.xxhash64("text"))
+    return map_rows(texts.join(nodes.select("node", "version"), "version").dropDuplicates(["node"]).select("node", "text"), rows, "node long, hashes array<long>", 256)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, of which one in each group of near duplicates is left: the one with the smallest id.
 
-    Similar are texts whose `shingle`-word shingles have a Jaccard similarity of `similarity` or more, as far as 1,024 bits tell.
-    Texts with fewer than 1 / (1 - similarity) shingles, which cannot be so similar without being equal, are copies only if
-    their fingerprints are equal. Of rows that share id and text one is left; rows without words are one group; a NULL id
-    counts as larger than all others.
+    Similar are texts whose distinct `shingle`-word shingles have a Jaccard similarity of `similarity` or more; a group is what
+    such pairs connect. Sets below LARGE shingles are found for certain, larger ones by MinHash keys. Of rows that share id
+    and text one is left; rows without words are one group; a NULL id counts as larger than all others.
     """
-    prints = fingerprints(docs, shingle, FULL, id_column, text_column)
-    grouped = group(prints, FULL, lambda nodes: near_duplicate_links(nodes, similarity), round(1 / (1 - similarity)))
+    prints = written(set_prints(docs, shingle, similarity, id_column, text_column), "simhash-prints")
+    roots = similar_roots(prints, docs, shingle, similarity, text_column)
+    grouped = prints.select("doc_id", "version", "node")
+    grouped = grouped.withColumn("root", F.col("node")) if roots is None else grouped.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("first"))
     null_id = F.lit(-(1 << 63)).cast("long")
     kept = written(first.select(F.coalesce("first.doc_id", null_id).alias("__id"), F.col("first.version").alias("__version")), "simhash-kept")

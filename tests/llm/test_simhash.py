@@ -131,3 +131,52 @@ def test_keys_of_the_stage():
     rng = np.random.default_rng(0)
     met = sum(any(not d[k].any() for k in map(np.array, keys)) for d in (rng.random((500, 128)) < 0.15))
     assert met / 500 > 0.95
+
+
+def test_the_true_similarity_decides(spark):
+    """Pairs at exactly 0.8 and one shingle below, small and large, of equal size or not, some sharing a group with others."""
+    rng = random.Random(12)
+    docs, expected = [], set()
+
+    def add(a, b, same):
+        docs.extend([(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))])
+        expected.update({len(docs) - 2} if same else {len(docs) - 2, len(docs) - 1})
+
+    fresh = lambda n: [f"w{rng.getrandbits(60):x}" for _ in range(n)]
+    for changes in (1, 2, 4, 30):
+        for _ in range(25):
+            for below in (0, 1):  # each change replaces five shingles of 45
+                words = fresh(45 * changes + 4 - below)
+                other = list(words)
+                for k in range(changes):
+                    other[10 + 30 * k] = fresh(1)[0]
+                add(words, other, not below)
+    for n in (4, 8, 40, 100, 400):
+        for _ in range(20):
+            for more in (0, 1):
+                words = fresh(n + 4)
+                add(words, words + fresh(n // 4 + more), not more)
+    got = one_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"] for r in got.collect()} == expected
+
+
+def test_near_copies_of_one_text(spark):
+    """Pairs below 0.8 are tied by others between them, in a large group and over rounds."""
+    rng = random.Random(13)
+    base = [f"w{rng.getrandbits(60):x}" for _ in range(200)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(20), rng.randrange(0, 6)):
+            words[5 + 9 * k] = f"x{rng.getrandbits(60):x}"
+        docs.append((i, " ".join(words)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in docs]
+    root = list(range(len(docs)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {find(i) for i in range(len(docs))}
