@@ -258,18 +258,18 @@ def _compared(keyed: DataFrame, lanes: int, radius: int, chunk: int, pick: Calla
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def group(prints: DataFrame, lanes: int, link: Callable[[DataFrame], DataFrame], least_shingles: int = 0) -> DataFrame:
+def group(prints: DataFrame, lanes: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Fingerprint rows -> the same rows with `root`, which names their component, and `component_id`, the smallest doc_id in it.
 
-    Rows with equal fingerprints are one node; `link` gives the edges between nodes that have `least_shingles`. NULL ids never
+    Rows with equal fingerprints are one node; `link` gives the edges between nodes. NULL ids never
     name a component unless it has no other. Repeated rows are in one node too. With an empty table nothing is linked.
     """
     names = [f"f{i}" for i in range(lanes)]
     prints = written(prints, "simhash-prints")
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles")).withColumn("node", node)
+    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node)
     nodes = written(nodes, "simhash-nodes")
-    roots = connected_components(link(nodes.filter(F.col("n_shingles") >= least_shingles).select("node", *names)))
+    roots = connected_components(link(nodes.select("node", *names)))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(nodes.join(smallest, "root").select(*names, "root", "component_id"), "simhash-named")

@@ -180,3 +180,12 @@ def test_near_copies_of_one_text(spark):
                 root[max(a, b)] = min(a, b)
     got = one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == {find(i) for i in range(len(docs))}
+
+
+def test_short_and_repetitive_texts(spark, prose):
+    """Four shingles against five are 0.8; a shingle that fills most of a text does not make it a copy; repetitions do not count."""
+    eight = "one two three four five six seven eight"
+    filler = "again " * 200
+    docs = [eight, eight + " nine", filler + prose(30), filler + prose(30), "a b c d e f " * 3, "a b c d e f " * 40]
+    got = one_of_each(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {0, 2, 3, 4}
