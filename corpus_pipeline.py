@@ -21,8 +21,10 @@ SEQUENCE = 2048
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn the languages that are labelled, and keep the documents that are found to be in one of them."""
-    return language.recognised(docs, language.learn(docs))
+    """Learn the languages that are labelled, and keep the documents that are found to be in one of them, as near to it as its own
+    documents are. Where no row is labelled nothing can be told, and all rows stay."""
+    model = language.learn(docs)
+    return language.recognised(docs, model, least=language.bounds(docs, model)) if model else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ bundles its trigrams, a language bundles its documents, and a document gets the
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ class Profiler:
         self.dimensions, self.seed = dimensions, seed
         self.is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.letters: dict[int, np.ndarray] = {}
+        #: Distinct trigrams of the text that was profiled last, counted segment by segment.
+        self.kinds = 0
         self.forget()
 
     def forget(self) -> None:
@@ -62,6 +65,7 @@ class Profiler:
 
     def profile(self, text: str) -> np.ndarray | None:
         """None if the text has no letter. Other characters separate words; trigrams lie within a word and its two edges."""
+        self.kinds = 0
         total, found, tail = np.zeros(self.dimensions, np.float32), False, np.full(1, _BLANK, np.int64)
         for at in range(0, len(text), SEGMENT):
             points = np.frombuffer(text[at : at + SEGMENT].lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
@@ -74,6 +78,7 @@ class Profiler:
             if len(points) > 2:
                 codes = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[points[1:-1] != _BLANK]
                 kinds, counts = np.unique(codes, return_counts=True)
+                self.kinds += len(kinds)
                 for k in range(0, len(kinds), KEPT_VECTORS // 2):
                     part = slice(k, k + KEPT_VECTORS // 2)
                     total += counts[part].astype(np.float32) @ self.vectors[self.rows(kinds[part].tolist())]
@@ -149,10 +154,68 @@ def identify(
     return map_rows(kept, rows, f"{types}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: dict[str, np.ndarray], accepted: tuple[str, ...] | None = None, least: float = 0.0, text_column: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+#: language -> size of the text (binary digits of its distinct trigrams) -> least cosine and least margin to the runner-up.
+Bounds = dict[str, dict[int, tuple[float, float]]]
+
+
+def _best(prototypes: np.ndarray, vector: np.ndarray) -> tuple[int, float, float]:
+    """The best language, its cosine, and its margin to the runner-up (1 without one)."""
+    cosines = prototypes @ _unit(vector)
+    best = int(np.argmax(cosines))
+    return best, float(cosines[best]), float(cosines[best] - np.delete(cosines, best).max()) if len(cosines) > 1 else 1.0
+
+
+def bounds(
+    docs: DataFrame, model: dict[str, np.ndarray], quantile: float = 0.01, share: float = 0.5, lang_column: str = "lang", text_column: str = "text",
+    dimensions: int = DIMENSIONS, seed: int = SEED,
+) -> Bounds:
+    """What a text of a language has at least: a share of the low quantile of the cosines, and of the margins, of all labelled rows
+    that are found to be in their language, for texts of about the same number of distinct trigrams.
+
+    Tasks count cosines and margins in steps of 1/256; only these counts reach the driver.
+    """
+    names = sorted(model)
+    prototypes = np.stack([model[n] for n in names]) if names else np.zeros((0, dimensions), np.float32)
+
+    def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
+        profiles, counts = profiler(dimensions, seed), Counter()
+        for lang, text in texts:
+            vector = profiles.profile(text or "") if names else None
+            if vector is not None:
+                best, cosine, margin = _best(prototypes, vector)
+                if names[best] == lang:
+                    size = profiles.kinds.bit_length()
+                    counts.update([(lang, size, 0, int(256 * max(0.0, cosine))), (lang, size, 1, int(256 * margin))])
+        for key, n in counts.items():
+            yield (*key, n)
+
+    labelled = docs.select(column(lang_column).cast("string").alias("lang"), _text(text_column)).filter("lang IS NOT NULL")
+    counted = map_rows(labelled, rows, "lang string, size int, kind int, step int, n long").groupBy("lang", "size", "kind", "step").agg(F.sum("n").alias("n"))
+    steps: dict[tuple, list] = {}
+    for r in counted.collect():
+        steps.setdefault((r["lang"], r["size"], r["kind"]), []).append((r["step"], r["n"]))
+
+    def low(found: list[tuple[int, int]]) -> float:
+        found = sorted(found)
+        at = np.searchsorted(np.cumsum([n for _, n in found]), quantile * sum(n for _, n in found), "right")
+        return share * found[int(at)][0] / 256
+
+    out: Bounds = {}
+    for lang, size, _ in steps:
+        out.setdefault(lang, {})[size] = (low(steps[lang, size, 0]), low(steps[lang, size, 1]))
+    return out
+
+
+def _bound(of_language: dict[int, tuple[float, float]], size: int) -> tuple[float, float]:
+    """The bounds for the size; for one that was not met those of the next smaller texts, or else of the smallest."""
+    return of_language[max((s for s in of_language if s <= size), default=min(of_language))] if of_language else (0.0, 0.0)
+
+
+def recognised(docs: DataFrame, model: dict[str, np.ndarray], accepted: tuple[str, ...] | None = None, least: float | Bounds = 0.0, text_column: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """The rows, with all their columns, whose text is found to be in an accepted language (all learned ones by default).
 
-    Rejected are texts that are NULL or have no letter, other languages, and cosines below `least`. One narrow pass.
+    Rejected are texts that are NULL or have no letter, other languages, and cosines below `least`, or cosines and margins below
+    the `bounds` of the language. One narrow pass.
     """
     names = sorted(model)
     wanted = [accepted is None or n in accepted for n in names]
@@ -164,9 +227,11 @@ def recognised(docs: DataFrame, model: dict[str, np.ndarray], accepted: tuple[st
         vector = profiles.profile(text or "") if names else None
         if vector is None:
             return False
-        cosines = prototypes @ _unit(vector)
-        best = int(np.argmax(cosines))
-        return wanted[best] and max(0.0, float(cosines[best])) >= least
+        best, cosine, margin = _best(prototypes, vector)
+        if isinstance(least, dict):
+            low, apart = _bound(least.get(names[best], {}), profiles.kinds.bit_length())
+            return wanted[best] and cosine >= low and margin >= apart
+        return wanted[best] and max(0.0, cosine) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = profiler(dimensions, seed)

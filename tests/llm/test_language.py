@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from rulemill.llm.language import Profiler, identify, learn, recognised
 
@@ -61,3 +62,21 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op5_hyperdimensional_language"](spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     right = [r["lang"] == r["lang_pred"] for r in got.filter("held_out").collect()]
     assert sum(right) / len(right) > 0.95
+
+
+def test_unknown_languages_are_rejected(spark):
+    """The pipeline keeps the documents of the corpus, and rejects scripts that were not learned and random letters."""
+    import random
+
+    import corpus_pipeline
+    from rulemill.llm.queries import table
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(7)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    planted = [noise(letters, n) for letters in ("абвгдежзиклмнопрстуфхцчшщыюя", "今天气很好我们去公园散步吧", "abcdefghijklmnopqrstuvwxyz") for n in (40, 150, 600)]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(planted)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.filter("text rlike '\\\\p{L}'").collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, sf).count() == docs.count()
