@@ -38,14 +38,18 @@ NAMES = {
 _EMAIL = r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
-_CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])"
+_CARD = r"(?<![\d.+])\d(?:[ -]?\d){12,18}(?!\d)"
+# Cards as they are written, which may stand beside other numbers, and any other grouping between clear edges, by length.
+_GROUPED = [rf"\d{{4}}{sep}(?:\d{{4}}{sep}\d{{4}}{sep}\d{{4}}|\d{{6}}{sep}\d{{4,5}})" for sep in (" ", "-")]
+_CARD_FORMS = [rf"(?<![\d.+])(?<!(?<!\d)-)(?=((?:{'|'.join([r'\d{13,19}', *_GROUPED])})(?!\d|-(?!\d))))\d+"]
+_CARD_FORMS += [rf"(?<![\d.+-])(?=(\d(?:[ -]?\d){{{n - 1}}}(?![\d-])))\d+" for n in range(19, 12, -1)]
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
 _SECRET = r"(?<=\b(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,256}(?=[\"'])"
 _TITLE = "|".join(t for names in TITLES.values() for t in names)
 _PERSON = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?"
 
-#: In order of preference at the same place.
+#: In order of preference at the same place. Any number that looks like a card counts; `_entities` has those with a check digit.
 ENTITY = "|".join(f"(?:{p})" for p in (_EMAIL, _IP, _SSN, _CARD, _PHONE, _SECRET, _PERSON))
 #: What every entity contains; most texts end here.
 HINT = rf"[0-9@]|[=:] {{0,2}}[\"']|(?:{_TITLE})\.? \p{{Lu}}"
@@ -61,6 +65,22 @@ def passes_luhn(digits: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
+def _cards(text: Column) -> Column:
+    """The cards of a text that pass their check digit, as alternatives of a pattern; empty if there are none.
+
+    Every group of digits may begin one, so a number that only looks like a card hides none beside or within it.
+    """
+    forms = [F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda c: passes_luhn(F.regexp_replace(c, "[^0-9]", ""))) for p in _CARD_FORMS]
+    return F.when(text.rlike(_CARD), F.array_join(F.array_distinct(F.concat(*forms)), "|")).otherwise("")
+
+
+def _entities(cards: Column) -> Column:
+    """The pattern of all entities of a text with these cards."""
+    before, after = ("|".join(f"(?:{p})" for p in some) for some in ((_EMAIL, _IP, _SSN), (_PHONE, _SECRET, _PERSON)))
+    valid = F.when(cards != "", F.concat(F.lit(r"(?:(?<![\d.+])(?:"), cards, F.lit(r")(?!\d))|"))).otherwise("")
+    return F.concat(F.lit(before + "|"), valid, F.lit(after))
+
+
 def entity_type(match: Column) -> Column:
     """The type of a text that ENTITY matched; NULL for a number that only looks like a card."""
     digits = F.regexp_replace(match, "[^0-9]", "")
@@ -179,7 +199,8 @@ def anonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame
     """
     text = column(text_column)
     hinted = F.coalesce(text, F.lit("")).rlike(HINT) & F.coalesce(text, F.lit("")).rlike(ENTITY)
-    found = docs.filter(hinted).select(F.struct("*").alias("row"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"), F.monotonically_increasing_id().alias("id"))
+    found = docs.filter(hinted).select(F.struct("*").alias("row"), _cards(text).alias("cards"), text.alias("text"), F.monotonically_increasing_id().alias("id"))
+    found = written(found, "pii-cards").select("row", "cards", "id", F.regexp_extract_all("text", _entities(F.col("cards")), F.lit(0)).alias("found"))
     found = written(found.withColumn("parts", F.transform("found", _parts)), "pii-found")
     pairs = found.select("id", F.explode(F.array_distinct(F.flatten("parts"))).alias("part")).select("id", "part.type", "part.value")
     named = surrogates(pairs.select("type", "value"), key)
@@ -191,7 +212,7 @@ def anonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame
         person = F.get(parts, F.lit(0))["type"].isin("given_m", "given_f", "given_u", "family")
         return F.when(F.size(parts) == 0, match).when(~person, of(0)).otherwise(F.concat(title, F.concat_ws(" ", of(0), F.when(F.size(parts) > 1, of(1)))))
 
-    gaps = F.split(F.col("row")[text_column], ENTITY, -1)
+    gaps = F.split(F.col("row")[text_column], _entities(F.col("cards")), -1)
     new = F.zip_with("found", "parts", replaced)
     text_out = F.array_join(F.flatten(F.zip_with(gaps, new, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))), "")
     changed = found.join(by_row, "id", "left").select(F.when(F.col("names").isNull(), F.col("row")[text_column]).otherwise(text_out).alias("__text"), "row")

@@ -82,3 +82,13 @@ def test_awkward_rows(spark, awkward, no_rows):
 def test_plan_has_no_python(spark, awkward):
     plan = anonymise(awkward, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_numbers_beside_cards_and_phones(spark):
+    texts = ["card 4111 1111 1111 1111 12/27", "4111111111111111 123", "order 12 4845168114407329", "tel 555-123-4567 1200 EUR", "4111 1111 1111 1111 555 123 4567", "12-4845168114407329", "4111-1111-1111-1111-123", "3782 822463 10005 99", "1234567890123456 555-123-4567"]
+    out = anonymous(spark, texts)
+    wanted = [r"card (4\d{3} \d{4} \d{4} \d{4}) 12/27", r"(4\d{15}) 123", r"order 12 (4\d{15})", None, r"(4\d{3} \d{4} \d{4} \d{4}) \d{3} \d{3} \d{4}", r"12-(4\d{15})", r"(4\d{3}-\d{4}-\d{4}-\d{4})-123", r"(3\d{3} \d{6} \d{5}) 99"]
+    for old, new, pattern in zip(texts, out, wanted):
+        assert pattern is None or old != new and luhn(re.fullmatch(pattern, new)[1]) and re.fullmatch(pattern, old)[1] not in new
+    assert "555-123-4567" not in out[3] and re.fullmatch(r"tel \d{3}-\d{3}-\d{4} 1200 EUR", out[3]) and "555 123 4567" not in out[4]
+    assert re.fullmatch(r"1234567890123456 \d{3}-\d{3}-\d{4}", out[8]) and "555-123-4567" not in out[8]
