@@ -199,8 +199,8 @@ def anonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame
     """
     text = column(text_column)
     hinted = F.coalesce(text, F.lit("")).rlike(HINT) & F.coalesce(text, F.lit("")).rlike(ENTITY)
-    found = docs.filter(hinted).select(F.struct("*").alias("row"), _cards(text).alias("cards"), text.alias("text"), F.monotonically_increasing_id().alias("id"))
-    found = written(found, "pii-cards").select("row", "cards", "id", F.regexp_extract_all("text", _entities(F.col("cards")), F.lit(0)).alias("found"))
+    found = docs.filter(hinted).select(F.struct("*").alias("row"), _cards(text).alias("cards"), F.monotonically_increasing_id().alias("id"))
+    found = written(found, "pii-cards").select("row", "cards", "id", F.regexp_extract_all(F.col("row")[text_column], _entities(F.col("cards")), F.lit(0)).alias("found"))
     found = written(found.withColumn("parts", F.transform("found", _parts)), "pii-found")
     pairs = found.select("id", F.explode(F.array_distinct(F.flatten("parts"))).alias("part")).select("id", "part.type", "part.value")
     named = surrogates(pairs.select("type", "value"), key)

@@ -423,7 +423,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     """The rows, with all their columns, of which one in each group of near duplicates is left: the one with the smallest id.
 
     Similar are texts whose distinct `shingle`-word shingles have a Jaccard similarity of `similarity` or more; a group is what
-    such pairs connect. Sets below LARGE shingles are found for certain, larger ones by MinHash keys. Of rows that share id
+    such pairs connect. Sets below LARGE shingles share a key for certain, larger ones a MinHash key
+    very likely; pairs beyond a wide bit radius are not compared. Of rows that share id
     and text one is left; rows without words are one group; a NULL id counts as larger than all others.
     """
     prints = written(set_prints(docs, shingle, similarity, id_column, text_column), "simhash-prints")
