@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulemill.functions.columns import column
-from rulemill.sources.storage import scratch_path
+from rulemill.sources.storage import delete_folder, scratch_path
 
 #: A word is a run of characters other than ASCII white space; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,3 +76,24 @@ def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
 def unsigned(hashed: Column) -> Column:
     """The upper 53 bits of a 64-bit hash as a number in [0, 1)."""
     return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
+
+
+class Scratch:
+    """Intermediate tables of one operator, deleted together once what reads them is itself written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """Write the last table, delete the others, and return it."""
+        out = written(df, label)
+        for path in self.paths:
+            delete_folder(self.spark, path)
+        self.paths = []
+        return out

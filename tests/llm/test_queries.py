@@ -9,8 +9,10 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from rulemill.llm import katz
 from rulemill.llm.queries import ORACLES, QUERIES
 from rulemill.llm.tokens import tokenizer_path
+from tests.llm.test_katz import plain as plain_katz
 from tests.llm.test_simhash import plain, reachable
 from tests.llm.test_substring_dedup import brute
 
@@ -43,12 +45,25 @@ def test_op4_changes_what_has_entities(spark, docs):
     assert changed >= {i for i, t in docs if "@mail" in t or "token = " in t or "555-" in t or any(w.count(".") >= 3 and w[0].isdigit() for w in t.split())}
 
 
-def test_op6(spark):
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    found = con.execute(ORACLES["op6_rule_ledger"])
+    for view in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
+    found = con.execute(ORACLES[name])
     names = [d[0] for d in found.description]
-    assert rows(spark, "op6_rule_ledger", *names) == sorted(found.fetchall())
+    got = [tuple(r[c] for c in names) for r in QUERIES[name](spark, SF).collect()]
+    assert sorted(got, key=str) == sorted(found.fetchall(), key=str)
+
+
+def test_op12(spark, docs):
+    training = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in docs}
+    want, total, _, _ = plain_katz([(i, t, training[i]) for i, t in docs], katz.ORDER)
+    got = rows(spark, "op12_katz_backoff", "doc_id", "n_tokens", "n_known", "base_score", "score", "held_out", "train_tokens")
+    for found, plain_row in zip(got, sorted(want)):
+        assert found[:3] == plain_row[:3] and found[3:5] == pytest.approx(plain_row[3:], rel=1e-9)
+        assert found[5:] == (not training[found[0]], total)
+    assert len(got) == len(want)
 
 
 def test_op7(spark, docs):
