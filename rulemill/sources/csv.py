@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rulemill.functions.columns import column
 from rulemill.plans.rules import Rule, read_rules
+from rulemill.sources.records import read_records
 
 DATA_SEP = ";"
 METADATA_SEP = ","
@@ -27,16 +28,19 @@ def read_csv(
 ) -> DataFrame:
     """A CSV with a header. With `columns` no job is run to read the header, and headers are checked against it.
 
-    Files are split across tasks. `multi_line` accepts line breaks inside quoted cells, at the cost of one task
-    per file.
+    Files are split across tasks. `multi_line` accepts line breaks inside quoted cells, at the cost of a second pass that counts
+    quotes and of one shuffle (see `records`); only encodings that do not write ASCII as single bytes are read by one task per file.
     """
+    files = [paths] if isinstance(paths, str) else list(paths)
     reader = (
         spark.read.option("header", True).option("sep", sep).option("escape", '"').option("encoding", encoding)
         .option("multiLine", multi_line)
     )
+    if multi_line and not encoding.upper().startswith(("UTF-16", "UTF16", "UTF-32", "UTF32")):
+        return read_records(spark, files, columns or reader.csv(files).columns, sep, encoding, check_header=columns is not None)
     if columns is not None:
         reader = reader.schema(text_schema(columns)).option("enforceSchema", False)
-    return reader.csv(list(paths) if not isinstance(paths, str) else paths)
+    return reader.csv(files)
 
 
 def with_source_path(df: DataFrame, name: str = "path") -> DataFrame:

@@ -38,6 +38,14 @@ def csv_multi_line(spark, sf):
     return read_csv(spark, path, columns=["doc_id", "text"], multi_line=True)
 
 
+@register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+def csv_records_of_one_file(spark, sf):
+    """Whole texts in one file, cut at any byte: a range learns from the quotes before it whether it begins inside a cell."""
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang"), path, files=1)
+    return read_csv(spark, path, multi_line=True)
+
+
 @register("""
 SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses,
        string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities
