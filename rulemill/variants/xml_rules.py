@@ -1,19 +1,21 @@
 """Nested records out of any XML, driven by mapping rules.
 
 The paths of the rules say which elements and attributes are needed. They become a declared `from_xml` schema, and
-the rules become expressions on the parsed struct. A path that begins with a descendant step, `.//Tag`, is resolved against the
-paths by which other rules reach such a tag; paths that need more than that are rule errors.
+the rules become expressions on the parsed struct. A parent step becomes a test, for A/.. are the elements that have an A. Steps to any
+child or any depth, `*` and `//`, are looked up in the structure of the data, the tree of tags that one pass finds, and become all paths of
+child steps that lead there; elements are numbered in the text so that what these paths find is put into document order.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rulemill.functions.columns import blank_to_null, null_if_empty, null_string
+from rulemill.functions.columns import any_of, blank_to_null, null_if_empty, null_string
 from rulemill.operators.nesting import Group, NestingSpec, Structs, Values
 from rulemill.plans.rules import Rule, RuleError, Rules, as_rules
 from rulemill.sources.xml import attribute, children, parse_elements, read_elements, text_of
@@ -31,59 +33,173 @@ VARIANT_CLASSES = {
 }
 ENTITY_CLASS = "variation"
 VALUE_MARK = "<value>"
-DESCENDANT = ".//"
+ANY, SELF, PARENT = "*", ".", ".."
 
 
 class UnsupportedPath(ValueError):
-    """A path that needs more than child steps with simple predicates."""
+    """A path with an axis, a function or a test that is none of the forms below."""
 
 
 @dataclass(frozen=True)
 class Test:
-    """[@name], [@name='v'], [name], [name='v'] or [n]."""
+    """[@name], [@name='v'], [name], [name='v'], [n], or that one of some paths leads anywhere."""
 
     name: str = ""
     of_attribute: bool = False
     equals: str | None = None
     ordinal: int = 0
+    paths: tuple[Path, ...] = ()
 
 
 @dataclass(frozen=True)
 class Step:
+    """Children with a tag, of any tag, or the element itself; `deep`: at any depth; `or_self`: and the element itself."""
+
     tag: str
     tests: tuple[Test, ...] = ()
+    deep: bool = False
+    or_self: bool = False
+
 
+Path = tuple[Step, ...]
 
-_STEP = re.compile(r"([^\W\d][\w.\-]*)((?:\[[^\]]*\])*)$")
+_STEP = re.compile(r"(\*|[^\W\d][\w.\-]*)((?:\[[^\]]*\])*)$")
 _TEST = re.compile(r"\[\s*(?:(\d+)|(@?)([\w.\-]+)\s*(?:=\s*(?:'([^']*)'|\"([^\"]*)\"))?)\s*\]")
 
 
-def steps_of(path: str) -> tuple[Step, ...]:
-    """`./A/B[@k='v']` as steps."""
-    steps = []
-    for part in re.split(r"/(?![^\[]*\])", path[2:] if path.startswith("./") else path):
-        found = _STEP.match(part)
-        if not found:
-            raise UnsupportedPath(path)
-        tests, rest = [], found[2]
-        while rest:
-            t = _TEST.match(rest)
-            if not t:
+def steps_of(path: str) -> Path:
+    """`./A/B[@k='v']`, `.//A`, `./A/..` or `./*` as steps without parent steps."""
+    steps: list[Step] = []
+    deep = False
+    for part in re.split(r"/(?![^\[]*\])", path):
+        if part in ("", SELF):
+            deep = deep or (part == "" and bool(path))
+            continue
+        if part == PARENT:
+            if deep or not steps or steps[-1].tag == SELF:
                 raise UnsupportedPath(path)
-            equals = t[4] if t[4] is not None else t[5]
-            tests.append(Test(ordinal=int(t[1])) if t[1] else Test(t[3], t[2] == "@", equals))
-            rest = rest[t.end():]
-        if sum(1 for t in tests if t.ordinal) > 1:
-            raise UnsupportedPath(path)
-        steps.append(Step(found[1], tuple(tests)))
+            _to_parents(steps)
+        else:
+            steps.append(_step(path, part, deep))
+        deep = False
+    if deep or not steps:
+        raise UnsupportedPath(path)
     return tuple(steps)
 
 
-def _steps_of_rule(rule: Rule, path: str) -> tuple[Step, ...]:
+def _to_parents(steps: list[Step]) -> None:
+    """Replace the last step by the elements that have what it finds."""
+    last = steps.pop()
+    if last.deep:
+        steps.append(Step(ANY, (Test(paths=((replace(last, deep=False, or_self=False),),)),), deep=True, or_self=True))
+        return
+    has = Test(paths=((last,),))
+    before = steps.pop() if steps else Step(SELF)
+    steps.append(replace(before, tests=(*before.tests, has)))
+
+
+def _step(path: str, part: str, deep: bool) -> Step:
+    found = _STEP.match(part)
+    if not found:
+        raise UnsupportedPath(path)
+    tests, rest = [], found[2]
+    while rest:
+        t = _TEST.match(rest)
+        if not t:
+            raise UnsupportedPath(path)
+        equals = t[4] if t[4] is not None else t[5]
+        tests.append(Test(ordinal=int(t[1])) if t[1] else Test(t[3], t[2] == "@", equals))
+        rest = rest[t.end():]
+    ordinals = sum(1 for t in tests if t.ordinal)
+    if ordinals > 1 or (ordinals and found[1] == ANY):
+        raise UnsupportedPath(path)
+    return Step(found[1], tuple(tests), deep)
+
+
+def _steps_of_rule(rule: Rule, path: str) -> Path:
     try:
         return steps_of(path)
     except UnsupportedPath:
-        raise RuleError([(rule["rule_no"], rule["elementName"], f"the path {rule['XPath']} needs more than child steps")]) from None
+        raise RuleError([(rule["rule_no"], rule["elementName"], f"the path {rule['XPath']} is not supported")]) from None
+
+
+def needs_structure(steps: Path) -> bool:
+    """Whether it depends on the data where a path leads."""
+    return any(s.deep or s.tag == ANY or any(needs_structure(p) for t in s.tests for p in t.paths) for s in steps)
+
+
+# --- structure of the data ----------------------------------------------------------------------
+
+
+@dataclass
+class Tree:
+    """The tags below an element, wherever they occur in the data."""
+
+    below: dict[str, Tree] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, kind: T.DataType) -> Tree:
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        return cls({f.name: cls.of(f.dataType) for f in kind if not f.name.startswith("_")} if isinstance(kind, T.StructType) else {})
+
+    def merged(self, other: Tree) -> Tree:
+        tags = [*self.below, *(t for t in other.below if t not in self.below)]
+        return Tree({t: self.below.get(t, Tree()).merged(other.below.get(t, Tree())) for t in tags})
+
+    def descendants(self, before: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Tree]]:
+        for tag, tree in self.below.items():
+            yield (*before, tag), tree
+            yield from tree.descendants((*before, tag))
+
+    def everywhere(self, tag: str) -> Tree:
+        """What stands below a tag, in all places together."""
+        out = Tree()
+        for tags, tree in self.descendants():
+            if tags[-1] == tag:
+                out = out.merged(tree)
+        return out
+
+    def paths(self, steps: Path) -> list[Path]:
+        """The paths of child steps that a path stands for, each once."""
+        if not steps:
+            return [()]
+        step, found = steps[0], []
+        if step.tag == SELF:
+            places = [((), self)]
+        elif step.deep:
+            places = [(tags, tree) for tags, tree in self.descendants() if step.tag in (ANY, tags[-1])] + ([((), self)] if step.or_self else [])
+        else:
+            places = [((tag,), tree) for tag, tree in self.below.items() if step.tag in (ANY, tag)]
+        for tags, tree in places:
+            tests = tuple(replace(t, paths=tuple(p for path in t.paths for p in tree.paths(path))) if t.paths else t for t in step.tests)
+            if any(t.paths and not new.paths for t, new in zip(step.tests, tests)):
+                continue  # nothing can pass
+            here = (*map(Step, tags[:-1]), Step(tags[-1] if tags else SELF, tests))
+            found += [(*here, *rest) for rest in tree.paths(steps[1:])]
+        return list(dict.fromkeys(found))
+
+
+def structure_of(elements: DataFrame, row_tag: str) -> T.StructType:
+    """The tags and attributes that occur in (xml, ...) rows, found by one pass; the result is as large as their variety."""
+    spark = elements.sparkSession
+    strings = getattr(elements.select("xml")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark._jsparkSession.read().option("rowTag", row_tag).option("attributePrefix", "_").option("valueTag", "_VALUE").option("inferSchema", "false")
+    return T.StructType.fromJson(json.loads(reader.xml(strings).schema().json()))
+
+
+#: Attribute that holds an element's place in the document.
+ORDER = "document-order"
+_PIECES = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^<]*|\A[^<]+"
+
+
+def numbered(xml: Column) -> Column:
+    """The text with the places of its elements as attributes, in one pass over its pieces."""
+    pieces = F.regexp_extract_all(xml, F.lit(_PIECES), F.lit(0))
+    with_place = lambda piece, i: F.regexp_replace(
+        piece, F.lit(r"\A(<[^\s/>]+)"), F.concat(F.lit(f'$1 {ORDER}="'), F.lpad(i.cast("string"), 10, "0"), F.lit('"'))
+    )
+    return F.array_join(F.transform(pieces, lambda piece, i: F.when(piece.rlike(r"\A<[\p{L}_]"), with_place(piece, i)).otherwise(piece)), "")
 
 
 # --- declared schema --------------------------------------------------------------------------
@@ -100,8 +216,10 @@ class Shape:
     def at(self, steps: Sequence[Step]) -> Shape:
         shape = self
         for step in steps:
-            shape = shape.parts.setdefault(step.tag, Shape())
+            shape = shape if step.tag == SELF else shape.parts.setdefault(step.tag, Shape())
             for test in step.tests:
+                for path in test.paths:
+                    shape.at(path)
                 if test.of_attribute:
                     shape.attributes.add(test.name)
                 elif test.name:
@@ -119,29 +237,29 @@ class Shape:
 class RuleSet:
     """XML mapping rules, by class. Nodes of a `correlated` class are always found from the entity element."""
 
-    def __init__(self, rules: Rules, correlated: Sequence[str] = (), row: int = 0):
+    def __init__(self, rules: Rules, correlated: Sequence[str] = (), row: int = 0, structure: T.StructType | None = None):
         self.correlated, self.row = set(correlated), row
-        listed = [{k: ("" if v is None else v) for k, v in r.items()} for r in as_rules(rules, "xml_mapping")]
-        places: dict[str, set[tuple[str, ...]]] = {}
-        for rule in listed:
-            if rule["XPath"] and not rule["XPath"].startswith(DESCENDANT):
-                tags = tuple(s.tag for s in _steps_of_rule(rule, rule["XPath"]))
-                for n in range(1, len(tags) + 1):
-                    places.setdefault(f"{rule['rootName']}/{tags[n - 1]}", set()).add(tags[:n])
-        self.rules = [resolved for rule in listed for resolved in self._resolved(rule, places)]
-
-    def _resolved(self, rule: Rule, places: dict[str, set[tuple[str, ...]]]) -> list[Rule]:
-        """The rule with child steps only: one rule for every place where its descendant is known to stand."""
-        if not rule["XPath"].startswith(DESCENDANT):
-            return [rule]
-        rest = rule["XPath"][len(DESCENDANT):]
-        tag = _steps_of_rule(rule, "./" + rest)[0].tag
-        found = sorted(places.get(f"{rule['rootName']}/{tag}", ()))
-        if not found:
-            raise RuleError([(rule["rule_no"], rule["elementName"], f"no other rule says where {tag} stands in {rule['rootName']}")])
-        if len(found) > 1 and rule["elementName"] not in self.correlated:
-            raise RuleError([(rule["rule_no"], rule["elementName"], f"{tag} stands in several places of {rule['rootName']}")])
-        return [rule | {"XPath": "/".join([".", *tags[:-1], rest])} for tags in found]
+        self.rules = [{k: ("" if v is None else v) for k, v in r.items()} for r in as_rules(rules, "xml_mapping")]
+        self.steps = {r["rule_no"]: _steps_of_rule(r, r["XPath"]) for r in self.rules if r["XPath"]}
+        self.tree = None if structure is None else Tree.of(structure)
+
+    def is_ordered(self, rule: Rule) -> bool:
+        """Whether several paths may lead to what a rule finds, so that places in the document order it."""
+        return bool(rule["XPath"]) and needs_structure(self.steps[rule["rule_no"]])
+
+    def needs_structure(self) -> bool:
+        row = self.row_rule()
+        return any(self.is_ordered(r) for r in self.rules if r["rootName"] != row["rootName"] or r["elementName"] != ENTITY_CLASS)
+
+    def paths(self, rule: Rule, from_entity: bool = False) -> list[Path]:
+        """The paths of child steps that a rule stands for."""
+        steps = self.steps[rule["rule_no"]]
+        if not needs_structure(steps):
+            return [steps]
+        if self.tree is None:
+            raise RuleError([(rule["rule_no"], rule["elementName"], f"the path {rule['XPath']} needs the structure of the data")])
+        root = self.tree if from_entity or rule["rootName"] == self.row_tag() else self.tree.everywhere(rule["rootName"])
+        return root.paths(steps)
 
     def nodes(self, class_name: str) -> list[Rule]:
         return [r for r in self.rules if r["elementName"] == class_name and r["attrName"] == "" and r["XPath"]]
@@ -159,31 +277,45 @@ class RuleSet:
         return len(self.nodes(ENTITY_CLASS))
 
     def row_tag(self) -> str:
-        return steps_of(self.row_rule()["XPath"])[-1].tag
+        rule = self.row_rule()
+        tag = self.steps[rule["rule_no"]][-1].tag
+        if tag in (ANY, SELF):
+            raise RuleError([(rule["rule_no"], ENTITY_CLASS, f"the path {rule['XPath']} names no row element")])
+        return tag
+
+    def row_tests(self) -> tuple[Test, ...]:
+        rule = self.row_rule()
+        tests = self.steps[rule["rule_no"]][-1].tests
+        if any(t.paths for t in tests):
+            raise RuleError([(rule["rule_no"], ENTITY_CLASS, f"the path {rule['XPath']} leads to a parent")])
+        return tests
 
     def shape(self) -> Shape:
         """Everything the rules touch below the entity element."""
         entity = Shape()
         row_tag = self.row_tag()
         roots = {row_tag: [entity]}
-        entity.at([Step(row_tag, steps_of(self.row_rule()["XPath"])[-1].tests)])
-        entity.attributes |= {t.name for t in steps_of(self.row_rule()["XPath"])[-1].tests if t.of_attribute}
-        entity.parts.pop(row_tag, None)
+        for test in self.row_tests():
+            entity.at([Step(SELF, (test,))])
         for rule in self.rules:
             rooted = rule["rootName"] == row_tag or rule["elementName"] in self.correlated
-            if rule["attrName"] == "" and rule["XPath"] and rooted:
-                steps = steps_of(rule["XPath"])
-                roots.setdefault(steps[-1].tag, []).append(entity.at(steps))
+            if rule["attrName"] == "" and rule["XPath"] and rooted and rule is not self.row_rule():
+                for steps in self.paths(rule, from_entity=True):
+                    target = entity.at(steps)
+                    roots.setdefault(_last_tag(steps, row_tag), []).append(target)
+                    target.attributes |= {ORDER} if self.is_ordered(rule) else set()
         for rule in self.rules:
             is_node_rule = rule["attrName"] == "" and rule["XPath"] and not rule["rootAttr"]
             if rule["FixedValue"] or (is_node_rule and rule["elementName"] in self._node_classes()):
                 continue
             for shape in roots.get(rule["rootName"], []):
-                target = shape.at(steps_of(rule["XPath"])) if rule["XPath"] else shape
-                if rule["rootAttr"]:
-                    target.attributes.add(rule["rootAttr"])
-                else:
-                    target.text = True
+                for steps in self.paths(rule) if rule["XPath"] else [()]:
+                    target = shape.at(steps)
+                    target.attributes |= {ORDER} if self.is_ordered(rule) else set()
+                    if rule["rootAttr"]:
+                        target.attributes.add(rule["rootAttr"])
+                    else:
+                        target.text = True
         return entity
 
     def _node_classes(self) -> set[str]:
@@ -194,6 +326,8 @@ class RuleSet:
 
 
 def _passes(element: Column, test: Test, value: Column | None) -> Column:
+    if test.paths:
+        return any_of(F.size(F.coalesce(_walk(F.array(element), path, value), F.array())) > 0 for path in test.paths)
     wanted = None
     if test.equals is not None:
         wanted = value if test.equals == VALUE_MARK else F.lit(test.equals)
@@ -214,7 +348,7 @@ def _below(step: Step, value: Column | None):
     """The matching children of one parent. A position counts all children of that name, whatever other tests say."""
 
     def matching(parent: Column) -> Column:
-        found = parent.getField(step.tag)
+        found = F.array(parent) if step.tag == SELF else parent.getField(step.tag)
         for test in sorted(step.tests, key=lambda t: not t.ordinal):
             found = F.slice(found, test.ordinal, 1) if test.ordinal else F.filter(found, _passing(test, value))
         return found
@@ -225,6 +359,8 @@ def _below(step: Step, value: Column | None):
 def _walk(elements: Column, steps: Sequence[Step], value: Column | None = None) -> Column:
     """Elements along a path, in document order."""
     for step in steps:
+        if step.tag == SELF and not step.tests:
+            continue
         if step.tests:
             lists = F.transform(elements, _below(step, value))
             elements = F.flatten(F.filter(lists, lambda x: x.isNotNull()))
@@ -247,20 +383,41 @@ class _Compiler:
                 break
             if rule["rootName"] != tag:
                 continue
-            target = F.get(_walk(F.array(node), steps_of(rule["XPath"])), F.lit(0)) if rule["XPath"] else node
-            found.append(blank_to_null(attribute(target, rule["rootAttr"]) if rule["rootAttr"] else text_of(target)))
+            paths = self.rules.paths(rule) if rule["XPath"] else [()]
+            firsts = [F.get(_walk(F.array(node), steps), F.lit(0)) if rule["XPath"] else node for steps in paths]
+            values = [attribute(target, rule["rootAttr"]) if rule["rootAttr"] else text_of(target) for target in firsts]
+            if self.rules.is_ordered(rule):
+                placed = [F.when(attribute(t, ORDER).isNotNull(), F.struct(attribute(t, ORDER).alias("place"), v.alias("value"))) for t, v in zip(firsts, values)]
+                values = [F.array_min(F.array(*placed)).getField("value")] if placed else []
+            found += [blank_to_null(v) for v in values]
         return F.coalesce(*found) if found else null_string()
 
+    def found(self, rule: Rule, branch, element: Column, value: Column | None) -> Column:
+        """The entries of the nodes that a rule finds below the entity, in document order; NULL or empty if there are none."""
+        paths = self.rules.paths(rule, from_entity=True)
+        if not self.rules.is_ordered(rule):
+            return F.transform(_walk(F.array(element), paths[0], value), self.entry_of(branch, _last_tag(paths[0], self.row_tag), element))
+        none = F.array().cast(_branch_type(branch))
+        if not paths:
+            return none
+        placed = []
+        for steps in paths:
+            entry = self.entry_of(branch, _last_tag(steps, self.row_tag), element)
+            nodes = F.transform(_walk(F.array(element), steps, value), _placed(entry))
+            placed.append(F.coalesce(nodes, F.array().cast(T.ArrayType(_placed_type(branch)))))
+        every = F.concat(*placed)
+        if len({tuple(s.tag for s in steps if s.tag != SELF) for steps in paths}) < len(paths):
+            every = F.array_distinct(every)  # paths that differ in their tests may find the same node
+        return F.transform(F.array_sort(every), lambda x: x.getField("entry"))
+
     def entries(self, branch, element: Column) -> Column:
         """The list of one branch: the first rule that finds nodes."""
         class_name, found = self.classes[branch.name], []
         for rule in self.rules.nodes(class_name):
             if rule["rootName"] != self.row_tag:
                 continue
-            steps = steps_of(rule["XPath"])
             value = self.property(rule["ConditionValue"], "", element, self.row_tag) if rule["ConditionValue"] else None
-            nodes = _walk(F.array(element), steps, value)
-            found.append(null_if_empty(F.transform(nodes, self.entry_of(branch, steps[-1].tag, element))))
+            found.append(null_if_empty(self.found(rule, branch, element, value)))
         return F.coalesce(*found) if found else F.lit(None).cast(_branch_type(branch))
 
     def entry_of(self, branch, tag: str, element: Column):
@@ -281,14 +438,24 @@ class _Compiler:
         """Nodes anywhere in the entity that belong to this parent, from all rules of the class."""
         parts = []
         for rule in self.rules.nodes(self.classes[branch.name]):
-            steps = steps_of(rule["XPath"])
             value = self.property(rule["ConditionValue"], "", parent, parent_tag) if rule["ConditionValue"] else None
-            nodes = _walk(F.array(element), steps, value)
-            listed = F.transform(nodes, self.entry_of(branch, steps[-1].tag, element))
-            parts.append(F.coalesce(listed, F.array().cast(_branch_type(branch))))
+            parts.append(F.coalesce(self.found(rule, branch, element, value), F.array().cast(_branch_type(branch))))
         return null_if_empty(F.concat(*parts)) if parts else F.lit(None).cast(_branch_type(branch))
 
 
+def _last_tag(steps: Path, row_tag: str) -> str:
+    """The tag of the elements a path leads to, from the row element."""
+    return next((s.tag for s in reversed(steps) if s.tag != SELF), row_tag)
+
+
+def _placed(entry):
+    return lambda node: F.struct(attribute(node, ORDER).alias("place"), entry(node).alias("entry"))
+
+
+def _placed_type(branch) -> T.StructType:
+    return T.StructType([T.StructField("place", T.StringType()), T.StructField("entry", _branch_type(branch).elementType)])
+
+
 def _scalar_names(group: Group) -> list[str]:
     return [group.lead[0], *[n for n, _ in group.scalars]]
 
@@ -311,16 +478,25 @@ def record_type(spec: NestingSpec) -> T.StructType:
 
 
 def extract_entities(
-    elements: DataFrame, rules: Rules, spec: NestingSpec = VARIANT_SPEC, classes: dict[str, str] | None = None, row: int = 0
-) -> DataFrame:
-    """Nested records from (xml, ...) rows by mapping rules; a list without nodes is NULL. `row` says which rule for entities counts."""
+    elements: DataFrame, rules: Rules, spec: NestingSpec = VARIANT_SPEC, classes: dict[str, str] | None = None, row: int = 0,
+    structure: T.StructType | None = None,
+) -> DataFrame:
+    """Nested records from (xml, ...) rows by mapping rules; a list without nodes is NULL. `row` says which rule for entities counts.
+
+    Where paths have `*`, `//` or `..`, a pass over the rows finds their structure, unless it is given as `structure_of` has it.
+    """
     classes = classes or VARIANT_CLASSES
-    rule_set = RuleSet(rules, [classes[b.name] for g in spec.groups for b in (*g.values, *g.structs, *g.groups)], row)
+    correlated = [classes[b.name] for g in spec.groups for b in (*g.values, *g.structs, *g.groups)]
+    rule_set = RuleSet(rules, correlated, row, structure)
+    if rule_set.needs_structure():
+        if structure is None:
+            rule_set = RuleSet(rules, correlated, row, structure_of(elements, rule_set.row_tag()))
+        elements = elements.withColumn("xml", numbered(F.col("xml")))
     shape = rule_set.shape()
     compiler = _Compiler(rule_set, classes)
     element, tag = F.col("element"), compiler.row_tag
     parsed = parse_elements(elements, shape.struct())
-    for test in steps_of(rule_set.row_rule()["XPath"])[-1].tests:
+    for test in rule_set.row_tests():
         parsed = parsed.where(_passes(element, test, None))
     scalars = [spec.key, *[n for n, _ in spec.scalars]]
     branches = (*spec.values, *spec.structs, *spec.groups)
@@ -332,14 +508,15 @@ def extract_entities(
 
 def read_by_rules(
     spark: SparkSession, paths: str | Sequence[str], rules: Rules, row_tag: str | None = None,
-    spec: NestingSpec = VARIANT_SPEC, encoding: str = "UTF-8",
+    spec: NestingSpec = VARIANT_SPEC, encoding: str = "UTF-8", nested_rows: bool = False,
 ) -> DataFrame:
-    """Nested records of XML files by mapping rules. Of several rules for entities, the first that finds any counts."""
+    """Nested records of XML files by mapping rules. Of several rules for entities, the first that finds any counts. `nested_rows`: the
+    row element may contain itself; what is inside one is part of it."""
     listed = [tuple(r.values())[1:] for r in as_rules(rules, "xml_mapping")]
     last = max(0, RuleSet(listed).row_alternatives() - 1)
     for row in range(last + 1):
         tag = row_tag or RuleSet(listed, row=row).row_tag()
-        records = extract_entities(read_elements(spark, paths, tag, encoding), listed, spec, row=row)
+        records = extract_entities(read_elements(spark, paths, tag, encoding, nested_rows), listed, spec, row=row)
         # stops at the first record
         if row == last or not records.isEmpty():
             return records

@@ -11,7 +11,8 @@ from rulemill.variants.derive import (
     CLEANING_RULES, clinical_actionability, derive_attributes, variant_name, with_assembly_dates,
 )
 from rulemill.variants.schema import VARIANT_COLUMNS, VARIANT_SPEC
-from rulemill.variants.xml_rules import extract_entities
+from rulemill.sources.storage import scratch_path
+from rulemill.variants.xml_rules import extract_entities, read_by_rules
 from suite.nested import order_lines
 from suite.registry import register, table
 
@@ -296,8 +297,58 @@ def xml_correlated(spark, sf):
 
 @register(CORRELATED)
 def xml_descendant_paths(spark, sf):
-    """The same with a descendant path, resolved by the path of another rule."""
+    """The same with a descendant path, followed by the structure of the data."""
     deep = [tuple(".//Line[@flag='<value>']" if v == "./Lines/Line[@flag='<value>']" else v for v in r) for r in ORDER_RULES]
     records = extract_entities(order_elements(spark, sf), deep)
     kinds = records.select("variant_id", F.inline("phenotypes")).select("variant_id", "phenotype", F.inline("interpretation"))
     return kinds.select("variant_id", "phenotype", F.col("clinical_significance").alias("number"))
+
+
+AT_ANY_DEPTH = [("variation", "", "./Order", "Orders", "", "", ""), ("variation", "variant_id", "", "Order", "key", "", "")]
+
+
+@register(f"SELECT DISTINCT CAST(k AS VARCHAR) AS variant_id, CAST(n AS VARCHAR) AS assembly, t AS ref FROM {LINES} WHERE f = 'A'")
+def xml_any_depth(spark, sf):
+    """No other rule says where the lines stand."""
+    rules = [*AT_ANY_DEPTH, ("assembly", "", ".//Line[@flag='A']", "Order", "", "", ""), ("assembly", "assembly", "", "Line", "number", "", ""), ("assembly", "ref", "", "Line", "", "", "")]
+    return extract_entities(order_elements(spark, sf), rules).select("variant_id", F.inline("assembly")).select("variant_id", "assembly", "ref")
+
+
+@register(f"SELECT DISTINCT CAST(k AS VARCHAR) AS variant_id, 'kind ' || f AS phenotype, CASE WHEN k % 3 = 0 THEN 'N' || k END AS note FROM {LINES}")
+def xml_parent_steps(spark, sf):
+    """Kinds that have a name, and what stands beside the lines."""
+    rules = [
+        *AT_ANY_DEPTH, ("variation", "variant_name", "./Lines/../Note", "Order", "code", "", ""),
+        ("phenotype", "", "./Kind/Name/..", "Order", "", "", ""), ("phenotype", "phenotype", "./Name", "Kind", "", "", ""),
+    ]
+    records = extract_entities(order_elements(spark, sf), rules)
+    return records.select("variant_id", F.inline("phenotypes"), F.col("variant_name").alias("note")).select("variant_id", "phenotype", "note")
+
+
+@register(f"""
+SELECT variant_id, count(*) FILTER (kind = 'line') AS n_lines, count(*) FILTER (kind = 'name') AS n_names FROM (
+  SELECT DISTINCT CAST(k AS VARCHAR) AS variant_id, 'line' AS kind, n || f || t AS what FROM {LINES}
+  UNION ALL SELECT DISTINCT CAST(k AS VARCHAR), 'name', f FROM {LINES}) GROUP BY variant_id""")
+def xml_any_tag(spark, sf):
+    """Grandchildren whatever stands between: the lines, and the names of the kinds."""
+    rules = [
+        *AT_ANY_DEPTH, ("gene", "", "./*/*", "Order", "", "", ""), ("gene", "gene", "", "Line", "number", "", ""),
+        ("hgvs", "", "./*/Name", "Order", "", "", ""), ("hgvs", "hgvs", "", "Name", "", "", ""),
+    ]
+    lines = F.size(F.filter("genes", lambda g: g.isNotNull())).cast("long")
+    return extract_entities(order_elements(spark, sf), rules).select("variant_id", lines.alias("n_lines"), F.size("hgvs").cast("long").alias("n_names"))
+
+
+@register("""
+SELECT CAST(first AS VARCHAR) AS variant_id, CAST(o_orderkey AS VARCHAR) AS inner_id
+FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders) WHERE o_orderkey <> first""")
+def xml_rows_inside_rows(spark, sf):
+    """A customer's first order holds the others; files are cut anywhere, inside rows too."""
+    keys = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    inner = F.transform(F.slice("keys", 2, F.greatest(F.size("keys") - 1, F.lit(0))), lambda k: F.format_string('<Order key="%d"><Status/></Order>', k))
+    xml = F.concat(F.format_string('<Order key="%d">', F.get("keys", F.lit(0))), F.array_join(inner, ""), F.lit("</Order>"))
+    path = scratch_path(spark, "xml")
+    keys.select(xml).write.option("lineSep", "  ").text(path)
+    rules = [*AT_ANY_DEPTH, ("gene", "", ".//Order", "Order", "", "", ""), ("gene", "gene", "", "Order", "key", "", "")]
+    records = read_by_rules(spark, path, rules, nested_rows=True)
+    return records.select("variant_id", F.explode("genes").alias("inner_id"))

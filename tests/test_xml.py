@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from rulemill import flatten
 from rulemill.sources.xml import malformed_elements, read_elements, read_xml
-from rulemill.variants.schema import VARIANT_SPEC
 from rulemill.plans.rules import RuleError
-from rulemill.variants.xml_rules import RuleSet, UnsupportedPath, read_by_rules, steps_of
+from rulemill.variants.schema import VARIANT_SPEC
+from rulemill.variants.xml_rules import RuleSet, Step, Test as Condition, UnsupportedPath, read_by_rules, steps_of, structure_of
 from tests.conftest import values
 
 DOCUMENT = """<?xml version="1.0"?>
@@ -30,8 +30,8 @@ RULES = [
     ("hgvs", "", "./Deep/H", "Variant", "", "", ""), ("hgvs", "hgvs", "", "H", "", "", ""),
     ("databank", "", "./Name", "Variant", "", "", ""), ("databank", "name", "", "Name", "", "", "MyBank"),
 ]
-# The same with a descendant path; another rule says where the tag stands.
-DEEP_RULES = [tuple(".//H" if v == "./Deep/H" else v for v in r) for r in RULES] + [("hgvs", "", "./Deep/H", "Variant", "", "", "")]
+# The same with a descendant path.
+DEEP_RULES = [tuple(".//H" if v == "./Deep/H" else v for v in r) for r in RULES]
 
 
 @pytest.fixture(scope="module")
@@ -104,9 +104,12 @@ def test_rows_can_be_restricted_by_a_test_on_the_row_element(spark, document):
 def test_paths():
     tests = steps_of("./A[@x='1/2'][2]/B[c='d'][e]/F")
     assert [s.tag for s in tests] == ["A", "B", "F"] and tests[0].tests[1].ordinal == 2
-    for path in (".//A", "./A/..", "./*", "./A[last()]"):
+    for path in ("./A[last()]", "..", "./A/../..", "./A//", "./ancestor::A", "./*[2]", "./A|./B", "."):
         with pytest.raises(UnsupportedPath):
             steps_of(path)
+    assert steps_of(".//A/B//C") == (Step("A", deep=True), Step("B"), Step("C", deep=True))
+    has_b = Condition(paths=((Step("B"),),))
+    assert steps_of("./A/B/..") == (Step("A", (has_b,)),) and steps_of("./B/../C") == (Step(".", (has_b,)), Step("C"))
     assert RuleSet(RULES).row_tag() == "Variant"
 
 
@@ -126,14 +129,13 @@ def test_path_tests_agree_with_element_tree(spark, tmp_path, path, expected):
 
 
 def test_paths_that_cannot_be_followed_name_their_rule(spark, document):
-    for path, message in ((".//H", "no other rule"), ("./A/..", "child steps"), (".//*", "child steps")):
+    for path, message in (("./A[last()]", "not supported"), ("../A", "not supported"), ("./child::A", "not supported")):
         rules = [tuple(path if v == "./Deep/H" else v for v in r) for r in RULES]
         with pytest.raises(RuleError, match=message) as error:
             read_by_rules(spark, document, rules)
         assert error.value.problems[0][0] == 1 + RULES.index(("hgvs", "", "./Deep/H", "Variant", "", "", ""))
-    several = [*DEEP_RULES, ("hgvs", "", "./Other/H", "Variant", "", "", "")]
-    with pytest.raises(RuleError, match="several places"):
-        RuleSet(several)
+    with pytest.raises(RuleError, match="structure"):
+        RuleSet(DEEP_RULES).shape()
 
 
 def test_no_python_in_the_plan(spark, document):
@@ -150,3 +152,86 @@ def test_comments_and_malformed_elements(spark, tmp_path):
     rules = [("variation", "", "./V", "R", "", "", ""), ("variation", "variant_id", "", "V", "id", "", ""), ("gene", "", "./T", "V", "", "", ""), ("gene", "gene", "", "T", "", "", "")]
     records = read_by_rules(spark, str(tmp_path / "x.xml"), rules)
     assert sorted((r["variant_id"], r["genes"]) for r in records.collect()) == [("1", ["tu"]), ("3", ["y"])]
+
+
+NESTED = (
+    '<V><L>a</L><X><L k="2">b</L><Y><L>c</L><N>x</N></Y></X><!-- <L>no</L> --><L k="2">d<L>e</L></L>'
+    "<M><N>y</N><L>f</L><M><N>x</N><L>g</L></M></M><Z><![CDATA[<L>no</L>]]></Z><X><L>h</L></X><E/></V>"
+)
+
+
+@pytest.mark.parametrize(
+    "path",
+    [".//L", "./*/L", ".//L[@k]", ".//L[@k='2']", "./X//L", ".//M//L", ".//M/L", ".//*/L", "./X/Y/../L", ".//N/../L", ".//M[N='x']/L", "./M//N/../L",
+     ".//L/L", ".//Q", "./*//L", "./L/../X/L", ".//X/*/L", ".//L[2]", ".//L/../L[1]"],
+)
+def test_axes_agree_with_element_tree(spark, tmp_path, path):
+    from xml.etree import ElementTree
+
+    expected = [e.text for e in dict.fromkeys(ElementTree.fromstring(NESTED).findall(path))]
+    (tmp_path / "x.xml").write_text(f"<R>{NESTED}<V/></R>")
+    rules = [("variation", "", "./V", "R", "", "", ""), ("gene", "", path, "V", "", "", ""), ("gene", "gene", "", "L", "", "", "")]
+    found = read_by_rules(spark, str(tmp_path / "x.xml"), rules).collect()
+    assert sorted((r.genes for r in found), key=str) == sorted([expected or None, None], key=str)
+
+
+def test_properties_by_axes_are_the_first_in_the_document(spark, tmp_path):
+    (tmp_path / "x.xml").write_text("<R><V><P><Q><N>deep</N></Q><N>flat</N></P></V><V><P><N>flat</N><Q><N>deep</N></Q></P></V><V><P i='3'/></V></R>")
+    rules = [
+        ("variation", "", "./V", "R", "", "", ""), ("variation", "variant_id", ".//N", "V", "", "", ""), ("variation", "chromosome", "./*", "V", "i", "", ""),
+        ("gene", "", "./P", "V", "", "", ""), ("gene", "gene", ".//N", "P", "", "", ""),
+    ]
+    found = read_by_rules(spark, str(tmp_path / "x.xml"), rules)
+    assert values(found, "variant_id", "genes", "chromosome") == [(None, [None], "3"), ("deep", ["deep"], None), ("flat", ["flat"], None)]
+
+
+def test_correlated_children_at_any_depth(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        "<R><V><Ph id='1'/><Ph id='2'/><A><I p='1' s='a'/><B><I p='2' s='b'/></B></A><I p='1' s='c'/></V></R>"
+    )
+    rules = [
+        ("variation", "", "./V", "R", "", "", ""), ("phenotype", "", "./Ph", "V", "", "", ""), ("phenotype", "phenotype", "", "Ph", "id", "", ""),
+        ("pkey", "", "", "Ph", "id", "", ""), ("interpretation", "", ".//I[@p='<value>']", "V", "", "pkey", ""),
+        ("interpretation", "clinical_significance", "", "I", "s", "", ""),
+    ]
+    (row,) = read_by_rules(spark, str(tmp_path / "x.xml"), rules).collect()
+    assert [[i.clinical_significance for i in p.interpretation] for p in row.phenotypes] == [["a", "c"], ["b"]]
+
+
+@pytest.mark.parametrize("size", ["128m", "60", "25"])
+def test_rows_inside_rows(spark, tmp_path, size):
+    import random
+
+    rng = random.Random(1)
+    number = iter(range(10_000))
+
+    def element(depth):
+        if rng.random() < 0.2:
+            return f'<V id="{next(number)}"/>'
+        return f'<V id="{next(number)}"><T>t</T>{"".join(element(depth + 1) for _ in range(rng.randrange(3 if depth < 4 else 1)))}</V>'
+
+    rows = [element(0) for _ in range(40)]
+    (tmp_path / "x.xml").write_text("<R>\n" + " ".join(rows) + "</R>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert sorted(r.xml for r in read_elements(spark, str(tmp_path / "x.xml"), "V", nested=True).collect()) == sorted(rows)
+        rules = [
+            ("variation", "", "./V", "R", "", "", ""), ("variation", "variant_id", "", "V", "id", "", ""),
+            ("gene", "", ".//V", "V", "", "", ""), ("gene", "gene", "", "V", "id", "", ""),
+        ]
+        found = read_by_rules(spark, str(tmp_path / "x.xml"), rules, nested_rows=True)
+        import re
+
+        want = [(ids[0], ids[1:] or None) for ids in (re.findall('id="(\\d+)"', row) for row in rows)]
+        assert sorted(((r.variant_id, r.genes) for r in found.collect()), key=str) == sorted(want, key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_structure_of_the_data(spark):
+    df = spark.createDataFrame([('<V a="1"><A><B/></A></V>',), ("<V><A/><C>t</C></V>",)], "xml string")
+    found = structure_of(df, "V")
+    assert {f.name for f in found} >= {"_a", "A", "C"} and "B" in found["A"].dataType.simpleString()
