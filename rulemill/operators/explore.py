@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rulemill.functions.columns import any_of, column
-from rulemill.sources.storage import ensure_checkpoint_dir
+from rulemill.operators.ranges import numbered, selected
 
 # Page sizes a result can be shown in; None shows all rows.
 PAGE_SIZES = (5, 10, 15, 20, 50, None)
 
-# A page that ends before this row is taken with a top-k; a later one from numbered rows.
-TOP_K_ROWS = 100_000
-
-# monotonically_increasing_id keeps the partition above this bit and the row below it.
-_ROW_BITS = 33
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
@@ -36,44 +31,27 @@ def row_ids(df: DataFrame, name: str = "id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def ordinals(df: DataFrame, order_by: Sequence[Column | str], name: str = "ordinal") -> DataFrame:
+def ordinals(df: DataFrame, order_by: Sequence[Column | str], name: str = "ordinal", ranges: int | None = None) -> DataFrame:
     """Dense row numbers 1..n over an explicit order, without moving all rows to one task.
 
-    The sorted rows are frozen in a checkpoint, the rows per partition are counted (one row per partition), and
-    every row adds the rows of the partitions before its own.
+    `ranges` (by default the session's number of shuffle partitions) are numbered by themselves. Jobs sample and count the order key when this
+    is called; the numbering itself is lazy, one shuffle, and stores nothing. Rows that the order leaves equal are ordered by a hash of the row.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order_by).withColumn("_placed", F.monotonically_increasing_id()).checkpoint()
-    partition = F.shiftright("_placed", _ROW_BITS)
-    # One row per partition of the sort, so the window and the broadcast are bounded by the partition count.
-    before = (
-        placed.groupBy(partition.alias("_partition"))
-        .agg(F.count("_placed").alias("_rows"))
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_rows").over(Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .select("_partition", "_before")
-    )
-    row = F.col("_placed").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        placed.withColumn("_partition", partition)
-        .join(F.broadcast(before), "_partition")
-        .select(*[column(c) for c in df.columns], (F.col("_before") + row + 1).alias(name))
-    )
+    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(df, order_by, name, count)
 
 
 def page(df: DataFrame, order_by: Sequence[Column | str], number: int = 1, size: int | None = 10) -> DataFrame:
-    """Page `number` (from 1) of `size` rows; all rows if `size` is None."""
+    """Page `number` (from 1) of `size` rows; all rows if `size` is None.
+
+    Counting passes find the narrow range of the order in which the page lies, wherever that is; only that range is sorted. Pages do not overlap:
+    rows that the order leaves equal are ordered by a hash of the row.
+    """
     if size is None:
         return df.orderBy(*order_by)
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
-    first = (number - 1) * size
-    if first + size <= TOP_K_ROWS:
-        return df.orderBy(*order_by).offset(first).limit(size)
-    numbered = ordinals(df, order_by, "_ordinal")
-    return numbered.where(F.col("_ordinal").between(first + 1, first + size)).orderBy("_ordinal").drop("_ordinal")
+    return selected(df, order_by, (number - 1) * size, size)
 
 
 def page_info(df: DataFrame, number: int, size: int | None) -> DataFrame:

@@ -32,6 +32,15 @@ def page_of_orders(spark, sf):
     return page(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], number=3, size=50)
 
 
+@register("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25 OFFSET 30000""")
+def page_deep(spark, sf):
+    """A page far behind: its range is found by counting."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return page(lines, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"], number=1201, size=25)
+
+
 @register("SELECT CAST(101 AS BIGINT) AS first_row, CAST(150 AS BIGINT) AS last_row, count(*) AS total_rows FROM orders")
 def page_line(spark, sf):
     return page_info(table(spark, sf, "orders"), number=3, size=50)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill import drop_all_null, keyword_search, ordinals, page, page_info, row_ids
-from rulemill.operators import explore
+from rulemill.operators import ranges
 from rulemill.sources.storage import ensure_checkpoint_dir, scratch_path
 from tests.conftest import values
 
@@ -29,17 +29,63 @@ def test_ordinals_are_dense_over_the_order(spark):
     assert [(r.v, r.n) for r in numbered.orderBy("n").collect()] == [(999 - i, i + 1) for i in range(1000)]
 
 
-@pytest.mark.parametrize("limit", [100_000, 10])
-def test_pages(spark, monkeypatch, limit):
-    monkeypatch.setattr(explore, "TOP_K_ROWS", limit)
+@pytest.mark.parametrize("rows_of_a_range", [20_000, 4])
+def test_pages(spark, monkeypatch, rows_of_a_range):
+    monkeypatch.setattr(ranges, "ROWS", rows_of_a_range)
     df = spark.range(53).repartition(5)
     assert [r.id for r in page(df, ["id"], 3, 20).collect()] == list(range(40, 53))
     assert [r.id for r in page(df, ["id"], 2, 5).collect()] == [5, 6, 7, 8, 9]
+    assert page(df, ["id"], 9, 20).collect() == [] and page(df.limit(0), ["id"], 1, 5).collect() == []
     assert page(df, ["id"], size=None).count() == 53
     with pytest.raises(ValueError):
         page(df, ["id"], 0, 5)
 
 
+ORDERS = [
+    lambda: ["a"], lambda: [F.desc("a"), "b"], lambda: [F.asc_nulls_last("a"), F.desc_nulls_first("b")], lambda: [F.col("t").desc(), F.col("b") % 3],
+    lambda: [F.lower("s"), "d"],
+]
+
+
+@pytest.mark.parametrize("make", ORDERS, ids=range(len(ORDERS)))
+def test_pages_and_numbers_over_any_order(spark, monkeypatch, make):
+    """Every page of every order, with NULLs, ties, one key in a third of the rows and rows that are equal in all columns."""
+    monkeypatch.setattr(ranges, "ROWS", 5)
+    monkeypatch.setattr(ranges, "BOUNDS", 6)
+    monkeypatch.setattr(ranges, "SAMPLE", 40)
+    rows = [(None if i % 7 == 0 else 3 if i % 3 == 0 else i % 11, i % 13 if i % 5 else None, f"{'aB'[i % 2]}{i % 4}", i / 3 if i % 4 else float("nan")) for i in range(220)]
+    df = spark.createDataFrame([*rows, *rows[:20]] + [(1, 1, "x", 0.5)] * 30, "a int, b int, s string, d double")
+    df = df.withColumn("t", F.timestamp_micros(F.col("b") * 1_000_001)).repartition(3)
+    key = lambda r: tuple(None if x is None else str(x) for x in r)
+    order = make()
+    keys = ranges.keys_of(df, order)
+    ordered = [key(r) for r in df.orderBy(*[k.sorted() for k in keys]).collect()]
+    assert [key(r)[:-1] for r in ordinals(df, order, "n", ranges=9).orderBy("n").collect()] == ordered
+    assert [r.n for r in ordinals(df, order, "n", ranges=9).orderBy("n").collect()] == list(range(1, 271))
+    for number, size in ((1, 8), (5, 8), (16, 16), (27, 10), (28, 10), (2, 150)):
+        assert [key(r) for r in page(df, order, number, size).collect()] == ordered[(number - 1) * size : number * size]
+
+
+def test_page_plan_reads_its_range(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 50)
+    plan = page(spark.range(5000).withColumn("v", F.col("id") * 2), ["v"], 400, 10)._jdf.queryExecution().toString()
+    assert "Filter" in plan and "Checkpoint" not in plan and "ExistingRDD" not in plan
+
+
+def test_a_page_inside_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 5)
+    monkeypatch.setattr(ranges, "SAMPLE", 8)
+    df = spark.createDataFrame([(1,), (2,), *[(5,)] * 400, (9,), (10,)], "v int").repartition(4)
+    want = sorted(r.v for r in df.collect())
+    for number, size in ((1, 3), (20, 10), (41, 10), (134, 3), (135, 3)):
+        assert [r.v for r in page(df, ["v"], number, size).collect()] == want[(number - 1) * size : number * size]
+
+
+def test_orders_by_nested_values_are_refused(spark):
+    with pytest.raises(ValueError):
+        page(spark.sql("select array(1) x"), ["x"])
+
+
 def test_page_lines(spark):
     df = spark.range(53)
     assert values(page_info(df, 3, 20)) == [(41, 53, 53)] and values(page_info(df, 1, None)) == [(1, 53, 53)]
