@@ -1,18 +1,19 @@
 """Flat rows to nested records and back, driven by a NestingSpec.
 
-`nest` finds the distinct values of every branch in one aggregate, combined before the shuffle, and collects them per key in
-a second one. What is collected is already distinct. One record is one row; where keys have more distinct children than a row
+`nest` reads its input once and finds the distinct values of every branch, at any depth, in one aggregate that is combined
+before the shuffle; one exchange by key then brings together what is already distinct, and groups are collected in place. One record is one row; where keys have more distinct children than a row
 should hold, `parts` deals the children of every key out to that many records.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rulemill.functions.columns import all_of, any_of, column, null_if_empty
 from rulemill.plans.rules import RuleError
@@ -141,113 +142,175 @@ def _outputs(node) -> list[str]:
     return scalars + [b.name for b in (*node.values, *node.structs, *node.groups)]
 
 
-def _nest_rows(rows: DataFrame, keys: list[str], node, parts: int, skip: Column | None = None) -> DataFrame:
-    """(_key0.., _part, outputs of the node): up to `parts` rows per key combination.
+@dataclass(frozen=True)
+class _Place:
+    """A node of the record: the record itself (number 0) or a group, with the numbers and lead columns of the groups from the outermost
+    to itself."""
+
+    number: int
+    node: NestingSpec | Group
+    path: tuple[int, ...] = ()
+    leads: tuple[str, ...] = ()
+
+    @property
+    def depth(self) -> int:
+        return len(self.path)
+
+    def output(self, i: int) -> str:
+        return f"_out{self.number}_{i}"
+
+
+@dataclass(frozen=True)
+class _Branch:
+    """What a copy of a row can stand for: a scalar, a value or a tuple of a node, or only that the node is there."""
+
+    number: int
+    place: _Place
+    item: tuple[str, str] | Values | Structs | None
+    cell: str | None = None
+
+    @property
+    def always(self) -> bool:
+        """It counts whether or not it has a value, and stands in the first part."""
+        return self.item is None or isinstance(self.item, tuple)
 
-    Of rows where `skip` holds, only the keys are kept. Every row is copied once per branch. A copy carries its branch number and the value of that branch only: in a cell
-    shared by all single-column branches of one type, or in a struct of its own.
+
+def _places(node: NestingSpec | Group, above: _Place | None, numbers: Iterator[int]) -> list[_Place]:
+    number = next(numbers)
+    here = _Place(number, node) if above is None else _Place(number, node, (*above.path, number), (*above.leads, node.lead[1]))
+    return [here, *(p for g in node.groups for p in _places(g, here, numbers))]
+
+
+def _nest_rows(rows: DataFrame, keys: list[str], root: NestingSpec, parts: int) -> DataFrame:
+    """(_key0.., _part, outputs of the record): up to `parts` rows per key combination.
+
+    Every row is copied once for each branch that it fills, of the record and of its groups at any depth. A copy carries its branch number, the
+    leads of the groups around the branch, and the value of that branch only: in a cell shared by all single-column branches of one type, or
+    in a struct of its own. Equal copies are combined before a shuffle that deals them by all of this, so a hot key is spread by its
+    values; a second one deals what is left by key and part, and there groups are collected from the inside outwards, each level in place.
     """
     key_names = [f"_key{i}" for i in range(len(keys))]
-    if not (node.scalars or node.values or node.structs):
-        if node.groups:
-            return _nest_groups_only(rows, keys, key_names, node, parts)
-        bare = rows.select(*[column(c).alias(n) for c, n in zip(keys, key_names)]).distinct()
-        return bare.withColumn(PART, F.lit(0))
-    single = [c for _, c in node.scalars] + [v.column for v in node.values]
-    kinds = [rows.schema[c].dataType for c in single]
-    cells = {kind: f"_cell{i}" for i, kind in enumerate(dict.fromkeys(kinds))}
-    cell_of = [cells[kind] for kind in kinds]
-    first_struct = len(single)
-    # A node without scalars gets a branch without a value, so that every key survives.
-    numbers = F.array(*[F.lit(n) for n in range(first_struct + len(node.structs))], *([] if node.scalars else [F.lit(-1)]))
-    if skip is not None:
-        numbers = F.when(skip, F.array(F.lit(-1))).otherwise(numbers)
-
-    masked = [
-        _case([(i, column(c)) for i, c in enumerate(single) if cell_of[i] == cell]).alias(cell) for cell in cells.values()
+    places = _places(root, None, count())
+    depth = max(p.depth for p in places)
+    kind = {c: rows.schema[c].dataType for c in rows.columns}
+    branches, cells, structs = [], {}, 0
+    for place in places:
+        node = place.node
+        for item in [*(node.scalars or [None]), *node.values, *node.structs]:
+            cell = None
+            if isinstance(item, Structs):
+                cell, structs = f"_struct{structs}", structs + 1
+            elif item is not None:
+                cell = cells.setdefault(kind[item.column if isinstance(item, Values) else item[1]], f"_cell{len(cells)}")
+            branches.append(_Branch(len(branches), place, item, cell))
+    value_names = [*cells.values(), *[f"_struct{i}" for i in range(structs)]]
+    of = lambda wanted: F.col("_branch").isin([b.number for b in branches if wanted(b)])
+
+    # the leads around a branch, by depth and type
+    leads: dict[tuple[int, T.DataType], str] = {}
+    for place in places[1:]:
+        leads.setdefault((place.depth, kind[place.node.lead[1]]), f"_lead{len(leads)}")
+    lead_of = lambda place: leads[place.depth, kind[place.node.lead[1]]]
+    # every branch's value, prepared once for a row: a copy only picks its own
+    ready = {name: _by_branch(branches, lambda b, n=name: next((column(p.node.lead[1]) for p in places if p.number in b.place.path and lead_of(p) == n), None)) for name in leads.values()}
+    ready |= {name: _by_branch(branches, lambda b, n=name: column(b.item.column if isinstance(b.item, Values) else b.item[1]) if b.cell == n else None) for name in cells.values()}
+    tuples = {b.cell: b for b in branches if isinstance(b.item, Structs)}
+    ready |= {name: F.struct(*[column(c).alias(n) for n, c in b.item.fields]) for name, b in tuples.items()}
+    numbers = F.array_compact(F.array(*[F.when(_fills(b), F.lit(b.number)) for b in branches]))
+    prepared = rows.select(*[column(c).alias(n) for c, n in zip(keys, key_names)], numbers.alias("_branches"), *[v.alias(n) for n, v in ready.items()], "_pos")
+    picked = [
+        (F.when(F.col("_branch") == tuples[n].number, F.col(n)) if n in tuples else F.get(n, F.col("_branch"))).alias(n) for n in ready
     ]
-    for i, s in enumerate(node.structs):
-        fields = F.struct(*[column(c).alias(n) for n, c in s.fields])
-        masked.append(_case([(first_struct + i, fields)]).alias(f"_struct{i}"))
-    value_names = [*cells.values(), *[f"_struct{i}" for i in range(len(node.structs))]]
-    copies = rows.withColumn("_branch", F.explode(numbers)).select(
-        *[column(c).alias(n) for c, n in zip(keys, key_names)], "_branch", *masked, "_pos"
-    )
-    if node.scalars or node.structs:
-        items = copies.groupBy(*key_names, "_branch", *value_names).agg(F.min("_pos").alias("_pos"))
+    copies = prepared.withColumn("_branch", F.explode("_branches")).select(*key_names, "_branch", *picked, "_pos")
+    what = [*key_names, "_branch", *leads.values(), *value_names]
+    if all(p.node.scalars == () and p.node.structs == () for p in places):
+        items = copies.select(*what).distinct().withColumn("_pos", F.lit(0))  # sorted values need no position
     else:
-        # Sorted values need no position.
-        items = copies.drop("_pos").distinct().withColumn("_pos", F.lit(0))
-    branch, n_scalars = F.col("_branch"), len(node.scalars)
-    always = branch < n_scalars
-    filled = [F.col(c).isNotNull() for c in cells.values()] + [_filled(s, i) for i, s in enumerate(node.structs)]
-    items = items.where(any_of([always, *filled]))
-
-    spread = F.when(always, 0).otherwise(F.xxhash64("_branch", *value_names))
-    placed = items.withColumn(PART, _part_of(spread, parts))
-    collected = []
-    for i, (name, _) in enumerate(node.scalars):
-        mine = branch == i
-        collected.append(F.max_by(F.when(mine, F.col(cell_of[i])), F.when(mine, F.col("_pos"))).alias(name))
-    for i, b in enumerate(node.values, n_scalars):
-        collected.append(F.array_sort(F.collect_list(F.when(branch == i, F.col(cell_of[i])))).alias(b.name))
-    for i, s in enumerate(node.structs):
-        fields = F.col(f"_struct{i}")
-        lead = [fields.getField(s.lead_field).alias("_lead")] if s.lead else []
-        entry = F.struct(*lead, F.col("_pos").alias("_pos"), fields.alias("_fields"))
-        collected.append(F.array_sort(F.collect_list(F.when(branch == first_struct + i, entry))).alias(s.name))
-    nested = placed.groupBy(*key_names, PART).agg(*collected)
-    lists = {b.name: null_if_empty(column(b.name)) for b in node.values}
-    lists |= {s.name: null_if_empty(F.transform(column(s.name), lambda x: x["_fields"])) for s in node.structs}
-    if lists:
-        nested = nested.withColumns(lists)
-    for g in node.groups:
-        grouped = _nest_group(rows.where(column(g.lead[1]).isNotNull()), keys, key_names, g, parts)
-        nested = nested.join(grouped, [*key_names, PART], "full_outer")
-    return nested
+        items = copies.groupBy(*what).agg(F.min("_pos").alias("_pos"))
+
+    # the part of a child among those of its node, and of each group around it among those of the node around that
+    part_names = [PART, *[f"_part{d}" for d in range(1, depth + 1)]] if parts > 1 else []
+    own = F.when(of(lambda b: b.always), 0).otherwise(F.xxhash64("_branch", *value_names))
+    for d in range(len(part_names) - 1, -1, -1):
+        outward = F.xxhash64(*[name for (at, _), name in leads.items() if at == d + 1], part_names[d + 1]) if d < depth else F.lit(0)
+        spread = F.when(of(lambda b, d=d: b.place.depth == d), own).when(of(lambda b, d=d: b.place.depth > d), outward).otherwise(0)
+        items = items.withColumn(part_names[d], F.pmod(spread, F.lit(parts)).cast("int"))
+    for d in range(1, depth + 1):
+        group = _chosen([(of(lambda b, p=p: p.number in b.place.path), F.lit(p.number)) for p in places if p.depth == d])
+        items = items.withColumn(f"_group{d}", group)
+
+    def by(d: int) -> list[str]:
+        return [*key_names, *part_names[: d + 1], *[f"_group{i}" for i in range(1, d + 1)], *[name for (at, _), name in leads.items() if at <= d]]
+
+    nested = items.repartition(*by(0)) if depth else items
+    collected = [_collected(b).alias(b.place.output(i)) for p in places for i, b in _outputs_of(p, branches)]
+    nested = nested.groupBy(*by(depth)).agg(*collected) if collected else nested.select(*by(depth)).distinct()
+    lists = {b.place.output(i): _without_order(b.place.output(i), b) for p in places for i, b in _outputs_of(p, branches) if not isinstance(b.item, tuple)}
+    nested = nested.withColumns(lists) if lists else nested
+    for d in range(depth - 1, -1, -1):
+        done = [p for p in places if p.depth <= d]
+        kept = [F.first(p.output(i), ignorenulls=True).alias(p.output(i)) for p in done for i, _ in _outputs_of(p, branches)]
+        entries = []
+        for p in places:
+            if p.depth == d + 1:
+                entry = F.struct(F.col(lead_of(p)).alias("_lead"), *part_names[d + 1 : d + 2], _entry(p, places, branches, lead_of(p)).alias("_fields"))
+                entries.append(F.array_sort(F.collect_list(F.when(F.col(f"_group{d + 1}") == p.number, entry))).alias(f"_list{p.number}"))
+        nested = nested.groupBy(*by(d)).agg(*kept, *entries)
+        nested = nested.withColumns({f"_list{p.number}": null_if_empty(F.transform(f"_list{p.number}", lambda x: x["_fields"])) for p in places if p.depth == d + 1})
+    return nested.select(*key_names, *part_names[:1], *_fields_of(places[0], places, branches))
+
+
+def _by_branch(branches: list[_Branch], value: Callable[[_Branch], Column | None]) -> Column:
+    """An array with a value at the number of each branch, NULL where it has none."""
+    found = [value(b) for b in branches]
+    return F.array(*[F.lit(None) if v is None else v for v in found])
+
+
+def _fills(b: _Branch) -> Column:
+    """Whether a row has something for a branch."""
+    present = [column(lead).isNotNull() for lead in b.place.leads]
+    if isinstance(b.item, Values):
+        present.append(column(b.item.column).isNotNull())
+    elif isinstance(b.item, Structs):
+        present.append(any_of(column(c).isNotNull() for c in ([b.item.lead] if b.item.lead else b.item.columns)))
+    return all_of(present)
+
+
+def _chosen(choices: list[tuple[Column, Column]]) -> Column:
+    chosen = F.when(*choices[0])
+    for condition, value in choices[1:]:
+        chosen = chosen.when(condition, value)
+    return chosen
 
 
-def _part_of(spread: Column, parts: int) -> Column:
-    return F.pmod(spread, F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+def _outputs_of(place: _Place, branches: list[_Branch]) -> list[tuple[int, _Branch]]:
+    return list(enumerate(b for b in branches if b.place.number == place.number and b.item is not None))
 
 
-def _nest_groups_only(rows: DataFrame, keys: list[str], key_names: list[str], node, parts: int) -> DataFrame:
-    """A node that holds nothing but groups: the first group also carries the keys that have no child in it."""
-    nested = None
-    for g in node.groups:
-        absent = column(g.lead[1]).isNull()
-        first = nested is None
-        grouped = _nest_group(rows if first else rows.where(~absent), keys, key_names, g, parts, absent if first else None)
-        nested = grouped if first else nested.join(grouped, [*key_names, PART], "full_outer")
-    return nested
+def _collected(b: _Branch) -> Column:
+    mine = F.col("_branch") == b.number
+    if isinstance(b.item, tuple):
+        return F.max_by(F.when(mine, F.col(b.cell)), F.when(mine, F.col("_pos")))
+    if isinstance(b.item, Values):
+        return F.array_sort(F.collect_list(F.when(mine, F.col(b.cell))))
+    lead = [F.col(b.cell).getField(b.item.lead_field).alias("_lead")] if b.item.lead else []
+    return F.array_sort(F.collect_list(F.when(mine, F.struct(*lead, F.col("_pos").alias("_pos"), F.col(b.cell).alias("_fields")))))
 
 
-def _case(choices: list[tuple[int, Column]]) -> Column:
-    chosen = F.when(F.col("_branch") == choices[0][0], choices[0][1])
-    for number, value in choices[1:]:
-        chosen = chosen.when(F.col("_branch") == number, value)
-    return chosen
+def _without_order(name: str, b: _Branch) -> Column:
+    found = column(name)
+    return null_if_empty(F.transform(found, lambda x: x["_fields"]) if isinstance(b.item, Structs) else found)
 
 
-def _filled(s: Structs, i: int) -> Column:
-    """The struct counts: its lead is there, or anything in it if it has none."""
-    fields = [s.lead_field] if s.lead else [n for n, _ in s.fields]
-    return any_of(F.col(f"_struct{i}").getField(n).isNotNull() for n in fields)
+def _fields_of(place: _Place, places: list[_Place], branches: list[_Branch]) -> list[Column]:
+    """The outputs of a node under their names: scalars, values, structs, groups."""
+    own = [column(place.output(i)).alias(b.item[0] if isinstance(b.item, tuple) else b.item.name) for i, b in _outputs_of(place, branches)]
+    inner = [p for p in places if p.depth == place.depth + 1 and p.path[:-1] == place.path]
+    return own + [column(f"_list{p.number}").alias(p.node.name) for p in inner]
 
 
-def _nest_group(
-    rows: DataFrame, keys: list[str], key_names: list[str], g: Group, parts: int, skip: Column | None = None
-) -> DataFrame:
-    """(_key0.., _part, array of one struct per lead value)."""
-    lead = f"_key{len(keys)}"
-    inner = _nest_rows(rows, [*keys, g.lead[1]], g, parts, skip).withColumnRenamed(PART, "_pos")
-    spread = F.when(F.col(lead).isNull(), 0).otherwise(F.xxhash64(lead, "_pos"))
-    placed = inner.withColumn(PART, _part_of(spread, parts))
-    fields = F.struct(column(lead).alias(g.lead[0]), *[column(n) for n in _outputs(g)])
-    entry = F.struct(column(lead).alias("_lead"), F.col("_pos").alias("_pos"), fields.alias("_fields"))
-    collected = F.array_sort(F.collect_list(F.when(F.col(lead).isNotNull(), entry)))
-    nested = placed.groupBy(*key_names, PART).agg(collected.alias(g.name))
-    return nested.withColumn(g.name, null_if_empty(F.transform(column(g.name), lambda x: x["_fields"])))
+def _entry(place: _Place, places: list[_Place], branches: list[_Branch], lead: str) -> Column:
+    return F.struct(column(lead).alias(place.node.lead[0]), *_fields_of(place, places, branches))
 
 
 def flatten(df: DataFrame, spec: NestingSpec, split_over: int | None = None) -> DataFrame:
