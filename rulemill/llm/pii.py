@@ -9,14 +9,15 @@ Everything is DataFrame operations.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulemill.functions.columns import column, let
 from rulemill.llm.common import written
 
-#: Drawings after which an entity counts as having no surrogate left.
-ATTEMPTS = 40
+#: Drawings after which surrogates grow: a format or a pool of names may hold fewer values than the corpus has entities.
+PATIENCE = 6
 
 # Titles by gender, and surrogate names by gender and script.
 TITLES = {
@@ -45,9 +46,11 @@ _CARD_FORMS = [rf"(?<![\d.+])(?<!(?<!\d)-)(?=((?:{'|'.join([r'\d{13,19}', *_GROU
 _CARD_FORMS += [rf"(?<![\d.+-])(?=(\d(?:[ -]?\d){{{n - 1}}}(?![\d-])))\d+" for n in range(19, 12, -1)]
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
-_SECRET = r"(?<=\b(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,256}(?=[\"'])"
+_SECRET = r"(?<=\b(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key) {0,2}[=:] {0,2}[\"'])(?=[^\"'\s]*[\p{L}\p{N}])[^\"'\s]{6,256}(?=[\"'])"
 _TITLE = "|".join(t for names in TITLES.values() for t in names)
-_PERSON = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?"
+_INITIAL = r"\p{Lu}\."
+_NAME = r"\p{Lu}[\p{L}'-]{1,40}"
+_PERSON = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? (?:(?:{_INITIAL}|{_NAME}) ){{0,4}}{_NAME}"
 
 #: In order of preference at the same place. Any number that looks like a card counts; `_entities` has those with a check digit.
 ENTITY = "|".join(f"(?:{p})" for p in (_EMAIL, _IP, _SSN, _CARD, _PHONE, _SECRET, _PERSON))
@@ -91,18 +94,25 @@ def entity_type(match: Column) -> Column:
     )
 
 
-def _parts(match: Column) -> Column:
-    """array<struct<type, value>>: what has to get a surrogate in a match. Names are parts of their own, so a family name stays the same with or without a given name."""
+_PART = "struct<type:string,value:string>"
+
+
+def _person_words(match: Column) -> Column:
+    """array<struct<type, value>>: the words after the title. The last one is the family name, initials are no names."""
     words = F.split(match, " ")
     title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
     gender = F.when(title.isin(*TITLES["m"]), "given_m").when(title.isin(*TITLES["f"]), "given_f").otherwise("given_u")
-    part = lambda kind, value: F.struct(kind.alias("type"), value.alias("value"))
-    last = F.get(words, F.size(words) - 1)
-    person = F.when(F.size(words) > 2, F.array(part(gender, F.get(words, F.lit(1))), part(F.lit("family"), last))).otherwise(F.array(part(F.lit("family"), last)))
+    kind = lambda word, i: F.when(word.rlike(_whole(_INITIAL)), "initial").when(i == F.size(words) - 2, "family").otherwise(gender)
+    return F.transform(F.slice(words, 2, 100), lambda word, i: F.struct(kind(word, i).alias("type"), word.alias("value")))
+
+
+def _parts(match: Column) -> Column:
+    """array<struct<type, value>>: what has to get a surrogate in a match. Names are parts of their own, so a family name stays the same with or without a given name."""
+    person = F.filter(_person_words(match), lambda p: p["type"] != "initial")
     kind = entity_type(match)
     value = F.when(kind == "email", F.lower(match)).otherwise(match)
-    none = F.array().cast("array<struct<type:string,value:string>>")
-    return F.when(kind.isNull(), none).when(kind == "person", person).otherwise(F.array(part(kind, value)))
+    single = F.array(F.struct(kind.alias("type"), value.alias("value")))
+    return F.when(kind.isNull(), F.array().cast(f"array<{_PART}>")).when(kind == "person", person).otherwise(single)
 
 
 def _draw(key: str, kind: Column, value: Column, attempt: Column, place: Column) -> Column:
@@ -120,35 +130,40 @@ def _scrambled(key: str, kind: Column, value: Column, attempt: Column) -> Column
     def other(c: Column, i: Column) -> Column:
         n = _draw(key, kind, value, attempt, i)
         among = lambda first, count: _letter(F.lit(ord(first)) + n % count)
+        cyrillic, greek = (c.rlike(rf"\p{{Is{script}}}") & c.rlike(r"\p{L}") for script in ("Cyrillic", "Greek"))
         hexadecimal = value.rlike("^[0-9a-f]+$") & value.rlike("[0-9]")
         return (
             F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(hexadecimal & c.rlike("[a-f]"), among("a", 6))
             .when(c.rlike("[a-z]"), among("a", 26)).when(c.rlike("[A-Z]"), among("A", 26))
-            .when(c.rlike("[а-я]"), among("а", 32)).when(c.rlike("[А-Я]"), among("А", 32))
-            .when(c.rlike("[α-ρ]"), among("α", 17)).when(c.rlike("[Α-Ρ]"), among("Α", 17))
-            .when(c.rlike("[一-龥]"), among("一", 20000)).otherwise(c)
+            .when(cyrillic & c.rlike(r"\p{Lu}"), among("А", 32)).when(cyrillic, among("а", 32))
+            .when(greek & c.rlike(r"\p{Lu}"), among("Α", 17)).when(greek, among("α", 17))
+            .when(c.rlike("[一-龥]"), among("一", 20000)).when(c.rlike("[가-힣]"), among("가", 11172))
+            .when(c.rlike("[ぁ-ゖ]"), among("ぁ", 86)).when(c.rlike("[ァ-ヺ]"), among("ァ", 90))
+            .when(c.rlike("[ا-غ]"), among("ا", 20)).when(c.rlike("[ف-ي]"), among("ف", 10)).when(c.rlike("[א-ת]"), among("א", 27))
+            .when(c.rlike(r"\p{Lu}"), among("A", 26)).when(c.rlike(r"\p{L}"), among("a", 26)).when(c.rlike(r"\p{N}"), (n % 10).cast("string")).otherwise(c)
         )
 
     return F.array_join(F.transform(F.split(value, ""), other), "")
 
 
-def _named(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """A name of the same gender and script; after many collisions a double or triple name."""
-    latin = ~value.rlike(r"\p{IsCyrillic}")
+def _named(key: str, kind: Column, value: Column, attempt: int) -> Column:
+    """A name of the same gender and script, after collisions one of two, three and more parts. A script without names of its own keeps its
+    letters."""
+    latin, cyrillic = value.rlike(r"\p{IsLatin}"), value.rlike(r"\p{IsCyrillic}")
 
     def pick(place: int) -> Column:
-        n = _draw(key, kind, value, attempt, F.lit(place))
-        out = None
+        n = _draw(key, kind, value, F.lit(attempt), F.lit(place))
+        out = F.when(~latin & ~cyrillic, _scrambled(key, kind, value, F.lit(attempt + 1000 * place)))
         for (group, script), names in NAMES.items():
             choice = F.get(F.array(*map(F.lit, names.split())), (n % len(names.split())).cast("int"))
-            fits = (kind == group) & (latin if script == "latin" else ~latin)
-            out = F.when(fits, choice) if out is None else out.when(fits, choice)
+            out = out.when((kind == group) & (cyrillic if script == "cyrillic" else latin & ~cyrillic), choice)
         return out
 
-    return F.concat_ws("-", pick(0), F.when(attempt > 2, pick(1)), F.when(attempt > 6, pick(2)), F.when(attempt > 12, pick(3)))
+    return F.concat_ws("-", *[pick(place) for place in range(1 + attempt // 2)])
 
 
-def _candidate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+def _candidate(key: str, kind: Column, value: Column, round_: int) -> Column:
+    attempt = F.lit(round_)
     plain = _scrambled(key, kind, value, attempt)
     end = F.regexp_extract(value, r"\.[a-z]+$", 0)
     email = F.concat(F.substring_index(plain, "@", 1), F.lit("@"), F.regexp_replace(F.substring_index(plain, "@", -1), r"\.[^.]*$", ""), end)
@@ -162,20 +177,24 @@ def _candidate(key: str, kind: Column, value: Column, attempt: Column) -> Column
     country = F.regexp_extract(value, r"^\+\d{1,3}(?=\D)", 0)
     phone = let(country, lambda c: F.concat(c, F.substr(plain, F.length(c) + 1)))
     name = kind.isin("given_m", "given_f", "given_u", "family")
-    return F.when(name, _named(key, kind, value, attempt)).when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind == "phone", phone).otherwise(plain)
+    # where a format has been drawn in vain, a drawn number makes it longer
+    more = [_draw(key, kind, value, attempt, F.lit(-1 - i)).cast("string") for i in range(max(0, round_ - PATIENCE))]
+    longer = lambda c, sep: F.concat_ws(sep, c, *more) if more else c
+    mail = F.concat(longer(F.substring_index(email, "@", 1), "-"), F.lit("@"), F.substring_index(email, "@", -1))
+    shaped = F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).when(kind == "phone", phone).otherwise(plain)
+    return F.when(name, _named(key, kind, value, round_)).when(kind == "email", mail).otherwise(longer(shaped, "-"))
 
 
-def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (type, value) -> the same with `surrogate`, unique within a type and equal to no value of that type.
 
     Of the entities that draw the same candidate the one with the smallest value keeps it; the others draw again. Later rounds
-    carry only those. An entity without a surrogate after `attempts` rounds is an error, which a type with fewer values than
-    the corpus has entities must meet.
+    carry only those, and their candidates grow, so that every entity gets one, however many there are.
     """
     entities = written(entities.filter("value IS NOT NULL").distinct(), "pii-entities")
     left, done = entities, []
-    for attempt in range(attempts):
-        drawn = left.withColumn("surrogate", _candidate(key, F.col("type"), F.col("value"), F.lit(attempt)))
+    for attempt in count():
+        drawn = left.withColumn("surrogate", _candidate(key, F.col("type"), F.col("value"), attempt))
         drawn = written(drawn, "pii-drawn")
         best = drawn.groupBy("type", "surrogate").agg(F.min("value").alias("value"))
         best = best.join(entities.select("type", F.col("value").alias("surrogate")), ["type", "surrogate"], "left_anti")
@@ -187,7 +206,6 @@ def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataF
         if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
         left = written(left, "pii-left")
-    raise ValueError("a type has more entities than surrogates")
 
 
 def anonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
@@ -206,11 +224,14 @@ def anonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame
     named = surrogates(pairs.select("type", "value"), key)
     by_row = pairs.join(named, ["type", "value"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("type", "value"), "surrogate"))).alias("names"))
 
+    def word(part: Column) -> Column:
+        initial = _scrambled(key, part["type"], part["value"], F.lit(0))
+        return F.when(part["type"] == "initial", initial).otherwise(F.element_at("names", part))
+
     def replaced(match: Column, parts: Column) -> Column:
-        of = lambda i: F.element_at("names", F.get(parts, F.lit(i)))
-        title = F.concat(F.substring_index(match, " ", 1), F.lit(" "))
         person = F.get(parts, F.lit(0))["type"].isin("given_m", "given_f", "given_u", "family")
-        return F.when(F.size(parts) == 0, match).when(~person, of(0)).otherwise(F.concat(title, F.concat_ws(" ", of(0), F.when(F.size(parts) > 1, of(1)))))
+        names = F.concat_ws(" ", F.substring_index(match, " ", 1), F.transform(_person_words(match), word))
+        return F.when(F.size(parts) == 0, match).when(~person, F.element_at("names", F.get(parts, F.lit(0)))).otherwise(names)
 
     gaps = F.split(F.col("row")[text_column], _entities(F.col("cards")), -1)
     new = F.zip_with("found", "parts", replaced)

@@ -1,9 +1,8 @@
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-from rulemill.llm.pii import anonymise, entity_type, passes_luhn, surrogates
+from rulemill.llm.pii import NAMES, anonymise, entity_type, passes_luhn, surrogates
 
 
 def luhn(number):
@@ -61,9 +60,35 @@ def test_surrogates_are_distinct_and_new(spark):
     assert sorted((r["type"], r["value"]) for r in rows) == sorted(values)
     assert len({(r["type"], r["surrogate"]) for r in rows}) == len(values)
     assert not {(r["type"], r["surrogate"]) for r in rows} & set(values)
-    full = spark.createDataFrame([("secret", c) for c in "0123456789"], "type string, value string")
-    with pytest.raises(ValueError, match="more entities"):
-        surrogates(full, "k", attempts=2)
+
+
+def test_surrogates_grow_where_a_pool_or_a_format_is_used_up(spark):
+    digits = [("secret", f"****{c}") for c in "0123456789"]
+    names = [("given_u", "А" + "".join(chr(ord("а") + int(d)) for d in f"{i:04}")) for i in range(1500)]
+    rows = surrogates(spark.createDataFrame(digits + names, "type string, value string"), "k").collect()
+    assert len(rows) == len({(r["type"], r["surrogate"]) for r in rows}) == 1510
+    assert not {(r["type"], r["surrogate"]) for r in rows} & {*digits, *names}
+
+
+def test_masked_values_are_no_secrets(spark):
+    texts = ['password: "********"', "secret = '------'", 'password: "***7***"', 'token: "пароль секрет", api_key="ひらがなカタ", pwd="비밀번호비밀"']
+    out = anonymous(spark, texts)
+    assert out[:2] == texts[:2] and re.fullmatch(r'password: "\*\*\*\d+\*\*\*.*"', out[2]) and out[2] != texts[2]
+    assert "ひらがなカタ" not in out[3] and re.search('api_key="[ぁ-ゖ]{4}[ァ-ヺ]{2}"', out[3]) and re.search('pwd="[가-힣]{6}"', out[3])
+
+
+def test_names_of_several_words_and_scripts(spark):
+    texts = [
+        "Mr John Fitzgerald Kennedy spoke, then Mrs Jane Q. Public.", "Dr. J. Smith and Mr Kennedy left.",
+        "Mr Αλέξανδρος Παπαδόπουλος spoke.", "Miss Public, Herr J. R. R. Tolkien",
+    ]
+    out = anonymous(spark, texts)
+    for word in ("John", "Fitzgerald", "Kennedy", "Jane", "Public", "Smith", "Αλέξανδρος", "Παπαδόπουλος", "Tolkien"):
+        assert not any(word in text for text in out)
+    first, middle, president, jane, public = re.fullmatch(r"Mr (\w+) (\w+) (\w+) spoke, then Mrs (\w+) [A-Z]\. (\w+)\.", out[0]).groups()
+    assert {first, middle} <= set(NAMES["given_m", "latin"].split()) and jane in NAMES["given_f", "latin"].split()
+    assert re.fullmatch(rf"Dr\. [A-Z]\. \w+ and Mr {president} left\.", out[1]) and re.fullmatch(r"Mr [Α-Ωα-ωάέήίόύώ]+ [Α-Ωα-ωάέήίόύώ]+ spoke\.", out[2])
+    assert re.fullmatch(rf"Miss {public}, Herr [A-Z]\. [A-Z]\. [A-Z]\. \w+", out[3])
 
 
 def test_awkward_rows(spark, awkward, no_rows):
