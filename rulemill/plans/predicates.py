@@ -7,7 +7,8 @@ it is, so the scan can use the predicate.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -24,6 +25,8 @@ from rulemill.plans.rules import (
     trimmed,
 )
 
+X = TypeVar("X")
+
 # Builder operator names and the rule conditions they stand for.
 BUILDER_OPERATORS = {
     "equal": "=",
@@ -46,7 +49,11 @@ def compile_condition(
     name: str, rule_type: str, condition: str, value, source: T.DataType | None = None
 ) -> Column:
     """One typed comparison, e.g. ("start", "integer", ">", "100")."""
-    raw = column(name)
+    return condition_on(column(name), name, rule_type, condition, value, source)
+
+
+def condition_on(raw: Column, name: str, rule_type: str, condition: str, value, source: T.DataType | None = None) -> Column:
+    """The same for any value, such as a field of an element of a list."""
     if condition == "is null":
         return raw.isNull()
     if condition == "is not null":
@@ -98,33 +105,39 @@ def compile_rules(rules: Rules, schema: T.StructType) -> Column:
     AND/OR list, where AND binds tighter than OR.
     """
     types = {f.name: f.dataType for f in schema}
+    condition = lambda r: compile_condition(r["parameter"], r["parameter_type"], r["condition"], r["value"], types[r["parameter"]])
+    return fold_rules(checked_rules(rules, types), condition, all_of, any_of)
+
+
+def checked_rules(rules: Rules, types: Mapping[str, T.DataType]) -> list[Rule]:
+    """The query rules that are not blank; wrong ones are an error."""
     listed = [r for r in map(trimmed, as_rules(rules, "query")) if not is_blank_query(r)]
     problems = check_queries(listed, types) if listed else [(0, None, "no query rules")]
     if problems:
         raise RuleError(problems)
+    return listed
+
 
-    alternatives: list[list[Column]] = [[]]
+def fold_rules(listed: Sequence[Rule], leaf: Callable[[Rule], X], both: Callable[[list[X]], X], either: Callable[[list[X]], X]) -> X:
+    """What the rules stand for, put together from what each stands for."""
+    alternatives: list[list[X]] = [[]]
     run: list[Rule] = []
     for i, rule in enumerate(listed):
         run.append(rule)
         last = i == len(listed) - 1
         if rule["grouping"] == "yes" and not last:
             continue
-        alternatives[-1].append(_nest_right(run, types))
+        alternatives[-1].append(_nest_right(run, leaf, both, either))
         run = []
         if not last and rule["operator"].lower() == "or":
             alternatives.append([])
-    return any_of(all_of(operands) for operands in alternatives)
+    return either([both(operands) for operands in alternatives])
 
 
-def _nest_right(run: list[Rule], types: Mapping[str, T.DataType]) -> Column:
-    conditions = [
-        compile_condition(r["parameter"], r["parameter_type"], r["condition"], r["value"], types[r["parameter"]])
-        for r in run
-    ]
-    folded = conditions.pop()
-    for rule, condition in zip(reversed(run[:-1]), reversed(conditions)):
-        folded = condition & folded if rule["operator"].lower() == "and" else condition | folded
+def _nest_right(run: list[Rule], leaf, both, either):
+    folded = leaf(run[-1])
+    for rule in reversed(run[:-1]):
+        folded = (both if rule["operator"].lower() == "and" else either)([leaf(rule), folded])
     return folded
 
 

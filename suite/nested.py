@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulemill import Group, NestingSpec, Structs, Values, flatten, flatten_branch, flatten_cut, merge_ci, merge_items_ci, nest
+from rulemill.operators.factorised import flat_rows
 from rulemill.operators.merging import correlated_children, distinct_on
 from rulemill.operators.nesting import valid_tuples
 from suite.registry import LABELLED, labelled_documents, register, table
@@ -260,3 +261,42 @@ def distinct_subset(spark, sf):
 @register(f"SELECT DISTINCT quality, toxic FROM {LABELLED} WHERE quality IS NOT NULL OR toxic IS NOT NULL")
 def tuples_without_nulls(spark, sf):
     return valid_tuples(labelled_documents(spark, sf), ["quality", "toxic"])
+
+
+ORDER_PRODUCT = "(SELECT s.o_custkey, s.o_orderstatus, p.o_orderpriority, k.o_orderkey FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) s JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) p ON s.o_custkey = p.o_custkey JOIN orders k ON k.o_custkey = s.o_custkey)"
+WITH_KEYS = NestingSpec("o_custkey", values=(*BY_CUSTOMER.values, Values("keys", "o_orderkey")))
+
+
+@register(f"SELECT o_custkey, count(*) AS n FROM {ORDER_PRODUCT} GROUP BY o_custkey")
+def flat_count(spark, sf):
+    """How many flat rows a record has, from the sizes of its branches."""
+    nested = nest(table(spark, sf, "orders"), WITH_KEYS, order_by="o_orderkey")
+    return flat_rows(nested, WITH_KEYS).select("o_custkey", "n")
+
+
+@register(f"""
+SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM {ORDER_PRODUCT}
+WHERE (o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '2-HIGH')) AND o_orderkey > 500 GROUP BY o_custkey""")
+def flat_count_filtered(spark, sf):
+    """Rows of the product under conditions on several branches, and the sum of a column over them."""
+    rules = [
+        ("no", "and", "o_orderkey", "integer", ">", "500"), ("yes", "or", "o_orderstatus", "string", "=", "F"),
+        ("no", None, "o_orderpriority", "string", "in", "1-URGENT, 2-HIGH"),
+    ]
+    nested = nest(table(spark, sf, "orders"), WITH_KEYS, order_by="o_orderkey")
+    counted = flat_rows(flat_rows(nested, WITH_KEYS, rules), WITH_KEYS, rules, "total", added="o_orderkey")
+    return counted.where("n > 0").select("o_custkey", "n", F.col("total").cast("bigint").alias("total"))
+
+
+@register("""
+SELECT o_custkey, count(*) AS n FROM (
+  SELECT f.o_custkey, f.o_orderstatus, f.l_returnflag, l.l_linenumber
+  FROM (SELECT DISTINCT o_custkey, o_orderstatus, l_returnflag, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey) f
+  JOIN (SELECT DISTINCT o_custkey, o_orderstatus, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey) l
+    ON l.o_custkey = f.o_custkey AND l.o_orderstatus = f.o_orderstatus)
+WHERE l_returnflag = 'A' AND l_linenumber > 2 GROUP BY o_custkey""")
+def flat_count_two_level(spark, sf):
+    """Products inside each group of a record, added up over its groups."""
+    rules = [("no", "and", "l_returnflag", "string", "=", "A"), ("no", None, "l_linenumber", "integer", ">", "2")]
+    nested = nest(order_lines(spark, sf), TWO_LEVEL, order_by="o_orderkey")
+    return flat_rows(nested, TWO_LEVEL, rules).where("n > 0").select("o_custkey", "n")
