@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulemill import query, query_sql, query_tree, validate_query_rules
+from rulemill.operators.rulebook import matches
 from rulemill.plans.rules import RULE_COLUMNS
 from rulemill.sources.csv import all_text
 from suite.registry import LABELLED, labelled_documents, register, table
@@ -224,3 +225,23 @@ def q_blank_rule(spark, sf):
         (None, None, None, None, None, None),
     ]
     return query(table(spark, sf, "lineitem"), rules, LINE)
+
+
+@register("""
+SELECT CAST(o_orderkey AS VARCHAR) AS rule, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM orders JOIN lineitem
+  ON l_extendedprice >= o_totalprice / 10 AND l_extendedprice < o_totalprice / 10 + 40 AND l_quantity > o_custkey % 40
+  AND (o_orderkey % 3 <> 0 OR l_returnflag = CASE WHEN o_orderkey % 2 = 0 THEN 'R' ELSE 'A' END)
+GROUP BY o_orderkey""")
+def rulebook_lines(spark, sf):
+    """One rule for each order, all of them over all lines: the rules are a table, the plan does not grow with them."""
+    orders = table(spark, sf, "orders")
+    low = F.col("o_totalprice") / 10
+    price = F.struct(F.lit("l_extendedprice").alias("attribute"), low.alias("low"), F.lit(True).alias("low_in"), (low + 40).alias("high"), F.lit(False).alias("high_in"), F.lit(None).cast("string").alias("text"))
+    none, no = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    quantity = F.struct(F.lit("l_quantity").alias("attribute"), (F.col("o_custkey") % 40).cast("double").alias("low"), F.lit(False).alias("low_in"), none.alias("high"), no.alias("high_in"), F.lit(None).cast("string").alias("text"))
+    flag = F.when(F.col("o_orderkey") % 2 == 0, "R").otherwise("A")
+    returned = F.struct(F.lit("l_returnflag").alias("attribute"), none.alias("low"), no.alias("low_in"), none.alias("high"), no.alias("high_in"), flag.alias("text"))
+    every = F.array_compact(F.array(price, quantity, F.when(F.col("o_orderkey") % 3 == 0, returned)))
+    conditions = orders.select(F.col("o_orderkey").cast("string").alias("rule"), F.inline(every))
+    found = matches(table(spark, sf, "lineitem"), conditions, ["l_orderkey"], ["l_extendedprice", "l_quantity", "l_returnflag"])
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulemill import NestingSpec, Structs, Values, flatten, map_columns, nest, search
+from rulemill import NestingSpec, Structs, Values, flatten, map_columns, nest, ordinals, search
+from rulemill.operators.integrate import found_nothing
 from rulemill.operators.transform import apply_transforms, transform_problems
-from rulemill.plans.pipeline import run_query, store_run
+from rulemill.plans.pipeline import recheck_run, run_query, store_run
+from rulemill.plans.recheck import recheck, store_findings
 from rulemill.plans.rules import problems_frame, read_rules
 from rulemill.sources import sinks
-from rulemill.sources.catalog import job_catalog, read_folder
+from rulemill.sources.catalog import job_catalog, read_folder, rule_catalog
 from rulemill.sources.csv import all_text, read_csv, with_file_position
 from rulemill.sources.storage import scratch_path
 from rulemill.sources.xml import malformed_elements, read_elements, read_xml
@@ -270,6 +272,64 @@ def run_stored(spark, sf):
     return flagged.select("ruleset", "variant_id", F.array_join("genes", ",").alias("genes"))
 
 
+@register("""
+SELECT variant_id, genes FROM (
+  SELECT 'v' || o_custkey AS variant_id, string_agg(DISTINCT CASE WHEN l_linenumber = 2 THEN 'SECOND' ELSE 'G' || l_linenumber END, ','
+    ORDER BY CASE WHEN l_linenumber = 2 THEN 'SECOND' ELSE 'G' || l_linenumber END) AS genes
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_custkey)""")
+def recheck_stored(spark, sf):
+    """Other rules for a run that is stored already."""
+    base = scratch_path(spark, "jobs")
+    treated = search(variant_rows(spark, sf).drop("o_orderkey"), "ASSEMBLY", "GRChF")
+    info = sinks.run_metadata(spark, ["orders"], "local", ["orders.parquet"], "assembly", "GRChF")
+    store_run(treated, base, "01_02_2023 10_11_12", info)
+    result = recheck_run(spark, f"{base}/job_1", "01_02_2023 10_11_12", "02_02_2023 10_11_12", {"second": [("gene", "string", "no", "equals", "G2", "SECOND")]})
+    flagged = spark.read.schema("variant_id string, genes array<string>").json(f"{result}/quality.json")
+    return flagged.select("variant_id", F.array_join("genes", ",").alias("genes"))
+
+
+FIRST_RULES = [
+    ("l_quantity", "integer", "no", ">", "45", "MANY"), ("l_discount", "double", "no", "range", "(0.09, 0.2)", "CHEAP"),
+    ("l_returnflag", "string", "no", "equals", "R", "RETURNED"),
+]
+LATER_RULES = [
+    ("l_returnflag", "string", "no", "equals", "R", "SENT BACK"), ("l_quantity", "integer", "no", ">", "45", "MANY"),
+    ("l_tax", "double", "no", "=", "0", "FREE"),
+]
+
+
+@register("""
+SELECT l_orderkey, l_linenumber, rule_no, attribute, message FROM (
+  SELECT l_orderkey, l_linenumber, 1 AS rule_no, 'l_returnflag' AS attribute, 'SENT BACK' AS message FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT l_orderkey, l_linenumber, 2, 'l_quantity', 'MANY' FROM lineitem WHERE trunc(l_quantity) > 45
+  UNION ALL SELECT l_orderkey, l_linenumber, 3, 'l_tax', 'FREE' FROM lineitem WHERE l_tax = 0)""")
+def recheck_delta(spark, sf):
+    """A rule set applied after another one: one rule is evaluated, two are read from what the first has stored."""
+    path, lines = scratch_path(spark, "findings"), scratch_path(spark, "lines")
+    numbered = ordinals(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"), ["l_orderkey", "l_linenumber"], "row_id")
+    numbered.write.parquet(lines)
+    stored = spark.read.parquet(lines)
+    store_findings(stored, FIRST_RULES, "row_id", path)
+    return recheck(stored, LATER_RULES, "row_id", path, ["l_orderkey", "l_linenumber"])
+
+
+@register("SELECT 'rules of ' || n_name AS name FROM nation")
+def rule_catalog_files(spark, sf):
+    """Rule files in a folder, one of each nation."""
+    path = scratch_path(spark, "rules")
+    rules = table(spark, sf, "nation").select(F.concat(F.lit("rules of "), "n_name").alias("file"), F.lit("start;integer;no;empty;;NONE").alias("line"))
+    rules.repartition(1).write.partitionBy("file").text(path)
+    listed = rule_catalog(spark, path).where(F.col("name").endswith(".txt"))
+    return listed.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("name"))
+
+
+@register("SELECT v AS status, NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = v) AS nothing FROM (VALUES ('F'), ('O'), ('X'), ('')) s(v)")
+def search_found_nothing(spark, sf):
+    orders = table(spark, sf, "orders")
+    found = [(v, found_nothing(search(orders, "O_ORDERSTATUS", v))) for v in ("F", "O", "X", "")]
+    return spark.createDataFrame(found, "status string, nothing boolean")
+
+
 STREAM_RULES = [("p_name", "replace", "red", "RED"), ("p_brand", "extract", "#([0-9]+)", None)]
 
 
