@@ -1,18 +1,18 @@
 """Many rules at once: which rows satisfy which of thousands of conjunctions.
 
-The rules are a table, and stay one: the plan does not grow with their number. Every rule is filed under one of its conditions, a text
-it requires or else its narrowest interval. The bounds of an attribute cut its values into numbered steps; an interval of steps is
+The rules are a table, and stay one: the plan does not grow with their number. Every rule is filed under the narrowest of its conditions, a
+text it requires or an interval. The bounds of an attribute cut its values into numbered steps; an interval of steps is
 filed under the few nodes of a binary tree that make it up, and a value looks under the nodes above its own step, so that an equi-join
 on (attribute, node) finds exactly the intervals that hold it. The other conditions are checked on the pairs that are found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rulemill.functions.columns import column
+from rulemill.functions.columns import column, let
 from rulemill.plans.predicates import checked_rules
 from rulemill.plans.rules import RuleError, Rules, query_values
 
@@ -88,15 +88,18 @@ def _nodes(first: Column, last: Column, levels: Column) -> Column:
 
 def _filed(conditions: DataFrame, bounds: DataFrame) -> DataFrame:
     """(key, rule, conditions): each rule under the keys of its leading condition, with all its conditions."""
-    met = conditions.join(bounds, "attribute", "left")
+    texts = conditions.groupBy("attribute").agg(F.count_distinct("text").alias("texts"))
+    met = conditions.join(bounds.join(texts, "attribute"), "attribute", "left")
     steps = lambda c: _step(F.col(c), F.col("bounds"))
     first = F.when(F.col("low").isNull(), F.lit(0)).when(F.col("low_in"), steps("low")).otherwise(steps("low") + 1)
     last = F.when(F.col("high").isNull(), 2 * F.size("bounds")).when(F.col("high_in"), steps("high")).otherwise(steps("high") - 1)
-    placed = met.withColumns({"first": first.cast("int"), "last": last.cast("int")})
-    width = F.when(F.col("text").isNotNull(), -1.0).otherwise((F.col("last") - F.col("first")) / (2.0 * F.size("bounds") + 1))
+    # the bounds stay behind here: what is shuffled has a few numbers for each condition
+    placed = met.select(*conditions.columns, "texts", first.cast("int").alias("first"), last.cast("int").alias("last"), F.size("bounds").alias("size"), _levels(F.col("bounds")).alias("levels"))
+    # the share of an attribute's values that a condition lets pass, as far as the rules themselves tell
+    width = F.when(F.col("text").isNotNull(), 1.0 / F.col("texts")).otherwise((F.col("last") - F.col("first") + 1) / (2.0 * F.col("size") + 1))
     order = Window.partitionBy("rule").orderBy(width, "attribute", "low", "high", "text")
     leading = placed.withColumn("place", F.row_number().over(order)).where("place = 1")
-    numeric = F.transform(_nodes(F.col("first"), F.col("last"), _levels(F.col("bounds"))), lambda n: _key(F.col("attribute"), n["level"], n["number"]))
+    numeric = F.transform(_nodes(F.col("first"), F.col("last"), F.col("levels")), lambda n: _key(F.col("attribute"), n["level"], n["number"]))
     keys = F.when(F.col("text").isNotNull(), F.array(_text_key(F.col("attribute"), F.col("text")))).otherwise(numeric)
     every = conditions.groupBy("rule").agg(F.collect_list(F.struct("attribute", "low", "low_in", "high", "high_in", "text")).alias("conditions"))
     return leading.select("rule", F.explode(keys).alias("key")).join(every, "rule")
@@ -114,7 +117,7 @@ def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attribute
     """(keys, rule) for every row of `df` and every rule whose conditions all hold for it.
 
     `attributes` are the columns that conditions may name; numbers compare as double, NULL satisfies nothing. A rule without a condition
-    does not exist; a rule on another attribute never holds. The bounds of the rules travel to all tasks in one row per attribute.
+    does not exist; a rule on another attribute never holds. The bounds of the rules travel to all tasks, once for each attribute.
     """
     names = list(attributes)
     bounds = conditions.select("attribute", F.explode(F.array("low", "high")).alias("bound")).where("bound IS NOT NULL")
@@ -126,15 +129,15 @@ def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attribute
     book = book.join(complete, "rule", "left_semi")
 
     one_row = bounds.agg(F.map_from_entries(F.collect_list(F.struct("attribute", "bounds"))).alias("_bounds"))
-    number = {n: column(n).try_cast("double") for n in names}
-    text = {n: column(n).cast("string") for n in names}
-    values = F.create_map(*[x for n in names for x in (F.lit(n), F.struct(number[n].alias("number"), text[n].alias("text")))])
+    cell = lambda n: F.struct(column(n).try_cast("double").alias("number"), column(n).cast("string").alias("text"))
+    values = F.create_map(*[x for n in names for x in (F.lit(n), cell(n))])
     rows = df.select(*[column(k) for k in keys], values.alias("_values")).join(F.broadcast(one_row))
     below = []
     for n in names:
         own, value = F.element_at("_bounds", F.lit(n)), F.element_at("_values", F.lit(n))
-        step = _step(value["number"], own)
-        below += [F.when(own.isNotNull() & step.isNotNull(), _climbed(n, step, own)), F.when(own.isNotNull() & value["text"].isNotNull(), F.array(_text_key(F.lit(n), value["text"])))]
+        number, text = value["number"], value["text"]
+        climbed = let(own, _stepping(n, number))
+        below += [F.when(own.isNotNull() & number.isNotNull(), climbed), F.when(own.isNotNull() & text.isNotNull(), F.array(_text_key(F.lit(n), text)))]
     looked = F.flatten(F.array_compact(F.array(*below)))
     met = rows.withColumn("key", F.explode(looked)).join(book, "key")
 
@@ -148,10 +151,15 @@ def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attribute
     return met.where(F.forall("conditions", holds)).select(*[column(k) for k in keys], "rule")
 
 
-def _climbed(attribute: str, step: Column, bounds: Column) -> Column:
+def _stepping(attribute: str, number: Column) -> Callable[[Column], Column]:
+    return lambda bounds: let(_step(number, bounds), _climbing(attribute, bounds))
+
+
+def _climbing(attribute: str, bounds: Column) -> Callable[[Column], Column]:
     """The keys of a step and of all nodes above it."""
 
-    def above(level: Column) -> Column:
-        return _key(F.lit(attribute), level, F.floor(step / F.pow(F.lit(2.0), level)).cast("int"))
+    def keys(step: Column) -> Column:
+        above = lambda level: _key(F.lit(attribute), level, F.floor(step / F.pow(F.lit(2.0), level)).cast("int"))
+        return F.when(step.isNotNull(), F.transform(F.sequence(F.lit(0), _levels(bounds)), above))
 
-    return F.transform(F.sequence(F.lit(0), _levels(bounds)), above)
+    return keys
