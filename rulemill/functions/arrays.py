@@ -49,3 +49,18 @@ def group_items(arr: Column, key: Callable[[Column], Column]) -> Column:
         return let(starts, slices)
 
     return let(F.array_sort(tagged), lambda ordered: F.when(F.size(ordered) > 0, cut(ordered)))
+
+
+def leading(items: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many elements at the front of an array satisfy `holds`, which none behind them does. A search by halves; `items` should be a column
+    or a variable, for it is looked at in every step."""
+    start = F.struct(F.lit(0).alias("low"), F.size(items).alias("high"))
+
+    def halve(found: Column, _: Column) -> Column:
+        middle = F.floor((found["low"] + found["high"]) / 2).cast("int")
+        go_on, below = found["low"] < found["high"], F.coalesce(holds(F.get(items, middle)), F.lit(False))
+        return F.struct(
+            F.when(go_on & below, middle + 1).otherwise(found["low"]).alias("low"), F.when(go_on & ~below, middle).otherwise(found["high"]).alias("high")
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1.0)).cast("int")), start, halve)["low"]

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from rulemill.functions.arrays import leading
 from rulemill.functions.columns import column, let
 from rulemill.plans.predicates import checked_rules
 from rulemill.plans.rules import RuleError, Rules, query_values
@@ -46,19 +47,7 @@ def _interval(rule) -> tuple:
 
 def _step(value: Column, bounds: Column) -> Column:
     """The step of a number: 2 i + 1 at bound i, 2 i between the bounds before and after it. A search by halves."""
-    size = F.size(bounds)
-    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
-
-    def halve(found: Column, _: Column) -> Column:
-        middle = F.floor((found["low"] + found["high"]) / 2).cast("int")
-        go_on = found["low"] < found["high"]
-        below = F.get(bounds, middle) < value
-        return F.struct(
-            F.when(go_on & below, middle + 1).otherwise(found["low"]).alias("low"), F.when(go_on & ~below, middle).otherwise(found["high"]).alias("high")
-        )
-
-    halvings = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
-    at = F.aggregate(halvings, start, halve)["low"]
+    at = leading(bounds, lambda b: b < value)
     return F.when(value.isNotNull() & ~F.isnan(value), 2 * at + F.coalesce((F.get(bounds, at) == value).cast("int"), F.lit(0)))
 
 

@@ -13,7 +13,7 @@ from rulemill.functions.stamps import (
 from rulemill.operators.integrate import unite
 from rulemill.operators.merging import join_on_folder
 from rulemill.sources.csv import read_csv, read_run_metadata
-from rulemill.sources.storage import listed_names
+from rulemill.sources.storage import first_lines, listed_names
 
 # Files of a data-set folder that are not data.
 RULE_FILES = ("mapping_rules.csv", "transformation_rules.csv", "databaseName.csv")
@@ -33,15 +33,11 @@ def read_folder(spark: SparkSession, base: str, schema: Sequence[str]) -> DataFr
     if not names:
         raise FileNotFoundError(f"no sources below {base}")
     root = base.rstrip("/")
-    # one pass finds every header; sources with the same header are one scan
-    lines = spark.read.text([f"{root}/{n}" for n in names]).select("value", plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    heads = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
-    inside = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
-    top = F.when(inside.isin(names), inside).otherwise(F.regexp_extract("path", "([^/]+)$", 1))
-    found = heads.select(top.alias("name"), "header").distinct().collect()
+    # sources with the same header are one scan
     by_header: dict[str, list[str]] = {}
-    for row in sorted(found, key=lambda r: r["name"]):
-        by_header.setdefault(row["header"], []).append(f"{root}/{row['name']}")
+    for name, headers in sorted(first_lines(spark, root, names).items()):
+        for header in sorted(headers):
+            by_header.setdefault(header, []).append(f"{root}/{name}")
     return unite([read_csv(spark, paths) for paths in by_header.values()], schema)
 
 

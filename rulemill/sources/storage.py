@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +38,28 @@ def listed_names(spark: SparkSession, base: str) -> list[str]:
     path = jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def first_lines(spark: SparkSession, base: str, names: Sequence[str], encoding: str = "UTF-8") -> dict[str, set[str]]:
+    """The first lines of the files that lie directly below a folder, or in one of the folders there; empty files have none. Only the beginnings of
+    files are read, some at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def head(path) -> str | None:
+        stream = fs.open(path)
+        try:
+            codec = codecs.getCodec(path)
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, encoding)).readLine()
+        finally:
+            stream.close()
+
+    def heads(name: str) -> set[str]:
+        path = jvm.org.apache.hadoop.fs.Path(root, name)
+        files = [path] if fs.isFile(path) else [s.getPath() for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+        return {line for line in map(head, files) if line is not None}
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(names, pool.map(heads, names)))

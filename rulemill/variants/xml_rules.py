@@ -15,7 +15,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rulemill.functions.columns import any_of, blank_to_null, null_if_empty, null_string
+from rulemill.functions.arrays import leading
+from rulemill.functions.columns import any_of, blank_to_null, let, null_if_empty, null_string
 from rulemill.operators.nesting import Group, NestingSpec, Structs, Values
 from rulemill.plans.rules import Rule, RuleError, Rules, as_rules
 from rulemill.sources.xml import attribute, children, parse_elements, read_elements, text_of
@@ -261,6 +262,17 @@ class RuleSet:
         root = self.tree if from_entity or rule["rootName"] == self.row_tag() else self.tree.everywhere(rule["rootName"])
         return root.paths(steps)
 
+    def keyed_path(self, rule: Rule) -> tuple[Path, str] | None:
+        """The one path of a rule without its test [@name='<value>'] at the end, and that name; None if the rule is not of this form."""
+        if not rule["ConditionValue"] or self.is_ordered(rule):
+            return None
+        steps = self.steps[rule["rule_no"]]
+        marked = [t for s in steps for t in s.tests if t.equals == VALUE_MARK]
+        last = steps[-1]
+        if len(marked) != 1 or marked[0] not in last.tests or not marked[0].of_attribute or last.tag == SELF or any(t.ordinal for t in last.tests):
+            return None
+        return (*steps[:-1], replace(last, tests=tuple(t for t in last.tests if t is not marked[0]))), marked[0].name
+
     def nodes(self, class_name: str) -> list[Rule]:
         return [r for r in self.rules if r["elementName"] == class_name and r["attrName"] == "" and r["XPath"]]
 
@@ -393,16 +405,42 @@ class _Compiler:
         return F.coalesce(*found) if found else null_string()
 
     def found(self, rule: Rule, branch, element: Column, value: Column | None) -> Column:
-        """The entries of the nodes that a rule finds below the entity, in document order; NULL or empty if there are none."""
+        """The entries of the nodes that a rule finds below the entity, in document order; NULL or empty if there are none.
+
+        What belongs to the entries by a value of theirs is sorted by that value once, outside of the loop over them.
+        """
+        sorted_lists = self.sorted_children(branch, element) if isinstance(branch, Group) else []
+        if not sorted_lists:
+            return self.listed(rule, branch, element, value, {})
+        names = [f"rule{n}" for n, _ in sorted_lists]
+        together = F.struct(*[c.alias(name) for name, (_, c) in zip(names, sorted_lists)])
+        return let(together, lambda t: self.listed(rule, branch, element, value, {n: t.getField(name) for name, (n, _) in zip(names, sorted_lists)}))
+
+    def sorted_children(self, group: Group, element: Column) -> list[tuple[int, Column]]:
+        """(rule number, all its nodes as (key, place, entry) in the order of the keys) for the rules that ask for an attribute equal to a value of
+        the parent."""
+        out = []
+        for branch in (*group.values, *group.structs, *group.groups):
+            for rule in self.rules.nodes(self.classes[branch.name]):
+                keyed = self.rules.keyed_path(rule)
+                if keyed is not None:
+                    steps, attr = keyed
+                    entry = self.entry_of(branch, _last_tag(steps, self.row_tag), element)
+                    nodes = F.transform(_walk(F.array(element), steps), _keyed(attr, entry))
+                    out.append((rule["rule_no"], F.array_sort(F.filter(nodes, lambda n: n.getField("key").isNotNull()))))
+        return out
+
+    def listed(self, rule: Rule, branch, element: Column, value: Column | None, sorted_lists: dict[int, Column]) -> Column:
         paths = self.rules.paths(rule, from_entity=True)
         if not self.rules.is_ordered(rule):
-            return F.transform(_walk(F.array(element), paths[0], value), self.entry_of(branch, _last_tag(paths[0], self.row_tag), element))
+            entry = self.entry_of(branch, _last_tag(paths[0], self.row_tag), element, sorted_lists)
+            return F.transform(_walk(F.array(element), paths[0], value), entry)
         none = F.array().cast(_branch_type(branch))
         if not paths:
             return none
         placed = []
         for steps in paths:
-            entry = self.entry_of(branch, _last_tag(steps, self.row_tag), element)
+            entry = self.entry_of(branch, _last_tag(steps, self.row_tag), element, sorted_lists)
             nodes = F.transform(_walk(F.array(element), steps, value), _placed(entry))
             placed.append(F.coalesce(nodes, F.array().cast(T.ArrayType(_placed_type(branch)))))
         every = F.concat(*placed)
@@ -420,10 +458,10 @@ class _Compiler:
             found.append(null_if_empty(self.found(rule, branch, element, value)))
         return F.coalesce(*found) if found else F.lit(None).cast(_branch_type(branch))
 
-    def entry_of(self, branch, tag: str, element: Column):
-        return lambda node: self.entry(branch, node, tag, element)
+    def entry_of(self, branch, tag: str, element: Column, sorted_lists: dict[int, Column] | None = None):
+        return lambda node: self.entry(branch, node, tag, element, sorted_lists or {})
 
-    def entry(self, branch, node: Column, tag: str, element: Column) -> Column:
+    def entry(self, branch, node: Column, tag: str, element: Column, sorted_lists: dict[int, Column]) -> Column:
         class_name = self.classes[branch.name]
         if isinstance(branch, Values):
             return self.property(class_name, class_name, node, tag)
@@ -431,15 +469,17 @@ class _Compiler:
         fields = [self.property(class_name, n, node, tag).alias(n) for n in names]
         if isinstance(branch, Group):
             inner = (*branch.values, *branch.structs, *branch.groups)
-            fields += [self.correlated(b, node, tag, element).alias(b.name) for b in inner]
+            fields += [self.correlated(b, node, tag, element, sorted_lists).alias(b.name) for b in inner]
         return F.struct(*fields)
 
-    def correlated(self, branch, parent: Column, parent_tag: str, element: Column) -> Column:
+    def correlated(self, branch, parent: Column, parent_tag: str, element: Column, sorted_lists: dict[int, Column]) -> Column:
         """Nodes anywhere in the entity that belong to this parent, from all rules of the class."""
         parts = []
         for rule in self.rules.nodes(self.classes[branch.name]):
             value = self.property(rule["ConditionValue"], "", parent, parent_tag) if rule["ConditionValue"] else None
-            parts.append(F.coalesce(self.found(rule, branch, element, value), F.array().cast(_branch_type(branch))))
+            of_rule = sorted_lists.get(rule["rule_no"])
+            nodes = self.found(rule, branch, element, value) if of_rule is None else let(value, _equal_to(of_rule))
+            parts.append(F.coalesce(nodes, F.array().cast(_branch_type(branch))))
         return null_if_empty(F.concat(*parts)) if parts else F.lit(None).cast(_branch_type(branch))
 
 
@@ -448,6 +488,20 @@ def _last_tag(steps: Path, row_tag: str) -> str:
     return next((s.tag for s in reversed(steps) if s.tag != SELF), row_tag)
 
 
+def _keyed(attr: str, entry):
+    return lambda node, place: F.struct(attribute(node, attr).alias("key"), place.alias("place"), entry(node).alias("entry"))
+
+
+def _equal_to(sorted_nodes: Column):
+    """The entries of nodes sorted by their key that have a given one."""
+
+    def entries(value: Column) -> Column:
+        first, behind = leading(sorted_nodes, lambda n: n.getField("key") < value), leading(sorted_nodes, lambda n: n.getField("key") <= value)
+        return F.when(value.isNotNull(), F.transform(let(first, lambda f: F.slice(sorted_nodes, f + 1, behind - f)), lambda n: n.getField("entry")))
+
+    return entries
+
+
 def _placed(entry):
     return lambda node: F.struct(attribute(node, ORDER).alias("place"), entry(node).alias("entry"))
 
