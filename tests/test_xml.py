@@ -5,7 +5,7 @@ from rulemill import flatten
 from rulemill.sources.xml import malformed_elements, read_elements, read_xml
 from rulemill.plans.rules import RuleError
 from rulemill.variants.schema import VARIANT_SPEC
-from rulemill.variants.xml_rules import RuleSet, Step, Test as Condition, UnsupportedPath, read_by_rules, steps_of, structure_of
+from rulemill.variants.xml_rules import RuleSet, Step, Test as Condition, UnsupportedPath, extract_entities, read_by_rules, steps_of, structure_of
 from tests.conftest import values
 
 DOCUMENT = """<?xml version="1.0"?>
@@ -231,6 +231,23 @@ def test_rows_inside_rows(spark, tmp_path, size):
             spark.conf.set(k, v)
 
 
+def test_many_correlated_children_in_one_record(spark):
+    """Children are looked up, not walked through for every parent: 6,000 of each."""
+    rules = [
+        ("variation", "", "./V", "R", "", "", ""), ("phenotype", "", "./Ph", "V", "", "", ""), ("phenotype", "phenotype", "", "Ph", "id", "", ""),
+        ("pkey", "", "", "Ph", "id", "", ""), ("interpretation", "", "./I[@p='<value>']", "V", "", "pkey", ""),
+        ("interpretation", "clinical_significance", "", "I", "s", "", ""),
+    ]
+    parents = "".join(f"<Ph id='{i}'/>" for i in range(6000)) + "<Ph/>"
+    children = "".join(f"<I p='{i * 7 % 6000}' s='{i}'/>" for i in range(6000)) + "<I p='5' s='last'/><I s='none'/><I p='other'/>"
+    df = spark.createDataFrame([(f"<V>{parents}{children}</V>",)], "xml string")
+    (row,) = extract_entities(df, rules).collect()
+    found = {p.phenotype: [i.clinical_significance for i in p.interpretation or []] for p in row.phenotypes}
+    want = {str(i * 7 % 6000): [str(i)] for i in range(6000)} | {None: []}
+    want["5"].append("last")
+    assert found == want
+
+
 def test_structure_of_the_data(spark):
     df = spark.createDataFrame([('<V a="1"><A><B/></A></V>',), ("<V><A/><C>t</C></V>",)], "xml string")
     found = structure_of(df, "V")
