@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulemill.functions.columns import any_of, column
+from rulemill.functions.columns import any_of, column, let
 from rulemill.operators.ranges import numbered, selected
 
 # Page sizes a result can be shown in; None shows all rows.
@@ -26,6 +26,38 @@ def keyword_search(df: DataFrame, keyword: str) -> DataFrame:
     return df.where(any_of(F.lower(column(c).cast("string")).contains(needle) for c in df.columns))
 
 
+#: Characters by which keywords are found in a cell before they are compared.
+KEYWORD_CHARACTERS = 3
+
+
+def keyword_hits(df: DataFrame, keywords: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, keyword: str = "keyword") -> DataFrame:
+    """(keys, column, keyword) for every keyword of a table and every cell that contains it, ignoring case, in one scan of `df`.
+
+    The distinct runs of up to three characters of a cell are joined with the first characters of the keywords, and what meets is compared.
+    The plan does not depend on the number of keywords. Blank keywords and NULL cells are in no hit; equal keywords are one.
+    """
+    listed = keywords.select(column(keyword).alias("keyword")).where("keyword <> ''").distinct()
+    listed = listed.withColumn("_needle", F.lower("keyword")).withColumn("_run", F.substring("_needle", 1, KEYWORD_CHARACTERS))
+    names = [c for c in df.columns if c not in keys] if columns is None else list(columns)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lower(column(c).cast("string")).alias("_text")) for c in names])
+    rows = df.select(*[column(k) for k in keys], F.inline(cells)).where("_text <> ''")
+
+    def runs(characters: Column) -> Column:
+        several = [
+            F.transform(F.slice(F.sequence(F.lit(0), F.size(characters) - 1), 1, F.greatest(F.size(characters) - (length - 1), F.lit(0))), _run_of(characters, length))
+            for length in range(1, KEYWORD_CHARACTERS + 1)
+        ]
+        return F.array_distinct(F.concat(*several))
+
+    placed = rows.withColumn("_run", F.explode(let(F.filter(F.split("_text", ""), lambda c: c != ""), runs)))
+    met = placed.join(listed, "_run").where(F.contains(F.col("_text"), F.col("_needle")))
+    return met.select(*[column(k) for k in keys], "column", "keyword")
+
+
+def _run_of(characters: Column, length: int) -> Callable[[Column], Column]:
+    return lambda i: F.concat(*[F.get(characters, i + k) for k in range(length)])
+
+
 def row_ids(df: DataFrame, name: str = "id") -> DataFrame:
     """A unique, increasing, gappy id per row."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulemill import drop_all_null, keyword_search, ordinals, page, page_info, row_ids
+from rulemill.operators.explore import keyword_hits
 from suite.registry import labelled_documents, register, table
 
 
@@ -27,6 +28,18 @@ def keyword_documents(spark, sf):
     return keyword_search(table(spark, sf, "documents").select("doc_id", "text"), "License")
 
 
+WORDS = "(SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS keyword FROM benchmark)"
+
+
+@register(f"""
+SELECT doc_id, 'text' AS "column", keyword FROM documents, {WORDS} WHERE contains(lower(text), lower(keyword))
+UNION ALL SELECT doc_id, 'source', keyword FROM documents, {WORDS} WHERE contains(lower(source), lower(keyword))""")
+def keyword_hits_of_benchmark(spark, sf):
+    """All words of the benchmark at once, in every cell of the documents that contains them."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("keyword"))
+    return keyword_hits(table(spark, sf, "documents"), words, ["doc_id"], ["text", "source"])
+
+
 @register("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def page_of_orders(spark, sf):
     return page(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], number=3, size=50)

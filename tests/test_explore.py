@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rulemill import drop_all_null, keyword_search, ordinals, page, page_info, row_ids
 from rulemill.operators import ranges
+from rulemill.operators.explore import keyword_hits
 from rulemill.sources.storage import ensure_checkpoint_dir, scratch_path
 from tests.conftest import values
 
@@ -18,6 +19,17 @@ def test_keyword_in_any_cell(spark):
     assert keyword_search(df, "50%").count() == 0
 
 
+def test_many_keywords_in_all_cells(spark):
+    cells = [(1, "Red Bolt", "x"), (2, "", None), (3, None, "é a"), (4, "aaa", "A"), (4, "aaa", "A"), (5, "50%", "a b c")]
+    words = ["red", "BOLT", "d b", "a", "aa", "aaaa", "É", "", None, "%", "a", "nothing", "c"]
+    df = spark.createDataFrame(cells, "id int, s string, t string").repartition(3)
+    found = keyword_hits(df, spark.createDataFrame([(w,) for w in words], "keyword string"), ["id"])
+    distinct = {w for w in words if w}
+    want = [(r[0], name, w) for r in cells for name, text in (("s", r[1]), ("t", r[2])) if text for w in distinct if w.lower() in text.lower()]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert keyword_hits(df, spark.createDataFrame([], "keyword string"), ["id"]).collect() == []
+
+
 def test_row_ids_are_unique_and_increasing(spark):
     ids = [r.id for r in row_ids(spark.range(100).select(F.col("id").alias("v"))).collect()]
     assert len(set(ids)) == 100 and ids == sorted(ids)
