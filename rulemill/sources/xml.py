@@ -56,6 +56,16 @@ def read_elements(
     return chunks.select(F.explode(whole).alias("xml"), "path")
 
 
+def occurs(spark: SparkSession, paths: str | Sequence[str], row_tag: str, encoding: str = "UTF-8") -> bool:
+    """Whether files have a tag at all, in an action that stops at the first. Cut at the closing tag, a file without it would be one line that
+    a task holds whole; here it is cut at every tag."""
+    text = F.col("value")
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        text = F.decode(text.cast("binary"), encoding)
+    pieces = spark.read.option("lineSep", ">").text(list(paths) if not isinstance(paths, str) else paths)
+    return not pieces.where(text.rlike(rf"<{re.escape(row_tag)}(?=[\s/]|\z)")).isEmpty()
+
+
 def _outermost(chunks: DataFrame, row_tag: str) -> DataFrame:
     """(value, path): chunks from one that begins outside all row elements to the one that ends there, joined by the closing tag.
 

@@ -19,7 +19,7 @@ from rulemill.functions.arrays import leading
 from rulemill.functions.columns import any_of, blank_to_null, let, null_if_empty, null_string
 from rulemill.operators.nesting import Group, NestingSpec, Structs, Values
 from rulemill.plans.rules import Rule, RuleError, Rules, as_rules
-from rulemill.sources.xml import attribute, children, parse_elements, read_elements, text_of
+from rulemill.sources.xml import attribute, children, occurs, parse_elements, read_elements, text_of
 from rulemill.variants.schema import VARIANT_SPEC
 
 # The rule class that fills each branch of a variant record.
@@ -570,7 +570,11 @@ def read_by_rules(
     last = max(0, RuleSet(listed).row_alternatives() - 1)
     for row in range(last + 1):
         tag = row_tag or RuleSet(listed, row=row).row_tag()
-        records = extract_entities(read_elements(spark, paths, tag, encoding, nested_rows), listed, spec, row=row)
+        there = occurs(spark, paths, tag, encoding)
+        if not there and row < last:
+            continue
+        elements = read_elements(spark, paths, tag, encoding, nested_rows)
+        records = extract_entities(elements if there else elements.where(F.lit(False)), listed, spec, row=row)
         # stops at the first record
         if row == last or not records.isEmpty():
             return records

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill import flatten
+from rulemill.variants import xml_rules
 from rulemill.sources.xml import malformed_elements, read_elements, read_xml
 from rulemill.plans.rules import RuleError
 from rulemill.variants.schema import VARIANT_SPEC
@@ -252,3 +253,13 @@ def test_structure_of_the_data(spark):
     df = spark.createDataFrame([('<V a="1"><A><B/></A></V>',), ("<V><A/><C>t</C></V>",)], "xml string")
     found = structure_of(df, "V")
     assert {f.name for f in found} >= {"_a", "A", "C"} and "B" in found["A"].dataType.simpleString()
+
+
+def test_files_are_not_cut_at_a_row_element_they_lack(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.xml").write_text("<Orders>" + "".join(f'<Order key="{i}"/>' if i % 2 else f'<Order key="{i}"></Order>' for i in range(9)) + "</Orders>")
+    cut = []
+    monkeypatch.setattr(xml_rules, "read_elements", lambda spark, paths, tag, *rest: cut.append(tag) or read_elements(spark, paths, tag, *rest))
+    rules = [("variation", "", "./Ord", "Orders", "", "", ""), ("variation", "", "./Order", "Orders", "", "", ""), ("variation", "variant_id", "", "Order", "key", "", "")]
+    found = xml_rules.read_by_rules(spark, str(tmp_path), rules).select("variant_id")
+    assert sorted(r[0] for r in found.collect()) == [str(i) for i in range(9)] and cut == ["Order"]
+    assert xml_rules.read_by_rules(spark, str(tmp_path), rules[:1]).collect() == []
