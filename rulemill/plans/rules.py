@@ -102,8 +102,12 @@ def _types(columns: Columns) -> dict[str, T.DataType | None]:
 
 
 def check_transformations(rules: list[Rule], columns: Columns) -> list[tuple[int, str, str]]:
-    """Problems of transformation rules, following the columns earlier rules create and the types they leave."""
+    """Problems of transformation rules, following the columns earlier rules create and the types they leave.
+
+    Equal patterns are compiled once, and all fill values are tried in one job for each type, however many rules there are.
+    """
     types, problems = _types(columns), []
+    fills: list[tuple[int, str, str, T.DataType]] = []
     for rule in rules:
         number, attribute, function = rule["rule_no"], rule["attribute"], rule["function"]
         report = lambda message, n=number, a=attribute: problems.append((n, a, message))
@@ -124,11 +128,18 @@ def check_transformations(rules: list[Rule], columns: Columns) -> list[tuple[int
                 types[attribute] = T.StringType()
         elif function == BORROW and rule["replacement"] not in types:
             report(f"no column {rule['replacement']}")
-        elif function == FILL and not fill_fits(rule["replacement"], types[attribute]):
-            report(f"cannot fill {types[attribute].simpleString()} with {rule['replacement']}")
-    return problems
-
-
+        elif function == FILL:
+            text, target = rule["replacement"], types[attribute]
+            if _is_cast(text, target):
+                fills.append((number, attribute, text, target))
+            elif text is None:
+                report(f"cannot fill {target.simpleString() if target else 'a column'} with {text}")
+    readable = _readable({(text, target.simpleString()) for _, _, text, target in fills})
+    problems += [(n, a, f"cannot fill {t.simpleString()} with {text}") for n, a, text, t in fills if (text, t.simpleString()) not in readable]
+    return sorted(problems, key=lambda p: p[0])
+
+
+@lru_cache(maxsize=1 << 16)
 def pattern_problem(pattern: str | None, groups: int) -> str | None:
     """What is wrong with a regular expression, as the engine that will run it sees it."""
     if not pattern:
@@ -142,16 +153,23 @@ def pattern_problem(pattern: str | None, groups: int) -> str | None:
     return f"the regular expression {pattern} has no group" if found < groups else None
 
 
+def _is_cast(text: str | None, target: T.DataType | None) -> bool:
+    """Whether it takes a cast to fill a column with a text."""
+    return text is not None and target is not None and not isinstance(target, T.StringType)
+
+
 def fill_fits(text: str | None, target: T.DataType | None) -> bool:
     """Whether a fill value can be read as the type of its column."""
-    if text is None or target is None or isinstance(target, T.StringType):
-        return text is not None
-    return _reads_as(text, target.simpleString())
+    return bool(_readable({(text, target.simpleString())})) if _is_cast(text, target) else text is not None
 
 
-@lru_cache(maxsize=1024)
-def _reads_as(text: str, sql_type: str) -> bool:
-    return SparkSession.active().range(1).select(F.lit(text).try_cast(sql_type).isNotNull()).first()[0]
+def _readable(fills: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """Those of some (text, SQL type) of which the text can be read as the type."""
+    found = set()
+    for sql_type in sorted({t for _, t in fills}):
+        texts = SparkSession.active().createDataFrame([(text,) for text, t in sorted(fills) if t == sql_type], "text string")
+        found |= {(r["text"], sql_type) for r in texts.where(F.col("text").try_cast(sql_type).isNotNull()).collect()}
+    return found
 
 
 def check_quality(rules: list[Rule], columns: Sequence[str]) -> list[tuple[int, str, str]]:

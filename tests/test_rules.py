@@ -1,5 +1,9 @@
+from functools import lru_cache
+
 import pytest
+from pyspark.sql import types as T
 
+from rulemill.plans import rules as rules_module
 from rulemill.plans.rules import (
     RuleError, as_rules, check_quality, check_queries, check_transformations, problems_frame, quality_range, query_values,
     read_rules, validate_query_rules,
@@ -130,3 +134,15 @@ def test_transformation_rules_that_cannot_be_applied(spark):
     assert [tuple(r) for r in apply_transforms(frame, rules).collect()] == [("a", 1), ("none", 7)]
     with pytest.raises(RuleError, match="not valid"):
         apply_transforms(frame, rules, strict=True)
+
+
+def test_equal_patterns_and_fill_values_are_tried_once(spark, monkeypatch):
+    compiled, jobs = [], []
+    blank = rules_module.pattern_problem.__wrapped__
+    monkeypatch.setattr(rules_module, "pattern_problem", lru_cache(lambda pattern, groups: compiled.append(pattern) or blank(pattern, groups)))
+    readable = rules_module._readable
+    monkeypatch.setattr(rules_module, "_readable", lambda fills: jobs.append(len(fills)) or readable(fills))
+    rules = as_rules([r for i in range(500) for r in (("n", "fill na", None, f"x{i % 3}"), ("n", "fill na", None, str(i)), ("s", "extract", "(", None))], "transformation")
+    found = check_transformations(rules, {"n": T.IntegerType(), "s": T.StringType()})
+    assert [n for n, _, _ in found] == [n for i in range(500) for n in (3 * i + 1, 3 * i + 3)]
+    assert found[0] == (1, "n", "cannot fill int with x0") and compiled == ["("] and jobs == [503]
