@@ -245,12 +245,21 @@ class RuleSet:
         self.tree = None if structure is None else Tree.of(structure)
 
     def is_ordered(self, rule: Rule) -> bool:
-        """Whether several paths may lead to what a rule finds, so that places in the document order it."""
+        """Whether several paths lead to what a rule finds, so that places in the document order it. What one path finds is in order."""
+        return self.follows_data(rule) and any(len(self.paths(rule, from_entity)) > 1 for from_entity in (False, True))
+
+    def follows_data(self, rule: Rule) -> bool:
         return bool(rule["XPath"]) and needs_structure(self.steps[rule["rule_no"]])
 
-    def needs_structure(self) -> bool:
+    def _below_rows(self) -> list[Rule]:
         row = self.row_rule()
-        return any(self.is_ordered(r) for r in self.rules if r["rootName"] != row["rootName"] or r["elementName"] != ENTITY_CLASS)
+        return [r for r in self.rules if r["rootName"] != row["rootName"] or r["elementName"] != ENTITY_CLASS]
+
+    def needs_structure(self) -> bool:
+        return any(map(self.follows_data, self._below_rows()))
+
+    def needs_places(self) -> bool:
+        return any(map(self.is_ordered, self._below_rows()))
 
     def paths(self, rule: Rule, from_entity: bool = False) -> list[Path]:
         """The paths of child steps that a rule stands for."""
@@ -264,9 +273,10 @@ class RuleSet:
 
     def keyed_path(self, rule: Rule) -> tuple[Path, str] | None:
         """The one path of a rule without its test [@name='<value>'] at the end, and that name; None if the rule is not of this form."""
-        if not rule["ConditionValue"] or self.is_ordered(rule):
+        paths = self.paths(rule, from_entity=True) if rule["ConditionValue"] else []
+        if len(paths) != 1 or self.is_ordered(rule):
             return None
-        steps = self.steps[rule["rule_no"]]
+        steps = paths[0]
         marked = [t for s in steps for t in s.tests if t.equals == VALUE_MARK]
         last = steps[-1]
         if len(marked) != 1 or marked[0] not in last.tests or not marked[0].of_attribute or last.tag == SELF or any(t.ordinal for t in last.tests):
@@ -432,7 +442,7 @@ class _Compiler:
 
     def listed(self, rule: Rule, branch, element: Column, value: Column | None, sorted_lists: dict[int, Column]) -> Column:
         paths = self.rules.paths(rule, from_entity=True)
-        if not self.rules.is_ordered(rule):
+        if paths and not self.rules.is_ordered(rule):
             entry = self.entry_of(branch, _last_tag(paths[0], self.row_tag), element, sorted_lists)
             return F.transform(_walk(F.array(element), paths[0], value), entry)
         none = F.array().cast(_branch_type(branch))
@@ -545,7 +555,8 @@ def extract_entities(
     if rule_set.needs_structure():
         if structure is None:
             rule_set = RuleSet(rules, correlated, row, structure_of(elements, rule_set.row_tag()))
-        elements = elements.withColumn("xml", numbered(F.col("xml")))
+        if rule_set.needs_places():
+            elements = elements.withColumn("xml", numbered(F.col("xml")))
     shape = rule_set.shape()
     compiler = _Compiler(rule_set, classes)
     element, tag = F.col("element"), compiler.row_tag
