@@ -26,21 +26,41 @@ def keyword_search(df: DataFrame, keyword: str) -> DataFrame:
     return df.where(any_of(F.lower(column(c).cast("string")).contains(needle) for c in df.columns))
 
 
-#: Characters by which keywords are found in a cell before they are compared.
+#: Characters by which keywords are found in a text before they are compared.
 KEYWORD_CHARACTERS = 3
+#: Words of a cell lie between these.
+_BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def keyword_hits(df: DataFrame, keywords: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, keyword: str = "keyword") -> DataFrame:
-    """(keys, column, keyword) for every keyword of a table and every cell that contains it, ignoring case, in one scan of `df`.
+    """(keys, column, keyword) for every keyword of a table and every cell that contains it, ignoring case.
 
-    The distinct runs of up to three characters of a cell are joined with the first characters of the keywords, and what meets is compared.
-    The plan does not depend on the number of keywords. Blank keywords and NULL cells are in no hit; equal keywords are one.
+    A keyword without blanks lies within a word, so it is looked for once in every distinct word of all cells, and the cells meet their words by an
+    equi-join: no text is copied or shuffled. Keywords with blanks, if an action finds any, are looked for in the texts. The plan does not
+    depend on the number of keywords. Blank keywords and NULL cells are in no hit; equal keywords are one.
     """
-    listed = keywords.select(column(keyword).alias("keyword")).where("keyword <> ''").distinct()
-    listed = listed.withColumn("_needle", F.lower("keyword")).withColumn("_run", F.substring("_needle", 1, KEYWORD_CHARACTERS))
+    listed = keywords.select(column(keyword).alias("keyword")).where("keyword <> ''").distinct().withColumn("_needle", F.lower("keyword"))
     names = [c for c in df.columns if c not in keys] if columns is None else list(columns)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lower(column(c).cast("string")).alias("_text")) for c in names])
-    rows = df.select(*[column(k) for k in keys], F.inline(cells)).where("_text <> ''")
+    own = [f"_key{i}" for i in range(len(keys))]
+    rows = df.select(*[column(k).alias(n) for k, n in zip(keys, own)], F.inline(cells)).where("_text <> ''")
+    shown = [*[F.col(n).alias(k) for k, n in zip(keys, own)], "column", "keyword"]
+
+    # distinct within the cell: it meets a word once
+    words_of = lambda text: F.filter(F.array_distinct(F.split(text, _BLANKS)), lambda w: w != "")
+    blank = F.col("_needle").rlike(_BLANKS)
+    vocabulary = rows.select(F.explode(words_of("_text")).alias("_text")).distinct()
+    known = _containing(vocabulary, listed.where(~blank)).select(F.col("_text").alias("_word"), "keyword")
+    placed = rows.select(*own, "column", F.monotonically_increasing_id().alias("_cell"), F.explode(words_of("_text")).alias("_word"))
+    hits = placed.join(known, "_word").select(*own, "column", "_cell", "keyword").distinct().select(*shown)
+    several = listed.where(blank)
+    return hits if several.isEmpty() else hits.unionByName(_containing(rows, several).select(*shown))
+
+
+def _containing(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows of `texts` with every listed keyword that is in their `_text`. The distinct runs of up to three characters of a text are joined with the
+    first characters of the keywords, and what meets is compared."""
+    needles = listed.withColumn("_run", F.substring("_needle", 1, KEYWORD_CHARACTERS))
 
     def runs(characters: Column) -> Column:
         several = [
@@ -49,9 +69,8 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, keys: Sequence[str], column
         ]
         return F.array_distinct(F.concat(*several))
 
-    placed = rows.withColumn("_run", F.explode(let(F.filter(F.split("_text", ""), lambda c: c != ""), runs)))
-    met = placed.join(listed, "_run").where(F.contains(F.col("_text"), F.col("_needle")))
-    return met.select(*[column(k) for k in keys], "column", "keyword")
+    placed = texts.withColumn("_run", F.explode(let(F.filter(F.split("_text", ""), lambda c: c != ""), runs)))
+    return placed.join(needles, "_run").where(F.contains(F.col("_text"), F.col("_needle")))
 
 
 def _run_of(characters: Column, length: int) -> Callable[[Column], Column]:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill import drop_all_null, keyword_search, ordinals, page, page_info, row_ids
-from rulemill.operators import ranges
+from rulemill.operators import explore, ranges
 from rulemill.operators.explore import keyword_hits
 from rulemill.sources.storage import ensure_checkpoint_dir, scratch_path
 from tests.conftest import values
@@ -108,3 +108,12 @@ def test_scratch_folders_are_below_the_checkpoint_folder(spark):
     base = ensure_checkpoint_dir(spark)
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first != second and first.startswith(base.rstrip("/"))
+
+
+def test_keywords_are_looked_for_once_in_every_distinct_word(spark, monkeypatch):
+    searched, within = [], explore._containing
+    monkeypatch.setattr(explore, "_containing", lambda texts, listed: searched.append(texts) or within(texts, listed))
+    df = spark.createDataFrame([(i % 90, "Some words\tand\n others " * 20 + str(i % 3)) for i in range(100)], "id int, s string").repartition(3)
+    found = keyword_hits(df, spark.createDataFrame([("WORD",), ("o",), ("2",)], "keyword string"), ["id"])
+    assert found.count() == 100 + 100 + 33
+    assert sorted(r[0] for r in searched[0].select("_text").collect()) == ["0", "1", "2", "and", "others", "some", "words"] and len(searched) == 1
