@@ -51,7 +51,8 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, keys: Sequence[str], column
     blank = F.col("_needle").rlike(_BLANKS)
     vocabulary = rows.select(F.explode(words_of("_text")).alias("_text")).distinct()
     known = _containing(vocabulary, listed.where(~blank)).select(F.col("_text").alias("_word"), "keyword")
-    placed = rows.select(*own, "column", F.monotonically_increasing_id().alias("_cell"), F.explode(words_of("_text")).alias("_word"))
+    # numbered before its words are listed, for the number is that of the cell
+    placed = rows.withColumn("_cell", F.monotonically_increasing_id()).select(*own, "column", "_cell", F.explode(words_of("_text")).alias("_word"))
     hits = placed.join(known, "_word").select(*own, "column", "_cell", "keyword").distinct().select(*shown)
     several = listed.where(blank)
     return hits if several.isEmpty() else hits.unionByName(_containing(rows, several).select(*shown))
