@@ -1,26 +1,30 @@
 """Many rules at once: which rows satisfy which of thousands of conjunctions.
 
 The rules are a table, and stay one: the plan does not grow with their number. Every rule is filed under the narrowest of its conditions, a
-text it requires or an interval. The bounds of an attribute cut its values into numbered steps; an interval of steps is
-filed under the few nodes of a binary tree that make it up, and a value looks under the nodes above its own step, so that an equi-join
-on (attribute, node) finds exactly the intervals that hold it. The other conditions are checked on the pairs that are found.
+text it requires or an interval. An interval is cut into a few cells whose size, a power of two, follows its own width; a value looks
+under its cell of every size that some rule has, so that an equi-join on (cell, size and attribute) finds every interval that may hold
+it. All conditions are checked on the pairs that are found, by compiled comparisons: a row of the book has the conditions of a rule side by side,
+for each attribute the tightest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rulemill.functions.arrays import leading
-from rulemill.functions.columns import column, let
+from rulemill.functions.columns import all_of, any_of, column, let
 from rulemill.plans.predicates import checked_rules
 from rulemill.plans.rules import RuleError, Rules, query_values
 
 #: One row per condition. A rule holds where all its conditions do: a number between bounds (NULL: none), or a text.
 CONDITIONS = "rule string, attribute string, low double, low_in boolean, high double, high_in boolean, text string"
-#: Steps of an attribute are halved so often at most: 2 ** 40 bounds.
-_LEVELS = 40
+#: Bounds of an attribute that tell how narrow a condition is; they are spread evenly over the bounds of the rules.
+_QUANTILES = 64
+_SHARES = ",".join(str(i / _QUANTILES) for i in range(_QUANTILES + 1))
+#: Cells are 2 ** 50 times smaller than the largest bound at least, so that their numbers are exact; larger bounds than this count as none where rules are filed.
+_FINEST, _LARGEST = 50, 1e150
+
 
 
 def conditions_of(spark: SparkSession, rule_sets: Mapping[str, Rules], types: Mapping) -> DataFrame:
@@ -45,110 +49,129 @@ def _interval(rule) -> tuple:
     return low if bounds[0] != "." else None, bounds[0] == "i", high if bounds[1] != "." else None, bounds[1] == "i", None
 
 
-def _step(value: Column, bounds: Column) -> Column:
-    """The step of a number: 2 i + 1 at bound i, 2 i between the bounds before and after it. A search by halves."""
-    at = leading(bounds, lambda b: b < value)
-    return F.when(value.isNotNull() & ~F.isnan(value), 2 * at + F.coalesce((F.get(bounds, at) == value).cast("int"), F.lit(0)))
-
-
-def _levels(bounds: Column) -> Column:
-    """The tree over the steps has this many levels above them."""
-    return F.least(F.ceil(F.log2(2.0 * F.size(bounds) + 1)).cast("int"), F.lit(_LEVELS))
-
-
-def _nodes(first: Column, last: Column, levels: Column) -> Column:
-    """(level, number) of the nodes that make up the steps first to last."""
-    start = F.struct(first.alias("first"), last.alias("last"), F.array().cast("array<struct<level:int,number:int>>").alias("nodes"))
-    node = lambda level, number: F.struct(level.alias("level"), number.alias("number"))
-
-    def climb(found: Column, level: Column) -> Column:
-        a, b, some = found["first"], found["last"], found["first"] <= found["last"]
-        left, right = some & (a % 2 == 1), some & (b % 2 == 0)
-        own = F.array_compact(F.array(F.when(left, node(level, a)), F.when(right & ~(left & (a == b)), node(level, b))))
-        nodes = F.concat(found["nodes"], own)
-        inner = F.when(left, a + 1).otherwise(a), F.when(right, b - 1).otherwise(b)
-        return F.struct(
-            F.floor(inner[0] / 2).cast("int").alias("first"),
-            F.when(some & (inner[0] <= inner[1]), F.floor(inner[1] / 2).cast("int")).otherwise(F.lit(-1)).alias("last"), nodes.alias("nodes"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), levels), start, climb)["nodes"]
-
-
-def _filed(conditions: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(key, rule, conditions): each rule under the keys of its leading condition, with all its conditions."""
-    texts = conditions.groupBy("attribute").agg(F.count_distinct("text").alias("texts"))
-    met = conditions.join(bounds.join(texts, "attribute"), "attribute", "left")
-    steps = lambda c: _step(F.col(c), F.col("bounds"))
-    first = F.when(F.col("low").isNull(), F.lit(0)).when(F.col("low_in"), steps("low")).otherwise(steps("low") + 1)
-    last = F.when(F.col("high").isNull(), 2 * F.size("bounds")).when(F.col("high_in"), steps("high")).otherwise(steps("high") - 1)
-    # the bounds stay behind here: what is shuffled has a few numbers for each condition
-    placed = met.select(*conditions.columns, "texts", first.cast("int").alias("first"), last.cast("int").alias("last"), F.size("bounds").alias("size"), _levels(F.col("bounds")).alias("levels"))
-    # the share of an attribute's values that a condition lets pass, as far as the rules themselves tell
-    width = F.when(F.col("text").isNotNull(), 1.0 / F.col("texts")).otherwise((F.col("last") - F.col("first") + 1) / (2.0 * F.col("size") + 1))
-    order = Window.partitionBy("rule").orderBy(width, "attribute", "low", "high", "text")
-    leading = placed.withColumn("place", F.row_number().over(order)).where("place = 1")
-    numeric = F.transform(_nodes(F.col("first"), F.col("last"), F.col("levels")), lambda n: _key(F.col("attribute"), n["level"], n["number"]))
-    keys = F.when(F.col("text").isNotNull(), F.array(_text_key(F.col("attribute"), F.col("text")))).otherwise(numeric)
-    every = conditions.groupBy("rule").agg(F.collect_list(F.struct("attribute", "low", "low_in", "high", "high_in", "text")).alias("conditions"))
-    return leading.select("rule", F.explode(keys).alias("key")).join(every, "rule")
-
-
-def _key(attribute: Column, level: Column, number: Column) -> Column:
-    return F.concat_ws("\x1f", attribute, level.cast("string"), number.cast("string"))
-
-
-def _text_key(attribute: Column, text: Column) -> Column:
-    return F.concat_ws("\x1f", attribute, F.lit("text"), text)
+def _bounds(conditions: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row for all tasks: for attribute i the least and the greatest bound `_lo<i>` and `_hi<i>`, bounds spread over all (`_spread<i>`), and about how many texts are asked of it (`_texts<i>`)."""
+    listed = conditions.select("attribute", "text", F.explode(F.array("low", "high")).alias("bound"))
+    listed = listed.withColumn("bound", F.when(F.abs("bound") <= _LARGEST, F.col("bound")))
+    out = []
+    for i, n in enumerate(names):
+        mine = F.when(F.col("attribute") == n, F.col("bound"))
+        spread = F.percentile_approx(mine, F.split(F.lit(_SHARES), ",").cast("array<double>"), 64 * _QUANTILES)
+        out += [F.coalesce(F.min(mine), F.lit(0.0)).alias(f"_lo{i}"), F.coalesce(F.max(mine), F.lit(0.0)).alias(f"_hi{i}"), F.coalesce(spread, F.array().cast("array<double>")).alias(f"_spread{i}")]
+        out.append(F.approx_count_distinct(F.when(F.col("attribute") == n, F.col("text"))).alias(f"_texts{i}"))
+    return listed.agg(*out)
+
+
+def _clipped(i: int, value: Column) -> Column:
+    """A number, or one beyond all bounds of attribute i where it lies outside them; the order is kept, and no cell of an interval between bounds reaches beyond them."""
+    lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+    far = hi - lo + _magnitude(i) * 2.0**-20
+    return F.when(value < lo, lo - far).when(value > hi, hi + far).otherwise(value)
+
+
+def _magnitude(i: int) -> Column:
+    return F.greatest(F.abs(f"_lo{i}"), F.abs(f"_hi{i}"), F.lit(1e-200))
+
+
+def _cell(value: Column, level: Column) -> Column:
+    """The number of the cell of a value among cells of size 2 ** level. It never falls where values rise."""
+    return F.rint(value / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _kind(i: int, level: Column | None) -> Column:
+    """One number for an attribute and a size of cells, or for the texts of the attribute."""
+    return F.lit(4096 * i) if level is None else level + 4096 * i + 2048
+
+
+def _place(node: Column, kind: Column) -> Column:
+    return F.struct(node.alias("node"), kind.alias("kind"))
+
+
+def _way(i: int) -> Column:
+    """How a rule can be filed by attribute i, the share of values that it lets pass first, as far as the rules themselves tell; NULL without a condition on it."""
+    text, low, high = F.col(f"_text{i}"), F.col(f"_from{i}"), F.col(f"_to{i}")
+    way = lambda share, **more: F.struct(share.alias("share"), F.lit(i).alias("attribute"), *[c.alias(n) for n, c in more.items()])
+    # the ends are evaluated once, not for every element
+    among = lambda ends: F.size(F.filter(f"_spread{i}", lambda b: b.between(ends["low"], ends["high"])))
+    within = let(F.struct(low.alias("low"), high.alias("high")), among) / float(_QUANTILES)
+    share = F.greatest(within, F.least(F.lit(0.5 / _QUANTILES), (high - low) / (F.col(f"_hi{i}") - F.col(f"_lo{i}") + _magnitude(i))))
+    finest = F.floor(F.log2(_magnitude(i))).cast("int") - _FINEST
+    level = F.when(high > low, F.greatest(F.floor(F.log2(high - low)).cast("int") - 2, finest)).otherwise(finest)
+    numeric = way(share, level=level, low=low, high=high, text=F.lit(None).cast("string"))
+    asked = way(1.0 / F.greatest(f"_texts{i}", F.lit(1)), level=F.lit(None).cast("int"), low=F.lit(None).cast("double"), high=F.lit(None).cast("double"), text=text)
+    return F.when(text.isNotNull(), asked).when(F.col(f"_number{i}"), numeric)
+
+
+def _filed(conditions: DataFrame, names: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """One row for each rule that can hold: its conditions side by side, and `_way`, how it is filed."""
+    known = F.col("attribute").isin(list(names))
+    tightest, impossible = [], []
+    for i, n in enumerate(names):
+        own = F.col("attribute") == n
+        numeric = own & F.col("text").isNull()
+        low = F.max(F.when(numeric & F.col("low").isNotNull(), F.struct("low", (~F.coalesce("low_in", F.lit(False))).alias("open"))))
+        high = F.min(F.when(numeric & F.col("high").isNotNull(), F.struct("high", F.coalesce("high_in", F.lit(False)).alias("closed"))))
+        text = F.when(own, F.col("text"))
+        tightest += [
+            low["low"].alias(f"_low{i}"), low["open"].alias(f"_open{i}"), high["high"].alias(f"_high{i}"), high["closed"].alias(f"_closed{i}"),
+            F.min(text).alias(f"_text{i}"), F.max(text).alias(f"_other{i}"), F.coalesce(F.bool_or(numeric), F.lit(False)).alias(f"_number{i}"),
+        ]
+        impossible += [F.col(f"_text{i}") != F.col(f"_other{i}"), F.isnan(f"_low{i}"), F.col(f"_low{i}") > F.col(f"_high{i}")]
+    book = conditions.where("rule IS NOT NULL").groupBy("rule").agg(F.bool_and(known).alias("_complete"), *tightest).where("_complete")
+    book = book.where(~F.coalesce(any_of(F.coalesce(c, F.lit(False)) for c in impossible), F.lit(False))).drop("_complete", *[f"_other{i}" for i in range(len(names))])
+    kept, ends = book.columns, []
+    for i in range(len(names)):
+        # a missing bound, and a NaN above, are no bound
+        ends += [_clipped(i, F.coalesce(f"_low{i}", F.lit(float("-inf")))).alias(f"_from{i}"), _clipped(i, F.coalesce(f"_high{i}", F.lit(float("inf")))).alias(f"_to{i}")]
+    return book.join(F.broadcast(bounds)).select("*", *ends).select(*kept, F.array_min(F.array(*[_way(i) for i in range(len(names))])).alias("_way"))
+
+
+def _used(filed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row for all tasks: the sizes of cells (`_levels<i>`) and the values (`_from<i>` to `_to<i>`) under which rules are filed by attribute i, and whether any is by a text of it (`_asked<i>`)."""
+    out = []
+    for i in range(len(names)):
+        own = F.col("_way.attribute") == i
+        mine = lambda c, own=own: F.when(own, F.col(f"_way.{c}"))
+        out += [F.collect_set(mine("level")).alias(f"_levels{i}"), F.min(mine("low")).alias(f"_from{i}"), F.max(mine("high")).alias(f"_to{i}")]
+        out.append((F.count(mine("text")) > 0).alias(f"_asked{i}"))
+    return filed.agg(*out)
 
 
 def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attributes: Iterable[str]) -> DataFrame:
     """(keys, rule) for every row of `df` and every rule whose conditions all hold for it.
 
     `attributes` are the columns that conditions may name; numbers compare as double, NULL satisfies nothing. A rule without a condition
-    does not exist; a rule on another attribute never holds. The bounds of the rules travel to all tasks, once for each attribute.
+    does not exist; a rule on another attribute never holds. A few numbers about each attribute travel to all tasks.
     """
-    names = list(attributes)
-    bounds = conditions.select("attribute", F.explode(F.array("low", "high")).alias("bound")).where("bound IS NOT NULL")
-    bounds = bounds.groupBy("attribute").agg(F.sort_array(F.collect_set("bound")).alias("bounds"))
-    # attributes with conditions but no bound, such as texts only, have an empty list
-    bounds = conditions.select("attribute").distinct().join(bounds, "attribute", "left").select("attribute", F.coalesce("bounds", F.array().cast("array<double>")).alias("bounds"))
-    book = _filed(conditions.where(F.col("attribute").isin(names)), bounds)
-    complete = conditions.groupBy("rule").agg(F.bool_and(F.col("attribute").isin(names)).alias("complete")).where("complete").select("rule")
-    book = book.join(complete, "rule", "left_semi")
-
-    one_row = bounds.agg(F.map_from_entries(F.collect_list(F.struct("attribute", "bounds"))).alias("_bounds"))
-    cell = lambda n: F.struct(column(n).try_cast("double").alias("number"), column(n).cast("string").alias("text"))
-    values = F.create_map(*[x for n in names for x in (F.lit(n), cell(n))])
-    rows = df.select(*[column(k) for k in keys], values.alias("_values")).join(F.broadcast(one_row))
-    below = []
-    for n in names:
-        own, value = F.element_at("_bounds", F.lit(n)), F.element_at("_values", F.lit(n))
-        number, text = value["number"], value["text"]
-        climbed = let(own, _stepping(n, number))
-        below += [F.when(own.isNotNull() & number.isNotNull(), climbed), F.when(own.isNotNull() & text.isNotNull(), F.array(_text_key(F.lit(n), text)))]
-    looked = F.flatten(F.array_compact(F.array(*below)))
-    met = rows.withColumn("key", F.explode(looked)).join(book, "key")
-
-    def holds(c: Column) -> Column:
-        v = F.element_at("_values", c["attribute"])
-        above = c["low"].isNull() | (v["number"] > c["low"]) | (c["low_in"] & (v["number"] == c["low"]))
-        under = c["high"].isNull() | (v["number"] < c["high"]) | (c["high_in"] & (v["number"] == c["high"]))
-        numeric = v["number"].isNotNull() & ~F.isnan(v["number"]) & above & under
-        return F.coalesce(F.when(c["text"].isNotNull(), v["text"] == c["text"]).otherwise(numeric), F.lit(False))
-
-    return met.where(F.forall("conditions", holds)).select(*[column(k) for k in keys], "rule")
-
-
-def _stepping(attribute: str, number: Column) -> Callable[[Column], Column]:
-    return lambda bounds: let(_step(number, bounds), _climbing(attribute, bounds))
-
-
-def _climbing(attribute: str, bounds: Column) -> Callable[[Column], Column]:
-    """The keys of a step and of all nodes above it."""
-
-    def keys(step: Column) -> Column:
-        above = lambda level: _key(F.lit(attribute), level, F.floor(step / F.pow(F.lit(2.0), level)).cast("int"))
-        return F.when(step.isNotNull(), F.transform(F.sequence(F.lit(0), _levels(bounds)), above))
-
-    return keys
+    names = list(dict.fromkeys(attributes))
+    bounds = _bounds(conditions, names)
+    filed = _filed(conditions, names, bounds)
+    one_row = bounds.drop(*[f"_spread{i}" for i in range(len(names))]).join(F.broadcast(_used(filed, names)))
+    way = F.col("_way")
+    kind = way["attribute"] * 4096 + F.coalesce(way["level"] + 2048, F.lit(0))
+    nodes = F.when(way["text"].isNotNull(), F.array(F.xxhash64(way["text"]))).otherwise(F.sequence(_cell(way["low"], way["level"]), _cell(way["high"], way["level"])))
+    book = filed.withColumns({"_kind": kind, "_node": F.explode(nodes)}).drop("_way")
+
+    numbers = [column(n).try_cast("double") for n in names]
+    cells = [c for i, n in enumerate(names) for c in (F.when(~F.isnan(numbers[i]), numbers[i]).alias(f"_n{i}"), column(n).cast("string").alias(f"_t{i}"))]
+    own = [f"_key{j}" for j in range(len(keys))]
+    rows = df.select(*[column(k).alias(o) for k, o in zip(keys, own)], *cells).join(F.broadcast(one_row))
+    texts = [F.when(F.col(f"_texts{i}") > 0, F.col(f"_t{i}")).alias(f"_t{i}") for i in range(len(names))]
+    looked = F.flatten(F.array_compact(F.array(*[c for i in range(len(names)) for c in _looked(i)])))
+    rows = rows.select(*own, *[f"_n{i}" for i in range(len(names))], *texts, F.inline(looked).alias("_node", "_kind"))
+
+    def holds(i: int) -> Column:
+        v, low, high = F.col(f"_n{i}"), F.col(f"_low{i}"), F.col(f"_high{i}")
+        above = low.isNull() | (v > low) | (~F.col(f"_open{i}") & (v == low))
+        under = high.isNull() | (v < high) | (F.col(f"_closed{i}") & (v == high))
+        return (~F.col(f"_number{i}") | (v.isNotNull() & above & under)) & (F.col(f"_text{i}").isNull() | (F.col(f"_t{i}") == F.col(f"_text{i}")))
+
+    met = rows.join(book, ["_node", "_kind"]).where(all_of(holds(i) for i in range(len(names))))
+    return met.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "rule")
+
+
+def _looked(i: int) -> list[Column]:
+    """Where a row looks for rules that are filed by attribute i."""
+    under = lambda v: F.when(v.between(F.col(f"_from{i}"), F.col(f"_to{i}")), F.transform(f"_levels{i}", lambda level: _place(_cell(v, level), _kind(i, level))))
+    numeric = F.when(F.col(f"_n{i}").isNotNull() & (F.size(f"_levels{i}") > 0), let(_clipped(i, F.col(f"_n{i}")), under))
+    return [numeric, F.when(F.col(f"_t{i}").isNotNull() & F.col(f"_asked{i}"), F.array(_place(F.xxhash64(f"_t{i}"), _kind(i, None))))]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill import query
+from rulemill.operators import rulebook
 from rulemill.operators.rulebook import CONDITIONS, conditions_of, matches
 from rulemill.plans.rules import RuleError
 
@@ -76,3 +77,39 @@ def test_rule_tables_as_conditions(spark):
     for bad in ([("no", "or", "a", "double", ">", "1"), ("no", None, "b", "integer", ">", "1")], [("no", None, "c", "string", "like", "x%")]):
         with pytest.raises(RuleError):
             conditions_of(spark, {"bad": bad}, types)
+
+
+def test_what_rows_carry_does_not_grow_with_the_rules(spark):
+    """Before, the bounds of all rules stood beside every row."""
+    conditions = spark.range(3000).selectExpr(
+        "cast(id as string) AS rule", "'a' AS attribute", "id / 7.0D AS low", "true AS low_in", "id / 7.0D + 1 AS high", "false AS high_in", "cast(NULL as string) AS text"
+    )
+    shared = rulebook._bounds(conditions, NAMES).first().asDict()
+    assert all(len(v) < 100 for v in shared.values() if isinstance(v, list))
+    found = matches(rows(spark), conditions, ["id"], NAMES)
+    want = sorted((r.id, str(i)) for r in rows(spark).collect() if r.a is not None and r.a == r.a for i in range(3000) if i / 7.0 <= r.a < i / 7.0 + 1)
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_odd_bounds(spark):
+    rng, inf, nan = random.Random(9), float("inf"), float("nan")
+    numbers = [0.0, -0.0, 5e-324, -5e-324, 1e-300, 1.0, 1.0 + 2**-52, 3.0, 1e17, 1e17 + 16, -1e17, 1e155, -1e155, 1.7e308, -1.7e308, inf, -inf, nan]
+    pick = lambda: rng.choice([None, *numbers])
+    rules = {f"r{i}": [("a", pick(), rng.choice([True, False, None]), pick(), rng.choice([True, False, None]), None) for _ in range(rng.randrange(1, 3))] for i in range(300)}
+    rules |= {"two": [("c", None, None, None, None, "x"), ("c", None, None, None, None, "y")], "same": [("c", None, None, None, None, "x")] * 2, "mixed": [("b", None, None, None, None, "1"), ("b", 1.0, True, 1.0, True, None)]}
+    conditions = spark.createDataFrame([(name, *c) for name, rule in rules.items() for c in rule] + [(None, "a", None, None, None, None, None)], CONDITIONS)
+    data = [(i, x, i % 3, "xyz"[i % 3]) for i, x in enumerate([*numbers, None, 2.0])]
+    df = spark.createDataFrame(data, "id int, a double, b int, c string")
+
+    def holds(row, c):
+        name, low, low_in, high, high_in, text = c
+        v = row["abc".index(name) + 1]
+        if text is not None:
+            return str(v) == text
+        if v is None or v != v or low is not None and low != low:
+            return False
+        high = None if high is not None and high != high else high  # NaN is the largest number
+        return (low is None or v > low or bool(low_in) and v == low) and (high is None or v < high or bool(high_in) and v == high)
+
+    want = sorted((row[0], name) for row in data for name, rule in rules.items() if all(holds(row, c) for c in rule))
+    assert sorted(map(tuple, matches(df, conditions, ["id"], NAMES).collect())) == want
