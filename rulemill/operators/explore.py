@@ -86,11 +86,10 @@ def row_ids(df: DataFrame, name: str = "id") -> DataFrame:
 def ordinals(df: DataFrame, order_by: Sequence[Column | str], name: str = "ordinal", ranges: int | None = None) -> DataFrame:
     """Dense row numbers 1..n over an explicit order, without moving all rows to one task.
 
-    `ranges` (by default the session's number of shuffle partitions) are numbered by themselves. Jobs sample and count the order key when this
+    `ranges` (by default the session's number of shuffle partitions, or more where they would hold over a million rows each) are numbered by themselves. Jobs sample and count the order key when this
     is called; the numbering itself is lazy, one shuffle, and stores nothing. Rows that the order leaves equal are ordered by a hash of the row.
     """
-    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return numbered(df, order_by, name, count)
+    return numbered(df, order_by, name, ranges)
 
 
 def page(df: DataFrame, order_by: Sequence[Column | str], number: int = 1, size: int | None = 10) -> DataFrame:

@@ -20,6 +20,8 @@ from rulemill.functions.columns import column
 BOUNDS, SAMPLE = 64, 2048
 #: A range is not refined below this many rows: they are a top-k.
 ROWS = 20_000
+#: Rows of a range that one task sorts and numbers, about.
+RANGE_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -138,11 +140,12 @@ def selected(df: DataFrame, order_by: Sequence[Column | str], first: int, size:
     return rows.orderBy(*[k.sorted() for k in keys]).offset(first - before).limit(size)
 
 
-def numbered(df: DataFrame, order_by: Sequence[Column | str], name: str, buckets: int) -> DataFrame:
+def numbered(df: DataFrame, order_by: Sequence[Column | str], name: str, buckets: int | None = None) -> DataFrame:
     """All rows with their place in the order, from 1. Sampled bounds cut the order into ranges, a pass counts them, and each range is
     numbered by itself from the rows before it: one shuffle, nothing is stored. The counts broadcast have one row for each range."""
     keys = keys_of(df, order_by)
     _, total = counted(df, keys, [])
+    buckets = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
     bounds = proposed(df, keys, buckets, total)[1:] if buckets > 1 else []
     bucket = "_range"
     while bucket in df.columns:

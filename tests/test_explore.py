@@ -117,3 +117,14 @@ def test_keywords_are_looked_for_once_in_every_distinct_word(spark, monkeypatch)
     found = keyword_hits(df, spark.createDataFrame([("WORD",), ("o",), ("2",)], "keyword string"), ["id"])
     assert found.count() == 100 + 100 + 33
     assert sorted(r[0] for r in searched[0].select("_text").collect()) == ["0", "1", "2", "and", "others", "some", "words"] and len(searched) == 1
+
+
+def test_ordinals_make_more_ranges_of_larger_tables(spark, monkeypatch):
+    """Before, the number of ranges was that of shuffle partitions, however many rows a task had to sort."""
+    asked = []
+    proposed = ranges.proposed
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 10)
+    monkeypatch.setattr(ranges, "proposed", lambda rows, keys, n, total: asked.append(n) or proposed(rows, keys, n, total))
+    df = spark.range(200).select((F.col("id") * 7 % 200).alias("k"))
+    assert values(ordinals(df, ["k"], "n"), "k", "n") == sorted(((k, k + 1) for k in range(200)), key=lambda t: tuple((True, str(x)) for x in t))
+    assert asked == [20]
