@@ -36,3 +36,20 @@ def test_query_equals_sql(spark, sql, name):
 def test_the_flagship_query_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["party", "name", "nation", "segment"] and df.count() > 0
+
+
+def test_tasks_are_bounded_where_the_session_does_not_say(spark, monkeypatch):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = {k: spark.conf.getAll.get(k) for k in entry.TASK_BOUNDS}
+    monkeypatch.setattr(entry, "_BOUNDED", set())
+    try:
+        for k in before:
+            spark.conf.unset(k)
+        spark.conf.set(key, "5m")
+        entry._bound_tasks(spark, True)
+        assert {k: spark.conf.getAll[k] for k in before} == entry.TASK_BOUNDS | {key: "5m"}
+        entry._bound_tasks(spark, False)
+        assert [k for k in before if k in spark.conf.getAll] == [key]
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
