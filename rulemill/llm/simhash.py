@@ -211,51 +211,78 @@ def _forest(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _compared(keyed: DataFrame, lanes: int, radius: int, chunk: int, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], pack: int = PACK) -> DataFrame:
     """Rows (node, f0, ..., more longs, key) -> what `pick` makes of the pairs (i, j) of rows with equal keys and within the radius."""
-    names = keyed.columns[:-1]
     large = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > chunk)
     large = written(large.select("key", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "simhash-large")
+    types = schema_of(keyed.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _whole_blocks(batches, pack):
+            table, i, j = _near(table, lanes, radius)
+            if len(i):
+                yield from _as_pairs(pick(table, i, j), types)
+
+    return _dealt(keyed, large).mapInArrow(run, "a long, b long")
+
+
+def _dealt(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows (node, ..., key) sorted by block (key, low, high). Those of the keys in `large` (key, chunks) are dealt into chunks by a hash; every two chunks are a block."""
+    names = [c for c in keyed.columns if c != "key"]
     own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("chunks")).cast("int")
     other = F.explode(F.transform(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1), lambda c: F.struct(F.least(c, F.coalesce(own, F.lit(0))).alias("low"), F.greatest(c, F.coalesce(own, F.lit(0))).alias("high"))))
     if large.isEmpty():
-        dealt = keyed.withColumns({"low": F.lit(0), "high": F.lit(0)})
+        dealt = keyed.select(*names, "key", F.lit(0).alias("low"), F.lit(0).alias("high"))
     else:
         dealt = keyed.join(large, "key", "left").withColumn("meet", other).select(*names, "key", "meet.low", "meet.high")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    types = schema_of(keyed.sparkSession, "a long, b long")
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
-
-        def compare(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-            change = np.flatnonzero((table[1:, -3:] != table[:-1, -3:]).any(1)) + 1
-            edges = np.concatenate(([0], change, [len(table)]))
-            sizes = np.diff(edges)
-            table, sizes = table[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
-            if not len(sizes):
-                return
-            i, j = within(np.ascontiguousarray(table[:, 1 : 1 + lanes]).view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius)
-            if len(i):
-                pairs = np.unique(pick(table, i, j), axis=0)
-                for at in range(0, len(pairs), 1 << 16):
-                    yield as_batch(list(map(tuple, pairs[at : at + (1 << 16)].tolist())), types)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
-            rows += batch.num_rows
-            if rows > pack:
-                table = np.concatenate(held)
-                # the last block may go on in the next batch
-                last = np.flatnonzero((table[:, -3:] != table[-1, -3:]).any(1))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                yield from compare(table[:cut])
-                held, rows = [table[cut:]], len(table) - cut
-        if rows:
-            yield from compare(np.concatenate(held))
-
-    return dealt.mapInArrow(run, "a long, b long")
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], pack: int, most_values: int = 1 << 22) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Batches of sorted rows of longs, the last three of which name a block -> tables of whole blocks, of more than `pack` rows where there are as many.
+
+    A first column of lists is apart from the table, one array for each row; `most_values` of them close a table too.
+    """
+    held, lists, rows, values = [], [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = batch.columns
+        if pa.types.is_list(columns[0].type):
+            bounds, flat = columns[0].offsets.to_numpy(), columns[0].values.to_numpy()
+            lists += [flat[a:b].copy() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            values, columns = values + int(bounds[-1] - bounds[0]), columns[1:]
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], 1))
+        rows += batch.num_rows
+        if rows > pack or values > most_values:
+            table = np.concatenate(held)
+            # the last block may go on in the next batch
+            last = np.flatnonzero((table[:, -3:] != table[-1, -3:]).any(1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield table[:cut], lists[:cut]
+            held, lists, rows = [table[cut:]], lists[cut:], len(table) - cut
+            values = sum(map(len, lists))
+    if rows:
+        yield np.concatenate(held), lists
+
+
+def _near(table: np.ndarray, lanes: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that are not alone in their block, and their pairs (i, j) of one block within the radius."""
+    sizes = _block_sizes(table)
+    table, sizes = table[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    if not len(sizes):
+        return table, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return table, *within(np.ascontiguousarray(table[:, 1 : 1 + lanes]).view(np.uint64), np.repeat(np.cumsum(sizes), sizes), radius)
+
+
+def _block_sizes(table: np.ndarray) -> np.ndarray:
+    change = np.flatnonzero((table[1:, -3:] != table[:-1, -3:]).any(1)) + 1
+    return np.diff(np.concatenate(([0], change, [len(table)])))
+
+
+def _as_pairs(pairs: np.ndarray, types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    pairs = np.unique(pairs, axis=0)
+    for at in range(0, len(pairs), 1 << 16):
+        yield as_batch(list(map(tuple, pairs[at : at + (1 << 16)].tolist())), types)
 
 
 def group(prints: DataFrame, lanes: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -342,69 +369,95 @@ def set_prints(docs: DataFrame, shingle: int, similarity: float, id_column: str
     return map_rows(source, rows, ", ".join(["doc_id long", "version long", "node long", "n_shingles long", *lanes, "keys array<long>"]), 1024)
 
 
-def _proposed(similarity: float, turn: int | None) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Pairs of rows (node, f0, ..., f15, n_shingles, component, ...) in different components that may be similar: all, or in a turn one with a smaller and one with a larger node for each."""
-    radius = radius_for(similarity, FULL, 6)
-
-    def pick(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        size, component = table[:, 1 + FULL], table[:, 2 + FULL]
-        apart = component[i] != component[j]
-        apart &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
-        i, j = i[apart], j[apart]
-        bits = np.ascontiguousarray(table[:, 1 : 1 + FULL]).view(np.uint64)
-        distance = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int64) for k in range(FULL))
-        near = (distance <= radius) | (np.minimum(size[i], size[j]) < LARGE)
-        i, j = i[near], j[near]
-        node = table[:, 0]
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        if turn is not None and len(i):
-            # any choice will do; a hash of the pair is the same under all keys and makes no node the partner of all
-            mixed = (node[i].view(np.uint64) ^ node[j].view(np.uint64) >> np.uint64(1)) * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * turn))
-            chosen = []
-            for end in (i, j):
-                order = np.lexsort((mixed, end))
-                chosen.append(order[np.concatenate(([True], end[order][1:] != end[order][:-1]))])
-            chosen = np.unique(np.concatenate(chosen))
-            i, j = i[chosen], j[chosen]
-        return np.stack([node[i], node[j]], 1)
-
-    return pick
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, hashes) have the Jaccard similarity or more."""
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_hashes"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("a_hashes", "b_hashes")))
-    return both.filter(F.col("common") / (F.size("a_hashes") + F.size("b_hashes") - F.col("common")) >= similarity).select("a", "b")
+def _candidates(table: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows (node, f0, ..., f15, n_shingles, ...) that may be similar by their sizes and bits."""
+    size, radius = table[:, 1 + FULL], radius_for(similarity, FULL, 6)
+    fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+    i, j = i[fits], j[fits]
+    bits = np.ascontiguousarray(table[:, 1 : 1 + FULL]).view(np.uint64)
+    distance = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int64) for k in range(FULL))
+    near = (distance <= radius) | (np.minimum(size[i], size[j]) < LARGE)
+    return i[near], j[near]
+
+
+def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of sets, a spanning forest of those with the Jaccard similarity or more. Pairs that are tied already are not looked at."""
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    here, root, found = np.zeros(len(distinct), bool), np.arange(len(sets)), []
+    edges = np.concatenate(([0], np.flatnonzero(i[1:] != i[:-1]) + 1, [len(i)]))
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        one = int(i[a])
+        others = j[a:b][root[j[a:b]] != root[one]]
+        if not len(others):
+            continue
+        own = ids[starts[one] : starts[one] + sizes[one]]
+        here[own] = True
+        step = max(1, (1 << 20) // int(sizes[others].max()))
+        for at in range(0, len(others), step):
+            some = others[at : at + step]
+            n = sizes[some]
+            ends = np.cumsum(n)
+            common = np.add.reduceat(here[ids[np.arange(ends[-1]) + np.repeat(starts[some] - (ends - n), n)]], ends - n, dtype=np.int64)
+            for other in some[common / (sizes[one] + n - common) >= similarity].tolist():
+                if root[other] != root[one]:
+                    root[root == root[other]] = root[one]
+                    found.append((one, other))
+        here[own] = False
+    tied = np.array(found, np.int64).reshape(-1, 2)
+    return tied[:, 0], tied[:, 1]
+
+
+#: Rows and distinct shingles of a chunk of a group whose sets are compared; a task holds two chunks.
+SET_ROWS, SET_SHINGLES = 1024, 1 << 21
+
+
+def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, rows: int = SET_ROWS, shingles: int = SET_SHINGLES) -> DataFrame:
+    """Rows (node, f0, ..., f15, n_shingles, key) and their sets (node, hashes) -> links (a, b) that connect all pairs of a key with the Jaccard similarity or more.
+
+    Every set is sent to the tasks where it is compared, once for each chunk of its group, not once for each pair.
+    """
+    lanes = [f"f{i}" for i in range(FULL)]
+    per_key = nodes.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n_shingles") / shingles)).cast("int").alias("chunks"))
+    large = written(per_key.filter("chunks > 1"), "simhash-large")
+    types = schema_of(nodes.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, held in _whole_blocks(batches, 1 << 12, 2 * shingles):
+            alone = np.repeat(sizes := _block_sizes(table), sizes) == 1
+            held = [held[k] for k in np.flatnonzero(~alone).tolist()]
+            table, i, j = _near(table, FULL, SMALL_RADIUS)
+            i, j = _candidates(table, i, j, similarity)
+            if len(i):
+                i, j = _similar(held, i, j, similarity)
+                yield from _as_pairs(np.stack([table[i, 0], table[j, 0]], 1), types)
+
+    keyed = nodes.select("node", *lanes, "n_shingles", "key").join(sets, "node").select("hashes", "node", *lanes, "n_shingles", "key")
+    return _dealt(keyed, large).mapInArrow(run, "a long, b long")
 
 
 def similar_roots(prints: DataFrame, docs: DataFrame, shingle: int, similarity: float, text_column: str = "text") -> DataFrame | None:
     """Rows of `set_prints` -> (node, root) of the nodes that are tied by pairs of the similarity or more; None if there are none.
 
-    Bits and keys only propose pairs; distinct shingles decide. Two rounds propose few pairs for each node, so that groups of
-    near copies become components with about as many pairs as nodes; the last one all pairs that are still apart.
+    Bits and keys only propose pairs, and of them a spanning forest; distinct shingles decide on all pairs in each of its trees.
     """
     lanes = [f"f{i}" for i in range(FULL)]
     nodes = written(prints.filter("n_shingles > 0").dropDuplicates(["node"]), "simhash-nodes")
     keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
     keyed = written(keyed.join(shared, "key", "left_semi"), "simhash-keys")
-    nodes, sets, edges = nodes.select("node", *lanes, "n_shingles", F.col("node").alias("component"), "version"), None, None
-    for turn in (0, 1, None):
-        rows = keyed.join(nodes.drop("version"), "node").select("node", *lanes, "n_shingles", "component", "key")
-        pairs = written(_compared(rows, FULL, SMALL_RADIUS, 1024, _proposed(similarity, turn), 1 << 14).distinct(), "simhash-pairs")
-        if pairs.isEmpty():
-            break
-        partners = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        nodes = written(nodes.join(partners, "node", "left_semi"), "simhash-partners") if sets is None else nodes
-        sets = written(_sets(docs, nodes, shingle, text_column), "simhash-sets") if sets is None else sets
-        found = similar(pairs, sets, similarity)
-        edges = written(found if edges is None else found.unionByName(edges), "simhash-edges")
-        if turn is not None:
-            roots = connected_components(edges)
-            known = nodes.drop("component").join(roots, "node", "left")
-            nodes = written(known.select("node", *lanes, "n_shingles", F.coalesce("root", "node").alias("component"), "version"), "simhash-partners")
-    return None if edges is None else connected_components(edges)
+    rows = keyed.join(nodes, "node").select("node", *lanes, "n_shingles", "key")
+    proposed = _compared(rows, FULL, SMALL_RADIUS, 1024, lambda table, i, j: _forest(table, *_candidates(table, i, j, similarity)), 1 << 14)
+    trees = connected_components(proposed)
+    partners = written(nodes.join(trees, "node").select("node", *lanes, "n_shingles", "version", F.col("root").alias("key")), "simhash-partners")
+    if partners.isEmpty():
+        return None
+    sets = written(_sets(docs, partners, shingle, text_column), "simhash-sets")
+    links = written(similar_links(partners, sets, similarity), "simhash-links")
+    return None if links.isEmpty() else connected_components(links)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text_column: str) -> DataFrame:

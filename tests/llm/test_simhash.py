@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from rulemill.llm import simhash
 from rulemill.llm.components import connected_components
 from rulemill.llm.simhash import fingerprint, fingerprints, group, links, near_duplicate_keys, one_of_each, pigeonhole, radius_for, within, within_radius
 
@@ -189,3 +190,52 @@ def test_short_and_repetitive_texts(spark, prose):
     docs = [eight, eight + " nine", filler + prose(30), filler + prose(30), "a b c d e f " * 3, "a b c d e f " * 40]
     got = one_of_each(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == {0, 2, 3, 4}
+
+
+def test_a_large_group_that_is_not_similar_enough_sends_each_set_once_per_chunk(spark, monkeypatch):
+    """Copies of one text with other words in places: bits propose every pair, sets decide. No table may have a row for each pair."""
+    rng, rows = random.Random(5), []
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(400), 14 if i else 0):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[i][1] + " more") for i in range(0, 120, 7)]
+    sizes = {}
+    kept_tables = simhash.written
+
+    def counted(df, label):
+        out = kept_tables(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in one_of_each(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert kept == set(root.values())
+    assert max(sizes.values()) <= 25 * len(rows)  # 24 keys for each row at most
+
+
+def test_sets_of_a_group_in_chunks_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    common = np.unique(rng.integers(0, 1 << 62, 100))
+    sets = [np.unique(np.concatenate((common[: 100 - k % 30], rng.integers(0, 1 << 62, k % 30)))) for k in range(60)]
+    bits = [[x - (1 << 64) if x >> 63 else x for x in simhash.majority(s.view(np.uint64), simhash.FULL)] for s in sets]
+    lanes = ", ".join(f"f{i} long" for i in range(simhash.FULL))
+    nodes = spark.createDataFrame([(k, *b, len(s), k % 2) for k, (b, s) in enumerate(zip(bits, sets))], f"node long, {lanes}, n_shingles int, key long")
+    hashes = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sets)], "node long, hashes array<long>")
+    similar = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    for rows, shingles in ((1024, 1 << 21), (4, 1 << 21), (1024, 250)):
+        root = list(range(60))
+        for r in simhash.similar_links(nodes, hashes, 0.8, rows, shingles).collect():
+            assert similar(r.a, r.b)
+            root = [root[r.a] if x == root[r.b] else x for x in root]
+        assert all(root[a] == root[b] for a in range(60) for b in range(a) if (a - b) % 2 == 0 and similar(a, b))
