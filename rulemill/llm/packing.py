@@ -184,8 +184,9 @@ def _packed(items: DataFrame, capacity: int, seed: int, blocks: int) -> DataFram
 
 def _placed(packed: DataFrame, level: int) -> DataFrame:
     """One row per piece: its row, its sequence, its offset there, and how full the sequence is, `__filled`."""
-    bins = packed.select("block", "items", F.posexplode("groups").alias("bin", "members"))
-    rows = bins.select("block", "bin", F.transform("members", lambda m: F.get("items", m)).alias("rows"))
+    # the rows are fetched before the groups become rows of their own, which would each carry all items of the block
+    fetched = packed.select("block", F.transform("groups", lambda g: F.transform(g, lambda m: F.get("items", m))).alias("bins"))
+    rows = fetched.select("block", F.posexplode("bins").alias("bin", "rows"))
     ends = F.transform("rows", lambda r, i: F.aggregate(F.slice("rows", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["length"]))
     rows = rows.withColumn("at", ends).withColumn("filled", F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
     sequence = (F.lit(level).cast("long") * F.lit(1 << 61)).bitwiseOR(F.shiftleft(F.col("block"), 24)).bitwiseOR(F.col("bin").cast("long"))

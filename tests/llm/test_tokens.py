@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -105,3 +106,45 @@ def test_search_beats_or_equals_best_fit():
         assert len(found.bins) <= len(plain.bins)
         again = packing.evolve(sizes, 2048, [found.bins], 2)
         assert len(again.bins) <= len(found.bins)
+
+
+def test_white_space_that_is_found_by_its_bytes(monkeypatch):
+    odd = ["a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", "a\x1fb", "a\u0085b", "a\u00a0b", "a\u2003b", "a\u3000b", " \n"]
+    plain = ["", " a", "a ", "\na", "a\n", "caf\u00e9 x", "\u00a1 b", "\u201cb\u201d", None]
+    codec = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = pa.array(["x", *odd, *plain, *odd], pa.large_string()).fill_null("")
+    asked = []
+    match = pc.match_substring_regex
+    monkeypatch.setattr(pc, "match_substring_regex", lambda some, pattern: asked.extend(some.to_pylist()) or match(some, pattern))
+    assert codec._is_odd(texts.slice(1)).to_pylist() == [True] * len(odd) + [False] * len(plain) + [True] * len(odd)
+    assert "caf\u00e9 x" not in asked and "" not in asked
+    assert codec._is_odd(pa.array([], pa.large_string())).to_pylist() == []
+
+
+def test_rules_of_a_round_are_expanded_together(monkeypatch):
+    calls = []
+    expand = grammar.Shard.expand
+    monkeypatch.setattr(grammar.Shard, "expand", lambda self, symbols: calls.append(len(symbols)) or expand(self, symbols))
+    ids = np.tile(np.arange(64, dtype=np.uint32), 200)
+    terminals, rules, lengths, symbols, ends = grammar.compress(ids, np.array([len(ids)]))
+    shard = grammar.Shard(terminals, rules.tobytes(), lengths.tobytes(), symbols.tobytes(), ends.tolist())
+    assert len(rules) > 30 and len(calls) <= grammar.ROUNDS
+    assert (shard.all() == ids).all()
+
+
+def test_rules_that_each_use_the_one_before():
+    pairs = np.array([(0, 0), *((1 + i, 0) for i in range(300))], "<u4")
+    shard = grammar.Shard(1, pairs.tobytes(), np.arange(2, 303).astype("<u4").tobytes(), np.array([1, 301], "<u2").tobytes(), [1, 2])
+    assert shard.all().tolist() == [0] * 304 and shard.document(1).tolist() == [0] * 302
+
+
+def test_groups_do_not_carry_the_items_of_their_block(spark):
+    row = "struct<doc_id: long, length: long, __place: long>"
+    packed = spark.createDataFrame([(3, [(7, 2, 0), (8, 5, 1), (9, 1, 2)], [[1], [2, 0]])], f"block long, items array<{row}>, groups array<array<int>>")
+    placed = packing._placed(packed, 0)
+    assert sorted((r.doc_id, r.offset, r["__filled"]) for r in placed.collect()) == [(7, 1, 3), (8, 0, 5), (9, 0, 3)]
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line]
+    assert made and not any("items#" in line for line in made)
+    below = plan[plan.rindex("Generate") :].splitlines()[1]
+    assert "bins" in below
