@@ -469,7 +469,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text_column: str) ->
 
     bounded_batches(docs.sparkSession)
     texts = docs.select(column(text_column).cast("string").cast("binary").alias("text")).withColumn("version", F.xxhash64("text"))
-    return map_rows(texts.join(nodes.select("node", "version"), "version").dropDuplicates(["node"]).select("node", "text"), rows, "node long, hashes array<long>", 256)
+    texts = _likely(texts, nodes.select("version"), "version").dropDuplicates(["version"])
+    return map_rows(texts.join(nodes.select("node", "version"), "version").select("node", "text"), rows, "node long, hashes array<long>", 256)
+
+
+#: Bits for each hash that `_likely` looks for, and words of 64 bits at most: more hashes let more other rows through.
+BITS_EACH, MOST_WORDS = 16, 1 << 18
+
+
+def _likely(df: DataFrame, wanted: DataFrame, name: str, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows whose hash `name` is in `wanted`, and few others: one bit for each hash is sent to all tasks, so that rows
+    which a join would drop are not shuffled for it, however large the two tables are."""
+    words = min(most_words, max(1, BITS_EACH * wanted.count() // 64))
+    word, bit = F.pmod(name, F.lit(words)).alias("__word"), F.shiftrightunsigned(name, 58).cast("int")
+    bits = wanted.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, 58) as int))")).alias("__bits"))
+    return df.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.getbit("__bits", bit) == 1).select(*df.columns)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -239,3 +239,27 @@ def test_sets_of_a_group_in_chunks_lose_no_link(spark):
             assert similar(r.a, r.b)
             root = [root[r.a] if x == root[r.b] else x for x in root]
         assert all(root[a] == root[b] for a in range(60) for b in range(a) if (a - b) % 2 == 0 and similar(a, b))
+
+
+def test_rows_that_a_join_would_drop_are_not_shuffled_for_it(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS version", "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, -1), (-(1 << 63), -2), ((1 << 63) - 1, -3), (0, -4)], "version long, id long"))
+    wanted = rows.where("id % 100 = 0 OR id < 0").select("version")
+    every = {r["id"] for r in rows.where("version IS NOT NULL AND (id % 100 = 0 OR id < 0)").collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = simhash._likely(rows, wanted, "version")
+        assert found.columns == rows.columns
+        ids = [r["id"] for r in found.collect()]
+        assert every <= set(ids) and len(ids) == len(set(ids)) < 5_000
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert every <= {r["id"] for r in simhash._likely(rows, wanted, "version", most_words=1).collect()}
+        assert simhash._likely(rows, wanted.where("false"), "version").isEmpty()
+        # the texts that are joined to partners are few
+        seen = []
+        monkeypatch.setattr(simhash, "map_rows", lambda df, *_: seen.append(df._jdf.queryExecution().executedPlan().toString()))
+        simhash._sets(rows.selectExpr("cast(id AS string) AS text"), wanted.selectExpr("version AS node", "version"), 5, "text")
+        assert "BroadcastHashJoin" in seen[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
