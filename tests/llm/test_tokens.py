@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from rulemill.llm import grammar, packing
+from rulemill.llm import grammar, packing, tokens
 from rulemill.llm.tokens import Encoder, tokenizer_path
 
 NAMES = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -35,6 +36,22 @@ def test_any_text(codec, texts):
     check(codec, texts)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_plain_words_need_no_pattern(name, prose, monkeypatch):
+    texts = [prose(200), "One two, three!? four;", "UPPER lower", "end.", "", None]
+    codec = Encoder(tokenizer_path(name))
+    want = codec.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    plain = re.compile(r"[A-Za-z ]*[A-Za-z]")
+
+    class Pattern:
+        def fullmatch(self, piece):
+            assert not plain.match(piece), piece
+
+    monkeypatch.setattr(tokens, "_WORD", Pattern())
+    ids, ends = codec.encode(pa.array(texts, pa.string()), 2)
+    assert [p.tolist() for p in np.split(ids, ends[:-1])] == [e.ids + [2] for e in want]
+
+
 def test_grammar_round_trips():
     rng = np.random.default_rng(0)
     for sizes, kinds in (([1], 3), ([1, 1, 1], 1), ([400, 1, 37, 900], 4), ([5000, 3000], 30), ([0, 5, 0], 2), ([3000], 70_000)):
