@@ -165,3 +165,34 @@ def test_groups_do_not_carry_the_items_of_their_block(spark):
     assert made and not any("items#" in line for line in made)
     below = plan[plan.rindex("Generate") :].splitlines()[1]
     assert "bins" in below
+
+
+def test_pairs_are_replaced_until_none_stands_twice():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 5000, 1000)
+    twice = np.concatenate([passage, [6000], passage, [6001]]).astype(np.uint32)
+    assert len(grammar.compress(twice, np.array([1001, 2002]))[3]) < 10
+    assert len(grammar.compress(np.zeros(5000, np.uint32), np.array([5000]))[3]) < 10
+    for sizes, kinds in (([3000, 1, 800], 40), ([2000], 2), ([9, 9, 9], 1)):
+        ids, ends = rng.integers(0, kinds, sum(sizes)).astype(np.uint32), np.cumsum(sizes)
+        packed = grammar.compress(ids, ends)
+        terminals, rules, lengths, symbols, symbol_ends = packed
+        shard = grammar.Shard(terminals, rules.tobytes(), lengths.tobytes(), symbols.tobytes(), symbol_ends.tolist())
+        assert [shard.document(k).tolist() for k in range(len(ends))] == [p.tolist() for p in np.split(ids, ends[:-1])]
+        found = Counter()
+        for part in np.split(symbols, symbol_ends[:-1]):
+            pairs, i = list(zip(part.tolist(), part.tolist()[1:])), 0
+            while i < len(pairs):
+                found[pairs[i]] += 1
+                i += 2 if i + 1 < len(pairs) and pairs[i] == pairs[i + 1] else 1
+        assert max(found.values(), default=0) < 2
+
+
+def test_pairs_whose_places_do_not_fit_beside_their_codes():
+    rng = np.random.default_rng(2)
+    left, right = rng.integers(0, 5, (2, 2000)).astype(np.uint32)
+    touching = np.zeros(2000, bool)
+    narrow, wide = (grammar._pairs(left, right, np.uint64(bits), touching, 2) for bits in (3, 32))
+    split = lambda codes, bits: [divmod(c, 1 << bits) for c in codes.tolist()]
+    assert split(narrow[0], 3) == split(wide[0], 32) == sorted(set(zip(left.tolist(), right.tolist())))
+    assert [x.tolist() for x in narrow[1:]] == [x.tolist() for x in wide[1:]]
