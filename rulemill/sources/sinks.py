@@ -11,7 +11,7 @@ from rulemill.operators.nesting import NestingSpec, key_order, nest
 from rulemill.operators.quality import apply_quality_sets
 from rulemill.plans.rules import Rules
 from rulemill.sources.csv import DATA_SEP, RUN_COLUMNS, all_text, text_schema
-from rulemill.sources.storage import listed_names
+from rulemill.sources.storage import listed_names, shuffles_dropped
 
 # Prefixes of numbered outputs.
 JOB, RESULT = "job", "query_result"
@@ -27,9 +27,10 @@ def write_csv(df: DataFrame, path: str, sep: str = DATA_SEP, files: int | None =
 def write_json(
     df: DataFrame, path: str, files: int | None = None, mode: str = "overwrite", partition_by: Sequence[str] = ()
 ) -> None:
-    """Nested records as JSON lines; NULL fields are written."""
+    """Nested records as JSON lines; NULL fields are written. What the records were shuffled for is removed from disk when they are written."""
     out = df.coalesce(files) if files else df
-    out.write.mode(mode).option("ignoreNullFields", False).partitionBy(*partition_by).json(path)
+    with shuffles_dropped(df.sparkSession):
+        out.write.mode(mode).option("ignoreNullFields", False).partitionBy(*partition_by).json(path)
 
 
 def latest_run(spark: SparkSession, base: str, prefix: str) -> int:
@@ -57,7 +58,8 @@ def write_stored(df: DataFrame, path: str) -> DataFrame:
     the Parquet copy is what later steps read. Another writer taking the path first is an error, not an overwrite.
     """
     text = all_text(df)
-    text.select(*[blank_to_null(column(c)).alias(c) for c in text.columns]).write.mode("errorifexists").parquet(f"{path}.parquet")
+    with shuffles_dropped(df.sparkSession):
+        text.select(*[blank_to_null(column(c)).alias(c) for c in text.columns]).write.mode("errorifexists").parquet(f"{path}.parquet")
     stored = read_stored(df.sparkSession, path)
     write_csv(stored, path, mode="errorifexists")
     return stored
@@ -107,9 +109,12 @@ def with_rules(metadata: DataFrame, quality_rules: Sequence[str]) -> DataFrame:
 def write_quality_sets(
     df: DataFrame, rule_sets: Mapping[str, Rules], spec: NestingSpec, path: str, order_by: str | None = None
 ) -> None:
-    """Flag `df` with every rule set, nest each flagged copy and write it under ruleset=<name>, in one plan."""
-    nested = nest(apply_quality_sets(df, rule_sets), spec, order_by, within=["ruleset"])
-    write_json(nested, path, partition_by=["ruleset"])
+    """Flag `df` with every rule set, nest each flagged copy and write it under ruleset=<name>. One copy after the other, so that the disk holds
+    the shuffles of one."""
+    flagged = apply_quality_sets(df, rule_sets)
+    for i, name in enumerate(rule_sets):
+        nested = nest(flagged.where(F.col("ruleset") == name), spec, order_by, within=["ruleset"])
+        write_json(nested, path, mode="append" if i else "overwrite", partition_by=["ruleset"])
 
 
 def export_result(

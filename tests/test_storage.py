@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,26 @@ def test_a_repeated_lookup_key_is_an_error(spark):
     assert sorted(map(tuple, lookup(facts, names, "k").collect())) == [(1, "a"), (2, None), (3, None)]
     with pytest.raises(Exception, match="repeated lookup key"):
         lookup(facts, names.union(names), "k").collect()
+
+
+def test_a_stored_run_leaves_no_shuffle_files(spark, tmp_path):
+    rows = spark.range(200).selectExpr("concat('v', id % 40) AS variant_id", "concat('G', id % 7) AS gene", "'GRCh38' AS assembly")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    info = sinks.run_metadata(spark, ["a"], "local", ["a.csv"], "gene", "all")
+    rule_sets = {"b/c": [("gene", "string", "no", "equals", "G3", "THIRD")], "d": [("gene", "string", "no", "equals", "G4", "FOURTH")]}
+    result = store_run(rows, str(tmp_path / "jobs"), "01_02_2023 10_11_12", info, rule_sets)
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    flagged = spark.read.schema("variant_id string, genes array<string>, ruleset string").json(f"{result}/quality.json")
+    got = {(r["ruleset"], g) for r in flagged.collect() for g in r["genes"]}
+    assert got == {("b/c", "THIRD" if i == 3 else f"G{i}") for i in range(7)} | {("d", "FOURTH" if i == 4 else f"G{i}") for i in range(7)}
+    assert flagged.count() == 80 and "spark.sql.classic.shuffleDependency.fileCleanup.enabled" not in spark.conf.getAll
