@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +29,10 @@ def keyword_search(df: DataFrame, keyword: str) -> DataFrame:
 
 #: Characters by which keywords are found in a text before they are compared.
 KEYWORD_CHARACTERS = 3
+#: Keywords are found in the words of a cell by as many of their first characters as the largest of these that they have.
+CELL_CHARACTERS = (1, 2, 3, 4, 6)
+#: Keywords that are looked for in one pass over the cells, for they travel to all tasks.
+BLOCK_KEYWORDS = 200_000
 #: Words of a cell lie between these.
 _BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -35,9 +40,9 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 def keyword_hits(df: DataFrame, keywords: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, keyword: str = "keyword") -> DataFrame:
     """(keys, column, keyword) for every keyword of a table and every cell that contains it, ignoring case.
 
-    A keyword without blanks lies within a word, so it is looked for once in every distinct word of all cells, and the cells meet their words by an
-    equi-join: no text is copied or shuffled. Keywords with blanks, if an action finds any, are looked for in the texts. The plan does not
-    depend on the number of keywords. Blank keywords and NULL cells are in no hit; equal keywords are one.
+    A keyword without blanks lies within a word, so it is looked for once in every distinct word of all cells. Those that are in any go to all tasks, in blocks
+    that a job counts, and meet the cells where these are read: neither words of cells nor hits are shuffled. Keywords with blanks, if an action finds
+    any, are looked for in the texts. The plan does not depend on the number of keywords but for its blocks. Blank keywords and NULL cells are in no hit; equal keywords are one.
     """
     listed = keywords.select(column(keyword).alias("keyword")).where("keyword <> ''").distinct().withColumn("_needle", F.lower("keyword"))
     names = [c for c in df.columns if c not in keys] if columns is None else list(columns)
@@ -46,14 +51,16 @@ def keyword_hits(df: DataFrame, keywords: DataFrame, keys: Sequence[str], column
     rows = df.select(*[column(k).alias(n) for k, n in zip(keys, own)], F.inline(cells)).where("_text <> ''")
     shown = [*[F.col(n).alias(k) for k, n in zip(keys, own)], "column", "keyword"]
 
-    # distinct within the cell: it meets a word once
+    # distinct within the cell, which need not be searched twice for a word
     words_of = lambda text: F.filter(F.array_distinct(F.split(text, _BLANKS)), lambda w: w != "")
     blank = F.col("_needle").rlike(_BLANKS)
     vocabulary = rows.select(F.explode(words_of("_text")).alias("_text")).distinct()
-    known = _containing(vocabulary, listed.where(~blank)).select(F.col("_text").alias("_word"), "keyword")
-    # numbered before its words are listed, for the number is that of the cell
-    placed = rows.withColumn("_cell", F.monotonically_increasing_id()).select(*own, "column", "_cell", F.explode(words_of("_text")).alias("_word"))
-    hits = placed.join(known, "_word").select(*own, "column", "_cell", "keyword").distinct().select(*shown)
+    single = listed.where(~blank)
+    known = _containing(vocabulary, single).select("keyword", "_needle").distinct()
+    cells = rows.withColumn("_text", F.array_join(words_of("_text"), " "))
+    blocks = max(1, -(-single.count() // BLOCK_KEYWORDS))
+    place = F.pmod(F.xxhash64("keyword"), F.lit(blocks))
+    hits = reduce(DataFrame.unionByName, [_hits_in_place(cells, known if blocks == 1 else known.where(place == b)) for b in range(blocks)]).select(*shown)
     several = listed.where(blank)
     return hits if several.isEmpty() else hits.unionByName(_containing(rows, several).select(*shown))
 
@@ -74,6 +81,18 @@ def _containing(texts: DataFrame, listed: DataFrame) -> DataFrame:
     return placed.join(needles, "_run").where(F.contains(F.col("_text"), F.col("_needle")))
 
 
+def _hits_in_place(cells: DataFrame, listed: DataFrame) -> DataFrame:
+    """The cells, as words in `_text` between single blanks, with every listed keyword that is in a word. A cell has each of its runs of some lengths once, and a keyword
+    one that it begins with, so a cell meets a keyword once at most. One step from the scan to the hits, in which a text is not copied for its runs."""
+    first = F.when(F.lit(False), 0)
+    for n in reversed(CELL_CHARACTERS):
+        first = first.when(F.length("_needle") >= n, n)
+    needles = listed.withColumn("_run", F.substr("_needle", F.lit(1), first))
+    runs = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(f"(?=([^ ]{{{n}}}))"), F.lit(1)) for n in CELL_CHARACTERS]))
+    met = cells.withColumn("_run", F.explode(runs)).join(F.broadcast(needles), "_run")
+    return met.where((F.col("_run") == F.col("_needle")) | F.contains(F.col("_text"), F.col("_needle")))
+
+
 def _run_of(characters: Column, length: int) -> Callable[[Column], Column]:
     return lambda i: F.concat(*[F.get(characters, i + k) for k in range(length)])
 

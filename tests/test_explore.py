@@ -128,3 +128,20 @@ def test_ordinals_make_more_ranges_of_larger_tables(spark, monkeypatch):
     df = spark.range(200).select((F.col("id") * 7 % 200).alias("k"))
     assert values(ordinals(df, ["k"], "n"), "k", "n") == sorted(((k, k + 1) for k in range(200)), key=lambda t: tuple((True, str(x)) for x in t))
     assert asked == [20]
+
+
+def test_keywords_meet_cells_without_a_shuffle_of_these(spark, monkeypatch):
+    """Before, every word of every cell was shuffled, and every hit of every word."""
+    cells = [(i % 50, f"Word{i % 7} swordfish\tÄpfel 😀😀x wordless and\n{'y' * (i % 9)} word", None if i % 2 else "and ab") for i in range(200)]
+    words = ["word", "WORDF", "swordfish", "äpfel", "😀x", "a", "an", "and", "yyyyyyy", "ab", "zz", "fish word"]
+    df = spark.createDataFrame(cells, "id int, s string, t string").repartition(3)
+    listed = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = sorted((r[0], name, w) for r in cells for name, text in (("s", r[1]), ("t", r[2])) if text for w in words if w.lower() in text.lower())
+    for block in (explore.BLOCK_KEYWORDS, 4):
+        monkeypatch.setattr(explore, "BLOCK_KEYWORDS", block)
+        assert sorted(map(tuple, keyword_hits(df, listed, ["id"]).collect())) == want
+    monkeypatch.undo()
+    found = keyword_hits(df, listed.where("keyword NOT LIKE '% %'"), ["id"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    scans_of_cells = plan[: plan.index("BroadcastHashJoin")] + plan[plan.index("BroadcastHashJoin") :].split("\n")[0]
+    assert "Exchange" not in scans_of_cells and "Aggregate" not in scans_of_cells
