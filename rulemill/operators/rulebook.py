@@ -24,7 +24,9 @@ _QUANTILES = 64
 _SHARES = ",".join(str(i / _QUANTILES) for i in range(_QUANTILES + 1))
 #: Cells are 2 ** 50 times smaller than the largest bound at least, so that their numbers are exact; larger bounds than this count as none where rules are filed.
 _FINEST, _LARGEST = 50, 1e150
-
+#: Where rows are added up, cells are so many times 2 smaller than those an interval is filed in, and the largest block is so many times 2 larger
+#: than they: an interval spans at most 8 of the cells it is filed in, so 2 ** (3 + 2) of these and one.
+_FINER, _SIZES = 2, 5
 
 
 def conditions_of(spark: SparkSession, rule_sets: Mapping[str, Rules], types: Mapping) -> DataFrame:
@@ -95,8 +97,7 @@ def _way(i: int) -> Column:
     among = lambda ends: F.size(F.filter(f"_spread{i}", lambda b: b.between(ends["low"], ends["high"])))
     within = let(F.struct(low.alias("low"), high.alias("high")), among) / float(_QUANTILES)
     share = F.greatest(within, F.least(F.lit(0.5 / _QUANTILES), (high - low) / (F.col(f"_hi{i}") - F.col(f"_lo{i}") + _magnitude(i))))
-    finest = F.floor(F.log2(_magnitude(i))).cast("int") - _FINEST
-    level = F.when(high > low, F.greatest(F.floor(F.log2(high - low)).cast("int") - 2, finest)).otherwise(finest)
+    level = F.when(high > low, F.greatest(F.floor(F.log2(high - low)).cast("int") - 2, _finest(i))).otherwise(_finest(i))
     numeric = way(share, level=level, low=low, high=high, text=F.lit(None).cast("string"))
     asked = way(1.0 / F.greatest(f"_texts{i}", F.lit(1)), level=F.lit(None).cast("int"), low=F.lit(None).cast("double"), high=F.lit(None).cast("double"), text=text)
     return F.when(text.isNotNull(), asked).when(F.col(f"_number{i}"), numeric)
@@ -126,6 +127,10 @@ def _filed(conditions: DataFrame, names: Sequence[str], bounds: DataFrame) -> Da
     return book.join(F.broadcast(bounds)).select("*", *ends).select(*kept, F.array_min(F.array(*[_way(i) for i in range(len(names))])).alias("_way"))
 
 
+def _finest(i: int) -> Column:
+    return F.floor(F.log2(_magnitude(i))).cast("int") - _FINEST
+
+
 def _used(filed: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row for all tasks: the sizes of cells (`_levels<i>`) and the values (`_from<i>` to `_to<i>`) under which rules are filed by attribute i, and whether any is by a text of it (`_asked<i>`)."""
     out = []
@@ -137,13 +142,18 @@ def _used(filed: DataFrame, names: Sequence[str]) -> DataFrame:
     return filed.agg(*out)
 
 
-def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attributes: Iterable[str]) -> DataFrame:
-    """(keys, rule) for every row of `df` and every rule whose conditions all hold for it.
+def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attributes: Iterable[str], totals: Mapping[str, str | None] | None = None) -> DataFrame:
+    """(keys, rule) for every row of `df` and every rule whose conditions all hold for it; with `totals` (rule, totals) for every rule that holds for any
+    row: the sum of a column over the rows, or their number (None). The pairs are not listed for that, and there are no keys.
 
     `attributes` are the columns that conditions may name; numbers compare as double, NULL satisfies nothing. A rule without a condition
     does not exist; a rule on another attribute never holds. A few numbers about each attribute travel to all tasks.
     """
     names = list(dict.fromkeys(attributes))
+    if totals is not None:
+        if keys:
+            raise ValueError("totals are those of all rows, whatever their keys")
+        return _totals(df, conditions, names, totals)
     bounds = _bounds(conditions, names)
     filed = _filed(conditions, names, bounds)
     one_row = bounds.drop(*[f"_spread{i}" for i in range(len(names))]).join(F.broadcast(_used(filed, names)))
@@ -152,22 +162,98 @@ def matches(df: DataFrame, conditions: DataFrame, keys: Sequence[str], attribute
     nodes = F.when(way["text"].isNotNull(), F.array(F.xxhash64(way["text"]))).otherwise(F.sequence(_cell(way["low"], way["level"]), _cell(way["high"], way["level"])))
     book = filed.withColumns({"_kind": kind, "_node": F.explode(nodes)}).drop("_way")
 
-    numbers = [column(n).try_cast("double") for n in names]
-    cells = [c for i, n in enumerate(names) for c in (F.when(~F.isnan(numbers[i]), numbers[i]).alias(f"_n{i}"), column(n).cast("string").alias(f"_t{i}"))]
     own = [f"_key{j}" for j in range(len(keys))]
-    rows = df.select(*[column(k).alias(o) for k, o in zip(keys, own)], *cells).join(F.broadcast(one_row))
-    texts = [F.when(F.col(f"_texts{i}") > 0, F.col(f"_t{i}")).alias(f"_t{i}") for i in range(len(names))]
+    rows = _valued(df, {o: column(k) for k, o in zip(keys, own)}, names, one_row)
     looked = F.flatten(F.array_compact(F.array(*[c for i in range(len(names)) for c in _looked(i)])))
-    rows = rows.select(*own, *[f"_n{i}" for i in range(len(names))], *texts, F.inline(looked).alias("_node", "_kind"))
+    rows = rows.select(*own, *_values(names), F.inline(looked).alias("_node", "_kind"))
+    met = rows.join(book, ["_node", "_kind"]).where(all_of(_holds(i) for i in range(len(names))))
+    return met.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "rule")
 
-    def holds(i: int) -> Column:
-        v, low, high = F.col(f"_n{i}"), F.col(f"_low{i}"), F.col(f"_high{i}")
-        above = low.isNull() | (v > low) | (~F.col(f"_open{i}") & (v == low))
-        under = high.isNull() | (v < high) | (F.col(f"_closed{i}") & (v == high))
-        return (~F.col(f"_number{i}") | (v.isNotNull() & above & under)) & (F.col(f"_text{i}").isNull() | (F.col(f"_t{i}") == F.col(f"_text{i}")))
 
-    met = rows.join(book, ["_node", "_kind"]).where(all_of(holds(i) for i in range(len(names))))
-    return met.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "rule")
+def _totals(df: DataFrame, conditions: DataFrame, names: Sequence[str], totals: Mapping[str, str | None]) -> DataFrame:
+    """The interval by which a rule is filed is cut into the fewest blocks of cells, each of some size, that lie within it, and the two cells of its
+    ends. Rows are added up once for every block and combination of the other attributes before the rules meet them; in the cells of the ends they are
+    compared one by one. All other conditions are checked as for pairs.
+    """
+    bounds = _bounds(conditions, names)
+    filed = _filed(conditions, names, bounds)
+    limits = bounds.drop(*[f"_spread{i}" for i in range(len(names))])
+    finer = lambda i: lambda level: F.greatest(level - _FINER, _finest(i))
+    used = limits.join(F.broadcast(_used(filed, names)))
+    ends = {f"_ends{i}": F.array_distinct(F.transform(f"_levels{i}", finer(i))) for i in range(len(names))}
+    sizes = {f"_sizes{i}": F.array_distinct(F.flatten(F.transform(f"_ends{i}", lambda level: F.sequence(level, level + _SIZES)))) for i in range(len(names))}
+    one_row = used.withColumns(ends).withColumns(sizes)
+
+    way = F.col("_way")
+    entry = lambda node, kind, inner: F.struct(node.alias("_node"), kind.alias("_kind"), inner.alias("_inner"))
+    none = F.lit(None).cast("int")
+    asked = F.array(entry(F.xxhash64(way["text"]), way["attribute"] * 8192, none))
+    least = F.col("_least")
+    kind = way["attribute"] * 8192 + least + 2048
+
+    def blocks(j: Column) -> Column:
+        """The blocks of 2 ** j cells that a cut into the fewest has: one at the left, one at the right, or neither."""
+        left, right = F.ceil((F.col("_first") + 1) / F.pow(F.lit(2.0), j)), F.floor(F.col("_last") / F.pow(F.lit(2.0), j))
+        inside = lambda which, node: F.when((left < right) & (which % 2 != 0), entry(node, kind + 4096 + j, way["attribute"]))
+        return F.array(inside(left, left), inside(right, right - 1))
+
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_SIZES)), blocks))
+    interval = F.concat(F.array_distinct(F.array(entry(F.col("_first"), kind, none), entry(F.col("_last"), kind, none))), F.array_compact(cut))
+    book = filed.join(F.broadcast(limits))
+    book = book.withColumn("_least", F.coalesce(*[F.when(way["attribute"] == i, finer(i)(way["level"])) for i in range(len(names))]))
+    book = book.withColumns({"_first": _floor(way["low"], least), "_last": _floor(way["high"], least)})
+    shown = [c for c in filed.columns if c != "_way"]
+    book = book.select(*shown, F.inline(F.when(way["text"].isNotNull(), asked).otherwise(interval)))
+    book = book.withColumns({f"{end}{i}": F.when(~F.col("_inner").eqNullSafe(i), F.col(f"{end}{i}")) for end in ("_low", "_high") for i in range(len(names))})
+
+    summed = {f"_sum{j}": F.lit(1).cast("long") if c is None else column(c) for j, c in enumerate(totals.values())}
+    rows = _valued(df, summed, names, one_row)
+    places = []
+    for i in range(len(names)):
+        number, text = F.col(f"_n{i}"), F.col(f"_t{i}")
+        at = lambda sizes, inner, i=i: lambda v: F.when(
+            v.between(F.col(f"_from{i}"), F.col(f"_to{i}")),
+            F.transform(f"_{sizes}{i}", lambda level: entry(_floor(v, level), level + 8192 * i + 2048 + (4096 if inner else 0), F.lit(i) if inner else none)),
+        )
+        for sizes, inner in (("ends", False), ("sizes", True)):
+            places.append(F.when(number.isNotNull() & (F.size(f"_levels{i}") > 0), let(_clipped(i, number), at(sizes, inner))))
+        places.append(F.when(text.isNotNull() & F.col(f"_asked{i}"), F.array(entry(F.xxhash64(text), F.lit(8192 * i), none))))
+    rows = rows.select(*summed, *_values(names), F.inline(F.flatten(F.array_compact(F.array(*places)))))
+    # within a block the attribute that it is one of holds, whatever its value
+    values = [F.when(~F.col("_inner").eqNullSafe(i), F.col(f"_n{i}")).alias(f"_n{i}") for i in range(len(names))]
+    texts = [f"_t{i}" for i in range(len(names))]
+    rows = rows.select(*summed, "_node", "_kind", *values, *texts)
+    added = rows.groupBy("_node", "_kind", *_values(names)).agg(*[F.sum(c).alias(c) for c in summed])
+    inner = F.col("_inner")
+    met = added.join(book, ["_node", "_kind"]).where(all_of(_holds(i, inner.eqNullSafe(i)) for i in range(len(names))))
+    return met.groupBy("rule").agg(*[F.sum(c).alias(name) for c, name in zip(summed, totals)])
+
+
+def _floor(value: Column, level: Column) -> Column:
+    """The number of the cell of a value among cells of size 2 ** level that begin at 0. Two cells of one size make one of the next."""
+    parts = value / F.pow(F.lit(2.0), level)
+    return F.when((value < 0) & (parts > -1), F.lit(-1).cast("long")).otherwise(F.floor(parts))
+
+
+def _values(names: Sequence[str]) -> list[str]:
+    return [f"_n{i}" for i in range(len(names))] + [f"_t{i}" for i in range(len(names))]
+
+
+def _valued(df: DataFrame, kept: Mapping[str, Column], names: Sequence[str], one_row: DataFrame) -> DataFrame:
+    """The columns that are kept, and for attribute i its number `_n<i>` and, where a rule asks for a text of it, its text `_t<i>`; beside them the one row for all."""
+    numbers = [column(n).try_cast("double") for n in names]
+    cells = [c for i, n in enumerate(names) for c in (F.when(~F.isnan(numbers[i]), numbers[i]).alias(f"_n{i}"), column(n).cast("string").alias(f"_t{i}"))]
+    rows = df.select(*[c.alias(name) for name, c in kept.items()], *cells).join(F.broadcast(one_row))
+    return rows.withColumns({f"_t{i}": F.when(F.col(f"_texts{i}") > 0, F.col(f"_t{i}")) for i in range(len(names))})
+
+
+def _holds(i: int, known: Column | None = None) -> Column:
+    """The conditions on attribute i hold; those on its number need not be checked where that is known."""
+    v, low, high = F.col(f"_n{i}"), F.col(f"_low{i}"), F.col(f"_high{i}")
+    above = low.isNull() | (v > low) | (~F.col(f"_open{i}") & (v == low))
+    under = high.isNull() | (v < high) | (F.col(f"_closed{i}") & (v == high))
+    number = ~F.col(f"_number{i}") | (v.isNotNull() & above & under)
+    return (number if known is None else known | number) & (F.col(f"_text{i}").isNull() | (F.col(f"_t{i}") == F.col(f"_text{i}")))
 
 
 def _looked(i: int) -> list[Column]:

@@ -113,3 +113,61 @@ def test_odd_bounds(spark):
 
     want = sorted((row[0], name) for row in data for name, rule in rules.items() if all(holds(row, c) for c in rule))
     assert sorted(map(tuple, matches(df, conditions, ["id"], NAMES).collect())) == want
+
+
+def totalled(spark, df, conditions, key="id"):
+    """Totals of every rule, and what they must be by the listed pairs."""
+    found = matches(df, conditions, [], NAMES, {"n": None, "sum": key})
+    pairs = matches(df, conditions, [key], NAMES).groupBy("rule").agg(F.count("*").alias("n"), F.sum(key).alias("sum"))
+    assert found.schema["n"].dataType == pairs.schema["n"].dataType and found.schema["sum"].dataType == pairs.schema["sum"].dataType
+    return sorted(map(tuple, found.collect())), sorted(map(tuple, pairs.collect()))
+
+
+def test_totals_are_those_of_the_pairs(spark):
+    rng = random.Random(4)
+    rules = {f"r{i}": drawn(rng) for i in range(300)} | {"other": [("nowhere", 1.0, True, None, None, None)], "wide": [("a", -1e9, True, 1e9, True, None)], "point": [("a", 2.5, True, 2.5, True, None)]}
+    conditions = spark.createDataFrame([(name, *c) for name, rule in rules.items() for c in rule], CONDITIONS)
+    found, want = totalled(spark, rows(spark).unionAll(rows(spark).where("id % 3 = 0")), conditions)
+    assert found == want and len(want) > 100
+    # no row
+    assert matches(rows(spark).limit(0), conditions, [], NAMES, {"n": None}).collect() == []
+    assert matches(rows(spark), conditions.limit(0), [], NAMES, {"n": None}).collect() == []
+
+
+def test_totals_of_odd_bounds_and_of_wide_and_narrow_rules(spark):
+    rng, inf, nan = random.Random(9), float("inf"), float("nan")
+    numbers = [0.0, -0.0, 5e-324, -5e-324, 1e-300, -1e-300, 1.0, 1.0 + 2**-52, 3.0, 1e17, 1e17 + 16, -1e17, 1e155, -1e155, 1.7e308, -1.7e308, inf, -inf, nan]
+    pick = lambda: rng.choice([None, *numbers])
+    odd = {f"r{i}": [("a", pick(), rng.choice([True, False, None]), pick(), rng.choice([True, False, None]), None) for _ in range(rng.randrange(1, 3))] for i in range(300)}
+    odd |= {"two": [("c", None, None, None, None, "x"), ("c", None, None, None, None, "y")], "mixed": [("b", None, None, None, None, "1"), ("b", 1.0, True, 1.0, True, None)]}
+    values = [*numbers, None, 2.0]
+    drawn_at = lambda: round(rng.uniform(-50, 50), 2)
+    plain = {f"p{i}": [("a", low := drawn_at(), rng.random() < 0.5, low + rng.choice([0.0, 0.01, 0.5, 3.0, 40.0]), rng.random() < 0.5, None), ("b", float(rng.randrange(3)), False, None, None, None)] for i in range(300)}
+    for rules, numbers in ((odd, values), (plain, [drawn_at() for _ in range(2000)])):
+        conditions = spark.createDataFrame([(name, *c) for name, rule in rules.items() for c in rule] + [(None, "a", None, None, None, None, None)], CONDITIONS)
+        df = spark.createDataFrame([(i, x, i % 4, "xyz"[i % 3]) for i, x in enumerate(numbers)], "id long, a double, b int, c string")
+        found, want = totalled(spark, df, conditions)
+        assert found == want and len(want) > 100
+
+
+def test_totals_do_not_meet_every_row(spark):
+    """Before, every row in the interval of a rule was a row of the join."""
+    df = spark.range(20000).selectExpr("id", "id / 20000.0D AS a", "cast(id % 3 AS int) AS b", "'x' AS c").repartition(2)
+    conditions = spark.range(49).selectExpr("cast(id AS string) AS rule", "'a' AS attribute", "id / 64.0D AS low", "true AS low_in", "id / 64.0D + 0.25D AS high", "false AS high_in", "cast(NULL AS string) AS text")
+    found = matches(df, conditions, [], NAMES, {"n": None})
+    want = {str(k): sum(k / 64 <= i / 20000 < k / 64 + 0.25 for i in range(20000)) for k in range(49)}
+    assert {r.rule: r.n for r in found.collect()} == want and sum(want.values()) > 240_000
+    plan = found._jdf.queryExecution().executedPlan()
+
+    def joined(node):
+        out = [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() and "Nested" not in node.nodeName() else []
+        if node.nodeName() == "AdaptiveSparkPlan":
+            children = [node.executedPlan()]
+        elif node.nodeName().endswith("QueryStage"):
+            children = [node.plan()]
+        else:
+            children = [node.children().apply(i) for i in range(node.children().size())]
+        return out + [n for c in children for n in joined(c)]
+
+    rows_of_joins = joined(plan)
+    assert rows_of_joins and max(rows_of_joins) < 60_000
